@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: Upper-case ASCII to lower case; other characters stay.
 ASCII_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Entries a per-task memo may hold before it starts afresh; it bounds memory and never changes results.
-MEMO_ENTRIES = 400_000
+MEMO_ENTRIES = 600_000
 #: Bytes of text that one vectorised step works on (a longer document is a step of its own).
 STEP_BYTES = 4 << 20
 

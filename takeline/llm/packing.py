@@ -12,7 +12,7 @@ Windows after the last full one hold a power of two of tokens, so nothing is pad
 
 Steps: tokenise once into a written table in the shared folder, with positions counted per input part and queue; a
 small table (part, queue) of token sums gives each part's start in its queue; each row then cuts itself.  Ids are
-never shuffled; the small table is joined, by broadcast only if Spark finds it small.
+shuffled only if that table has more than ``SEND_STARTS`` rows; else it is sent to every task.
 
 Defined cases: null text is empty (one end id); a null source is a queue of its own; repeated rows are packed each;
 null ``doc_id`` passes through; other columns are ignored; an empty table gives an empty result.
@@ -29,12 +29,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from takeline.llm.common import scratch_table, steps, texts_of
+from takeline.llm.common import cut, scratch_table, steps, texts_of
 from takeline.llm.tokens import TokenIds
 
 WINDOW = 2048
 #: More sources than this share queues by hash; the plan of the queues is held by the driver and each task.
 MAX_QUEUES = 4096
+#: Rows of the table (part, queue) that are sent to every task; with more, the join shuffles.
+SEND_STARTS = 100_000
 #: Ranges over which a queue's start positions are summed.
 PARTS_PER_RANGE = 256
 
@@ -170,7 +172,7 @@ def pack(documents: DataFrame, window: int = WINDOW, tokenizer: str | None = Non
     spark = documents.sparkSession
     path = tokenised(documents, tokenizer, end_id, max_queues)
     ids = spark.read.parquet(path)
-    sums = spark.read.parquet(path).groupBy("queue", "part").agg(F.sum("n").alias("tokens"))
+    sums = cut(spark.read.parquet(path).groupBy("queue", "part").agg(F.sum("n").alias("tokens")))
     totals = {r["queue"]: r["tokens"] for r in sums.groupBy("queue").agg(F.sum("tokens").alias("tokens")).collect()}  # at most max_queues rows
     targets = None if weights is None else {f"s:{k}": w for k, w in weights.items()}
     width = 2 if TokenIds(tokenizer, end_id).dtype.itemsize == 2 else 4
@@ -193,5 +195,8 @@ def pack(documents: DataFrame, window: int = WINDOW, tokenizer: str | None = Non
                             c.append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
 
-    placed = ids.join(part_starts(sums), ["queue", "part"]).select("doc_id", "queue", "begin", "base", "n", "ids")
+    starts = part_starts(sums)
+    if sums.count() <= SEND_STARTS:
+        starts = F.broadcast(starts)
+    placed = ids.join(starts, ["queue", "part"]).select("doc_id", "queue", "begin", "base", "n", "ids")
     return placed.mapInArrow(run, f"doc_id {kind}, source_queue string, start long, length long, ids binary, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

@@ -1,18 +1,29 @@
 """Token ids of whole texts by a public tokenizer, word by word with a memo.
 
-The tokenizer's white space ends words for certain, so a text's ids are its words' ids in order; each distinct word
-goes through the tokenizers library once per task.  Ids travel as little-endian unsigned 16-bit (vocabularies up to
-65,536) or 32-bit integers.
+The tokenizer drops white space and never lets a token cross it, so a text's ids are its words' ids in order, and each
+distinct word goes through the tokenizers library once per task.  Most words are letters with marks behind them; the
+letters go to the library's BPE model directly, which spares its pre-tokenizer and the repeats with other marks.  Both
+facts are probed when a tokenizer is loaded; without them whole texts, or whole words, are encoded.
+
+Ids travel as little-endian unsigned 16-bit (vocabularies up to 65,536) or 32-bit integers.
 """
 
 from __future__ import annotations
 
+from array import array
+
 import numpy as np
 
 from takeline.llm.common import Memo
 
 #: Longer words are encoded each time instead of being remembered.
 LONG_WORD = 256
+#: Marks that may follow a word's letters and are a token run of their own.
+MARKS = b".,;:!?"
+#: Byte to character as byte-level vocabularies write them: printable bytes stand for themselves, others follow from 256.
+_SHOWN = {*range(33, 127), *range(161, 173), *range(174, 256)}
+BYTE_CHARS = {b: chr(b) if b in _SHOWN else chr(256 + k) for b in range(256) for k in [sum(c not in _SHOWN for c in range(b))]}
+PROBES = ("Hello,", "THE", "the!?", "été.", "Über;", "ñandú", "Straße:", "ÀÉÎÕÜ", "y", "ªº", "antidisestablishmentarianism...")
 
 
 def default_tokenizer() -> str:
@@ -23,27 +34,50 @@ def default_tokenizer() -> str:
 
 
 class TokenIds:
-    """``ids(text)``: numpy ids of a text's words followed by the end id."""
+    """``packed(text)``: ids of a text's words followed by the end id, as bytes of ``dtype``."""
 
     def __init__(self, path: str | None = None, end_id: int | None = 1) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path or default_tokenizer())
-        size = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.dtype = np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
-        self.memo = Memo(self._word)
-        self.end = b"" if end_id is None else np.array([end_id], self.dtype).tobytes()
+        small = self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16
+        self.dtype, self.code = np.dtype("<u2" if small else "<u4"), "H" if small else "I"
+        self.end = b"" if end_id is None else array(self.code, [end_id]).tobytes()
+        self.model = self.tokenizer.model
+        self.runs = Memo(self._run)
+        self.by_word = all(self._plain(f"{a} \n{b}\t") == self._plain(a) + self._plain(b) for a, b in zip(PROBES, PROBES[1:], strict=False))
+        self.by_run = self.by_word and all(self._letters(p.encode()) == self._plain(p) for p in PROBES)
+        self.memo = Memo(self._letters if self.by_run else lambda w: self._plain(w.decode()))
+
+    def _plain(self, text: str) -> bytes:
+        return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _run(self, run: bytes) -> bytes:
+        """Ids of lower-case letters, or of marks."""
+        text = run.decode() if run.isascii() else "".join(map(BYTE_CHARS.__getitem__, run))
+        return array(self.code, [t.id for t in self.model.tokenize(text)]).tobytes()
 
-    def _word(self, word: bytes) -> bytes:
-        return np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, self.dtype).tobytes()
+    def _letters(self, word: bytes) -> bytes:
+        letters = word.rstrip(MARKS)
+        marks = word[len(letters) :]
+        if letters.isalpha():  # of bytes: ASCII letters
+            low = letters.lower()
+        else:
+            text = letters.decode()
+            if not text.isalpha() or max(text) > "ÿ":  # Latin-1 letters are one run and lower to one letter each
+                return self._plain(word.decode())
+            low = text.lower().encode()
+        return self.runs[low] + self.runs[marks] if marks else self.runs[low]
 
     def packed(self, text: bytes | None) -> bytes:
-        """The ids as bytes of ``dtype``; null text has the end id alone."""
-        memo = self.memo
-        words = (text or b"").split()
-        if len(text or b"") > LONG_WORD and any(len(w) > LONG_WORD for w in words):
-            return b"".join([memo[w] if len(w) <= LONG_WORD else self._word(w) for w in words]) + self.end
+        """Null text has the end id alone."""
+        if not self.by_word:
+            return self._plain((text or b"").decode()) + self.end
+        memo, words = self.memo, (text or b"").split()
+        if len(text or b"") > LONG_WORD and max(map(len, words), default=0) > LONG_WORD:
+            return b"".join([memo[w] if len(w) <= LONG_WORD else self._plain(w.decode()) for w in words]) + self.end
         memo.trim()
+        self.runs.trim()
         return b"".join(map(memo.__getitem__, words)) + self.end
 
     def ids(self, text: bytes | None) -> np.ndarray:
