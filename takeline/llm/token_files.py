@@ -11,7 +11,7 @@ their own beside it:
 
 Decoding looks up ``MAX_BITS`` bits in a table and runs all lanes of a block at once.
 
-Order: ascending ``doc_id`` (nulls first; equal ids by text), by range partitioning and a sort in each partition.
+Order: ascending ``doc_id`` (nulls first; equal ones by a hash of their ids), by range partitioning and a sort in each partition.
 Defined cases: null text is empty (one end id); repeated rows are all kept; other columns are ignored; an empty table
 gives an empty dataset.
 """
@@ -115,19 +115,34 @@ class Coder:
         return out.reshape(-1)[:count]
 
 
-def count_ids(documents: DataFrame, tokenizer: str | None = None, end_id: int = 1) -> dict[int, int]:
-    """Count of every id over all documents; as many rows reach the driver as the vocabulary has ids."""
+def tokenised(documents: DataFrame, tokenizer: str | None = None, end_id: int = 1) -> DataFrame:
+    """``doc_id, ids`` (bytes of the tokenizer's width), tokenised once into a written table in the shared folder."""
+    kind = dict(documents.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, total = TokenIds(tokenizer, end_id), np.zeros(0, np.int64)
+        encode = TokenIds(tokenizer, end_id)
         for batch in steps(batches):
-            counts = np.bincount(np.frombuffer(b"".join(map(encode.packed, texts_of(batch))), encode.dtype), minlength=len(total))
-            counts[: len(total)] += total
-            total = counts
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(list(map(encode.packed, texts_of(batch))), pa.binary())], names=["doc_id", "ids"])
+
+    path = scratch_table(documents.sparkSession, "token-ids")
+    documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids binary").write.option("compression", "zstd").parquet(path)
+    return documents.sparkSession.read.parquet(path)
+
+
+def count_ids(tokens: DataFrame, dtype: np.dtype) -> dict[int, int]:
+    """Count of every id over all documents; as many rows reach the driver as the vocabulary has ids."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(0, np.int64)
+        for batch in batches:
+            for start in range(0, batch.num_rows, 1000):
+                counts = np.bincount(np.frombuffer(b"".join(batch.column("ids").slice(start, 1000).to_pylist()), dtype), minlength=len(total))
+                counts[: len(total)] += total
+                total = counts
         found = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(total[found], pa.int64())], names=["id", "n"])
 
-    counts = documents.select("text").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    counts = tokens.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     return {r["id"]: r["n"] for r in counts.collect()}
 
 
@@ -138,28 +153,29 @@ def write_token_files(documents: DataFrame, path: str | None = None, tokenizer:
     """Encode all documents in order into ``path/blocks`` and ``path/lengths``; returns ``path``."""
     spark = documents.sparkSession
     path = path or scratch_table(spark, "token-files")
-    lengths = code_lengths(count_ids(documents, tokenizer, end_id))
+    dtype = TokenIds(tokenizer, end_id).dtype
+    tokens = tokenised(documents, tokenizer, end_id)
+    lengths = code_lengths(count_ids(tokens, dtype))
     spark.createDataFrame(sorted(lengths.items()), "id long, bits int").coalesce(1).write.parquet(f"{path}/lengths")
     kind = dict(documents.dtypes)["doc_id"]
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, coder, shard = TokenIds(tokenizer, end_id), Coder(lengths), TaskContext.get().partitionId()
+        coder, shard = Coder(lengths), TaskContext.get().partitionId()
         docs, counts, pending, block, begin, size, id_type = [], [], [], 0, 0, 0, pa.int64()
 
         def flushed() -> pa.RecordBatch:
-            offsets, bits = coder.encode(np.frombuffer(b"".join(pending), encode.dtype))
+            offsets, bits = coder.encode(np.frombuffer(b"".join(pending), dtype))
             row = [[shard], [block], [begin], [docs], [counts], [size], [offsets.tobytes()], [bits]]
             types = [pa.int32(), pa.int32(), pa.int64(), pa.list_(id_type), pa.list_(pa.int64()), pa.int64(), pa.binary(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, types, strict=True)], names=["shard", "block", "begin", "doc_ids", "doc_tokens", "n_ids", "offsets", "bits"])
 
-        for batch in steps(batches):
+        for batch in batches:
             id_type = batch.schema.field("doc_id").type
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch), strict=True):
-                packed = encode.packed(text)
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), batch.column("ids"), strict=True):
                 docs.append(doc_id)
-                counts.append(len(packed) // encode.dtype.itemsize)
-                pending.append(packed)
+                pending.append(ids.as_py())
+                counts.append(len(pending[-1]) // dtype.itemsize)
                 size += counts[-1]
                 if size >= BLOCK_IDS:
                     yield flushed()
@@ -167,7 +183,7 @@ def write_token_files(documents: DataFrame, path: str | None = None, tokenizer:
         if docs:
             yield flushed()
 
-    ordered = documents.select("doc_id", "text").repartitionByRange(shards, F.col("doc_id"), F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
+    ordered = tokens.repartitionByRange(shards, F.col("doc_id"), F.xxhash64("ids")).sortWithinPartitions("doc_id", F.xxhash64("ids"), "ids")
     ordered.mapInArrow(run, BLOCK.format(kind)).write.option("compression", "none").parquet(f"{path}/blocks")
     return path
 
