@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from takeline.llm.common import Memo, steps, texts_of
 
 MAX_ROWS = 8000
-MAX_TERMS = 1500
+MAX_TERMS = 600
 BUCKETS = 1 << 20
 FACTORS = 4
 THRESHOLD = 0.7
@@ -84,7 +84,7 @@ def choose_terms(rows: list[tuple[np.ndarray, int]], max_terms: int) -> list[int
     return have[np.argsort(-gain, kind="stable")[:max_terms]].tolist()
 
 
-def fit_machine(rows: list[tuple[np.ndarray, int]], max_terms: int = MAX_TERMS, factors: int = FACTORS, epochs: int = 150, l2: float = 2e-4) -> Machine | None:
+def fit_machine(rows: list[tuple[np.ndarray, int]], max_terms: int = MAX_TERMS, factors: int = FACTORS, epochs: int = 400, l2: float = 2e-5) -> Machine | None:
     """``rows``: term ids and label; None unless both labels occur."""
     if len({y for _, y in rows}) < 2:
         return None
@@ -94,14 +94,15 @@ def fit_machine(rows: list[tuple[np.ndarray, int]], max_terms: int = MAX_TERMS,
     for i, (found, _) in enumerate(rows):
         x[i, [columns[t] for t in found.tolist() if t in columns]] = 1
     y = np.array([y for _, y in rows], np.float32)
+    weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())).astype(np.float32)  # both labels weigh the same
     rng = np.random.default_rng(7)
-    params = [np.float32(np.log(y.mean() / (1 - y.mean()))).reshape(1), np.zeros(len(terms), np.float32), (0.01 * rng.standard_normal((len(terms), factors))).astype(np.float32)]
+    params = [np.zeros(1, np.float32), np.zeros(len(terms), np.float32), (0.01 * rng.standard_normal((len(terms), factors))).astype(np.float32)]
     mean, square = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     for t in range(1, epochs + 1):
         b, w, v = params
         xv = x @ v
         z = b + x @ w + 0.5 * ((xv * xv).sum(1) - x @ (v * v).sum(1))
-        g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / len(y)
+        g = weight * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / len(y)
         gx = g @ x
         grads = [g.sum().reshape(1), gx + l2 * w, x.T @ (g[:, None] * xv) - gx[:, None] * v + l2 * v]
         for p, d, m, s in zip(params, grads, mean, square, strict=True):
