@@ -20,7 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 
-from takeline.llm.common import Memo, WordHashes, rolling, scramble, steps, texts_of
+from takeline.llm.common import MEMO_ENTRIES, WordHashes, rolling, scramble, steps, texts_of
 from takeline.llm.toxicity import labelled_sample
 
 MAX_ROWS = 3000
@@ -34,11 +34,22 @@ SPACES = bytes([0x20, *range(0x09, 0x0E)])
 SCALE = 20.0
 
 
-def word_grams(word: bytes) -> list[int]:
-    """Buckets of the word and of its character 1- to 4-grams (marked at both ends; the first 40 characters hold them)."""
-    text = f"^{word.decode()}$"
-    names = ["w" + text, *(text[i : i + n] for n in (1, 2, 3, 4) for i in range(min(len(text) - n + 1, 40)))]
-    return [xxhash.xxh3_64_intdigest(x.encode()) % BUCKETS for x in names]
+def word_grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of distinct words and of their character 1- to 4-grams (marked at both ends), and the number of their word."""
+    texts = [f"^{w.decode()}$" for w in words]
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    chars = np.frombuffer("".join(texts).encode("utf-32-le"), "<u4").astype(np.uint64)
+    of = np.repeat(np.arange(len(words)), sizes)
+    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(chars))
+    whole = scramble(np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)), 30)
+    buckets, owners = [whole % np.uint64(BUCKETS)], [np.arange(len(words))]
+    for n in range(1, 5):
+        inside = left >= n
+        grams = rolling(chars, n, 30 + n)
+        inside = inside[: len(grams)]
+        buckets.append(grams[inside] % np.uint64(BUCKETS))
+        owners.append(of[: len(grams)][inside])
+    return np.concatenate(buckets).astype(np.int64), np.concatenate(owners)
 
 
 def pair_buckets(h: np.ndarray) -> np.ndarray:
@@ -48,16 +59,15 @@ def pair_buckets(h: np.ndarray) -> np.ndarray:
 def base_stats(text: bytes | None, words: list[bytes], hashes: np.ndarray) -> tuple[int, int, int, int, int]:
     """``n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words``."""
     text = text or b""
-    chars = sum(map(len, words)) - (sum(map(len, (w for w in words if not w.isascii()))) - sum(len(w.decode()) for w in words if not w.isascii()) if not text.isascii() else 0)
+    chars = len(text.translate(None, SPACES).decode())
     symbols = len(text) - len(text.translate(None, SYMBOLS))
     lines = [x for x in text.split(b"\n") if x.strip(SPACES)]
     repeated = 0
     if len(words) > 3:
         triple = rolling(hashes, 3)
-        _, inverse, count = np.unique(triple, return_inverse=True, return_counts=True)
-        twice = count[inverse] > 1
-        if twice.any():
-            covered = np.zeros(len(words), bool)
+        if len(set(triple.tolist())) < len(triple):
+            _, inverse, count = np.unique(triple, return_inverse=True, return_counts=True)
+            twice, covered = count[inverse] > 1, np.zeros(len(words), bool)
             for k in range(3):
                 covered[k : k + len(twice)] |= twice
             repeated = int(covered.sum())
@@ -115,14 +125,17 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = 120, l2: f
 
 def learn(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model | None:
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, memo = WordHashes(), Memo(word_grams)
+        hashes = WordHashes()
         for batch in steps(batches):
-            memo.trim()
             out = []
             for text in texts_of(batch):
                 words = (text or b"").split()
-                every = np.concatenate([np.array([g for w in words for g in memo[w]], np.int64), pair_buckets(hashes(words))])
-                buckets, count = np.unique(every, return_counts=True)
+                number = {w: k for k, w in enumerate(dict.fromkeys(words))}
+                times = np.bincount([number[w] for w in words], minlength=len(number)) if words else np.zeros(0, np.int64)
+                grams, owner = word_grams(list(number))
+                count = np.bincount(grams, times[owner], BUCKETS) + np.bincount(pair_buckets(hashes(words)), minlength=BUCKETS)
+                buckets = np.flatnonzero(count)
+                count = count[buckets]
                 out.append((buckets.astype("<u2").tobytes(), (count / max(len(words), 1)).astype("<f4").tobytes()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array([b for b, _ in out], pa.binary()), pa.array([v for _, v in out], pa.binary())], names=["doc_id", "y", "buckets", "means"])
 
@@ -141,15 +154,20 @@ def judge(documents: DataFrame, model: Model | None, threshold: float = THRESHOL
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         weights = None if model is None else model.weights
-        memo = Memo(lambda w: float(weights[word_grams(w)].sum()))
+        known: dict[bytes, float] = {}  # a word's part of the score
         for batch in steps(batches):
-            memo.trim()
+            if len(known) > MEMO_ENTRIES:
+                known.clear()
+            texts = texts_of(batch)
+            split = [(t or b"").split() for t in texts]
+            if weights is not None and (new := list(set().union(*split).difference(known))):
+                grams, owner = word_grams(new)
+                known.update(zip(new, np.bincount(owner, weights[grams], len(new)).tolist(), strict=True))
             stats, raw = [], []
-            for text in texts_of(batch):
-                words = (text or b"").split()
+            for text, words in zip(texts, split, strict=True):
                 h = hashes(words)
                 stats.append(base_stats(text, words, h))
-                raw.append(0.0 if weights is None else (sum(map(memo.__getitem__, words)) + weights[pair_buckets(h)].sum()) / max(len(words), 1))
+                raw.append(0.0 if weights is None else (sum(map(known.__getitem__, words)) + weights[pair_buckets(h)].sum()) / max(len(words), 1))
             s = np.array(stats, np.int64).reshape(-1, 5)
             failed = (s[:, 0] < MIN_WORDS) | (100 * s[:, 4] > MAX_REPEAT_PERCENT * s[:, 0])
             p = np.ones(len(raw)) if model is None else model.probability(np.array(raw))
