@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from takeline.llm.common import cut, scratch_table, steps, texts_of
-from takeline.llm.tokens import TokenIds
+from takeline.llm.tokens import token_ids
 
 WINDOW = 2048
 #: More sources than this share queues by hash; the plan of the queues is held by the driver and each task.
@@ -136,7 +136,7 @@ def tokenised(documents: DataFrame, tokenizer: str | None, end_id: int, max_queu
     kind = dict(documents.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, at, part = TokenIds(tokenizer, end_id), {}, TaskContext.get().partitionId()
+        encode, at, part = token_ids(tokenizer, end_id), {}, TaskContext.get().partitionId()
         for batch in steps(batches):
             packed = [encode.packed(t) for t in texts_of(batch)]
             begins, counts = [], []
@@ -175,7 +175,7 @@ def pack(documents: DataFrame, window: int = WINDOW, tokenizer: str | None = Non
     sums = cut(spark.read.parquet(path).groupBy("queue", "part").agg(F.sum("n").alias("tokens")))
     totals = {r["queue"]: r["tokens"] for r in sums.groupBy("queue").agg(F.sum("tokens").alias("tokens")).collect()}  # at most max_queues rows
     targets = None if weights is None else {f"s:{k}": w for k, w in weights.items()}
-    width = 2 if TokenIds(tokenizer, end_id).dtype.itemsize == 2 else 4
+    width = 2 if token_ids(tokenizer, end_id).dtype.itemsize == 2 else 4
     kind = dict(documents.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from takeline.llm.common import scratch_table, steps, texts_of
-from takeline.llm.tokens import TokenIds
+from takeline.llm.tokens import token_ids
 
 MAX_BITS = 16
 LANE = 64
@@ -120,7 +120,7 @@ def tokenised(documents: DataFrame, tokenizer: str | None = None, end_id: int =
     kind = dict(documents.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = TokenIds(tokenizer, end_id)
+        encode = token_ids(tokenizer, end_id)
         for batch in steps(batches):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(list(map(encode.packed, texts_of(batch))), pa.binary())], names=["doc_id", "ids"])
 
@@ -153,7 +153,7 @@ def write_token_files(documents: DataFrame, path: str | None = None, tokenizer:
     """Encode all documents in order into ``path/blocks`` and ``path/lengths``; returns ``path``."""
     spark = documents.sparkSession
     path = path or scratch_table(spark, "token-files")
-    dtype = TokenIds(tokenizer, end_id).dtype
+    dtype = token_ids(tokenizer, end_id).dtype
     tokens = tokenised(documents, tokenizer, end_id)
     lengths = code_lengths(count_ids(tokens, dtype))
     spark.createDataFrame(sorted(lengths.items()), "id long, bits int").coalesce(1).write.parquet(f"{path}/lengths")

@@ -10,6 +10,7 @@ Ids travel as little-endian unsigned 16-bit (vocabularies up to 65,536) or 32-bi
 
 from __future__ import annotations
 
+import functools
 from array import array
 
 import numpy as np
@@ -33,6 +34,12 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+@functools.cache
+def token_ids(path: str | None = None, end_id: int | None = 1) -> TokenIds:
+    """One encoder per worker process: what one task has seen, the next need not encode again."""
+    return TokenIds(path, end_id)
+
+
 class TokenIds:
     """``packed(text)``: ids of a text's words followed by the end id, as bytes of ``dtype``."""
 
@@ -64,7 +71,11 @@ class TokenIds:
             low = letters.lower()
         else:
             text = letters.decode()
-            if not text.isalpha() or max(text) > "ÿ":  # Latin-1 letters are one run and lower to one letter each
+            try:
+                text.encode("latin-1")
+            except UnicodeEncodeError:
+                return self._plain(word.decode())
+            if not text.isalpha():  # Latin-1 letters are one run and lower to one letter each
                 return self._plain(word.decode())
             low = text.lower().encode()
         return self.runs[low] + self.runs[marks] if marks else self.runs[low]
