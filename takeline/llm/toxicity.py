@@ -30,6 +30,8 @@ MAX_ROWS = 8000
 MAX_TERMS = 600
 BUCKETS = 1 << 20
 FACTORS = 4
+#: Log-likelihood (nats) that a term's presence must add about the label; chance adds this to one term in a thousand.
+MIN_GAIN = 5.4
 THRESHOLD = 0.7
 _MARKS = "\"'`.,;:!?()[]{}<>*#$%&|_-~"
 
@@ -81,7 +83,8 @@ def choose_terms(rows: list[tuple[np.ndarray, int]], max_terms: int) -> list[int
     share = (a + b) / len(rows)
     x = lambda k, e: np.where(k > 0, k * np.log(np.maximum(k, 1e-9) / np.maximum(e, 1e-9)), 0)
     gain = x(a, n1 * share) + x(b, n0 * share) + x(n1 - a, n1 * (1 - share)) + x(n0 - b, n0 * (1 - share))
-    return have[np.argsort(-gain, kind="stable")[:max_terms]].tolist()
+    order = np.argsort(-gain, kind="stable")[:max_terms]
+    return have[order[gain[order] >= MIN_GAIN]].tolist()
 
 
 def fit_machine(rows: list[tuple[np.ndarray, int]], max_terms: int = MAX_TERMS, factors: int = FACTORS, epochs: int = 400, l2: float = 2e-5) -> Machine | None:
