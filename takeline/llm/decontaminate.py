@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from takeline.llm.common import WordHashes, rolling, scramble, steps, texts_of
+from takeline.llm.common import WordHashes, cut, rolling, scramble, steps, texts_of
 
 PERCENT = 20
 REPEATS = 24
@@ -197,6 +197,8 @@ def leaks(documents: DataFrame, benchmark: DataFrame, percent: int = PERCENT, bl
     for b in range(blocks):
         rows = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).select("item_id", "text")
         one = _leaks_of(documents, [tuple(r) for r in rows.collect()], dict(benchmark.dtypes)["item_id"], percent)
+        if blocks > 1:  # a block's items leave the driver before the next block's are read
+            one = cut(one)
         out = one if out is None else out.unionByName(one)
     return out
 
