@@ -85,7 +85,8 @@ class _Lines(HTMLParser):
     def boilerplate(self, tag: str, attrs: dict[str, str | None], in_region: bool) -> bool:
         if tag in ("html", "body"):
             return False
-        words = set(re.findall(r"[a-z]+", f"{attrs.get('class') or ''} {attrs.get('id') or ''}".lower()))
+        named = re.sub(r"\b(?:no|has|with|without)[-_]\w+", " ", f"{attrs.get('class') or ''} {attrs.get('id') or ''}".lower())  # of layouts, not parts
+        words = set(re.findall(r"[a-z]+", named))
         hidden = "hidden" in attrs or attrs.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", attrs.get("style") or "") is not None
         return tag in BOILERPLATE_TAGS or (tag == "header" and not in_region) or (attrs.get("role") or "").lower() in BOILERPLATE_ROLES or hidden or (tag not in REGIONS or bool(words & {"comment", "comments", "ad", "advert", "related"})) and bool(words & BOILERPLATE_WORDS)
 

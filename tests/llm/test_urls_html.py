@@ -51,6 +51,12 @@ def test_html():
     assert len(H.main_text("<div class=menu>a b</div>" + body).split("\n")) == 5
 
 
+def test_html_layouts():
+    assert H.main_text("<body class='has-sidebar no-ads'><main><header><h1>T</h1></header><p>a b</p><div id=comments><p>x</p></div></main></body>") == "T\na b"
+    assert H.main_text("<section class=related><article><p>Teaser</p></article></section><article><p>Long enough main text of the page.</p></article>") == "Long enough main text of the page."
+    assert H.main_text("<div role=navigation>x</div><div style='display: none'>y</div><p hidden>z</p><article><table><tr><td>1<td>2</table>tail") == "1\n2\ntail"
+
+
 def test_html_frame(spark):
     df = spark.createDataFrame([(1, "u", PAGE, "clash"), (2, None, None, None), (1, "u", PAGE, "clash")], "page_id long, url string, html string, text string")
     got = H.extract(df).orderBy("page_id").collect()
