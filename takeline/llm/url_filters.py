@@ -63,6 +63,8 @@ def token_counts(parts: DataFrame, rules: tuple[Rule, ...]) -> dict[str, int]:
     """Number of urls that hold each token of the rules (at most as many rows as the rules have tokens)."""
     wanted = sorted({t for r in rules for t in r.tokens})
     table = parts.sparkSession.createDataFrame([(t,) for t in wanted], "token string")
+    if len(wanted) <= SEND_RULES:  # common tokens are counted before they are shuffled
+        table = F.broadcast(table)
     seen = parts.select(F.explode(_tokens_column()).alias("token")).join(table, "token", "left_semi").groupBy("token").count()
     return {t: 0 for t in wanted} | {r["token"]: r["count"] for r in seen.collect()}
 
