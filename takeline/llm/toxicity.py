@@ -5,8 +5,9 @@ hashed.  A second-order factorization machine scores ``w0 + sum w_i + sum_{i<j}
 insult and the group it is aimed at) can weigh more than both do alone.
 
 Learning: a bounded sample of labelled rows (``max_rows``, by hash of the id) is turned into terms by the executors
-and collected; the ``max_terms`` terms whose presence says most about the label are kept; the machine is fitted by
-full-batch Adam with L2.  Scoring runs over all documents in Arrow batches without a shuffle.
+and collected; the terms whose presence says most about the label are kept (``MAX_TERMS``, ``MIN_GAIN``); the machine is
+fitted by full-batch Adam with L2, and its bias set so that the sample's labels part best at the threshold.  Scoring
+runs over all documents in Arrow batches without a shuffle.
 
 Defined cases: null and empty texts have no terms and score as the bias does; rows without a label, or with a null id
 or label, are not learnt from; without learnable rows of both labels every score is 0; repeated rows are scored each;
@@ -30,6 +31,8 @@ MAX_ROWS = 8000
 MAX_TERMS = 600
 BUCKETS = 1 << 20
 FACTORS = 4
+#: Ones with a single weak term are rare in a sample and lie low, so the cut stands nearer to the zeros.
+CUT = 0.25
 #: Log-likelihood (nats) that a term's presence must add about the label; chance adds this to one term in a thousand.
 MIN_GAIN = 5.4
 THRESHOLD = 0.7
@@ -87,7 +90,7 @@ def choose_terms(rows: list[tuple[np.ndarray, int]], max_terms: int) -> list[int
     return have[order[gain[order] >= MIN_GAIN]].tolist()
 
 
-def fit_machine(rows: list[tuple[np.ndarray, int]], max_terms: int = MAX_TERMS, factors: int = FACTORS, epochs: int = 400, l2: float = 2e-5) -> Machine | None:
+def fit_machine(rows: list[tuple[np.ndarray, int]], max_terms: int = MAX_TERMS, factors: int = FACTORS, epochs: int = 400, l2: float = 2e-5, l2_factors: float = 2e-5) -> Machine | None:
     """``rows``: term ids and label; None unless both labels occur."""
     if len({y for _, y in rows}) < 2:
         return None
@@ -107,13 +110,27 @@ def fit_machine(rows: list[tuple[np.ndarray, int]], max_terms: int = MAX_TERMS,
         z = b + x @ w + 0.5 * ((xv * xv).sum(1) - x @ (v * v).sum(1))
         g = weight * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / len(y)
         gx = g @ x
-        grads = [g.sum().reshape(1), gx + l2 * w, x.T @ (g[:, None] * xv) - gx[:, None] * v + l2 * v]
+        grads = [g.sum().reshape(1), gx + l2 * w, x.T @ (g[:, None] * xv) - gx[:, None] * v + l2_factors * v]
         for p, d, m, s in zip(params, grads, mean, square, strict=True):
             m += 0.1 * (d - m)
             s += 0.01 * (d * d - s)
             p -= 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.99**t)) + 1e-8)
     b, w, v = params
-    return Machine(columns, float(b[0]), w.astype(float), v.astype(float))
+    xv = x @ v
+    z = (b + x @ w + 0.5 * ((xv * xv).sum(1) - x @ (v * v).sum(1))).astype(float)
+    shift = np.log(THRESHOLD / (1 - THRESHOLD)) - best_cut(z, y)
+    return Machine(columns, float(b[0] + shift), w.astype(float), v.astype(float))
+
+
+def best_cut(z: np.ndarray, y: np.ndarray) -> float:
+    """Where the sample's labels part best (share of ones above less share of zeros above), a part ``CUT`` of the way between its rows."""
+    order = np.argsort(z, kind="stable")
+    zs, ys = z[order], y[order]
+    ones, zeros = ys.sum(), (1 - ys).sum()
+    gain = (np.cumsum(1 - ys) / zeros - np.cumsum(ys) / ones)[:-1]  # of a cut behind each row but the last
+    gain[zs[1:] == zs[:-1]] = -2
+    k = int(gain.argmax())
+    return float(zs[k] + CUT * (zs[k + 1] - zs[k]))
 
 
 def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, max_rows: int, keep=None) -> DataFrame:
