@@ -10,7 +10,6 @@ Ids travel as little-endian unsigned 16-bit (vocabularies up to 65,536) or 32-bi
 
 from __future__ import annotations
 
-import functools
 from array import array
 
 import numpy as np
@@ -34,12 +33,6 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-@functools.cache
-def token_ids(path: str | None = None, end_id: int | None = 1) -> TokenIds:
-    """One encoder per worker process: what one task has seen, the next need not encode again."""
-    return TokenIds(path, end_id)
-
-
 class TokenIds:
     """``packed(text)``: ids of a text's words followed by the end id, as bytes of ``dtype``."""
 
