@@ -18,6 +18,7 @@ gives an empty dataset.
 
 from __future__ import annotations
 
+import functools
 import zlib
 from collections.abc import Iterator
 
@@ -115,12 +116,18 @@ class Coder:
         return out.reshape(-1)[:count]
 
 
+@functools.cache
+def _kept_encoder(tokenizer: str | None, end_id: int) -> TokenIds:
+    """One encoder per worker process: words that one task has encoded, the next ones need not (some 200 MB at most)."""
+    return TokenIds(tokenizer, end_id)
+
+
 def tokenised(documents: DataFrame, tokenizer: str | None = None, end_id: int = 1) -> DataFrame:
     """``doc_id, ids`` (bytes of the tokenizer's width), tokenised once into a written table in the shared folder."""
     kind = dict(documents.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = TokenIds(tokenizer, end_id)
+        encode = _kept_encoder(tokenizer, end_id)
         for batch in steps(batches):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(list(map(encode.packed, texts_of(batch))), pa.binary())], names=["doc_id", "ids"])
 
