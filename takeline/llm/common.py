@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Upper-case ASCII to lower case; other characters stay.
 ASCII_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-#: Entries a per-task memo may hold before it starts afresh; it bounds memory and never changes results.
+#: Entries a per-task memo may hold; it bounds memory and never changes results.
 MEMO_ENTRIES = 600_000
 #: Bytes of text that one vectorised step works on (a longer document is a step of its own).
 STEP_BYTES = 4 << 20
@@ -49,18 +49,26 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 class Memo(dict):
-    """``memo[key]`` computes a missing value once; ``trim`` keeps the number of entries bounded."""
+    """``memo[key]`` computes a missing value (never None) once; ``trim`` keeps the number of entries bounded.
+
+    Half of the bound is for keys of late.  When it is full they become the older half, from which a key comes back
+    when it is asked for again, so that frequent keys stay and rare ones go.
+    """
 
     def __init__(self, compute: Callable) -> None:
         super().__init__()
-        self.compute = compute
+        self.compute, self.older = compute, {}
 
     def __missing__(self, key):
-        value = self[key] = self.compute(key)
+        value = self.older.get(key)
+        if value is None:
+            value = self.compute(key)
+        self[key] = value
         return value
 
     def trim(self) -> None:
-        if len(self) > MEMO_ENTRIES:
+        if len(self) > MEMO_ENTRIES // 2:
+            self.older = dict(self)
             self.clear()
 
 

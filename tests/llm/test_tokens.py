@@ -5,6 +5,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from takeline.llm import common
 from takeline.llm import packing as P
 from takeline.llm import token_files as F
 from takeline.llm.tokens import TokenIds, default_tokenizer
@@ -148,3 +149,14 @@ def test_files(spark, ids):
         assert np.frombuffer(r["ids"], "<u4").tolist() == want
         at += len(want)
     assert F.read_token_files(spark, F.write_token_files(frame(spark, rows).limit(0))).count() == 0
+
+
+def test_memo_keeps_its_bound_and_its_values(monkeypatch):
+    monkeypatch.setattr(common, "MEMO_ENTRIES", 10)
+    asked = []
+    memo = common.Memo(lambda k: asked.append(k) or k * k)
+    for n in range(200):
+        memo.trim()
+        assert memo[n] == n * n and memo[3] == 9
+        assert len(memo) + len(memo.older) <= 14  # the bound, and what came in between two trims
+    assert asked.count(3) == 1  # a frequent key stays
