@@ -19,11 +19,11 @@ from takeline.llm.common import Memo
 #: Longer words are encoded each time instead of being remembered.
 LONG_WORD = 256
 #: Marks that may follow a word's letters and are a token run of their own.
-MARKS = b".,;:!?"
+MARKS = b".,;:!?#$%&*<>|+=/()[]{}"
 #: Byte to character as byte-level vocabularies write them: printable bytes stand for themselves, others follow from 256.
 _SHOWN = {*range(33, 127), *range(161, 173), *range(174, 256)}
 BYTE_CHARS = {b: chr(b) if b in _SHOWN else chr(256 + k) for b in range(256) for k in [sum(c not in _SHOWN for c in range(b))]}
-PROBES = ("Hello,", "THE", "the!?", "été.", "Über;", "ñandú", "Straße:", "ÀÉÎÕÜ", "y", "ªº", "antidisestablishmentarianism...")
+PROBES = ("Hello,", "THE", "the!?", "of.%%%", "Of,###", "in&&&", "at|<>", "so*$;", "(it)", "to)]}", "été.", "Über;", "ñandú", "Straße:", "ÀÉÎÕÜ", "y", "ªº", "antidisestablishmentarianism...")
 
 
 def default_tokenizer() -> str:
