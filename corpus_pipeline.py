@@ -1,13 +1,14 @@
 """A training corpus from ``documents``: toxicity, near-dedup, substring dedup, decontamination, packing.
 
 Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame that is written as Parquet and read again as the
-next stage's ``docs``.  All but the last return the columns of ``docs``.  ``doc_id`` names a document: null ids are
-kept by every stage but where a decision is about the text itself.
+next stage's ``docs``.  All but the last return the columns of ``docs``.  A stage that drops documents names each by its
+id and text, so a decision about one row with a null or repeated id leaves the others with that id alone; rows that
+repeat both are one document, and stay or go together.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from takeline.llm import decontaminate, near_dedup, packing, substring_dedup, toxicity
@@ -24,10 +25,21 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.score(docs.select(*own), machine).where("predicted = 0").select(*own)
 
 
+def document_key() -> Column:
+    """Names a row by its id and text; ordered by id, with null ids last."""
+    return F.struct(F.col("doc_id").isNull().alias("unknown"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("text_hash"))
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose key is not a ``doc_id`` of ``gone``."""
+    gone = gone.select(F.col("doc_id").alias("gone_key"))
+    return docs.join(gone, document_key() == F.col("gone_key"), "left_anti")
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays."""
-    gone = near_dedup.near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("gone_id"))
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone_id"]), "left_anti")
+    judged = near_dedup.near_duplicates(docs.select(document_key().alias("doc_id"), "text"))
+    return without(docs, judged.where("not kept"))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,8 +53,8 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
-    found = decontaminate.leaks(docs, read_table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["gone_id"]), "left_anti")
+    found = decontaminate.leaks(docs.select(document_key().alias("doc_id"), "text"), read_table(spark, sf_dir, "benchmark"))
+    return without(docs, found.select("doc_id").distinct())
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

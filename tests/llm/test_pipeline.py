@@ -61,6 +61,22 @@ def test_stages(spark, tmp_path):
     assert {i: len(count.ids((x or "").encode())) for i, x, _ in before} == {i: sum(r["length"] for r in after if r["doc_id"] == i) for i in ids(after)}
 
 
+def test_null_and_repeated_ids(spark, tmp_path):
+    """A row that goes takes no other row of its id with it."""
+    rng = random.Random(4)
+    a, b, c, d, item = (words(rng, n, 5000) for n in (60, 60, 60, 60, 30))
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    row = lambda i, x: (i, " ".join(x), None, None, None)
+    docs = spark.createDataFrame([row(7, a), row(None, a), row(None, b), row(8, a), row(8, c), row(None, d), row(None, d), (None, None, None, None, None), (9, "", None, None, None)], schema)
+    kept = sorted((r["doc_id"] or 0, r["text"] or "") for r in C.drop_near_copies(spark, docs, "").collect())
+    assert kept == sorted([(7, " ".join(a)), (0, " ".join(b)), (8, " ".join(c)), (0, " ".join(d)), (0, " ".join(d)), (0, ""), (9, "")])
+
+    spark.createDataFrame([(0, " ".join(item))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = spark.createDataFrame([row(None, a + item), row(None, b), row(5, b + item + c), row(5, d), (None, None, None, None, None)], schema)
+    kept = sorted((r["doc_id"] or 0, r["text"] or "") for r in C.drop_leaks(spark, docs, str(tmp_path)).collect())
+    assert kept == sorted([(0, " ".join(b)), (5, " ".join(d)), (0, "")])
+
+
 def test_run(spark, tmp_path):
     sf_dir, _ = folder(spark, tmp_path)
     assert queries.QUERIES["pipeline"](spark, sf_dir).count() > 0
