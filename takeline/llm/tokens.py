@@ -33,6 +33,13 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+class WordMemo(Memo):
+    """A memo that computes words beyond ``LONG_WORD`` bytes each time."""
+
+    def __missing__(self, key: bytes) -> bytes:
+        return super().__missing__(key) if len(key) <= LONG_WORD else self.compute(key)
+
+
 class TokenIds:
     """``packed(text)``: ids of a text's words followed by the end id, as bytes of ``dtype``."""
 
@@ -47,7 +54,7 @@ class TokenIds:
         self.runs = Memo(self._run)
         self.by_word = all(self._plain(f"{a} \n{b}\t") == self._plain(a) + self._plain(b) for a, b in zip(PROBES, PROBES[1:], strict=False))
         self.by_run = self.by_word and all(self._letters(p.encode()) == self._plain(p) for p in PROBES)
-        self.memo = Memo(self._letters if self.by_run else lambda w: self._plain(w.decode()))
+        self.memo = WordMemo(self._letters if self.by_run else lambda w: self._plain(w.decode()))
 
     def _plain(self, text: str) -> bytes:
         return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
@@ -58,6 +65,8 @@ class TokenIds:
         return array(self.code, [t.id for t in self.model.tokenize(text)]).tobytes()
 
     def _letters(self, word: bytes) -> bytes:
+        if len(word) > LONG_WORD:
+            return self._plain(word.decode())
         letters = word.rstrip(MARKS)
         marks = word[len(letters) :]
         if letters.isalpha():  # of bytes: ASCII letters
@@ -77,12 +86,9 @@ class TokenIds:
         """Null text has the end id alone."""
         if not self.by_word:
             return self._plain((text or b"").decode()) + self.end
-        memo, words = self.memo, (text or b"").split()
-        if len(text or b"") > LONG_WORD and max(map(len, words), default=0) > LONG_WORD:
-            return b"".join([memo[w] if len(w) <= LONG_WORD else self._plain(w.decode()) for w in words]) + self.end
-        memo.trim()
+        self.memo.trim()
         self.runs.trim()
-        return b"".join(map(memo.__getitem__, words)) + self.end
+        return b"".join(map(self.memo.__getitem__, (text or b"").split())) + self.end
 
     def ids(self, text: bytes | None) -> np.ndarray:
         return np.frombuffer(self.packed(text), self.dtype)
