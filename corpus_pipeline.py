@@ -2,8 +2,9 @@
 
 Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame that is written as Parquet and read again as the
 next stage's ``docs``.  All but the last return the columns of ``docs``.  A stage that drops documents names each by its
-id and text, so a decision about one row with a null or repeated id leaves the others with that id alone; rows that
-repeat both are one document, and stay or go together.
+id and text, so a decision about one row with a null or repeated id leaves the others with that id alone.  Rows that
+repeat both are one document: near-dedup leaves one of them, so that substring dedup doesn't take them for repeats of
+each other and cut all.
 """
 
 from __future__ import annotations
@@ -42,6 +43,17 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return without(docs, judged.where("not kept"))
 
 
+def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """``drop_near_copies``, and one row stays of those that repeat id and text: the least by its columns."""
+    judged = near_dedup.near_duplicates(docs.select(document_key().alias("doc_id"), "text"))
+    gone = judged.where("not kept").select(F.col("doc_id").alias("key"))
+    row = F.struct(*docs.columns)
+    ordered = [c for c, kind in docs.dtypes if "map<" not in kind]
+    least = F.min(row) if len(ordered) == len(docs.columns) else F.min_by(row, F.struct(*ordered))
+    # Grouped and joined by the same key, so the texts are shuffled once, and repeated rows not at all.
+    return docs.groupBy(document_key().alias("key")).agg(least.alias("row")).join(gone, "key", "left_anti").select("row.*")
+
+
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words of repeated passages are cut out; a document keeps its text to the byte if nothing is."""
     others = tuple(c for c in docs.columns if c not in ("n_words", "n_removed", "kept_text"))
@@ -64,7 +76,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("toxicity", drop_toxic),
-    ("near_dedup", drop_near_copies),
+    ("near_dedup", keep_one_of_near_copies),
     ("substring_dedup", cut_repeats),
     ("decontamination", drop_leaks),
     ("packing", pack),

@@ -77,6 +77,21 @@ def test_null_and_repeated_ids(spark, tmp_path):
     assert kept == sorted([(0, " ".join(b)), (5, " ".join(d)), (0, "")])
 
 
+def test_repeated_rows(spark):
+    """Rows that repeat id and text leave one whole document, which substring dedup doesn't cut."""
+    rng = random.Random(6)
+    a, b, c = (" ".join(words(rng, n, 5000)) for n in (60, 60, 20))
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(None, a, "en", "s", len(a))] * 3 + [(7, b, x, "s", len(b)) for x in ("de", "en")] + [(8, b, "en", "s", len(b)), (None, c, "en", "s", len(c)), (None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, schema)
+    stages = dict(C.STAGES)
+    out = docs
+    for name in ("near_dedup", "substring_dedup"):
+        out = stages[name](spark, out, "")
+        assert out.columns == docs.columns
+        assert sorted(map(tuple, out.collect()), key=str) == sorted([(None, a, "en", "s", len(a)), (7, b, "de", "s", len(b)), (None, c, "en", "s", len(c)), (None, None, None, None, None)], key=str)
+
+
 def test_run(spark, tmp_path):
     sf_dir, _ = folder(spark, tmp_path)
     assert queries.QUERIES["pipeline"](spark, sf_dir).count() > 0
