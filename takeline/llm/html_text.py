@@ -1,8 +1,8 @@
 """HTML extraction: parser events, text-to-tag ratios, Gaussian smoothing, threshold clustering of content regions.
 
 The standard library's parser streams a page's events.  Each text block is a line with its text and the number of tags
-since the line before.  Blocks inside boilerplate elements (menus, forms, scripts, ..., by tag, role and class) are set
-aside.  The other lines' text-to-tag ratios are smoothed with a Gaussian; lines above the threshold are content, and
+since the line before.  Text inside boilerplate elements (menus, forms, scripts, ..., by tag, role and class), blocks or
+not, is set aside.  The other lines' text-to-tag ratios are smoothed with a Gaussian; lines above the threshold are content, and
 they vote for the regions: the ``article`` and ``main`` elements that hold content lines, or, on a page without any,
 the clusters of neighbouring content lines.  All blocks of a region are returned, short ones too.
 
@@ -32,27 +32,29 @@ BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary searc
 BOILERPLATE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising adsense banner promo promotion sponsor sponsored cookie cookies consent gdpr notice notices alert alerts newsletter subscribe popup modal overlay menu menus nav navbar navigation breadcrumb breadcrumbs sidebar sidenav aside footer comment comments replies reply respond discussion disqus share sharing social related recommended widget widgets toolbar pagination pager login signup search skip masthead topbar".split()
 )
+UNSEEN = frozenset("script style noscript template".split())
 REGIONS = frozenset({"article", "main"})
 SIGMA = 1.5
 
 
 class _Lines(HTMLParser):
-    """Blocks of a page: text, tags before it, boilerplate or not, and the regions it stands in."""
+    """Blocks of a page: text without boilerplate, tags before it, and the regions it stands in."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.stack: list[tuple[str, bool, tuple[int, ...]]] = []
         self.pieces: list[str] = []
+        self.aside = False  # boilerplate text since the last line
         self.tags = self.seen = 0
-        self.lines: list[tuple[str, int, bool, tuple[int, ...]]] = []
+        self.lines: list[tuple[str, int, tuple[int, ...]]] = []
 
     def flush(self) -> None:
         text = " ".join("".join(self.pieces).split())
-        self.pieces = []
         if text:
-            _, bad, regions = self.stack[-1] if self.stack else ("", False, ())
-            self.lines.append((text, max(self.tags, 1), bad, regions))
+            self.lines.append((text, max(self.tags, 1), self.stack[-1][2] if self.stack else ()))
+        if text or self.aside:
             self.tags = 0
+        self.pieces, self.aside = [], False
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.tags += 1
@@ -113,7 +115,13 @@ class _Lines(HTMLParser):
                 return  # an inline end tag doesn't close blocks
 
     def handle_data(self, data: str) -> None:
-        self.pieces.append(data)
+        tag, bad, _ = self.stack[-1] if self.stack else ("", False, ())
+        if not bad:
+            self.pieces.append(data)
+        elif data.strip():
+            self.aside = True
+            if tag not in UNSEEN:  # a button or an advert parts the words around it
+                self.pieces.append(" ")
 
 
 def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
@@ -130,15 +138,15 @@ def main_text(html: str | None) -> str:
     parser.feed(html or "")
     parser.close()
     parser.flush()
-    lines = [x for x in parser.lines if not x[2]]
+    lines = parser.lines
     if not lines:
         return ""
-    ratio = smoothed(np.array([len(text) / tags for text, tags, _, _ in lines]))
+    ratio = smoothed(np.array([len(text) / tags for text, tags, _ in lines]))
     content = ratio >= min(ratio.std() or ratio.mean(), ratio.mean())
-    voted = {r for (_, _, _, regions), c in zip(lines, content, strict=True) if c for r in regions[:1]}
-    inside = {r for _, _, _, regions in lines for r in regions[:1]}
+    voted = {r for (_, _, regions), c in zip(lines, content, strict=True) if c for r in regions[:1]}
+    inside = {r for _, _, regions in lines for r in regions[:1]}
     if inside:
-        keep = [bool(regions) and regions[0] in (voted or inside) for _, _, _, regions in lines]
+        keep = [bool(regions) and regions[0] in (voted or inside) for _, _, regions in lines]
     else:
         keep = content.tolist()
     return "\n".join(text for (text, *_), k in zip(lines, keep, strict=True) if k)

@@ -57,6 +57,15 @@ def test_html_layouts():
     assert H.main_text("<div role=navigation>x</div><div style='display: none'>y</div><p hidden>z</p><article><table><tr><td>1<td>2</table>tail") == "1\n2\ntail"
 
 
+def test_html_boilerplate_in_blocks():
+    """Boilerplate elements that are no blocks leave nothing in the block around them."""
+    assert H.main_text("<article><p>a</p><script>var x=1;</script><style>p{}</style><noscript>on</noscript><p>b</p></article>") == "a\nb"
+    assert H.main_text("<article><p>text<button>Share</button>more <span class=ad>Buy <b>now</b></span>of<script>y()</script> it<textarea>t</textarea></p></article>") == "text more of it"
+    for tag in ("iframe", "svg", "template", "canvas", "audio", "video", "object", "select"):
+        assert H.main_text(f"<article><p>one</p><{tag}>gone</{tag}>two<p>three <{tag}>gone</{tag}></p></article>") == "one\ntwo\nthree"
+    assert H.main_text("<div>a <span hidden>x</span><a class=share>s</a>b<i style='display:none'>y</i></div><p>c <span class=ad>open<p>d") == "a b\nc\nd"
+
+
 def test_html_frame(spark):
     df = spark.createDataFrame([(1, "u", PAGE, "clash"), (2, None, None, None), (1, "u", PAGE, "clash")], "page_id long, url string, html string, text string")
     got = H.extract(df).orderBy("page_id").collect()
