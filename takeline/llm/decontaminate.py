@@ -1,16 +1,20 @@
-"""Benchmark decontamination: CGK embedding, bit-sampling LSH over item-sized windows, exact edit verification.
+"""Benchmark decontamination: CGK embedding, bit-sampling LSH over segment-sized windows, exact edit verification.
 
 Texts and items are words: lower case, without marks at their ends.  A document leaks an item of ``n`` words if some
 run of its words is within ``n * percent // 100`` word edits of it.
 
-*Windows.* A window at each word, as long as the item.  By the q-gram lemma a window within ``k`` edits shares at least
-``n - q + 1 - k q`` of its q-grams with the item, so windows with fewer q-grams of any item are passed over without
-loss, from the positions of each item's q-grams.
+*Segments.* CGK distance grows faster than the edits, so an item of more than ``SEGMENT_WORDS`` words is cut into
+segments of nearly equal length.  If a run is within ``percent`` of the item in edits, some segment is within ``percent``
+of its own words of its part of the run (else the edits would sum to more), so no item is missed by the cut.
+*Windows.* A window at each word, as long as the segment.  By the q-gram lemma a window within ``k`` edits shares at
+least ``n - q + 1 - k q`` of its q-grams with the segment, so windows with fewer q-grams of any segment are passed over
+without loss, from the positions of each segment's q-grams.
 *Embedding.* The CGK random walk writes ``3 n`` symbols: at step ``j`` it copies the current word and goes on to the next
 if a random bit of ``(j, word)`` says so.  Few edits become few differences.
 *LSH.* In each of ``REPEATS`` rounds, with a walk of its own, a few sampled steps of the embedding form a key; a window
-and an item with one key in common are a candidate.
-*Verification.* The least edit distance of the item to any run of words at the window, by dynamic programming.
+and a segment with one key in common are a candidate.
+*Verification.* The least edit distance of the whole item to any run of words about the window's place in it, by dynamic
+programming.
 
 The items are a stated query set: they are read in blocks of a bounded size, and each block is held against all
 documents in one pass without a shuffle.
@@ -35,6 +39,8 @@ from takeline.llm.common import WordHashes, cut, rolling, scramble, steps, texts
 PERCENT = 20
 REPEATS = 24
 SAMPLED = 3
+#: Words of a segment, at most: so few that ``REPEATS`` rounds find one with all its edits.
+SEGMENT_WORDS = 25
 #: Characters of items that one pass holds, at most (about; a longer item is a block of its own).
 BLOCK_CHARS = 2_000_000
 
@@ -91,8 +97,20 @@ def run_distance(item: np.ndarray, text: np.ndarray, most: int) -> tuple[int, in
     return best
 
 
+def stretches(places: list[int], slack: int, length: int, end: int) -> list[tuple[int, int]]:
+    """Words in which runs of at most ``length`` words may lie that start within ``slack`` of a place; none overlap."""
+    out: list[tuple[int, int]] = []
+    for a in sorted(places):
+        low, high = max(0, a - slack), min(end, a + slack + length)
+        if out and low < out[-1][1]:
+            low = out.pop()[0]
+        if low < high:
+            out.append((low, high))
+    return out
+
+
 class Items:
-    """A block of items, their q-grams, and their LSH keys by length."""
+    """A block of items, their segments, and the segments' q-grams and LSH keys by length."""
 
     def __init__(self, items: list[tuple[object, str]], percent: int, hashes: WordHashes) -> None:
         self.ids, self.words = [], []
@@ -102,30 +120,38 @@ class Items:
                 self.ids.append(item_id)
                 self.words.append(words)
         self.edits = [len(w) * percent // 100 for w in self.words]
-        #: Of each item: words, q, and q-grams that a window within its edits must share.
-        self.n = np.array([len(w) for w in self.words], np.int64)
+        #: Of each segment: its item, and its place and words in it.
+        self.item, self.place, segments = [], [], []
+        for i, w in enumerate(self.words):
+            for part in np.array_split(np.arange(len(w)), -(-len(w) // SEGMENT_WORDS)):
+                self.item.append(i)
+                self.place.append(int(part[0]))
+                segments.append(w[part])
+        #: Of each segment: words, q, and q-grams that a window within its edits must share.
+        self.n = np.array([len(w) for w in segments], np.int64)
         self.q, self.need = self.n * 0, self.n * 0
         grams: dict[int, list[tuple[np.ndarray, int]]] = defaultdict(list)
-        for i, (w, k) in enumerate(zip(self.words, self.edits, strict=True)):
+        for i, w in enumerate(segments):
+            k = len(w) * percent // 100
             q = max((q for q in (1, 2, 3) if len(w) - q + 1 - k * q >= 1), default=1)
             self.q[i], self.need[i] = q, max(len(w) - q + 1 - k * q, 1)
             grams[q].append((np.unique(rolling(w, q, 31)), i))
-        #: By q: sorted (gram, item) pairs.  An item that repeats a gram needs fewer distinct ones; positions count, so that is safe.
+        #: By q: sorted (gram, segment) pairs.  A segment that repeats a gram needs fewer distinct ones; positions count, so that is safe.
         self.grams = {}
         for q, parts in grams.items():
             gram, item = np.concatenate([g for g, _ in parts]), np.concatenate([np.full(len(g), i) for g, i in parts])
             order = np.argsort(gram, kind="stable")
             self.grams[q] = (gram[order], item[order])
-        #: Of each round: sorted keys and their items.
+        #: Of each round: sorted keys and their segments.
         groups: dict[int, list[int]] = defaultdict(list)
-        for i, n in enumerate(self.n.tolist()):  # items of similar length walk together
+        for i, n in enumerate(self.n.tolist()):  # segments of similar length walk together
             groups[n.bit_length()].append(i)
         of = np.array([i for g in groups.values() for i in g], np.int64)
         padded = []
         for g in groups.values():
             rows = np.zeros((len(g), int(self.n[g].max())), np.uint64)
             for row, i in zip(rows, g, strict=True):
-                row[: len(self.words[i])] = self.words[i]
+                row[: len(segments[i])] = segments[i]
             padded.append((rows, self.n[g]))
         self.tables: list[tuple[np.ndarray, np.ndarray]] = []
         for r in range(REPEATS):
@@ -134,7 +160,7 @@ class Items:
             self.tables.append((keys[order], of[order]))
 
     def windows(self, h: np.ndarray, sizes: np.ndarray) -> list[tuple[int, np.ndarray]]:
-        """Lengths and window starts (in documents end to end) that share enough q-grams with an item of that length."""
+        """Lengths and window starts (in documents end to end) that share enough q-grams with a segment of that length."""
         last = np.cumsum(sizes)
         starts: dict[int, list[np.ndarray]] = defaultdict(list)
         for q, (grams, items) in self.grams.items():
@@ -149,7 +175,7 @@ class Items:
             at, doc = np.repeat(at, count), np.repeat(doc, count)
             order = np.lexsort((at, item))
             item, at, doc = item[order], at[order], doc[order]
-            # `need` hits of one item, neighbours in this order, within one window of one document.
+            # `need` hits of one segment, neighbours in this order, within one window of one document.
             j = np.arange(len(at))
             end = j + self.need[item] - 1
             fits = end < len(at)
@@ -166,7 +192,7 @@ class Items:
         return [(length, np.unique(np.concatenate(x))) for length, x in sorted(starts.items())]
 
     def candidates(self, h: np.ndarray, sizes: np.ndarray) -> set[tuple[int, int]]:
-        """``(item number, window start)`` pairs with a key in common."""
+        """``(segment number, window start)`` pairs with a key in common."""
         out: set[tuple[int, int]] = set()
         found = self.windows(h, sizes)
         by_size: dict[int, list[tuple[int, np.ndarray]]] = defaultdict(list)
@@ -217,18 +243,18 @@ def _leaks_of(documents: DataFrame, items: list[tuple[object, str]], item_kind:
             starts: dict[tuple[int, int], list[int]] = defaultdict(list)
             firsts = np.cumsum(sizes) - sizes
             if sizes.sum() and block.words:
-                for i, a in block.candidates(np.concatenate(parts), sizes):
+                for g, a in block.candidates(np.concatenate(parts), sizes):
                     d = int(np.searchsorted(firsts, a, "right")) - 1
-                    starts[d, i].append(a - int(firsts[d]))
+                    starts[d, block.item[g]].append(a - int(firsts[d]) - block.place[g])
             for (d, i), places in sorted(starts.items()):
                 h, item, k = parts[d], block.words[i], block.edits[i]
-                best, done = (k + 1, 0, 0), -1
-                for a in sorted(places):
-                    if a < done:  # inside the stretch that was just searched
+                best, slack = (k + 1, 0, 0), k + min(len(item), SEGMENT_WORDS)  # a window may lie off its segment by its length
+                for low, high in stretches(places, slack, len(item) + k, len(h)):
+                    text = h[low:high]
+                    if np.isin(item, text).sum() < len(item) - k:  # each word that isn't there is an edit
                         continue
-                    low, high = max(0, a - k), min(len(h), a + 2 * len(item) + 2 * k)
-                    edits, s, e = run_distance(item, h[low:high], k)
-                    best, done = min(best, (edits, low + s, low + e)), a + len(item)
+                    edits, s, e = run_distance(item, text, k)
+                    best = min(best, (edits, low + s, low + e))
                 if best[0] <= k:
                     for c, v in zip(cols, (doc_ids[d], block.ids[i], *best), strict=True):
                         c.append(v)

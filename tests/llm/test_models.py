@@ -55,6 +55,27 @@ def test_leaks(spark):
     assert D.leaks(frame(spark, rows).limit(0), bench).count() == 0 and D.leaks(frame(spark, rows), bench.limit(0)).count() == 0
 
 
+def test_leaks_by_length(spark):
+    """Items of every length are found at exactly 20 % of their words in substitutions, insertions and deletions."""
+    rng = random.Random(12)
+    items, rows = [], []
+    for n in (5, 14, 25, 26, 37, 59, 120, 300):
+        for _ in range(12):
+            w = words(rng, n, 10**6)
+            changed = []
+            places = set(rng.sample(range(n), n // 5))
+            for j, x in enumerate(w):
+                kind = rng.choice("sid") if j in places else ""
+                changed += {"": [x], "s": [f"new{j}"], "i": [f"new{j}", x], "d": []}[kind]
+            items.append((len(items), " ".join(w)))
+            rows.append((len(rows), " ".join(words(rng, 40, 10**6) + changed + words(rng, 40, 10**6)), "s"))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {r["doc_id"]: (r["item_id"], r["n_edits"]) for r in D.leaks(frame(spark, rows), bench).collect()}
+    assert set(got) == set(range(len(rows)))
+    for i, text in items:
+        assert got[i][0] == i and got[i][1] == edit_distance_to_run(text.split(), rows[i][1].split()) <= len(text.split()) // 5
+
+
 def test_interaction():
     """An insult with a group mention is toxic; either alone is not."""
     rng = np.random.default_rng(0)
