@@ -3,8 +3,13 @@
 The standard library's parser streams a page's events.  Each text block is a line with its text and the number of tags
 since the line before.  Text inside boilerplate elements (menus, forms, scripts, ..., by tag, role and class), blocks or
 not, is set aside.  The other lines' text-to-tag ratios are smoothed with a Gaussian; lines above the threshold are content, and
-they vote for the regions: the ``article`` and ``main`` elements that hold content lines, or, on a page without any,
-the clusters of neighbouring content lines.  All blocks of a region are returned, short ones too.
+they vote for the regions: the ``article`` and ``main`` elements that hold content lines, or, on a page without any
+such element, clusters.  All blocks of a region are returned, short ones too.
+
+*Clusters.* Content lines with at most ``GAP`` others between them, or in the same element, are a cluster, with all lines
+between them.  Its region is the innermost element around its content lines.  If that holds the whole page, it tells
+nothing: then the region goes on, before and after, with neighbours of content lines in their own elements, with lines at
+most ``GAP`` away, and with the rest of an element so begun.
 
 Defined cases: null or empty html and pages without text give an empty text; broken nesting is repaired as browsers
 do for paragraphs and list items; repeated rows are kept; other columns pass through; an empty table gives no rows.
@@ -35,23 +40,27 @@ BOILERPLATE_WORDS = frozenset(
 UNSEEN = frozenset("script style noscript template".split())
 REGIONS = frozenset({"article", "main"})
 SIGMA = 1.5
+#: Lines below the threshold that may lie between two content lines of one cluster, whatever elements they are in.
+GAP = 5
 
 
 class _Lines(HTMLParser):
-    """Blocks of a page: text without boilerplate, tags before it, and the regions it stands in."""
+    """Blocks of a page: text without boilerplate, tags before it, the regions it stands in, and its block element."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, bool, tuple[int, ...]]] = []
+        self.stack: list[tuple[str, bool, tuple[int, ...], int]] = []
+        self.parents = [0]  # of each block element; the first is the page
         self.pieces: list[str] = []
         self.aside = False  # boilerplate text since the last line
         self.tags = self.seen = 0
-        self.lines: list[tuple[str, int, tuple[int, ...]]] = []
+        self.lines: list[tuple[str, int, tuple[int, ...], int]] = []
 
     def flush(self) -> None:
         text = " ".join("".join(self.pieces).split())
         if text:
-            self.lines.append((text, max(self.tags, 1), self.stack[-1][2] if self.stack else ()))
+            _, _, regions, element = self.stack[-1] if self.stack else ("", False, (), 0)
+            self.lines.append((text, max(self.tags, 1), regions, element))
         if text or self.aside:
             self.tags = 0
         self.pieces, self.aside = [], False
@@ -75,11 +84,14 @@ class _Lines(HTMLParser):
                 self.close_open({"head"}, set())
         if tag in VOID:
             return
-        _, bad, regions = self.stack[-1] if self.stack else ("", False, ())
+        _, bad, regions, element = self.stack[-1] if self.stack else ("", False, (), 0)
+        if tag in BLOCKS and tag not in ("html", "body"):
+            self.parents.append(element)
+            element = len(self.parents) - 1
         if tag in REGIONS and not bad:
             self.seen += 1
             regions = (*regions, self.seen)
-        self.stack.append((tag, bad or self.boilerplate(tag, dict(attrs), bool(regions)), regions))
+        self.stack.append((tag, bad or self.boilerplate(tag, dict(attrs), bool(regions)), regions, element))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)  # a slash closes void elements only
@@ -115,7 +127,7 @@ class _Lines(HTMLParser):
                 return  # an inline end tag doesn't close blocks
 
     def handle_data(self, data: str) -> None:
-        tag, bad, _ = self.stack[-1] if self.stack else ("", False, ())
+        tag, bad, *_ = self.stack[-1] if self.stack else ("", False)
         if not bad:
             self.pieces.append(data)
         elif data.strip():
@@ -132,6 +144,44 @@ def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     return np.convolve(ratios, kernel)[radius : radius + len(ratios)] / weight
 
 
+def clustered(elements: list[int], content: list[int], parents: list[int]) -> np.ndarray:
+    """Which lines are in a cluster's region; ``elements``: of each line, ``parents``: of each element, a lesser number."""
+
+    def around(a: int, b: int) -> int:
+        while a != b:
+            a, b = (parents[a], b) if a > b else (a, parents[b])
+        return a
+
+    keep = np.zeros(len(elements), bool)
+    outer = [parents[e] for e in elements]
+    page = outer[0]
+    for e in outer[1:]:
+        page = around(page, e)
+    clusters: list[list[int]] = []
+    for i in content:
+        if clusters and (i - clusters[-1][-1] <= GAP + 1 or outer[i] == outer[clusters[-1][-1]]):
+            clusters[-1].append(i)
+        else:
+            clusters.append([i])
+    for cluster in clusters:
+        region, own = outer[cluster[0]], {outer[i] for i in cluster}
+        for e in own:
+            region = around(region, e)
+        keep[cluster[0] : cluster[-1] + 1] = True
+        for end, step in ((cluster[0], -1), (cluster[-1], 1)):
+            j = end + step
+            while 0 <= j < len(elements):
+                if region != page:
+                    inside = around(region, elements[j]) == region
+                else:
+                    inside = outer[j] in own or abs(j - end) <= GAP or (outer[j] == outer[j - step] != page)
+                if not inside:
+                    break
+                keep[j] = True
+                j += step
+    return keep
+
+
 def main_text(html: str | None) -> str:
     """Main text of a page, a line per block."""
     parser = _Lines()
@@ -141,14 +191,18 @@ def main_text(html: str | None) -> str:
     lines = parser.lines
     if not lines:
         return ""
-    ratio = smoothed(np.array([len(text) / tags for text, tags, _ in lines]))
-    content = ratio >= min(ratio.std() or ratio.mean(), ratio.mean())
-    voted = {r for (_, _, regions), c in zip(lines, content, strict=True) if c for r in regions[:1]}
-    inside = {r for _, _, regions in lines for r in regions[:1]}
+    own = np.array([len(text) / tags for text, tags, *_ in lines])
+    ratio = smoothed(own)
+    threshold = min(ratio.std() or ratio.mean(), ratio.mean())
+    content = ratio >= threshold
+    voted = {r for (_, _, regions, _), c in zip(lines, content, strict=True) if c for r in regions[:1]}
+    inside = {r for _, _, regions, _ in lines for r in regions[:1]}
     if inside:
-        keep = [bool(regions) and regions[0] in (voted or inside) for _, _, regions in lines]
+        keep = [bool(regions) and regions[0] in (voted or inside) for _, _, regions, _ in lines]
     else:
-        keep = content.tolist()
+        # A line that only its neighbours lift stays, but founds no cluster.
+        founders = content & (own >= threshold)
+        keep = (clustered([element for *_, element in lines], np.flatnonzero(founders).tolist(), parser.parents) | content).tolist()
     return "\n".join(text for (text, *_), k in zip(lines, keep, strict=True) if k)
 
 

@@ -66,6 +66,25 @@ def test_html_boilerplate_in_blocks():
     assert H.main_text("<div>a <span hidden>x</span><a class=share>s</a>b<i style='display:none'>y</i></div><p>c <span class=ad>open<p>d") == "a b\nc\nd"
 
 
+LONG = "A long paragraph of the main text that has many words and few tags, number {}, and goes on for quite a while."
+
+
+def test_html_clusters():
+    """Without article and main, a region's short blocks are returned too, between and after the long ones."""
+    long = [LONG.format(i) for i in range(4)]
+    items = [f"Item {i}" for i in range(20)]
+    listed = "<ul>" + "".join(f"<li><a href=x><b>{x}</b></a></li>" for x in items) + "</ul>"
+    links = "<div>" + "".join(f"<div><a href=x><b>Link {i}</b></a></div>" for i in range(30)) + "</div>"
+    text = f"<div><h2>Head</h2><p>{long[0]}</p><p>{long[1]}</p>{listed}<p>{long[2]}</p><p>{long[3]}</p><div><p>Yes.</p></div><p>No.</p></div>"
+    want = ["Head", *long[:2], *items, *long[2:], "Yes.", "No."]
+    got = H.main_text(f"<body>{links}{text}{links}</body>").split("\n")
+    assert [x for x in got if not x.startswith("Link")] == want and len(got) < len(want) + 10
+    assert H.main_text(f"<body><div>{text}</div></body>").split("\n") == want
+    flat = "<body>" + "".join(f"<div>{x}</div>" for x in want) + "</body>"
+    assert H.main_text(flat).split("\n") == want
+    assert H.main_text("<body><div><div>" + "</div></div><div><div>".join([*long, "Short end."]) + "</div></div></body>").split("\n") == [*long, "Short end."]
+
+
 def test_html_frame(spark):
     df = spark.createDataFrame([(1, "u", PAGE, "clash"), (2, None, None, None), (1, "u", PAGE, "clash")], "page_id long, url string, html string, text string")
     got = H.extract(df).orderBy("page_id").collect()
