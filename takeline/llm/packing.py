@@ -33,7 +33,7 @@ from takeline.llm.common import cut, scratch_table, steps, texts_of
 from takeline.llm.tokens import TokenIds
 
 WINDOW = 2048
-#: More sources than this share queues by hash; the plan of the queues is held by the driver and each task.
+#: More sources than this without a weight of their own share queues by hash; the plan of the queues is held by the driver and each task.
 MAX_QUEUES = 4096
 #: Rows of the table (part, queue) that are sent to every task; with more, the join shuffles.
 SEND_STARTS = 100_000
@@ -125,14 +125,18 @@ class Cutter:
             w += 1
 
 
-def tokenised(documents: DataFrame, tokenizer: str | None, end_id: int, max_queues: int) -> str:
-    """Write ``doc_id, queue, part, begin, n, ids`` (``begin``: tokens of the queue before the row in its part)."""
+def tokenised(documents: DataFrame, tokenizer: str | None, end_id: int, max_queues: int, weighted: tuple[str, ...] = ()) -> str:
+    """Write ``doc_id, queue, part, begin, n, ids`` (``begin``: tokens of the queue before the row in its part).
+
+    ``weighted``: queues that are never shared.
+    """
     spark = documents.sparkSession
     source = F.coalesce(F.concat(F.lit("s:"), F.col("source").cast("string")), F.lit("null"))
     docs = documents.select("doc_id", "text", source.alias("queue"))
-    n_sources = docs.agg(F.approx_count_distinct("queue")).first()[0]
+    shared = ~F.col("queue").isin(*weighted)
+    n_sources = docs.where(shared).agg(F.count_distinct("queue")).first()[0]
     if n_sources > max_queues:
-        docs = docs.withColumn("queue", F.concat(F.lit("h:"), F.pmod(F.xxhash64("queue"), F.lit(max_queues)).cast("string")))
+        docs = docs.withColumn("queue", F.when(shared, F.concat(F.lit("h:"), F.pmod(F.xxhash64("queue"), F.lit(max_queues)).cast("string"))).otherwise(F.col("queue")))
     kind = dict(documents.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,11 +174,11 @@ def pack(documents: DataFrame, window: int = WINDOW, tokenizer: str | None = Non
     target proportions by source.
     """
     spark = documents.sparkSession
-    path = tokenised(documents, tokenizer, end_id, max_queues)
+    targets = None if weights is None else {f"s:{k}": w for k, w in weights.items()}
+    path = tokenised(documents, tokenizer, end_id, max_queues, tuple(targets or ()))
     ids = spark.read.parquet(path)
     sums = cut(spark.read.parquet(path).groupBy("queue", "part").agg(F.sum("n").alias("tokens")))
-    totals = {r["queue"]: r["tokens"] for r in sums.groupBy("queue").agg(F.sum("tokens").alias("tokens")).collect()}  # at most max_queues rows
-    targets = None if weights is None else {f"s:{k}": w for k, w in weights.items()}
+    totals = {r["queue"]: r["tokens"] for r in sums.groupBy("queue").agg(F.sum("tokens").alias("tokens")).collect()}  # at most max_queues rows and those with a weight
     width = 2 if TokenIds(tokenizer, end_id).dtype.itemsize == 2 else 4
     kind = dict(documents.dtypes)["doc_id"]
 

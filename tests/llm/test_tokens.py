@@ -160,3 +160,16 @@ def test_memo_keeps_its_bound_and_its_values(monkeypatch):
         assert memo[n] == n * n and memo[3] == 9
         assert len(memo) + len(memo.older) <= 14  # the bound, and what came in between two trims
     assert asked.count(3) == 1  # a frequent key stays
+
+
+def test_weights_beyond_max_queues(spark):
+    """Sources with a weight keep it when the others share queues."""
+    rows = [(i, "some words of a text " * 20, f"s{i % 2}") for i in range(40)] + [(100 + i, "rare text", f"other{i}") for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = P.pack(docs, window=64, weights={"s0": 3, "s1": 1}, max_queues=2).collect()
+    queues = {r["source_queue"] for r in out}
+    assert {"s:s0", "s:s1"} < queues and len(queues) <= 4
+    assert {r["doc_id"] for r in out} == {r[0] for r in rows}
+    for w in range(10):
+        sent = {q: sum(r["length"] for r in out if r["sequence_id"] == w and r["source_queue"] == q) for q in queues}
+        assert abs(sent["s:s0"] - 48) <= 1 and abs(sent["s:s1"] - 16) <= 1
