@@ -1,44 +1,48 @@
 """Mixture-controlled packing by deficit round-robin over source queues.
 
-Each source is a queue of its documents' ids.  Rounds give every queue a quantum in proportion to its target weight; a
-queue sends what its deficit (all quanta so far less what it has sent) holds in whole tokens, and the rest of the
-deficit carries on.  Documents may be cut, so after ``r`` rounds a queue has sent ``floor(r * weight)`` tokens, or all
-it has; a window ends where these sum to its end, wherever in a round that is.  The deficits at any window's start
-therefore follow from its number: a task finds them by bisection over ``r``, so they carry across windows and
-partitions without passing through one task, and every window has every queue within a token of its target.  A queue
-that runs dry sends no more, and the others fill up.  Default weights are the sources' token counts: all end together.
+Each source is a queue of its documents.  In every round a queue's deficit grows by its quantum, ``window`` tokens times
+its target share, and it sends whole documents while the next one fits its deficit; what is left of the deficit carries
+on to later rounds, and so across windows.  The stream of sent documents is cut at window ends only, so a document of
+``n`` tokens has about ``1 + n / window`` pieces however many sources there are.  After any round each queue has sent its
+share to within one document.  Documents longer than a window take part as packets of one window each, so that none
+holds up the others for long.  A queue that runs dry sends no more, and the others fill up.  Default targets are the
+sources' shares of all tokens: then all end together and every window has the mixture.
+
+A document whose tokens end at place ``e`` of its queue is sent in the first round whose quanta sum to ``e``:
+``ceil(e / quantum)``.  That needs no state of the rounds before, so deficits carry across partitions without passing
+through one task, and the stream is the documents in the order of (round, queue, place).
 
 Windows after the last full one hold a power of two of tokens, so nothing is padded.
 
-Steps: tokenise once into a written table in the shared folder, with positions counted per input part and queue; a
-small table (part, queue) of token sums gives each part's start in its queue; each row then cuts itself.  Ids are
-shuffled only if that table has more than ``SEND_STARTS`` rows; else it is sent to every task.
+Steps: tokenise once into a written table in the shared folder, with places counted per input part and queue; sums by
+(queue, part) give each part's place in its queue, sums by blocks of rounds each block's place in the stream, and a
+running sum within a block each document's.  These steps shuffle numbers; the ids follow once, by row.
 
 Defined cases: null text is empty (one end id); a null source is a queue of its own; repeated rows are packed each;
-null ``doc_id`` passes through; other columns are ignored; an empty table gives an empty result.
+null ``doc_id`` passes through; other columns are ignored; an empty table gives an empty result.  Sources without a
+weight, where weights are given, wait until the others have run dry and then go by their token counts.
 """
 
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from takeline.llm.common import cut, scratch_table, steps, texts_of
 from takeline.llm.tokens import TokenIds
 
 WINDOW = 2048
-#: More sources than this without a weight of their own share queues by hash; the plan of the queues is held by the driver and each task.
-MAX_QUEUES = 4096
-#: Rows of the table (part, queue) that are sent to every task; with more, the join shuffles.
-SEND_STARTS = 100_000
 #: Ranges over which a queue's start positions are summed.
 PARTS_PER_RANGE = 256
+#: Rounds in a block, blocks in a group, and so on: each level's running sum is over at most this many rows.
+RADIX = 1024
 
 
 def tail_starts(total: int, window: int = WINDOW) -> list[int]:
@@ -51,156 +55,141 @@ def tail_starts(total: int, window: int = WINDOW) -> list[int]:
 
 
 class Cutter:
-    """Cuts the token interval of a document in its queue into pieces ``(start, length, sequence_id, offset)``.
-
-    ``tokens``: by queue; ``weights``: targets by queue (default: the tokens).  Queues without a weight all but wait
-    until the others have run dry.
-    """
-
-    #: Windows whose deficits are found together.
-    BLOCK = 512
-
-    def __init__(self, tokens: dict[str, int], window: int, weights: dict[str, float] | None = None) -> None:
-        self.queues = sorted(q for q, n in tokens.items() if n)
-        self.number = {q: k for k, q in enumerate(self.queues)}
-        self.tokens = np.array([tokens[q] for q in self.queues], np.int64)
-        given = np.array([max(float((weights or {}).get(q, 0)), 0.0) for q in self.queues]) if weights is not None else self.tokens.astype(float)
-        share = np.where(given > 0, given / max(given.sum(), 1e-300), 1e-9 * self.tokens / max(self.tokens.sum(), 1))
-        self.weights = share / (share.max() if len(share) else 1)
-        self.window = window
-        self.total = int(self.tokens.sum())
-        self.full = self.total // window
-        self.tail = tail_starts(self.total, window)
-        self.windows = self.full + len(self.tail) - 1
-        self.known: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-    def start(self, w: int) -> int:
-        return w * self.window if w <= self.full else self.tail[w - self.full]
-
-    def sent(self, rounds: np.ndarray) -> np.ndarray:
-        return np.minimum(np.floor(rounds[:, None] * self.weights).astype(np.int64), self.tokens)
-
-    def block(self, b: int) -> tuple[np.ndarray, np.ndarray]:
-        """For windows ``b * BLOCK ...``: what each queue has sent before each, and where its tokens begin in it."""
-        if b not in self.known:
-            if len(self.known) > 64:
-                self.known.clear()
-            x = np.array([self.start(min(w, self.windows)) for w in range(b * self.BLOCK, (b + 1) * self.BLOCK + 1)], np.int64)
-            low, high = np.zeros(len(x)), np.full(len(x), float(((self.tokens + 1) / self.weights).max()))
-            for _ in range(80):
-                mid = (low + high) / 2
-                fits = self.sent(mid).sum(1) <= x
-                low, high = np.where(fits, mid, low), np.where(fits, high, mid)
-            sent = self.sent(low)
-            # Queues whose next token is due at the same moment: as many as there is room for, in order.
-            due = np.minimum(self.sent(high) - sent, 1)
-            room = (x - sent.sum(1))[:, None]
-            sent += due * (np.cumsum(due, 1) <= room)
-            sent[x == self.total] = self.tokens
-            sends = np.diff(sent, axis=0)
-            self.known[b] = (sent, np.cumsum(sends, 1) - sends)
-        return self.known[b]
-
-    def before(self, w: int, q: int) -> tuple[int, int, int]:
-        """Tokens queue ``q`` sends before window ``w`` and before the next one, and where they begin in the window."""
-        sent, offset = self.block(w // self.BLOCK)
-        k = w % self.BLOCK
-        return int(sent[k, q]), int(sent[k + 1, q]), int(offset[k, q])
-
-    def pieces(self, queue: str, begin: int, n: int) -> Iterator[tuple[int, int, int, int]]:
-        if n <= 0:
-            return
-        q, at, end = self.number[queue], begin, begin + n
-        x = int(self.sent(np.array([at / self.weights[q]])).sum())
-        w = x // self.window if x < self.full * self.window else self.full + sum(s <= x for s in self.tail[:-1]) - 1
-        w = min(max(w, 0), self.windows - 1)
-        while w and self.before(w, q)[0] > at:
-            w -= 1
-        while at < end:
-            first, last, offset = self.before(w, q)
-            if last > at:
-                take = min(end, last) - at
-                yield at - begin, take, w, offset + at - first
-                at += take
-            w += 1
-
-
-def tokenised(documents: DataFrame, tokenizer: str | None, end_id: int, max_queues: int, weighted: tuple[str, ...] = ()) -> str:
-    """Write ``doc_id, queue, part, begin, n, ids`` (``begin``: tokens of the queue before the row in its part).
-
-    ``weighted``: queues that are never shared.
-    """
+    """Cuts intervals of the stream at window ends."""
+
+    def __init__(self, total: int, window: int) -> None:
+        self.window, self.full = window, total // window
+        self.tail = tail_starts(total, window)
+
+    def pieces(self, packets: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
+        """``(start, length, sequence_id, offset)`` of packets ``(start, length, place in the stream)`` of a document."""
+        out: list[tuple[int, int, int, int]] = []
+        for start, length, place in packets:
+            while length:
+                if place < self.full * self.window:
+                    number, offset = divmod(place, self.window)
+                    room = self.window - offset
+                else:
+                    k = bisect_right(self.tail, place) - 1
+                    number, offset, room = self.full + k, place - self.tail[k], self.tail[k + 1] - place
+                take = min(length, room)
+                last = out[-1] if out else None
+                if last and last[2] == number and last[0] + last[1] == start and last[3] + last[1] == offset:
+                    out[-1] = (last[0], last[1] + take, number, last[3])
+                else:
+                    out.append((start, take, number, offset))
+                start, length, place = start + take, length - take, place + take
+        return out
+
+
+def tokenised(documents: DataFrame, tokenizer: str | None, end_id: int) -> str:
+    """Write ``row, doc_id, queue, part, begin, n, ids`` (``begin``: tokens of the queue before the row in its part)."""
     spark = documents.sparkSession
-    source = F.coalesce(F.concat(F.lit("s:"), F.col("source").cast("string")), F.lit("null"))
-    docs = documents.select("doc_id", "text", source.alias("queue"))
-    shared = ~F.col("queue").isin(*weighted)
-    n_sources = docs.where(shared).agg(F.count_distinct("queue")).first()[0]
-    if n_sources > max_queues:
-        docs = docs.withColumn("queue", F.when(shared, F.concat(F.lit("h:"), F.pmod(F.xxhash64("queue"), F.lit(max_queues)).cast("string"))).otherwise(F.col("queue")))
+    queue = F.coalesce(F.concat(F.lit("s:"), F.col("source").cast("string")), F.lit("null"))
     kind = dict(documents.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, at, part = TokenIds(tokenizer, end_id), {}, TaskContext.get().partitionId()
+        encode, at, part, row = TokenIds(tokenizer, end_id), {}, TaskContext.get().partitionId(), 0
         for batch in steps(batches):
             packed = [encode.packed(t) for t in texts_of(batch)]
             begins, counts = [], []
-            for queue, ids in zip(batch.column("queue").to_pylist(), packed, strict=True):
+            for q, ids in zip(batch.column("queue").to_pylist(), packed, strict=True):
                 n = len(ids) // encode.dtype.itemsize
-                begins.append(at.get(queue, 0))
+                begins.append(at.get(q, 0))
                 counts.append(n)
-                at[queue] = begins[-1] + n
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("queue"), pa.array([part] * len(packed), pa.int32()), pa.array(begins, pa.int64()), pa.array(counts, pa.int64()), pa.array(packed, pa.binary())], names=["doc_id", "queue", "part", "begin", "n", "ids"])
+                at[q] = begins[-1] + n
+            rows = np.arange(row, row + len(packed)) + (part << 33)
+            row += len(packed)
+            yield pa.RecordBatch.from_arrays([pa.array(rows), batch.column("doc_id"), batch.column("queue"), pa.array([part] * len(packed), pa.int32()), pa.array(begins, pa.int64()), pa.array(counts, pa.int64()), pa.array(packed, pa.binary())], names=["row", "doc_id", "queue", "part", "begin", "n", "ids"])
 
     path = scratch_table(spark, "packing-ids")
-    docs.mapInArrow(run, f"doc_id {kind}, queue string, part int, begin long, n long, ids binary").write.option("compression", "zstd").parquet(path)
+    schema = f"row long, doc_id {kind}, queue string, part int, begin long, n long, ids binary"
+    documents.select("doc_id", "text", queue.alias("queue")).mapInArrow(run, schema).write.option("compression", "zstd").parquet(path)
     return path
 
 
+def _before(value: str, order: Column, *by: str) -> Column:
+    """Sum of ``value`` over the rows before."""
+    return F.coalesce(F.sum(value).over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+
 def part_starts(sums: DataFrame) -> DataFrame:
     """``queue, part, base``: tokens of the queue in the parts before; summed in two levels, so no queue is one task."""
     ranged = sums.withColumn("range", F.floor(F.col("part") / PARTS_PER_RANGE))
     ranges = ranged.groupBy("queue", "range").agg(F.sum("tokens").alias("in_range"))
-    before = Window.partitionBy("queue").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = ranges.select("queue", "range", F.coalesce(F.sum("in_range").over(before), F.lit(0)).alias("range_base"))
-    within = Window.partitionBy("queue", "range").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    ranged = ranged.withColumn("part_base", F.coalesce(F.sum("tokens").over(within), F.lit(0)))
+    ranges = ranges.select("queue", "range", _before("in_range", F.col("range"), "queue").alias("range_base"))
+    ranged = ranged.withColumn("part_base", _before("tokens", F.col("part"), "queue", "range"))
     return ranged.join(ranges, ["queue", "range"]).select("queue", "part", (F.col("range_base") + F.col("part_base")).alias("base"))
 
 
-def pack(documents: DataFrame, window: int = WINDOW, tokenizer: str | None = None, end_id: int = 1, weights: dict[str, float] | None = None, max_queues: int = MAX_QUEUES) -> DataFrame:
+def quanta(queues: DataFrame, window: int, weights: dict[str, float] | None) -> DataFrame:
+    """``queue, first, quantum``: the rounds before a queue's first one, and its tokens a round; ``queues``: ``queue, tokens``."""
+    given = {f"s:{k}": float(w) for k, w in (weights or {}).items() if w > 0}
+    if not given:
+        total = queues.agg(F.sum("tokens")).first()[0] or 1
+        return queues.select("queue", F.lit(0).cast("long").alias("first"), (F.col("tokens") * F.lit(window) / F.lit(total)).alias("quantum"))
+    named = queues.sparkSession.createDataFrame(list(given.items()), "queue string, weight double")  # what the caller names
+    weighed = queues.join(F.broadcast(named), "queue", "left")
+    sums = weighed.agg(F.sum("weight").alias("weight"), F.sum(F.when(F.col("weight").isNull(), F.col("tokens"))).alias("rest")).first()
+    quantum = F.coalesce(F.col("weight") / F.lit(sums["weight"] or 1.0), F.col("tokens") / F.lit(float(sums["rest"] or 1))) * F.lit(float(window))
+    sized = weighed.select("queue", "tokens", F.col("weight").isNull().alias("rest"), quantum.alias("quantum"))
+    ends = sized.agg(F.max(F.when(~F.col("rest"), F.ceil(F.col("tokens") / F.col("quantum"))))).first()[0] or 0
+    return sized.select("queue", F.when(F.col("rest"), F.lit(ends)).otherwise(F.lit(0)).cast("long").alias("first"), "quantum")
+
+
+def places(packets: DataFrame) -> DataFrame:
+    """Add ``place``, the tokens of all packets before in the order of (round, queue, end)."""
+    blocked = packets.withColumn("block", F.floor(F.col("round") / RADIX))
+    sums = blocked.groupBy("block").agg(F.sum("length").alias("tokens")).withColumn("group", F.floor(F.col("block") / RADIX))
+    groups = sums.groupBy("group").agg(F.sum("tokens").alias("in_group")).withColumn("top", F.floor(F.col("group") / RADIX))
+    tops = groups.groupBy("top").agg(F.sum("in_group").alias("in_top"))  # a row for each 2 ** 30 rounds
+    tops = tops.select("top", _before("in_top", F.col("top")).alias("top_base"))
+    groups = groups.withColumn("group_base", _before("in_group", F.col("group"), "top")).join(F.broadcast(tops), "top")
+    bases = sums.withColumn("block_base", _before("tokens", F.col("block"), "group")).join(groups.select("group", (F.col("top_base") + F.col("group_base")).alias("base")), "group")
+    within = _before("length", F.struct("round", "queue", "end"), "block")
+    return blocked.withColumn("within", within).join(bases.select("block", (F.col("base") + F.col("block_base")).alias("base")), "block").withColumn("place", F.col("base") + F.col("within"))
+
+
+def pack(documents: DataFrame, window: int = WINDOW, tokenizer: str | None = None, end_id: int = 1, weights: dict[str, float] | None = None) -> DataFrame:
     """Pieces: ``doc_id, source_queue, start, length, ids, ids_crc32, doc_tokens, sequence_id, offset``.
 
     ``ids`` are the piece's ids as little-endian integers of the tokenizer's width (see ``tokens``); ``weights`` are
     target proportions by source.
     """
     spark = documents.sparkSession
-    targets = None if weights is None else {f"s:{k}": w for k, w in weights.items()}
-    path = tokenised(documents, tokenizer, end_id, max_queues, tuple(targets or ()))
-    ids = spark.read.parquet(path)
+    path = tokenised(documents, tokenizer, end_id)
     sums = cut(spark.read.parquet(path).groupBy("queue", "part").agg(F.sum("n").alias("tokens")))
-    totals = {r["queue"]: r["tokens"] for r in sums.groupBy("queue").agg(F.sum("tokens").alias("tokens")).collect()}  # at most max_queues rows and those with a weight
+    total = sums.agg(F.sum("tokens")).first()[0] or 0
+    queues = quanta(sums.groupBy("queue").agg(F.sum("tokens").alias("tokens")), window, weights)
+    starts = part_starts(sums).join(queues, "queue")
+    rows = spark.read.parquet(path).select("row", "queue", "part", "begin", "n").where("n > 0").join(starts, ["queue", "part"])
+    packets = rows.withColumn("start", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(window).cast("long"))))
+    packets = packets.withColumn("length", F.least(F.col("n") - F.col("start"), F.lit(window))).withColumn("end", F.col("base") + F.col("begin") + F.col("start") + F.col("length"))
+    packets = packets.select("row", "queue", "start", "length", "end", (F.col("first") + F.ceil(F.col("end") / F.col("quantum"))).alias("round"))
+    placed = places(packets).groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "length", "place"))).alias("packets"))
     width = 2 if TokenIds(tokenizer, end_id).dtype.itemsize == 2 else 4
     kind = dict(documents.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cutter = Cutter(totals, window, targets)
+        cutter = Cutter(total, window)
         names = ["doc_id", "source_queue", "start", "length", "ids", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
         types = [None, pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
         for whole in batches:
             types[0] = whole.schema.field("doc_id").type
-            for s in range(0, whole.num_rows, 500):
-                batch = whole.slice(s, 500)
+            for s in range(0, whole.num_rows, 2000):
+                batch = whole.slice(s, 2000)
                 cols: list[list] = [[] for _ in names]
-                for doc_id, queue, begin, base, n, packed in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "queue", "begin", "base", "n", "ids")), strict=True):
-                    wide = np.frombuffer(packed, f"<u{width}").astype("<u4").tobytes()
-                    for start, length, number, offset in cutter.pieces(queue, base + begin, n):
-                        row = (doc_id, queue, start, length, packed[width * start : width * (start + length)], zlib.crc32(wide[4 * start : 4 * (start + length)]), n, number, offset)
+                lists = batch.column("packets")
+                ends, flat = lists.offsets.to_numpy(), lists.values
+                first, length, place = (flat.field(c).to_pylist() for c in ("start", "length", "place"))
+                for k, (doc_id, queue, n, packed) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("doc_id", "queue", "n", "ids")), strict=True)):
+                    wide = packed if width == 4 else np.frombuffer(packed, "<u2").astype("<u4").tobytes()
+                    a, b = ends[k], ends[k + 1]
+                    for start, size, number, offset in cutter.pieces(list(zip(first[a:b], length[a:b], place[a:b], strict=True))):
+                        row = (doc_id, queue, start, size, packed[width * start : width * (start + size)], zlib.crc32(wide[4 * start : 4 * (start + size)]), n, number, offset)
                         for c, v in zip(cols, row, strict=True):
                             c.append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
 
-    starts = part_starts(sums)
-    if sums.count() <= SEND_STARTS:
-        starts = F.broadcast(starts)
-    placed = ids.join(starts, ["queue", "part"]).select("doc_id", "queue", "begin", "base", "n", "ids")
-    return placed.mapInArrow(run, f"doc_id {kind}, source_queue string, start long, length long, ids binary, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    whole = spark.read.parquet(path).select("row", "doc_id", "queue", "n", "ids").join(placed, "row").select("doc_id", "queue", "n", "ids", "packets")
+    return whole.mapInArrow(run, f"doc_id {kind}, source_queue string, start long, length long, ids binary, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

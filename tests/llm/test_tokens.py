@@ -1,4 +1,5 @@
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -29,83 +30,125 @@ def crc(x):
     return zlib.crc32(np.array(x, "<u4").tobytes())
 
 
-def test_packing(spark, ids):
-    rows = documents()
-    got = P.pack(frame(spark, rows), max_queues=4096).collect()
+def robin(docs, quanta, window, first=None):
+    """The stream of a deficit round-robin as ``(queue, document, start, length)``, one round after another."""
+    waiting = {q: [(d, a, min(window, n - a)) for d, n in rows for a in range(0, n, window)] for q, rows in docs.items()}
+    deficit, out, r = dict.fromkeys(docs, Fraction(0)), [], 0
+    while any(waiting.values()):
+        r += 1
+        for q in sorted(docs):
+            if r <= (first or {}).get(q, 0):
+                continue
+            deficit[q] += quanta[q]
+            while waiting[q] and waiting[q][0][2] <= deficit[q]:
+                d, a, n = waiting[q].pop(0)
+                deficit[q] -= n
+                out.append((q, d, a, n))
+    return out
+
+
+def check_pieces(got, want_ids):
+    """Every id once, gapless sequences of the right sizes; returns pieces by sequence."""
     by_doc, by_seq = {}, {}
     for r in got:
         by_doc.setdefault(r["doc_id"], []).append(r)
         by_seq.setdefault(r["sequence_id"], []).append(r)
-    for i, text, _ in rows:
-        want, at = ids(text), 0
+    for i, want in want_ids.items():
+        at = 0
         for r in sorted(by_doc[i], key=lambda r: r["start"]):
             assert r["start"] == at and r["doc_tokens"] == len(want) and r["ids_crc32"] == crc(want[at : at + r["length"]])
             assert np.frombuffer(r["ids"], "<u2").tolist() == want[at : at + r["length"]]
             at += r["length"]
         assert at == len(want)
-    total = {s: sum(r["length"] for r in rs if r["source_queue"] == s) for s in {r["source_queue"] for r in got} for rs in [got]}
-    share = {s: n / sum(total.values()) for s, n in total.items()}
-    for number, rs in by_seq.items():
-        at = 0
-        for r in sorted(rs, key=lambda r: r["offset"]):
-            assert r["offset"] == at
-            at += r["length"]
-        assert at <= 2048 and at & (at - 1) == 0
-        if at == 2048:
-            for s in share:
-                assert abs(sum(r["length"] for r in rs if r["source_queue"] == s) - 2048 * share[s]) <= 2, number
+    for rs in by_seq.values():
+        rs.sort(key=lambda r: r["offset"])
+        assert [r["offset"] for r in rs] == np.r_[0, np.cumsum([r["length"] for r in rs])][:-1].tolist()
     assert sorted(by_seq) == list(range(len(by_seq)))
+    return by_seq
+
+
+def stream(by_seq):
+    """``(queue, document, tokens)`` in order, pieces of one document that follow each other joined."""
+    out = []
+    for k in sorted(by_seq):
+        for r in by_seq[k]:
+            if out and out[-1][:2] == [r["source_queue"], r["doc_id"]] and out[-1][3] == r["start"]:
+                out[-1][2] += r["length"]
+                out[-1][3] += r["length"]
+            else:
+                out.append([r["source_queue"], r["doc_id"], r["length"], r["start"] + r["length"]])
+    return [tuple(x[:3]) for x in out]
+
+
+def test_packing(spark, ids):
+    rows = documents()
+    got = P.pack(frame(spark, rows)).collect()
+    by_seq = check_pieces(got, {i: ids(text) for i, text, _ in rows})
+    total = sum(len(ids(text)) for _, text, _ in rows)
+    sizes = [sum(r["length"] for r in by_seq[k]) for k in sorted(by_seq)]
+    assert sizes == [2048] * (total // 2048) + np.diff(P.tail_starts(total)).tolist()
     assert P.pack(frame(spark, rows).limit(0)).count() == 0
-    hashed = P.pack(frame(spark, rows), max_queues=2)
-    assert hashed.selectExpr("sum(length)").first()[0] == sum(r["length"] for r in got)
-
-
-def due(tokens, weights):
-    """The order in which a round-robin with tiny quanta sends: by the round in which a token's deficit is whole."""
-    from fractions import Fraction
-
-    return [q for _, q in sorted((Fraction(i + 1, weights[q]), q) for q, n in tokens.items() for i in range(n))]
-
-
-@pytest.mark.parametrize("weights", [None, {"a": 5, "b": 1, "c": 3}])
-def test_round_robin(weights):
-    tokens = {"a": 700, "b": 1000, "c": 333, "d": 1}
-    weights = dict(weights or tokens, d=1)
-    cutter = P.Cutter(tokens, 100, weights)
-    rows = [dict.fromkeys(tokens, 0) for _ in range(20)]
-    for q, n in tokens.items():
-        for _, length, w, _ in cutter.pieces(q, 0, n):
-            if w < 20:
-                rows[w][q] += length
-    order = due(tokens, weights)
-    want = [{q: order[100 * w : 100 * w + 100].count(q) for q in tokens} for w in range(20)]
-    assert [sum(r.values()) for r in rows] == [100] * 20
-    for a, b in zip(rows, want, strict=True):
-        assert all(abs(a[q] - b[q]) <= 1 for q in tokens)
-
-
-@settings(max_examples=60, deadline=None)
-@given(st.dictionaries(st.sampled_from("abcde"), st.integers(0, 300), min_size=1), st.one_of(st.none(), st.dictionaries(st.sampled_from("abcde"), st.integers(0, 9))), st.integers(1, 64), st.integers(1, 50))
-def test_every_token_once(tokens, weights, window, step):
-    cutter = P.Cutter(tokens, window, weights)
-    places = []
-    for q, n in tokens.items():
-        for begin in range(0, n, step):
-            size, at = min(step, n - begin), 0
-            for start, length, w, offset in cutter.pieces(q, begin, size):
-                assert start == at
-                at += length
-                places += [(w, offset + k) for k in range(length)]
-            assert at == size
-    total = sum(tokens.values())
-    sizes = [window] * (total // window) + np.diff(P.tail_starts(total, window)).tolist()
-    assert sorted(places) == [(w, k) for w, n in enumerate(sizes) for k in range(n)]
-
-
-def test_target_weights():
-    cutter = P.Cutter({"a": 1000, "b": 1000}, 100, {"a": 3, "b": 1})
-    first = sum(length for _, length, w, _ in cutter.pieces("a", 0, 1000) if w < 10)
-    assert abs(first - 750) <= 2
+
+
+@pytest.mark.parametrize("weights", [None, {"s0": 5, "s1": 3}, {"s2": 1, "absent": 7}])
+def test_round_robin(spark, ids, weights):
+    """The stream is what a round-robin sends that keeps deficits round by round; one input part, so queues are in row order."""
+    rows = [r for r in documents() if r[0] != 1008] + [(2000, " ".join(f"x{k}" for k in range(900)), "s1")]
+    docs, window = {}, 256
+    for i, text, source in rows:
+        docs.setdefault("null" if source is None else f"s:{source}", []).append((i, len(ids(text))))
+    tokens = {q: sum(n for _, n in d) for q, d in docs.items()}
+    given = {f"s:{q}": w for q, w in (weights or {}).items() if f"s:{q}" in docs}
+    rest = [q for q in docs if q not in given]
+    quanta = {q: Fraction(window * given[q], sum(given.values())) for q in given} | {q: Fraction(window * tokens[q], sum(tokens[r] for r in rest)) for q in rest}
+    first = dict.fromkeys(rest, max((-(-tokens[q] // quanta[q]) for q in given), default=0))
+    got = P.pack(frame(spark, rows).coalesce(1), window=window, weights=weights).collect()
+    by_seq = check_pieces(got, {i: ids(text) for i, text, _ in rows})
+    want = []
+    for q, d, a, n in robin(docs, quanta, window, first):
+        if want and want[-1][:2] == [q, d]:
+            want[-1][2] += n
+        else:
+            want.append([q, d, n])
+    assert stream(by_seq) == [tuple(x) for x in want]
+
+
+@pytest.mark.parametrize("sources", [20, 400])
+def test_documents_stay_whole(spark, ids, sources):
+    """Pieces a document are near 1 + tokens / window, and each source is near its share after every window."""
+    rng = np.random.default_rng(3)
+    rows = [(i, "the " * int(rng.integers(1, 400)), f"q{int(rng.integers(sources))}") for i in range(3000)] + [(3000, "the " * 20_000, "q0")]
+    got = P.pack(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    tokens = {i: len(ids(t)) for i, t, _ in rows}
+    assert len(got) <= 1.02 * sum(1 + n / 2048 for n in tokens.values()) + 12
+    share, total = {}, sum(tokens.values())
+    for i, _, s in rows:
+        share[f"s:{s}"] = share.get(f"s:{s}", 0) + tokens[i] / total
+    sent, by_seq = dict.fromkeys(share, 0), {}
+    for r in got:
+        by_seq.setdefault(r["sequence_id"], []).append(r)
+    for k in range(total // 2048):
+        for r in by_seq[k]:
+            sent[r["source_queue"]] += r["length"]
+        # All deficits together hold the stream back by less than their sum; a queue's own by less than a packet.
+        behind = sum(max(0.0, share[q] * 2048 * (k + 1) - sent[q]) for q in share)
+        assert all(abs(sent[q] - share[q] * 2048 * (k + 1)) <= 2048 + share[q] * (behind + 2 * 2048 + sources * 200) for q in share), k
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(1, 300), max_size=20), st.integers(1, 64))
+def test_every_token_once(lengths, window):
+    cutter, places, at = P.Cutter(sum(lengths), window), [], 0
+    for n in lengths:
+        done = 0
+        for start, length, w, offset in cutter.pieces([(a, min(window, n - a), at + a) for a in range(0, n, window)]):
+            assert start == done
+            done += length
+            places += [(w, offset + k) for k in range(length)]
+        assert done == n
+        at += n
+    sizes = [window] * (at // window) + np.diff(P.tail_starts(at, window)).tolist()
+    assert places == [(w, k) for w, n in enumerate(sizes) for k in range(n)]
 
 
 @settings(max_examples=50, deadline=None)
@@ -162,14 +205,18 @@ def test_memo_keeps_its_bound_and_its_values(monkeypatch):
     assert asked.count(3) == 1  # a frequent key stays
 
 
-def test_weights_beyond_max_queues(spark):
-    """Sources with a weight keep it when the others share queues."""
+def test_weights_among_many_sources(spark):
+    """Weighted sources keep to their targets; each of the others has a queue of its own and comes after them."""
     rows = [(i, "some words of a text " * 20, f"s{i % 2}") for i in range(40)] + [(100 + i, "rare text", f"other{i}") for i in range(30)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    out = P.pack(docs, window=64, weights={"s0": 3, "s1": 1}, max_queues=2).collect()
+    out = P.pack(docs, window=64, weights={"s0": 3, "s1": 1}).collect()
     queues = {r["source_queue"] for r in out}
-    assert {"s:s0", "s:s1"} < queues and len(queues) <= 4
+    assert queues == {"s:s0", "s:s1", *(f"s:other{i}" for i in range(30))}
     assert {r["doc_id"] for r in out} == {r[0] for r in rows}
-    for w in range(10):
-        sent = {q: sum(r["length"] for r in out if r["sequence_id"] == w and r["source_queue"] == q) for q in queues}
-        assert abs(sent["s:s0"] - 48) <= 1 and abs(sent["s:s1"] - 16) <= 1
+    sent = dict.fromkeys(queues, 0)
+    for w in range(30):
+        for r in out:
+            if r["sequence_id"] == w:
+                sent[r["source_queue"]] += r["length"]
+        assert abs(sent["s:s0"] - 48 * (w + 1)) <= 64 and abs(sent["s:s1"] - 16 * (w + 1)) <= 64
+        assert sum(sent.values()) == sent["s:s0"] + sent["s:s1"]
