@@ -1,14 +1,19 @@
 """HTML extraction: parser events, text-to-tag ratios, Gaussian smoothing, threshold clustering of content regions.
 
 The standard library's parser streams a page's events.  Each text block is a line with its text and the number of tags
-since the line before.  Text inside boilerplate elements (menus, forms, scripts, ..., by tag, role and class), blocks or
-not, is set aside.  The other lines' text-to-tag ratios are smoothed with a Gaussian; lines above the threshold are content, and
-they vote for the regions: the ``article`` and ``main`` elements that hold content lines, or, on a page without any
-such element, clusters.  All blocks of a region are returned, short ones too.
+since the line before.  Text inside boilerplate elements (menus, forms, scripts, ..., by tag, role and class name), blocks
+or not, is set aside.  The other lines' text-to-tag ratios are smoothed with a Gaussian; lines above the threshold are
+content, and they vote for the regions: the ``article`` and ``main`` elements that hold content lines, or, on a page
+without any such element, clusters.  All blocks of a region are returned, short ones too, but for those in an element
+whose name only hints at boilerplate: such an element stays if one of its lines is content.
+
+*Names.* A class or id names boilerplate if its words are such words (``cookie-banner``) or parts of a page
+(``sidebar-left``); one with other words besides (``notice-of-tender``, ``share-price``) is a hint.
 
 *Clusters.* Content lines with at most ``GAP`` others between them, or in the same element, are a cluster, with all lines
-between them.  Its region is the innermost element around its content lines.  If that holds the whole page, it tells
-nothing: then the region goes on, before and after, with neighbours of content lines in their own elements, with lines at
+between them.  Its region is the innermost element around its content lines, or one around it whose own ratio of text to tags
+reaches the threshold.  If that holds all text of the page, boilerplate
+included, it tells nothing: then the region goes on, before and after, with neighbours of content lines in their own elements, with lines at
 most ``GAP`` away, and with the rest of an element so begun.
 
 Defined cases: null or empty html and pages without text give an empty text; broken nesting is repaired as browsers
@@ -18,7 +23,9 @@ do for paragraphs and list items; repeated rows are kept; other columns pass thr
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 from html.parser import HTMLParser
 
 import numpy as np
@@ -37,30 +44,63 @@ BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary searc
 BOILERPLATE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising adsense banner promo promotion sponsor sponsored cookie cookies consent gdpr notice notices alert alerts newsletter subscribe popup modal overlay menu menus nav navbar navigation breadcrumb breadcrumbs sidebar sidenav aside footer comment comments replies reply respond discussion disqus share sharing social related recommended widget widgets toolbar pagination pager login signup search skip masthead topbar".split()
 )
+#: Words that say where or what kind of a part something is, beside a boilerplate word in a name.
+PART_WORDS = frozenset(
+    "area bar block body bottom box btn button buttons center column container content desktop fixed float global group header holder icon icons inner item items label layer left link links list main mobile module outer page panel position primary right row secondary section side site slot sticky strip text title top unit wrap wrapper zone".split()
+)
+#: Names with one of these words tell of a layout, not of a part.
+LAYOUT_WORDS = frozenset("no not has have with without is".split())
+#: Names that make even an ``article`` or ``main`` boilerplate.
+REGION_WORDS = frozenset("comment comments ad advert related".split())
 UNSEEN = frozenset("script style noscript template".split())
 REGIONS = frozenset({"article", "main"})
 SIGMA = 1.5
 #: Lines below the threshold that may lie between two content lines of one cluster, whatever elements they are in.
 GAP = 5
+#: Block elements nested deeper are taken as neighbours, as browsers do.
+DEPTH = 512
+_OTHER_BLOCKS = BLOCKS - {"p"}
+
+
+@lru_cache(4096)
+def named(names: str) -> tuple[bool, bool, bool]:
+    """Of class names and an id: whether one names boilerplate, boilerplate of a region, or hints at boilerplate."""
+    whole = region = hint = False
+    for name in names.split():
+        words = set(re.findall(r"[a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", name).lower()))
+        found = words & BOILERPLATE_WORDS
+        if not found or words & LAYOUT_WORDS:
+            continue
+        if words <= BOILERPLATE_WORDS | PART_WORDS:
+            whole, region = True, region or bool(found & REGION_WORDS)
+        else:
+            hint = True
+    return whole, region, hint
 
 
 class _Lines(HTMLParser):
-    """Blocks of a page: text without boilerplate, tags before it, the regions it stands in, and its block element."""
+    """Blocks of a page: text without boilerplate, tags before it, region, block element, and hinted element (0: none).
+
+    The stack is indexed by tag, so an end tag finds its element at once however deep the nesting is.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, bool, tuple[int, ...], int]] = []
-        self.parents = [0]  # of each block element; the first is the page
+        self.stack: list[tuple[str, bool, int, int, int]] = []
+        self.open: dict[str, list[int]] = defaultdict(list)  # places in the stack by tag
+        self.open_blocks: list[int] = []  # but paragraphs
+        self.parents, self.depths = [0], [0]  # of each block element; the first is the page
         self.pieces: list[str] = []
         self.aside = False  # boilerplate text since the last line
-        self.tags = self.seen = 0
-        self.lines: list[tuple[str, int, tuple[int, ...], int]] = []
+        self.aside_in: set[int] = set()  # block elements of boilerplate text, but for the head's
+        self.tags = self.seen = self.hinted = 0
+        self.lines: list[tuple[str, int, int, int, int]] = []
 
     def flush(self) -> None:
         text = " ".join("".join(self.pieces).split())
         if text:
-            _, _, regions, element = self.stack[-1] if self.stack else ("", False, (), 0)
-            self.lines.append((text, max(self.tags, 1), regions, element))
+            _, _, region, element, hint = self.stack[-1] if self.stack else ("", False, 0, 0, 0)
+            self.lines.append((text, max(self.tags, 1), region, element, hint))
         if text or self.aside:
             self.tags = 0
         self.pieces, self.aside = [], False
@@ -72,66 +112,86 @@ class _Lines(HTMLParser):
             return
         if tag in BLOCKS:
             self.flush()
-            if tag in CLOSES_P:
-                self.close_open({"p"}, BLOCKS - {"p"})
+            if tag in CLOSES_P and self.open["p"] and (not self.open_blocks or self.open["p"][-1] > self.open_blocks[-1]):
+                self.cut(self.open["p"][-1])
             if tag == "li":
-                self.close_open({"li"}, {"ul", "ol", "menu"})
+                self.close_open(("li",), ("ul", "ol", "menu"))
             elif tag in ("dt", "dd"):
-                self.close_open({"dt", "dd"}, {"dl"})
-            elif tag in ("td", "th", "tr"):
-                self.close_open({"td", "th"} | ({"tr"} if tag == "tr" else set()), {"table"})
+                self.close_open(("dt", "dd"), ("dl",))
+            elif tag in ("td", "th"):
+                self.close_open(("td", "th"), ("table",))
+            elif tag == "tr":
+                self.close_open(("td", "th", "tr"), ("table",))
             elif tag == "body":
-                self.close_open({"head"}, set())
+                self.close_open(("head",), ())
         if tag in VOID:
             return
-        _, bad, regions, element = self.stack[-1] if self.stack else ("", False, (), 0)
+        _, bad, region, element, hint = self.stack[-1] if self.stack else ("", False, 0, 0, 0)
+        own, hints = self.boilerplate(tag, dict(attrs), region > 0)
         if tag in BLOCKS and tag not in ("html", "body"):
+            if self.depths[element] >= DEPTH:
+                element = self.parents[element]
             self.parents.append(element)
+            self.depths.append(self.depths[element] + 1)
             element = len(self.parents) - 1
-        if tag in REGIONS and not bad:
+        if tag in REGIONS and not bad and not region:
             self.seen += 1
-            regions = (*regions, self.seen)
-        self.stack.append((tag, bad or self.boilerplate(tag, dict(attrs), bool(regions)), regions, element))
+            region = self.seen
+        if hints and not hint:
+            self.hinted += 1
+            hint = self.hinted
+        self.open[tag].append(len(self.stack))
+        if tag in _OTHER_BLOCKS:
+            self.open_blocks.append(len(self.stack))
+        self.stack.append((tag, bad or own, region, element, hint))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)  # a slash closes void elements only
 
-    def boilerplate(self, tag: str, attrs: dict[str, str | None], in_region: bool) -> bool:
+    def boilerplate(self, tag: str, attrs: dict[str, str | None], in_region: bool) -> tuple[bool, bool]:
+        """Whether an element is boilerplate by itself, and whether its name hints at it."""
         if tag in ("html", "body"):
-            return False
-        named = re.sub(r"\b(?:no|has|with|without)[-_]\w+", " ", f"{attrs.get('class') or ''} {attrs.get('id') or ''}".lower())  # of layouts, not parts
-        words = set(re.findall(r"[a-z]+", named))
+            return False, False
+        names = f"{attrs.get('class') or ''} {attrs.get('id') or ''}"
+        whole, of_region, hint = named(names) if names != " " else (False, False, False)
+        if tag in REGIONS:
+            whole, hint = of_region, False
         hidden = "hidden" in attrs or attrs.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", attrs.get("style") or "") is not None
-        return tag in BOILERPLATE_TAGS or (tag == "header" and not in_region) or (attrs.get("role") or "").lower() in BOILERPLATE_ROLES or hidden or (tag not in REGIONS or bool(words & {"comment", "comments", "ad", "advert", "related"})) and bool(words & BOILERPLATE_WORDS)
+        return tag in BOILERPLATE_TAGS or (tag == "header" and not in_region) or (attrs.get("role") or "").lower() in BOILERPLATE_ROLES or hidden or whole, hint
+
+    def cut(self, place: int) -> None:
+        """Close the element at a place in the stack and all inside it."""
+        while len(self.stack) > place:
+            tag = self.stack.pop()[0]
+            self.open[tag].pop()
+            if tag in _OTHER_BLOCKS:
+                self.open_blocks.pop()
 
-    def close_open(self, tags: set[str] | frozenset[str], within: set[str] | frozenset[str]) -> None:
+    def close_open(self, tags: tuple[str, ...], within: tuple[str, ...]) -> None:
         """Close the innermost open one of ``tags``, unless one of ``within`` is opened inside it."""
-        for k in range(len(self.stack) - 1, -1, -1):
-            if self.stack[k][0] in tags:
-                del self.stack[k:]
-                return
-            if self.stack[k][0] in within:
-                return
+        place = max((self.open[t][-1] for t in tags if self.open[t]), default=-1)
+        if place > max((self.open[t][-1] for t in within if self.open[t]), default=-1):
+            self.cut(place)
 
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
         if tag in BLOCKS:
             self.flush()
-        if tag in VOID:
+        if tag in VOID or not self.open[tag]:
             return
-        for k in range(len(self.stack) - 1, -1, -1):
-            if self.stack[k][0] == tag:
-                del self.stack[k:]
-                return
-            if tag not in BLOCKS and self.stack[k][0] in BLOCKS:
-                return  # an inline end tag doesn't close blocks
+        place = self.open[tag][-1]
+        innermost = max(self.open_blocks[-1] if self.open_blocks else -1, self.open["p"][-1] if self.open["p"] else -1)
+        if tag in BLOCKS or place > innermost:  # an inline end tag doesn't close blocks
+            self.cut(place)
 
     def handle_data(self, data: str) -> None:
-        tag, bad, *_ = self.stack[-1] if self.stack else ("", False)
+        tag, bad, _, element, _ = self.stack[-1] if self.stack else ("", False, 0, 0, 0)
         if not bad:
             self.pieces.append(data)
         elif data.strip():
             self.aside = True
+            if not self.open["head"]:
+                self.aside_in.add(element)
             if tag not in UNSEEN:  # a button or an advert parts the words around it
                 self.pieces.append(" ")
 
@@ -144,41 +204,53 @@ def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     return np.convolve(ratios, kernel)[radius : radius + len(ratios)] / weight
 
 
-def clustered(elements: list[int], content: list[int], parents: list[int]) -> np.ndarray:
-    """Which lines are in a cluster's region; ``elements``: of each line, ``parents``: of each element, a lesser number."""
+def clustered(lines: list[tuple[str, int, int, int, int]], content: list[int], parents: list[int], aside: set[int], threshold: float) -> np.ndarray:
+    """Which lines are in a cluster's region; ``parents``: of each element, a lesser number, ``aside``: elements of
+    boilerplate text.
+
+    Elements are numbered as they open, so an element holds those from its own number to that of its last descendant.
+    """
+    last = list(range(len(parents)))
+    for e in range(len(parents) - 1, 0, -1):
+        last[parents[e]] = max(last[parents[e]], last[e])
 
-    def around(a: int, b: int) -> int:
-        while a != b:
-            a, b = (parents[a], b) if a > b else (a, parents[b])
-        return a
+    def around(low: int, high: int) -> int:
+        """The innermost element that holds both, and so all between."""
+        while last[low] < high:
+            low = parents[low]
+        return low
 
+    elements = [element for _, _, _, element, _ in lines]
+    number = np.array(elements)
+    length = np.r_[0, np.cumsum(np.bincount(number, [len(text) for text, *_ in lines], len(parents)))]
+    tags = np.r_[0, np.cumsum(np.bincount(number, [n for _, n, *_ in lines], len(parents)))]
     keep = np.zeros(len(elements), bool)
     outer = [parents[e] for e in elements]
-    page = outer[0]
-    for e in outer[1:]:
-        page = around(page, e)
+    everywhere = {*outer, *(parents[e] for e in aside)}
+    page = around(min(everywhere), max(everywhere))
     clusters: list[list[int]] = []
+    regions: set[int] = set()
     for i in content:
         if clusters and (i - clusters[-1][-1] <= GAP + 1 or outer[i] == outer[clusters[-1][-1]]):
             clusters[-1].append(i)
         else:
             clusters.append([i])
     for cluster in clusters:
-        region, own = outer[cluster[0]], {outer[i] for i in cluster}
-        for e in own:
-            region = around(region, e)
+        own = {outer[i] for i in cluster}
+        region = around(min(own), max(own))
+        while region != page and (up := parents[region]) != page and length[last[up] + 1] - length[up] >= threshold * (tags[last[up] + 1] - tags[up]):
+            region = up
         keep[cluster[0] : cluster[-1] + 1] = True
+        if region != page:
+            regions.add(region)
+            continue
         for end, step in ((cluster[0], -1), (cluster[-1], 1)):
             j = end + step
-            while 0 <= j < len(elements):
-                if region != page:
-                    inside = around(region, elements[j]) == region
-                else:
-                    inside = outer[j] in own or abs(j - end) <= GAP or (outer[j] == outer[j - step] != page)
-                if not inside:
-                    break
+            while 0 <= j < len(elements) and not keep[j] and (outer[j] in own or abs(j - end) <= GAP or (outer[j] == outer[j - step] != page)):
                 keep[j] = True
                 j += step
+    for region in regions:
+        keep |= (region <= number) & (number <= last[region])
     return keep
 
 
@@ -195,15 +267,17 @@ def main_text(html: str | None) -> str:
     ratio = smoothed(own)
     threshold = min(ratio.std() or ratio.mean(), ratio.mean())
     content = ratio >= threshold
-    voted = {r for (_, _, regions, _), c in zip(lines, content, strict=True) if c for r in regions[:1]}
-    inside = {r for _, _, regions, _ in lines for r in regions[:1]}
-    if inside:
-        keep = [bool(regions) and regions[0] in (voted or inside) for _, _, regions, _ in lines]
+    region = np.array([r for _, _, r, _, _ in lines])
+    # A line that only its neighbours lift stays, but founds no cluster and settles no hint.
+    founders = content & (own >= threshold)
+    if region.any():
+        voted = np.unique(region[content & (region > 0)])
+        keep = np.isin(region, voted) if len(voted) else region > 0
     else:
-        # A line that only its neighbours lift stays, but founds no cluster.
-        founders = content & (own >= threshold)
-        keep = (clustered([element for *_, element in lines], np.flatnonzero(founders).tolist(), parser.parents) | content).tolist()
-    return "\n".join(text for (text, *_), k in zip(lines, keep, strict=True) if k)
+        keep = clustered(lines, np.flatnonzero(founders).tolist(), parser.parents, parser.aside_in, threshold) | content
+    hint = np.array([h for *_, h in lines])
+    keep &= (hint == 0) | np.isin(hint, hint[founders])
+    return "\n".join(text for (text, *_), k in zip(lines, keep.tolist(), strict=True) if k)
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -1,3 +1,8 @@
+import random
+import time
+
+import pytest
+
 from takeline.llm import html_text as H
 from takeline.llm import url_filters as U
 
@@ -85,6 +90,63 @@ def test_html_clusters():
     assert H.main_text("<body><div><div>" + "</div></div><div><div>".join([*long, "Short end."]) + "</div></div></body>").split("\n") == [*long, "Short end."]
 
 
+def test_html_names():
+    """Only whole names are boilerplate; a name that hints at it is settled by the ratios."""
+    for name in ("id='notice-of-tender'", "class='share-price'", "class='menu-of-the-day'", "class='has-sidebar no-ads'"):
+        assert H.main_text(f"<article {name}><p>{LONG}</p><p>Short.</p></article>") == f"{LONG}\nShort."
+        assert H.main_text(f"<article><p>{LONG}</p><div {name}><p>{LONG} Again.</p><p>x</p></div></article>") == f"{LONG}\n{LONG} Again.\nx"
+    for name in ("class='cookie-banner'", "class='post sidebar-left'", "id=siteFooter", "class='comment'", "class='share-buttons'", "class=ad2"):
+        assert H.main_text(f"<article><p>{LONG}</p><div {name}><p>{LONG} Again.</p></div></article>") == LONG
+    links = "".join(f"<a href=x><b>{i}</b></a><br><i></i><i></i>" for i in range(9))
+    assert H.main_text(f"<article><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p><div class='share-this-story'>{links}</div></article>") == "\n".join([LONG] * 3)
+    assert H.main_text(f"<article class='comment'><p>{LONG}</p></article><article class='menu-article'><p>{LONG}!</p></article>") == LONG + "!"
+
+
+def page(rng, container):
+    """A page with blocks of known text in ``container`` and boilerplate among and around them: ``(html, text)``."""
+    vocabulary = [f"w{k}" for k in range(50)] + ["&amp;", "&lt;b&gt;", "caf&eacute;"]
+    plain = {"&amp;": "&", "&lt;b&gt;": "<b>", "caf&eacute;": "caf\u00e9"}
+    def words(n):
+        return [rng.choice(vocabulary) for _ in range(n)]
+    bad = ["<nav><ul><li><a href=x>{}</a><li>{}</ul></nav>", "<aside><p>{} {}</p></aside>", "<div class='ad-slot'>{}<p>{}</div>", "<form><p>{}<input name=q> {}</form>", "<script>var t='</p> {} {}';</script>", "<style>.a{{}} /* {} {} */</style>", "<section id='comments'><p>{}</p><p>{}</p></section>", "<div role=search>{} {}</div>", "<footer>{} {}</footer>", "<div class='cookie-notice banner'>{}<br>{}</div>", "<!-- {} {} -->"]
+    def noise():
+        return rng.choice(bad).format(" ".join(words(rng.randrange(1, 40))), " ".join(words(3)))
+    blocks, want = [], []
+    for _ in range(rng.randrange(1, 15)):
+        text = words(rng.choice([1, 2, 5, 30, 80]))
+        shown = " ".join(plain.get(w, w) for w in text)
+        cut = rng.randrange(len(text))
+        inline = rng.choice(["{} {}", "<b>{}</b> {}", "{} <a href='/x'>{}</a>", "{}<br>{}", "{}\n \t{}", "<span class=c>{} </span>{}", "{} <span class=ad>buy now</span> {}"])
+        body = inline.format(" ".join(text[:cut]), " ".join(text[cut:]))
+        blocks.append(rng.choice(["<p>{}</p>", "<p>{}", "<h2>{}</h2>", "<ul><li>{}</ul>", "<div>{}</div>", "<blockquote>{}</blockquote>", "<table><tr><td>{}</table>", "<section><div><p>{}</div></section>"]).format(body))
+        want.append(shown)
+        if rng.random() < 0.4:
+            blocks.append(noise())
+    top, end = "".join(noise() for _ in range(rng.randrange(4))), "".join(noise() for _ in range(rng.randrange(4)))
+    return f"<!DOCTYPE html><html><head><title>T</title></head><body>{top}<{container}>{''.join(blocks)}</{container}>{end}</body></html>", "\n".join(want)
+
+
+@pytest.mark.parametrize("container", ["article", "main", "div"])
+def test_html_generated(container):
+    """Pages whose main text is known: it comes back to the character."""
+    rng = random.Random(5)
+    for _ in range(300):
+        html, want = page(rng, container)
+        if container == "div":  # boilerplate around it shows that the element is not the page
+            html = html.replace("<body>", "<body><nav>Menu</nav>")
+        if container != "div" or max(map(len, want.split("\n"))) > 100:
+            assert H.main_text(html) == want, html
+
+
+@pytest.mark.parametrize("part", ["<font>x<br></i>", "<div>x", "<article>y", "<p>a<b>", "<ul><li>x", "</p></div>z", "<section class='share-it'><i>q"])
+def test_html_is_linear(part):
+    """A megabyte of broken nesting takes seconds, not hours."""
+    html = part * (1_000_000 // len(part))
+    start = time.perf_counter()
+    H.main_text(html)
+    assert time.perf_counter() - start < 10
+
+
 def test_html_frame(spark):
     df = spark.createDataFrame([(1, "u", PAGE, "clash"), (2, None, None, None), (1, "u", PAGE, "clash")], "page_id long, url string, html string, text string")
     got = H.extract(df).orderBy("page_id").collect()
