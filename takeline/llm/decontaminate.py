@@ -16,8 +16,8 @@ and a segment with one key in common are a candidate.
 *Verification.* The least edit distance of the whole item to any run of words about the window's place in it, by dynamic
 programming.
 
-The items are a stated query set: they are read in blocks of a bounded size, and each block is held against all
-documents in one pass without a shuffle.
+The items are a stated query set: they are read in blocks of a bounded size, and each block is broadcast, its tables are
+built once a worker, and it is held against all documents in one pass without a shuffle.
 
 Defined cases: null and empty texts leak nothing; items without words are skipped; repeated rows are judged each; null
 ids pass through; other columns are ignored; empty tables give no rows.
@@ -25,6 +25,7 @@ ids pass through; other columns are ignored; empty tables give no rows.
 
 from __future__ import annotations
 
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -33,6 +34,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructField
 
 from takeline.llm.common import WordHashes, cut, rolling, scramble, steps, texts_of
 
@@ -42,7 +45,7 @@ SAMPLED = 3
 #: Words of a segment, at most: so few that ``REPEATS`` rounds find one with all its edits.
 SEGMENT_WORDS = 25
 #: Characters of items that one pass holds, at most (about; a longer item is a block of its own).
-BLOCK_CHARS = 2_000_000
+BLOCK_CHARS = 8_000_000
 
 _MARKS = b"\"'`.,;:!?()[]{}<>*#$%&|_-"
 
@@ -215,6 +218,33 @@ class Items:
         return out
 
 
+    def found_in(self, parts: list[np.ndarray]) -> Iterator[tuple[int, int, int, int, int]]:
+        """``(document, item, edits, first word, end word)``: the best run of each leaked item in documents of word hashes."""
+        sizes = np.array([len(x) for x in parts], np.int64)
+        if not sizes.sum() or not self.words:
+            return
+        places: dict[tuple[int, int], list[int]] = defaultdict(list)
+        firsts = np.cumsum(sizes) - sizes
+        for g, a in self.candidates(np.concatenate(parts), sizes):
+            d = int(np.searchsorted(firsts, a, "right")) - 1
+            places[d, self.item[g]].append(a - int(firsts[d]) - self.place[g])
+        for (d, i), about in sorted(places.items()):
+            h, item, k = parts[d], self.words[i], self.edits[i]
+            best, slack = (k + 1, 0, 0), k + min(len(item), SEGMENT_WORDS)  # a window may lie off its segment by its length
+            for low, high in stretches(about, slack, len(item) + k, len(h)):
+                text = h[low:high]
+                if np.isin(item, text).sum() < len(item) - k:  # each word that isn't there is an edit
+                    continue
+                edits, first, end = run_distance(item, text, k)
+                best = min(best, (edits, low + first, low + end))
+            if best[0] <= k:
+                yield d, i, *best
+
+
+#: The block a worker has built last, by its label.
+_built: dict[str, tuple[Items, WordHashes]] = {}
+
+
 def leaks(documents: DataFrame, benchmark: DataFrame, percent: int = PERCENT, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """``doc_id, item_id, n_edits, first_word, end_word``: the best run of each leaked item in each document."""
     chars = benchmark.agg(F.sum(F.length("text"))).first()[0] or 0
@@ -222,43 +252,29 @@ def leaks(documents: DataFrame, benchmark: DataFrame, percent: int = PERCENT, bl
     out = None
     for b in range(blocks):
         rows = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).select("item_id", "text")
-        one = _leaks_of(documents, [tuple(r) for r in rows.collect()], dict(benchmark.dtypes)["item_id"], percent)
+        one = _leaks_of(documents, [tuple(r) for r in rows.collect()], benchmark.schema["item_id"], percent)
         if blocks > 1:  # a block's items leave the driver before the next block's are read
             one = cut(one)
         out = one if out is None else out.unionByName(one)
     return out
 
 
-def _leaks_of(documents: DataFrame, items: list[tuple[object, str]], item_kind: str, percent: int) -> DataFrame:
+def _leaks_of(documents: DataFrame, items: list[tuple[object, str]], item_id: StructField, percent: int) -> DataFrame:
     kind = dict(documents.dtypes)["doc_id"]
-    item_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[item_kind]
+    item_type = to_arrow_type(item_id.dataType)
+    sent, label = documents.sparkSession.sparkContext.broadcast(items), uuid.uuid4().hex  # ``block_chars`` at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes(normal_word)
-        block = Items(items, percent, hashes)
+        if label not in _built:
+            _built.clear()
+            hashes = WordHashes(normal_word)
+            _built[label] = Items(sent.value, percent, hashes), hashes
+        block, hashes = _built[label]
         for batch in steps(batches):
-            cols: list[list] = [[], [], [], [], []]
             parts = [hashes((t or b"").split()) for t in texts_of(batch)]
-            doc_ids, sizes = batch.column("doc_id").to_pylist(), np.array([len(x) for x in parts], np.int64)
-            starts: dict[tuple[int, int], list[int]] = defaultdict(list)
-            firsts = np.cumsum(sizes) - sizes
-            if sizes.sum() and block.words:
-                for g, a in block.candidates(np.concatenate(parts), sizes):
-                    d = int(np.searchsorted(firsts, a, "right")) - 1
-                    starts[d, block.item[g]].append(a - int(firsts[d]) - block.place[g])
-            for (d, i), places in sorted(starts.items()):
-                h, item, k = parts[d], block.words[i], block.edits[i]
-                best, slack = (k + 1, 0, 0), k + min(len(item), SEGMENT_WORDS)  # a window may lie off its segment by its length
-                for low, high in stretches(places, slack, len(item) + k, len(h)):
-                    text = h[low:high]
-                    if np.isin(item, text).sum() < len(item) - k:  # each word that isn't there is an edit
-                        continue
-                    edits, s, e = run_distance(item, text, k)
-                    best = min(best, (edits, low + s, low + e))
-                if best[0] <= k:
-                    for c, v in zip(cols, (doc_ids[d], block.ids[i], *best), strict=True):
-                        c.append(v)
-            types = [batch.schema.field("doc_id").type, item_type, pa.int64(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["doc_id", "item_id", "n_edits", "first_word", "end_word"])
-
-    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, item_id {item_kind}, n_edits long, first_word long, end_word long")
+            found = list(block.found_in(parts))
+            doc_ids = batch.column("doc_id").take(pa.array([f[0] for f in found], pa.int64()))
+            item_ids = pa.array([block.ids[f[1]] for f in found], item_type)
+            yield pa.RecordBatch.from_arrays([doc_ids, item_ids, *(pa.array([f[c] for f in found], pa.int64()) for c in (2, 3, 4))], names=["doc_id", "item_id", "n_edits", "first_word", "end_word"])
+
+    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, item_id {item_id.dataType.simpleString()}, n_edits long, first_word long, end_word long")

@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pytest
 
 from takeline.llm import decontaminate as D
 from takeline.llm import quality as Q
@@ -76,6 +77,41 @@ def test_leaks_by_length(spark):
         assert got[i][0] == i and got[i][1] == edit_distance_to_run(text.split(), rows[i][1].split()) <= len(text.split()) // 5
 
 
+LENGTHS = (5, 8, 12, 20, 25, 26, 37, 50, 75, 120, 200, 400)
+
+
+@pytest.mark.parametrize("kind", ["s", "i", "d", "sid"])
+def test_recall_by_length(kind):
+    """At exactly the allowed edits, the search finds 0.95 at least of items of each length; all that it proposes is verified."""
+    rng = random.Random(kind)
+    for n in LENGTHS:
+        count, k = 220 if n <= 120 else 60, n * D.PERCENT // 100
+        texts, items = [], []
+        for _ in range(count):
+            item = [rng.getrandbits(62) for _ in range(n)]
+            places, changed = set(rng.sample(range(n), k)), []
+            for j, word in enumerate(item):
+                how = rng.choice(kind) if j in places else ""
+                changed += {"": [word], "s": [rng.getrandbits(62)], "i": [rng.getrandbits(62), word], "d": []}[how]
+            items.append(item)
+            texts.append(np.array([rng.getrandbits(62) for _ in range(30)] + changed + [rng.getrandbits(62) for _ in range(30)], np.uint64))
+        # Words stand for their hashes here: an item's text is its numbers, read back by the hashes it is given.
+        block = D.Items([(i, " ".join(map(str, item))) for i, item in enumerate(items)], D.PERCENT, lambda w: np.array([int(x) for x in w], np.uint64))
+        found = {d for d, i, edits, _, _ in block.found_in(texts) if d == i and edits <= k}
+        assert len(found) >= 0.95 * count, (n, kind, len(found), count)
+
+
+def test_leaks_of_other_ids(spark):
+    """Ids of any type pass through; several blocks give what one does."""
+    text = "one two three four five six seven eight"
+    docs = spark.createDataFrame([("a", f"x {text} y"), (None, text), ("c", None), ("d", "no")], "doc_id string, text string")
+    for kind, value in (("smallint", "7"), ("decimal(20,2)", "7.00"), ("date", "2020-01-01"), ("string", "7")):
+        bench = spark.createDataFrame([(text,)], "text string").selectExpr(f"cast('{value}' as {kind}) item_id", "text")
+        got = D.leaks(docs, bench)
+        assert dict(got.dtypes)["item_id"] == kind
+        assert sorted((str(r["doc_id"]), str(r["item_id"]), r["n_edits"]) for r in got.collect()) == [("None", value, 0), ("a", value, 0)]
+
+
 def test_interaction():
     """An insult with a group mention is toxic; either alone is not."""
     rng = np.random.default_rng(0)
@@ -88,6 +124,42 @@ def test_interaction():
     assert score(1, 2) > 0.7 > 0.3 > max(score(1), score(2))
 
 
+def test_score_is_the_sum_of_terms_and_pairs():
+    """The machine's score is the plain sum over terms and over pairs of terms; at the threshold the answer is 1."""
+    rng = np.random.default_rng(4)
+    m = T.Machine({k: k for k in range(9)}, -0.3, rng.normal(size=9), rng.normal(size=(9, 4)))
+    for n in range(9):
+        found = sorted(rng.choice(9, n, replace=False).tolist())
+        z = m.bias + sum(m.weights[i] for i in found) + sum(float(m.factors[i] @ m.factors[j]) for a, i in enumerate(found) for j in found[a + 1 :])
+        assert abs(m.score([found])[0] - 1 / (1 + np.exp(-z))) < 1e-12
+
+
+def test_quality_score_is_the_sum_of_grams(spark):
+    """A document's probability is Platt's curve of the mean weight of its words, word pairs and character n-grams."""
+    rng = np.random.default_rng(6)
+    model = Q.Model(rng.normal(size=Q.BUCKETS), 0.2, 1.3, -0.1)
+    rows = [(i, t, "s") for i, (_, t, _) in enumerate(documents()) if i < 40] + [(90, "One \u00e9t\u00e9 one", "s"), (91, None, "s"), (92, "", "s")]
+    bucket = lambda w: Q.word_grams([w])[0]
+    hashes = Q.WordHashes()
+    for r in Q.judge(frame(spark, rows), model).collect():
+        w = (dict((i, t) for i, t, _ in rows)[r["doc_id"]] or "").encode().split()
+        total = sum(model.weights[b] for x in w for b in bucket(x)) + sum(model.weights[Q.pair_buckets(hashes([a, b]))[0]] for a, b in zip(w, w[1:], strict=False))
+        assert abs(r["quality"] - 1 / (1 + np.exp(-(1.3 * (total / max(len(w), 1) + 0.2) - 0.1)))) < 1e-9
+        assert r["kept"] == (not r["base_failed"] and r["quality"] >= 0.5)
+    texts = [f"^{x}$" for x in ("a", "\u00e9t\u00e9")]
+    grams, owner = Q.word_grams([b"a", "\u00e9t\u00e9".encode()])
+    assert np.bincount(owner).tolist() == [1 + sum(max(len(t) - n + 1, 0) for n in range(1, 5)) for t in texts]
+
+
+def test_ties_at_thresholds(spark):
+    """A score equal to the threshold is over it, for both classifiers."""
+    flat = T.Machine({}, float(np.log(0.7 / 0.3)), np.zeros(0), np.zeros((0, 4)))
+    p = float(flat.score([[]])[0])
+    assert {r["predicted"] for r in T.score(frame(spark).select("doc_id", "text"), flat, threshold=p).collect()} == {1}
+    half = Q.Model(np.zeros(Q.BUCKETS), 0.0, 1.0, 0.0)
+    assert all(r["quality"] == 0.5 and r["kept"] == (not r["base_failed"]) for r in Q.judge(frame(spark), half).collect())
+
+
 def labelled(spark, n=400):
     rng = random.Random(2)
     docs, labels = [], []
