@@ -165,7 +165,7 @@ def pack(documents: DataFrame, window: int = WINDOW, tokenizer: str | None = Non
     rows = spark.read.parquet(path).select("row", "queue", "part", "begin", "n").where("n > 0").join(starts, ["queue", "part"])
     packets = rows.withColumn("start", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(window).cast("long"))))
     packets = packets.withColumn("length", F.least(F.col("n") - F.col("start"), F.lit(window))).withColumn("end", F.col("base") + F.col("begin") + F.col("start") + F.col("length"))
-    packets = packets.select("row", "queue", "start", "length", "end", (F.col("first") + F.ceil(F.col("end") / F.col("quantum"))).alias("round"))
+    packets = cut(packets.select("row", "queue", "start", "length", "end", (F.col("first") + F.ceil(F.col("end") / F.col("quantum"))).alias("round")))
     placed = places(packets).groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "length", "place"))).alias("packets"))
     width = 2 if TokenIds(tokenizer, end_id).dtype.itemsize == 2 else 4
     kind = dict(documents.dtypes)["doc_id"]
