@@ -12,8 +12,12 @@ shares no bucket with a probability of at most ``MISS``.
 
 *Verification.* Each text in a family is shuffled once, to its family's task, which settles the exact components there:
 it compares nodes only while they are in different components, through an inverted index of full shingle sets.
-Families beyond ``family_rows`` are cut into blocks: all blocks are held against the family's most used bucket centre,
-and what doesn't link to it is a query set that is held against all blocks.  No list of pairs arises.
+Families beyond ``family_rows`` texts or ``family_shingles`` shingles are cut into blocks: all blocks are held against the
+family's most used bucket centre, and what doesn't link to it is a query set that is held against all blocks.  No list
+of pairs arises.
+
+A node's text is fetched by id and text hash, once however often the row repeats, so null and repeated ids cost no more
+than others.
 
 Defined cases: null and empty texts have no shingles and link with nothing (their component is their own id); a text
 with fewer words than a shingle is one shingle; equal ids with different texts are told apart by their sets; a null id
@@ -37,18 +41,21 @@ SHINGLE = 5
 PERCENT = 80
 #: Chance, at most, that a pair just at the threshold shares no bucket.
 MISS = 1e-6
-#: Coordinates of a sketch, at most.
+#: Coordinates of a sketch, unless bands of one row need more.
 COORDINATES = 400
-#: Nodes that one verification task takes whole.
-FAMILY_ROWS = 4000
+#: Nodes, and shingles of all of them, that one verification task takes whole.
+FAMILY_ROWS = 1000
+FAMILY_SHINGLES = 1_000_000
 
 
 def banding(percent: int) -> tuple[int, int]:
-    """``(bands, rows)``: the most rows whose bands keep ``MISS`` within ``COORDINATES``."""
-    s, best = percent / 100, (COORDINATES, 1)
+    """``(bands, rows)``: the most rows whose bands keep ``MISS`` within ``COORDINATES``; one row if none do."""
+    if not 1 <= percent <= 100:
+        raise ValueError("percent is from 1 to 100")
+    s, best = percent / 100, (0, 0)
     for rows in range(1, 33):
         bands = math.ceil(math.log(MISS) / math.log1p(-(s**rows))) if s < 1 else 1
-        if bands * rows <= COORDINATES:
+        if bands * rows <= COORDINATES or rows == 1:
             best = (bands, rows)
     return best
 
@@ -153,10 +160,11 @@ def spanning_links(sets: Sets, label: np.ndarray, query: np.ndarray | None = Non
             return links
 
 
-def near_duplicates(documents: DataFrame, percent: int = PERCENT, width: int = SHINGLE, family_rows: int = FAMILY_ROWS) -> DataFrame:
+def near_duplicates(documents: DataFrame, percent: int = PERCENT, width: int = SHINGLE, family_rows: int = FAMILY_ROWS, family_shingles: int = FAMILY_SHINGLES) -> DataFrame:
     """Per row: ``doc_id, n_shingles, component_id, kept`` (``kept``: its id is the component's)."""
     bands, rows = banding(percent)
     kind = dict(documents.dtypes)["doc_id"]
+    texts = documents.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -164,20 +172,21 @@ def near_duplicates(documents: DataFrame, percent: int = PERCENT, width: int = S
             sets = [shingle_set(t, width, hashes) for t in texts_of(batch)]
             keys = band_keys(sketches(sets, bands * rows), bands, rows)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([signature(s) if len(s) else None for s in sets], pa.binary()), pa.array([k if len(s) else None for k, s in zip(keys, sets, strict=True)], pa.list_(pa.int64()))],
-                names=["doc_id", "n_shingles", "sig", "bands"],
+                [batch.column("doc_id"), batch.column("text_hash"), pa.array([len(s) for s in sets], pa.int64()), pa.array([signature(s) if len(s) else None for s in sets], pa.binary()), pa.array([k if len(s) else None for k, s in zip(keys, sets, strict=True)], pa.list_(pa.int64()))],
+                names=["doc_id", "text_hash", "n_shingles", "sig", "bands"],
             )
 
-    sketched = cut(documents.select("doc_id", "text").mapInArrow(sketch, f"doc_id {kind}, n_shingles long, sig binary, bands array<long>"))
-    nodes = sketched.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("rep"))
+    sketched = cut(texts.mapInArrow(sketch, f"doc_id {kind}, text_hash long, n_shingles long, sig binary, bands array<long>"))
+    # Rows of one set agree in its size and bands; the text comes from the least of them, known ids first.
+    source = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "text_hash"))
+    nodes = sketched.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("rep"), source.alias("source"), F.any_value("n_shingles").alias("n_shingles"), F.any_value("bands").alias("bands"))
     nodes = cut(nodes.withColumn("node", F.monotonically_increasing_id()))
-    chosen = sketched.join(nodes, "sig").where("doc_id <=> rep")
-    banded = chosen.select("node", F.explode("bands").alias("key"))
+    banded = nodes.select("node", F.explode("bands").alias("key"))
     buckets = banded.groupBy("key").agg(F.min("node").alias("centre"), F.max("node").alias("other")).where("centre < other")
     stars = banded.join(buckets.select("key", "centre"), "key").where("node <> centre")
     edges = cut(stars.groupBy("node", "centre").agg(F.count("*").alias("shared")))
     families = components(edges.select(F.col("node").alias("u"), F.col("centre").alias("v")))
-    links = _verified(documents, nodes, edges, families, percent, width, family_rows)
+    links = _verified(texts, nodes, edges, families, percent, width, family_rows, family_shingles)
     roots = components(links)
     placed = nodes.join(roots, "node", "left").select("sig", "rep", F.coalesce("root", "node").alias("root"))
     least = placed.groupBy("root").agg(F.min("rep").alias("component_id"))
@@ -191,65 +200,65 @@ LINKS = "u long, v long"
 _LINKS = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
 
-def _sets_of(group: pa.Table, percent: int, width: int) -> tuple[Sets, np.ndarray, pa.Table]:
-    """Sets of a task's rows, their nodes, and the rows (without those whose id had another text)."""
+def _sets_of(group: pa.Table, percent: int, width: int) -> tuple[Sets, np.ndarray]:
+    """Sets of a task's rows, and their nodes."""
     hashes = WordHashes()
     sets = [shingle_set(t, width, hashes) for t in group.column("text").cast(pa.large_binary()).to_pylist()]
-    good = [signature(s) == sig for s, sig in zip(sets, group.column("sig").to_pylist(), strict=True)]
-    group = group.filter(pa.array(good))
-    return Sets([s for s, g in zip(sets, good, strict=True) if g], percent), group.column("node").to_numpy(), group
+    return Sets(sets, percent), group.column("node").to_numpy()
 
 
 def _table(nodes: np.ndarray, links: list[tuple[int, int]]) -> pa.Table:
     return pa.table({"u": pa.array([int(nodes[a]) for a, _ in links], pa.int64()), "v": pa.array([int(nodes[b]) for _, b in links], pa.int64())}, schema=_LINKS)
 
 
-def _verified(documents: DataFrame, nodes: DataFrame, edges: DataFrame, families: DataFrame, percent: int, width: int, family_rows: int) -> DataFrame:
+def _verified(texts: DataFrame, nodes: DataFrame, edges: DataFrame, families: DataFrame, percent: int, width: int, family_rows: int, family_shingles: int) -> DataFrame:
     """Links ``u, v`` that span the exact components."""
     members = families.select("node", F.col("root").alias("family")).unionByName(families.select(F.col("root").alias("node"), F.col("root").alias("family")).distinct())
-    sizes = families.groupBy(F.col("root").alias("family")).agg((F.count("*") + 1).alias("size"))
-    members = cut(members.join(sizes, "family").join(nodes, "node"))
-    texts = documents.select(F.col("doc_id").alias("rep"), "text").join(members.withColumnRenamed("rep", "rep_"), F.col("rep").eqNullSafe(F.col("rep_"))).drop("rep", "rep_")
+    members = members.join(nodes.select("node", "n_shingles", F.col("source.doc_id").alias("source_id"), F.col("source.text_hash").alias("source_hash")), "node")
+    blocks = F.greatest(F.ceil(F.count("*") / family_rows), F.ceil(F.sum("n_shingles") / family_shingles)).cast("int")
+    members = cut(members.join(members.groupBy("family").agg(blocks.alias("blocks")), "family").drop("n_shingles"))
+    same = F.col("doc_id").eqNullSafe(F.col("source_id")) & (F.col("text_hash") == F.col("source_hash"))
+    # Rows that repeat id and text collapse before the shuffle.
+    placed = texts.join(members, same).groupBy("node", "family", "blocks").agg(F.any_value("text").alias("text"))
 
     def whole(group: pa.Table) -> pa.Table:
-        sets, own, _ = _sets_of(group, percent, width)
+        sets, own = _sets_of(group, percent, width)
         return _table(own, spanning_links(sets, np.arange(len(own))))
 
-    small = texts.where(F.col("size") <= family_rows).groupBy("family").applyInArrow(whole, LINKS)
-    if not members.where(F.col("size") > family_rows).limit(1).count():
+    small = placed.where("blocks = 1").groupBy("family").applyInArrow(whole, LINKS)
+    if not members.where("blocks > 1").limit(1).count():
         return small
-    return small.unionByName(_large(texts.where(F.col("size") > family_rows), edges, families, percent, width, family_rows))
+    return small.unionByName(_large(placed.where("blocks > 1"), edges, families, percent, width))
 
 
-def _large(texts: DataFrame, edges: DataFrame, families: DataFrame, percent: int, width: int, family_rows: int) -> DataFrame:
+def _large(texts: DataFrame, edges: DataFrame, families: DataFrame, percent: int, width: int) -> DataFrame:
     """Large families in blocks: first all against one centre, then what is left against all."""
     votes = edges.join(families.withColumnRenamed("root", "family"), "node").groupBy("family", "centre").agg(F.sum("shared").alias("votes"))
     centres = votes.groupBy("family").agg(F.max_by("centre", F.struct("votes", "centre")).alias("centre"))
-    blocks = F.ceil(F.col("size") / family_rows).cast("int")
-    rows = texts.join(centres, "family").withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int"))
-    is_centre = F.col("node") == F.col("centre")
-    spread = rows.where(is_centre).withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).unionByName(rows.where(~is_centre))
+    rows = cut(texts.join(centres, "family").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")))
+    is_centre, every_block = F.col("node") == F.col("centre"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    spread = rows.where(is_centre).withColumn("block", every_block).unionByName(rows.where(~is_centre))
 
     def against_centre(group: pa.Table) -> pa.Table:
-        sets, own, kept = _sets_of(group, percent, width)
-        centre = np.flatnonzero(own == kept.column("centre")[0].as_py()) if len(own) else []
+        sets, own = _sets_of(group, percent, width)
+        centre = np.flatnonzero(own == group.column("centre")[0].as_py()) if len(own) else []
         near = sets.linked(int(centre[0])) if len(centre) else []
         return _table(own, [(int(y), int(centre[0])) for y in near if own[y] != own[centre[0]]])
 
     first = cut(spread.groupBy("family", "block").applyInArrow(against_centre, LINKS))
-    left = rows.join(first.select(F.col("u").alias("node")).distinct(), "node", "left_anti").where(~is_centre).select("node").distinct()
+    left = rows.join(first.select(F.col("u").alias("node")).distinct(), "node", "left_anti").where(~is_centre).select("node")
     left = cut(left.withColumn("left", F.lit(True)))
     flagged = rows.join(left, "node", "left").withColumn("left", F.coalesce("left", F.lit(False)))
     # Query rows of block q meet every block b; only blocks that have any are asked.
     asked = flagged.where("left").select("family", F.col("block").alias("q")).distinct()
     base = flagged.join(asked, "family").withColumn("asks", F.lit(False)).withColumn("b", F.col("block"))
-    query = flagged.where("left").withColumn("q", F.col("block")).withColumn("asks", F.lit(True)).withColumn("b", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    query = flagged.where("left").withColumn("q", F.col("block")).withColumn("asks", F.lit(True)).withColumn("b", every_block)
     meet = base.unionByName(query.select(base.columns))
 
     def against_block(group: pa.Table) -> pa.Table:
-        sets, own, kept = _sets_of(group, percent, width)
+        sets, own = _sets_of(group, percent, width)
         _, label = np.unique(own, return_inverse=True)  # a node that asks and is asked is one
-        return _table(own, spanning_links(sets, label, kept.column("asks").to_numpy(zero_copy_only=False)))
+        return _table(own, spanning_links(sets, label, group.column("asks").to_numpy(zero_copy_only=False)))
 
     second = meet.groupBy("family", "q", "b").applyInArrow(against_block, LINKS)
     return first.unionByName(second)

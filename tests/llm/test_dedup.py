@@ -77,6 +77,27 @@ def test_near(spark, percent, family_rows):
     assert sorted(map(tuple, got)) == brute_near(rows, percent)
 
 
+def test_near_by_shingles(spark):
+    """A family of few but long texts is cut into blocks as well."""
+    rows = [(i, " ".join(f"{w}_{k}" for k in range(20) for w in x.split()), s) for i, x, s in chained(n=24)]
+    got = N.near_duplicates(frame(spark, rows), 85, family_shingles=20_000).collect()
+    assert max(r["n_shingles"] for r in got) > 2500 and sorted(map(tuple, got)) == brute_near(rows, 85)
+
+
+def test_near_one_id_for_all(spark):
+    """Null ids, one id on all rows, and one row many times: no row meets the others of its id."""
+    rng = np.random.default_rng(2)
+    texts = [" ".join(f"u{k}" for k in rng.integers(0, 50_000, 60)) for _ in range(2500)]
+    near = [t.replace(" ", f" x{i} ", 1) for i, t in enumerate(texts)]
+    for i in (None, 7):
+        rows = [(i, t, "s") for t in texts + near + [texts[0]] * 5000]
+        got = N.near_duplicates(frame(spark, rows)).collect()
+        assert len(got) == 10_000 and {(r["component_id"], r["kept"]) for r in got} == {(i, True)}
+    rows = [(k, t, "s") for k, t in enumerate(texts + near)] + [(0, texts[0], "s")] * 5000
+    got = N.near_duplicates(frame(spark, rows)).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in got) == sorted((i, i % 2500) for i, *_ in rows)
+
+
 def test_near_odd_ids(spark):
     rows = [(None, "a b c d e f", "s"), (1, "a b c d e f", "s"), (1, "x y z", "s"), (2, "x y z", "s"), (2, None, "s"), (2, None, "s")]
     got = sorted(map(str, N.near_duplicates(frame(spark, rows)).collect()))
@@ -108,6 +129,13 @@ def test_banding():
         assert bands * rows <= N.COORDINATES and (1 - (percent / 100) ** rows) ** bands <= N.MISS * 1.01
 
 
+    for percent in (1, 2, 5, 40, 100):
+        bands, rows = N.banding(percent)
+        assert (1 - (percent / 100) ** rows) ** bands <= N.MISS * 1.01
+    with pytest.raises(ValueError, match="percent"):
+        N.banding(0)
+
+
 def test_components(spark):
     rng = np.random.default_rng(1)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 60, (40, 2))] + [(k, k + 1) for k in range(100, 130)]
