@@ -13,30 +13,34 @@ starts at a multiple of that size in its document.  So:
    maximal exact repeats.
 3. *Removal.* Each chunk drops the words that repeated windows cover.
 
-Chunks are groups of a bounded size in one shuffled copy of the texts, which all three steps share.
+Chunks are groups of a bounded size in one shuffled copy of the texts, which all three steps share.  A row goes to a
+chunk by the hash of all its columns; rows that are equal in all of them more than ``COPIES`` times are dealt to several.
+Every row of an exchange packs all hashes that a chunk has for a bucket, so there are never more rows than distinct
+hashes of each chunk, and at ordinary sizes some thousand times fewer.
 
 Defined cases: null and empty texts have no words and the hash of the empty string; documents under ``window`` words
 keep all; repeated rows count as places of their own, so equal rows lose all repeated words alike; null ``doc_id``
-passes through; other columns are ignored (``remove_repeats`` carries those it is told to).
+passes through; other columns are ignored (``remove_repeats`` carries those it is told to, and raises if one is named like
+a result).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from takeline.llm.common import WordHashes, rolling
+from takeline.llm.common import WordHashes, cut, rolling
 
 WINDOW = 35
 #: Characters of text in a chunk, about.
 CHUNK_CHARS = 6_000_000
-#: Characters of text whose hashes make one bucket, about: a few million entries at most.
-BUCKET_CHARS = 12_000_000
+#: Characters of text whose hashes make one bucket, about: some million entries at most.
+BUCKET_CHARS = 24_000_000
+#: Equal rows that go to one chunk, at most; and texts that do so more often, whose table is broadcast, at most.
+COPIES, SEND_COPIED = 64, 100_000
 
 _ANCHOR, _MANY = np.uint64(1), np.uint64(2)
 
@@ -77,11 +81,20 @@ def _bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
     return ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
 
 
-def _send(chunk: int, keys: np.ndarray, body: np.ndarray, buckets: int) -> Iterator[dict]:
+def _packed(owner: str, buckets: np.ndarray, name: str, value: int, body: np.ndarray, at: np.ndarray) -> pa.Table:
+    """Rows of ``_SENT``: slice ``at[k]`` to ``at[k + 1]`` of the body for the ``k``-th number of column ``owner``; empty slices go."""
+    full = at[1:] > at[:-1]
+    offsets = np.r_[at[:-1][full], at[-1:]] * body.itemsize  # full slices touch each other
+    packed = pa.LargeBinaryArray.from_buffers(pa.large_binary(), int(full.sum()), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(body.tobytes())])
+    columns = {owner: pa.array(buckets[full]), name: pa.array(np.full(int(full.sum()), value)), "body": packed.cast(pa.binary())}
+    return pa.table({f.name: columns[f.name].cast(f.type) for f in _SENT}, schema=_SENT)
+
+
+def _send(chunk: int, keys: np.ndarray, body: np.ndarray, buckets: int) -> pa.Table:
     """Rows ``bucket, chunk, body`` of sorted keys."""
-    at = np.searchsorted(_bucket_of(keys, buckets), np.arange(buckets + 1, dtype=np.uint64))
-    for b in np.flatnonzero(at[1:] > at[:-1]).tolist():
-        yield {"bucket": b, "chunk": chunk, "body": body[at[b] : at[b + 1]].tobytes()}
+    bucket = _bucket_of(keys, buckets).astype(np.int64)
+    first = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.zeros(0, np.int64)
+    return _packed("bucket", bucket[first], "chunk", chunk, body, np.r_[first, len(body)])
 
 
 _SENT = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("body", pa.binary())])
@@ -101,7 +114,7 @@ def _anchors(width: int, buckets: int):
         marks = np.where(chunk.position(len(h)) % width == 0, _ANCHOR, np.uint64(0))
         keys, marks = _once(h[inside], marks[inside])
         body = (_short(keys, buckets) << np.uint64(2) | marks).astype("<u4")
-        return pa.Table.from_pylist(list(_send(group.column("chunk")[0].as_py(), keys, body, buckets)), _SENT)
+        return _send(group.column("chunk")[0].as_py(), keys, body, buckets)
 
     return run
 
@@ -128,13 +141,10 @@ def _hits(kind: str):
             good &= joined & _ANCHOR > 0
         hit = np.zeros(len(entry), bool)
         hit[order] = np.repeat(good, count)
-        rows, at, bucket = [], 0, group.column("bucket")[0].as_py()
-        for chunk, part in zip(group.column("chunk").to_pylist(), parts, strict=True):
-            mine = part[hit[at : at + len(part)]]
-            at += len(part)
-            if len(mine):
-                rows.append({"bucket": bucket, "chunk": chunk, "body": (mine >> 2 if kind == "anchors" else mine).tobytes()})
-        return pa.Table.from_pylist(rows, _SENT)
+        ends = np.cumsum(np.array([len(p) for p in parts]))
+        mine = entry[hit]
+        told = np.r_[0, np.cumsum(hit)[ends - 1]]  # each chunk's hits are neighbours
+        return _packed("chunk", group.column("chunk").to_numpy(), "bucket", group.column("bucket")[0].as_py(), mine >> 2 if kind == "anchors" else mine, told)
 
     return run
 
@@ -172,12 +182,12 @@ def _candidates(width: int, window: int, buckets: int):
         first = np.flatnonzero(np.r_[True, (wide[1:] != wide[:-1]) | (more[1:] != more[:-1])])
         body = np.zeros(len(first), _WIDE)
         body["key"], body["more"], body["many"] = wide[first], more[first], np.diff(np.r_[first, len(wide)]) > 1
-        return pa.Table.from_pylist(list(_send(docs.column("chunk")[0].as_py(), wide[first], body, buckets)), _SENT)
+        return _send(docs.column("chunk")[0].as_py(), wide[first], body, buckets)
 
     return run
 
 
-def _removed(window: int, carry: list[str], schema: pa.Schema):
+def _removed(window: int, schema: pa.Schema):
     def run(docs: pa.Table, hits: pa.Table) -> pa.Table:
         if not docs.num_rows:
             return schema.empty_table()
@@ -199,22 +209,41 @@ def _removed(window: int, carry: list[str], schema: pa.Schema):
         kept = []
         for words, a, n in zip(chunk.words, chunk.first.tolist(), n_removed.tolist(), strict=True):
             kept.append(b" ".join(words if not n else [w for w, x in zip(words, gone[a : a + len(words)].tolist(), strict=True) if not x]).decode())
-        own = {"n_words": pa.array(chunk.sizes), "n_removed": pa.array(n_removed), "kept_text": pa.array(kept, pa.string())}
-        return pa.Table.from_arrays([own[n] if n in own else docs.column(n).cast(schema.field(n).type).combine_chunks() for n in schema.names], schema=schema.remove_metadata())
+        own = {"n_words": pa.array(chunk.sizes), "n_removed": pa.array(n_removed), "kept_text": pa.array(kept, pa.string()), "text": docs.column("text").combine_chunks()}
+        carried = docs.column("carried").combine_chunks()
+        columns = [own[f.name] if f.name in own else carried.field(f.name) for f in schema]
+        return pa.Table.from_arrays([c.cast(f.type) for c, f in zip(columns, schema, strict=True)], schema=schema.remove_metadata())
 
     return run
 
 
+def _dealt(documents: DataFrame, carry: list[str], chunk_chars: int) -> tuple[DataFrame, int]:
+    """``chunk, carried, text`` and the characters of all texts."""
+    hashed = [c for c, kind in documents.select(*carry, "text").dtypes if "map<" not in kind and "variant" not in kind]
+    docs = documents.select(F.struct(F.lit(0).alias("_"), *(c for c in carry if c != "text")).alias("carried"), "text", F.xxhash64(*dict.fromkeys(hashed)).alias("row_hash"))
+    counts = cut(docs.groupBy("row_hash").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars")))
+    sums = counts.agg(F.sum("chars").alias("chars"), F.count_if(F.col("n") > COPIES).alias("copied")).first()
+    chars = sums["chars"] or 0
+    spread = F.lit(0)
+    if sums["copied"]:
+        copied = counts.where(F.col("n") > COPIES).select("row_hash", F.ceil(F.col("n") / COPIES).alias("parts"))
+        docs = docs.join(F.broadcast(copied) if sums["copied"] <= SEND_COPIED else copied, "row_hash", "left")
+        # Only equal rows are told apart by their place, so a task that runs again may number them otherwise.
+        spread = F.when(F.col("parts").isNotNull(), F.pmod(F.monotonically_increasing_id(), F.col("parts"))).otherwise(0)
+    chunk = F.pmod(F.xxhash64("row_hash", spread), F.lit(max(1, -(-chars // chunk_chars))))
+    return docs.select(chunk.alias("chunk"), "carried", "text"), chars
+
+
 def remove_repeats(documents: DataFrame, window: int = WINDOW, carry: tuple[str, ...] = ("doc_id",), chunk_chars: int = CHUNK_CHARS, bucket_chars: int = BUCKET_CHARS) -> DataFrame:
     """Per row: the ``carry`` columns, ``n_words``, ``n_removed`` and ``kept_text`` (kept words joined by one space)."""
     if window < 2:
         raise ValueError("a window has two words at least")
-    width = (window + 1) // 2
     carry_list = list(carry)
-    chars = documents.agg(F.sum(F.length("text"))).first()[0] or 0
-    chunks, buckets = max(1, -(-chars // chunk_chars)), max(1, -(-chars // bucket_chars))
-    columns = list(dict.fromkeys([*carry_list, "text"]))
-    docs = documents.select(F.pmod(F.xxhash64(*columns), F.lit(chunks)).alias("chunk"), *columns)
+    if clash := {"n_words", "n_removed", "kept_text"} & set(carry_list):
+        raise ValueError(f"carried columns are named like results: {sorted(clash)}")
+    width = (window + 1) // 2
+    docs, chars = _dealt(documents, carry_list, chunk_chars)
+    buckets = max(1, -(-chars // bucket_chars))
     docs = docs.repartition(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), "chunk")
     by_chunk = docs.groupBy("chunk")
     anchors = by_chunk.applyInArrow(_anchors(width, buckets), _SENT_SQL).groupBy("bucket").applyInArrow(_hits("anchors"), _SENT_SQL)
@@ -225,4 +254,4 @@ def remove_repeats(documents: DataFrame, window: int = WINDOW, carry: tuple[str,
     schema = to_arrow_schema(carried)
     for name, kind in (("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string())):
         schema = schema.append(pa.field(name, kind))
-    return by_chunk.cogroup(repeats.groupBy("chunk")).applyInArrow(_removed(window, carry_list, schema), sql)
+    return by_chunk.cogroup(repeats.groupBy("chunk")).applyInArrow(_removed(window, schema), sql)

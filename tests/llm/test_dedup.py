@@ -36,6 +36,21 @@ def test_repeats_carry_and_empty(spark):
     assert S.remove_repeats(df.limit(0)).count() == 0
 
 
+def test_repeats_of_one_row(spark, monkeypatch):
+    """Rows equal in all columns are dealt to several chunks; columns may be named like the operator's own."""
+    monkeypatch.setattr(S, "COPIES", 4)
+    rows = documents()[:30] + [(None, documents()[2][1], "s")] * 40 + [(1, None, None)] * 9
+    df = frame(spark, rows).selectExpr("doc_id", "text", "source", "1 as chunk", "2 as carried", "3 as row_hash", "4 as parts", "5 as bucket")
+    docs, _ = S._dealt(df, ["doc_id"], 500)
+    assert docs.where("carried.doc_id is null").select("chunk").distinct().count() >= 5
+    kept = S.remove_repeats(df, carry=tuple(df.columns), chunk_chars=500).collect()
+    assert sorted((str(r["doc_id"]), r["n_words"], r["n_removed"], r["kept_text"]) for r in kept) == sorted((str(i), n, k, x) for i, n, k, x in brute_repeats([(str(i), x) for i, x, _ in rows], 35))
+    assert {(r["chunk"], r["carried"], r["row_hash"], r["parts"], r["bucket"]) for r in kept} == {(1, 2, 3, 4, 5)}
+    assert sorted(str((r["doc_id"], r["text"], r["source"])) for r in kept) == sorted(str(r) for r in rows)
+    with pytest.raises(ValueError, match="n_words"):
+        S.remove_repeats(df.selectExpr("*", "1 n_words"), carry=("n_words",))
+
+
 def brute_near(rows, percent):
     sets = []
     for _, x, *_ in rows:
