@@ -23,11 +23,16 @@ STEP_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that every executor sees: ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """Folder that every executor sees: ``spark.checkpoint.dir``.
+
+    Where that is unset, a local session gets a temporary folder, and a cluster, whose machines share none, an error.
+    """
     sc = spark.sparkContext
     known = sc.getCheckpointDir()
     if known is None:
         known = spark.conf.get("spark.checkpoint.dir", None)
+        if known is None and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(known or tempfile.mkdtemp(prefix="takeline-"))
         known = sc.getCheckpointDir()
     return known
@@ -40,8 +45,21 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def scratch_table(spark: SparkSession, label: str) -> str:
-    """A fresh path for a written table in the shared folder."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    """A fresh path for a written table in the shared folder; ``remove_scratch`` removes those of this application."""
+    return f"{_scratch(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def _scratch(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/scratch-{spark.sparkContext.applicationId}"
+
+
+def remove_scratch(spark: SparkSession, path: str | None = None) -> None:
+    """Remove a written table, or all of this application's, once no result is read from them any more."""
+    path = path or _scratch(spark)
+    if not path.startswith(_scratch(spark)):
+        raise ValueError(f"{path} is no scratch table of this application")
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -13,7 +13,7 @@ Decoding looks up ``MAX_BITS`` bits in a table and runs all lanes of a block at
 
 Order: ascending ``doc_id`` (nulls first; equal ones by a hash of their ids), by range partitioning and a sort in each partition.
 Defined cases: null text is empty (one end id); repeated rows are all kept; other columns are ignored; an empty table
-gives an empty dataset.
+gives an empty dataset; more than 65,536 different ids have no codes of ``MAX_BITS`` bits and raise.
 """
 
 from __future__ import annotations

@@ -12,6 +12,9 @@ runs over all documents in Arrow batches without a shuffle.
 Defined cases: null and empty texts have no terms and score as the bias does; rows without a label, or with a null id
 or label, are not learnt from; without learnable rows of both labels every score is 0; repeated rows are scored each;
 other columns are ignored; an empty table gives no rows.
+
+Terms are chosen by what each says about the label, so a pair is learnt if both its terms say something alone as well; a
+pair of terms that are each even between the labels is not.  ``MAX_TERMS`` and ``MIN_GAIN`` bound the model, not the rows.
 """
 
 from __future__ import annotations
@@ -134,11 +137,16 @@ def best_cut(z: np.ndarray, y: np.ndarray) -> float:
 
 
 def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, max_rows: int, keep=None) -> DataFrame:
-    """``text, y`` of at most ``max_rows`` labelled rows, chosen by a hash of the id; the small side is bounded by it."""
+    """``doc_id, text, y`` of at most ``max_rows`` labelled rows, chosen by a hash of the id.
+
+    An id with several labels or texts counts once, with the least of each, so rows that repeat an id don't add up.
+    """
     rows = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
     rows = rows if keep is None else rows.where(keep(F.col("doc_id")))
-    chosen = rows.select("doc_id", F.col(label).cast("int").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(max_rows)
-    return documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y")
+    labelled = rows.groupBy("doc_id").agg(F.min(F.col(label).cast("int")).alias("y"))
+    chosen = labelled.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
+    found = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    return found.groupBy("doc_id", "y").agg(F.min("text").alias("text")).select("doc_id", "text", "y")
 
 
 def learn(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Machine | None:
@@ -157,7 +165,8 @@ def learn(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) ->
 
 
 def score(documents: DataFrame, machine: Machine | None, threshold: float = THRESHOLD) -> DataFrame:
-    """Add ``score`` and ``predicted`` to the table."""
+    """Add ``score`` and ``predicted`` to the table, in place of columns of that name."""
+    documents = documents.drop("score", "predicted")
     schema = documents.select("*", F.lit(0.0).alias("score"), F.lit(0).alias("predicted")).schema
     sent = machine
 

@@ -83,7 +83,8 @@ def rarest_index(rules: tuple[Rule, ...], counts: dict[str, int]) -> dict[str, l
 
 
 def judge(parts: DataFrame, rules: tuple[Rule, ...], default: str = "allow", send_rules: int = SEND_RULES) -> DataFrame:
-    """Add ``rule`` and ``verdict`` to a table with ``host`` and ``path``."""
+    """Add ``rule`` and ``verdict`` to a table with ``host`` and ``path``, in place of columns of that name."""
+    parts = parts.drop("rule", "verdict")
     index = rarest_index(rules, token_counts(parts, rules))
     if len(rules) > send_rules:
         return _judge_by_join(parts, index, default)
@@ -114,5 +115,6 @@ def _judge_by_join(parts: DataFrame, index: dict[str, list[Rule]], default: str)
     urls = parts.select("host", "path").distinct()
     fits = urls.withColumn("token", F.explode(_tokens_column())).join(table, "token").where(F.expr("concat(host, '\\n', path) rlike regex"))
     best = fits.groupBy("host", "path").agg(F.max_by(F.struct("name", "rule_verdict"), F.struct("rule_order", "regex")).alias("best"))
-    out = parts.join(best, ["host", "path"], "left")
-    return out.select(*[F.col(c) for c in parts.columns], F.col("best.name").alias("rule"), F.coalesce("best.rule_verdict", F.lit(default)).alias("verdict"))
+    rows = parts.select(F.struct("*").alias("row"), "host", "path")
+    out = rows.join(best, ["host", "path"], "left")
+    return out.select("row.*", F.col("best.name").alias("rule"), F.coalesce("best.rule_verdict", F.lit(default)).alias("verdict"))

@@ -185,6 +185,20 @@ def test_toxicity(spark):
     assert T.score(df.limit(0), none).count() == 0
 
 
+def test_clashing_columns_and_bounded_sample(spark):
+    """Columns named like results are replaced; rows that repeat a labelled id are learnt from once."""
+    df, labels, docs, marks = labelled(spark)
+    named = df.selectExpr("doc_id", "text", "'x' score", "'y' predicted", "'z' kept", "1 y", "2 terms")
+    machine = T.learn(named, labels)
+    out = T.score(named, machine)
+    assert out.columns == ["doc_id", "text", "kept", "y", "terms", "score", "predicted"] and out.where("kept = 'z' and y = 1 and score <= 1").count() == named.count()
+    many = df.unionByName(df.where("doc_id = 3")).unionByName(df.where("doc_id = 3").selectExpr("doc_id", "concat(text, ' more') text", "source", "component_id", "n"))
+    assert T.labelled_sample(many, labels.unionByName(labels), "toxic", 50).groupBy("doc_id").count().where("count > 1").count() == 0
+    assert T.labelled_sample(many, labels, "toxic", 50).count() <= 50
+    assert {tuple(r) for r in T.score(many.where("doc_id <> 3").select("doc_id", "text"), T.learn(many, labels)).collect()} == {tuple(r) for r in T.score(df.where("doc_id <> 3").select("doc_id", "text"), T.learn(df, labels)).collect()}
+    assert Q.judge(named, Q.learn(named, labels)).where("kept").count() > 0
+
+
 def brute_stats(text):
     w = split(text)
     three = [tuple(w[k : k + 3]) for k in range(len(w) - 2)]

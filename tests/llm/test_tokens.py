@@ -220,3 +220,26 @@ def test_weights_among_many_sources(spark):
                 sent[r["source_queue"]] += r["length"]
         assert abs(sent["s:s0"] - 48 * (w + 1)) <= 64 and abs(sent["s:s1"] - 16 * (w + 1)) <= 64
         assert sum(sent.values()) == sent["s:s0"] + sent["s:s1"]
+
+
+def test_scratch_tables(spark, monkeypatch):
+    """A cluster without a shared folder is an error; scratch tables can be removed, other paths not."""
+    path = common.scratch_table(spark, "some")
+    spark.range(3).write.parquet(path)
+    assert spark.read.parquet(path).count() == 3
+    common.remove_scratch(spark, path)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist"):
+        spark.read.parquet(path)
+    with pytest.raises(ValueError, match="no scratch table"):
+        common.remove_scratch(spark, "/root/testdata")
+
+    class Context:
+        master = "spark://host:7077"
+        getCheckpointDir = staticmethod(lambda: None)
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_dir(Session())

@@ -42,6 +42,13 @@ def test_rarest_token():
     assert set(U.rarest_index(rules, {"ads": 9, "track": 2, "adult": 5})) == {"track", "adult"}
 
 
+def test_judge_replaces_clashing_columns(spark):
+    df = U.with_parts(spark.createDataFrame([(i, u) for i, u in enumerate(URLS)], "page_id long, url string")).selectExpr("*", "1 rule", "2 verdict", "3 best", "4 name", "5 token", "6 regex")
+    for limit in (10**6, 1):
+        out = U.judge(df, U.SITE_RULES + U.WORD_RULES, send_rules=limit)
+        assert len(set(out.columns)) == len(out.columns) and out.where("best = 3 and name = 4 and token = 5 and regex = 6 and verdict in ('allow', 'block')").count() == len(URLS)
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var a="</p><article>x</article>";</script></head><body>
 <header><h1>Site</h1></header><nav><ul><li><a href=x>Menu one</a><li>Menu two</ul></nav><div class="cookie-notice">We use cookies</div>
 <article><h1>Head&amp;line</h1><p>First <b>bold</b> para&nbsp;graph with   some\n length to it, indeed a long one.<br>More<p>Short.
