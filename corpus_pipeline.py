@@ -1,5 +1,7 @@
 """A training corpus from ``documents``: toxicity, near-dedup, substring dedup, decontamination, packing.
 
+Needs ``takeline.llm``, of whose job it is a part.
+
 Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame that is written as Parquet and read again as the
 next stage's ``docs``.  All but the last return the columns of ``docs``.  A stage that drops documents names each by its
 id and text, so a decision about one row with a null or repeated id leaves the others with that id alone.  Rows that
@@ -13,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from takeline.llm import decontaminate, near_dedup, packing, substring_dedup, toxicity
-from takeline.llm.common import read_table, scratch_table
+from takeline.llm.common import read_table, remove_scratch, scratch_table
 
 #: SQL has no words for learnt scores and tokenizers.
 ORACLE_SQL = None
@@ -22,8 +24,9 @@ ORACLE_SQL = None
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the factorization machine rejects go."""
     machine = toxicity.learn(docs.select("doc_id", "text"), read_table(spark, sf_dir, "labels"))
-    own = [c for c in docs.columns if c not in ("score", "predicted")]
-    return toxicity.score(docs.select(*own), machine).where("predicted = 0").select(*own)
+    rows = docs.select("text", *(F.col(c).alias(f"own_{i}") for i, c in enumerate(docs.columns) if c != "text"))
+    kept = toxicity.score(rows, machine).where("predicted = 0")
+    return kept.select(*("text" if c == "text" else F.col(f"own_{i}").alias(c) for i, c in enumerate(docs.columns)))
 
 
 def document_key() -> Column:
@@ -33,18 +36,12 @@ def document_key() -> Column:
 
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """Rows of ``docs`` whose key is not a ``doc_id`` of ``gone``."""
-    gone = gone.select(F.col("doc_id").alias("gone_key"))
-    return docs.join(gone, document_key() == F.col("gone_key"), "left_anti")
-
-
-def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
-    judged = near_dedup.near_duplicates(docs.select(document_key().alias("doc_id"), "text"))
-    return without(docs, judged.where("not kept"))
+    gone = gone.select(F.col("doc_id").alias("key"))
+    return docs.select(F.struct("*").alias("row"), document_key().alias("key")).join(gone, "key", "left_anti").select("row.*")
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``drop_near_copies``, and one row stays of those that repeat id and text: the least by its columns."""
+    """One document of each group of near copies stays, and one row of those that repeat id and text: the least by its columns."""
     judged = near_dedup.near_duplicates(docs.select(document_key().alias("doc_id"), "text"))
     gone = judged.where("not kept").select(F.col("doc_id").alias("key"))
     row = F.struct(*docs.columns)
@@ -56,11 +53,14 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words of repeated passages are cut out; a document keeps its text to the byte if nothing is."""
-    others = tuple(c for c in docs.columns if c not in ("n_words", "n_removed", "kept_text"))
-    cut = substring_dedup.remove_repeats(docs.select(*others), carry=others)
-    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
-    named = {"text": text} | ({"n_chars": F.when(F.col("n_removed") > 0, F.length("kept_text").cast("long")).otherwise(F.col("n_chars"))} if "n_chars" in others else {})
-    return cut.select(*(named[c].alias(c) if c in named else c for c in others))
+    own = {c: f"own_{i}" for i, c in enumerate(docs.columns) if c != "text"}
+    rows = docs.select("text", *(F.col(c).alias(name) for c, name in own.items()))
+    cut = substring_dedup.remove_repeats(rows, carry=tuple(rows.columns))
+    changed = lambda new, old: F.when(F.col("n_removed") > 0, new).otherwise(F.col(old))
+    named = {c: F.col(name) for c, name in own.items()} | {"text": changed(F.col("kept_text"), "text")}
+    if "n_chars" in own:
+        named["n_chars"] = changed(F.length("kept_text").cast("long"), own["n_chars"])
+    return cut.select(*(named[c].alias(c) for c in docs.columns))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -84,9 +84,12 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
+    docs, before = read_table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = scratch_table(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:  # nothing reads it any more
+            remove_scratch(spark, before)
+        before = path
     return docs
