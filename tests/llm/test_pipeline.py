@@ -68,8 +68,8 @@ def test_null_and_repeated_ids(spark, tmp_path):
     schema = "doc_id long, text string, lang string, source string, n_chars long"
     row = lambda i, x: (i, " ".join(x), None, None, None)
     docs = spark.createDataFrame([row(7, a), row(None, a), row(None, b), row(8, a), row(8, c), row(None, d), row(None, d), (None, None, None, None, None), (9, "", None, None, None)], schema)
-    kept = sorted((r["doc_id"] or 0, r["text"] or "") for r in C.drop_near_copies(spark, docs, "").collect())
-    assert kept == sorted([(7, " ".join(a)), (0, " ".join(b)), (8, " ".join(c)), (0, " ".join(d)), (0, " ".join(d)), (0, ""), (9, "")])
+    kept = sorted((r["doc_id"] or 0, r["text"] or "") for r in C.keep_one_of_near_copies(spark, docs, "").collect())
+    assert kept == sorted([(7, " ".join(a)), (0, " ".join(b)), (8, " ".join(c)), (0, " ".join(d)), (0, ""), (9, "")])
 
     spark.createDataFrame([(0, " ".join(item))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     docs = spark.createDataFrame([row(None, a + item), row(None, b), row(5, b + item + c), row(5, d), (None, None, None, None, None)], schema)
@@ -92,6 +92,25 @@ def test_repeated_rows(spark):
         assert sorted(map(tuple, out.collect()), key=str) == sorted([(None, a, "en", "s", len(a)), (7, b, "de", "s", len(b)), (None, c, "en", "s", len(c)), (None, None, None, None, None)], key=str)
 
 
+def test_clashing_columns(spark, tmp_path):
+    """Columns named like the operators' own come through every filtering stage unchanged."""
+    sf_dir, _ = folder(spark, tmp_path)
+    names = ["score", "predicted", "n_words", "n_removed", "kept_text", "chunk", "key", "row", "gone_key", "sig", "node", "text_hash", "own_1", "carried"]
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("*", *(f"concat('{n}', doc_id) {n}" for n in names))
+    for name, stage in C.STAGES[:-1]:
+        out = stage(spark, docs, sf_dir)
+        out.write.parquet(path := f"{sf_dir}/clash-{name}")
+        docs = spark.read.parquet(path)
+        rows = docs.collect()
+        assert len(rows) > 100 and docs.columns[5:] == names
+        assert all(r[n] == f"{n}{r['doc_id']}" for r in rows for n in names)
+    assert packed_ids(C.STAGES[-1][1](spark, docs, sf_dir)) == {r["doc_id"] for r in rows}
+
+
+def packed_ids(pieces):
+    return {r["doc_id"] for r in pieces.select("doc_id").collect()}
+
+
 def test_run(spark, tmp_path):
     sf_dir, _ = folder(spark, tmp_path)
     assert queries.QUERIES["pipeline"](spark, sf_dir).count() > 0
