@@ -148,5 +148,53 @@ def direction(x: Column, length: float) -> Column:
     return F.transform(x, lambda v: (v - mean) * F.lit(length) / F.greatest(norm, F.lit(FLOOR)))
 
 
+def standardise(x: Column, mean: Column, scale: Column) -> Column:
+    return F.transform(F.zip_with(x, mean, lambda a, m: a - m), lambda v, i: v / F.get(scale, i))
+
+
+def roll(x: Column, k: int) -> Column:
+    """Elements moved ``k`` places on, those beyond the end to the front (``k`` < 0: back)."""
+    cut = F.size(x) - F.pmod(F.lit(k), F.greatest(F.size(x), F.lit(1)))
+    return F.concat(F.slice(x, cut + 1, F.size(x)), F.slice(x, F.lit(1), cut))
+
+
+def bag(heads: list[tuple[Column, float]]) -> Column:
+    """Mean of distributions, each at its own temperature."""
+    scaled = [temperature(p, t) for p, t in heads]
+    return F.transform(scaled[0], lambda x, i: sum((F.get(p, i) for p in scaled), F.lit(0.0)) / len(scaled))
+
+
+def scattered(p: Column, class_of: list[int], classes: int) -> Column:
+    """A head's distribution over its own classes, put at their places among all (others 0)."""
+    place = F.array(*(F.lit(class_of.index(c) if c in class_of else None).cast("int") for c in range(classes)))
+    return F.transform(place, lambda k: F.coalesce(F.get(p, k), F.lit(0.0)))
+
+
+def mixed_mass(target: Column, weight: Column, other: Column, other_weight: Column, part: float) -> Column:
+    """Target mass of a row mixed with another's: each keeps its own weight."""
+    return F.zip_with(F.transform(target, lambda x: x * weight * F.lit(part)), F.transform(other, lambda x: x * other_weight * F.lit(1 - part)), lambda a, b: a + b)
+
+
+def cache_parts(name: Column, builders: tuple[str, ...]) -> Column:
+    """``struct(builder, suffix)`` of ``<builder><suffix>_test.npz``; another name raises."""
+    stem = F.regexp_extract(F.element_at(F.split(name, "/"), -1), r"^(.*)_test(?:\.[^.]*)?$", 1)
+    builder = F.coalesce(*(F.when(F.startswith(stem, F.lit(b)), F.lit(b)) for b in builders), F.raise_error(F.concat(F.lit("no cache name: "), name)).cast("string"))
+    return F.struct(builder.alias("builder"), F.substring(stem, F.length(builder) + 1, F.length(stem)).alias("suffix"))
+
+
+def model_slot(key: Column) -> Column:
+    """``struct(stage, block, role, part)`` of a checkpoint key in either of two public dialects; null if it is in none.
+
+    Residual units: ``layerN.B.convK.{conv,bn}.part`` and ``blocks.N.res_blocks.B.branch2.{conv,norm}_k.part``.
+    """
+    in_layers = r"^(?:backbone\.)?layer(\d+)\.(\d+)\.conv([123])\.(conv|bn)\.(\w+)$"
+    in_blocks = r"^blocks\.(\d+)\.res_blocks\.(\d+)\.branch2\.(conv|norm)_([abc])\.(\w+)$"
+    a, b = (lambda k: F.regexp_extract(key, in_layers, k)), (lambda k: F.regexp_extract(key, in_blocks, k))
+    kind = F.when(a(4) == "bn", "norm_").otherwise("conv_")
+    first = F.struct(a(1).try_cast("int").alias("stage"), a(2).try_cast("int").alias("block"), F.concat(kind, F.translate(a(3), "123", "abc")).alias("role"), a(5).alias("part"))
+    second = F.struct(b(1).try_cast("int").alias("stage"), b(2).try_cast("int").alias("block"), F.concat_ws("_", b(3), b(4)).alias("role"), b(5).alias("part"))
+    return F.when(a(1) != "", first).when(b(1) != "", second)
+
+
 def linear(x: Column, w: Column, b: Column) -> Column:
     return total(F.zip_with(x, w, lambda a, c: a * c)) + b

@@ -1,11 +1,13 @@
 """Joint decoding of takes: labels of one take differ, neighbours follow the prior.
 
-Takes of up to three clips are exact in SQL.  Longer ones run a beam search per take in Arrow groups; a take has at
-most as many clips as there are classes, so a group is small.  Ties: the larger score, then the lower class.
+Takes of up to three clips are exact in SQL.  Longer ones run a beam search over gathered takes in Arrow batches; a take
+has at most as many clips as there are classes, so it is small.  Ties: the larger score, then the lower class.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -103,14 +105,23 @@ def decode_take(p: np.ndarray, prior: np.ndarray | None, mode: str) -> np.ndarra
 def decode_takes(takes: DataFrame, probabilities: DataFrame, prior: np.ndarray | None, mode: str = "map", classes: int = CLASSES) -> DataFrame:
     """``clip_id, take_id, label`` of takes that have at most ``classes`` clips with probabilities."""
     rows = takes.join(probabilities.select("clip_id", "p"), "clip_id").select("take_id", "position", "clip_id", "p")
-    small = rows.withColumn("_n", F.count("*").over(Window.partitionBy("take_id"))).where(F.col("_n") <= classes).drop("_n")
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["position", "clip_id"])
-        labels = decode_take(np.stack(group["p"].to_numpy()).astype(float), prior, mode)
-        return pd.DataFrame({"clip_id": group["clip_id"], "take_id": group["take_id"], "label": labels.astype("int32")})
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for take_id, members in zip(batch["take_id"], batch["members"], strict=True):
+                labels = decode_take(np.stack([m["p"] for m in members]).astype(float), prior, mode)
+                out += [(m["clip_id"], take_id, int(label)) for m, label in zip(members, labels, strict=True)]
+            yield pd.DataFrame(out, columns=["clip_id", "take_id", "label"])
+
+    return gathered(rows, ["take_id"], classes).mapInPandas(run, "clip_id string, take_id string, label int")
 
-    return small.groupBy("take_id").applyInPandas(run, "clip_id string, take_id string, label int")
+
+def gathered(rows: DataFrame, keys: list[str], classes: int, more: tuple[str, ...] = ()) -> DataFrame:
+    """A row per group with its ``members`` (``position, clip_id, p`` and more) in order; groups beyond ``classes`` rows go
+    before they are gathered."""
+    small = rows.withColumn("_n", F.count("*").over(Window.partitionBy(*keys))).where(F.col("_n") <= classes)
+    return small.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("position", "clip_id", "p", *more))).alias("members"))
 
 
 def decode_with_fallback(clips: DataFrame, takes: DataFrame, probabilities: DataFrame, prior: np.ndarray | None, mode: str = "map", classes: int = CLASSES, min_coverage: float = 0.5) -> DataFrame:
@@ -119,10 +130,13 @@ def decode_with_fallback(clips: DataFrame, takes: DataFrame, probabilities: Data
     Takes are decoded only if clips in a take and with probabilities are at least ``min_coverage`` of all.
     """
     inside = takes.join(clips, "clip_id", "left_semi")
-    decoded = decode_takes(inside, probabilities, prior, mode, classes).select("clip_id", F.col("label").alias("joint"))
-    enough = coverage(clips, inside, probabilities).select((F.col("coverage") >= min_coverage).alias("enough"))  # one row
-    out = clips.select("clip_id").join(probabilities.select("clip_id", argmax(F.col("p")).alias("own")), "clip_id", "left").join(decoded, "clip_id", "left").crossJoin(F.broadcast(enough))
-    joint = F.col("enough") & F.col("joint").isNotNull()
+    out = clips.select("clip_id").join(probabilities.select("clip_id", argmax(F.col("p")).alias("own")), "clip_id", "left")
+    if coverage(clips, inside, probabilities).first()["coverage"] >= min_coverage:
+        decoded = decode_takes(inside, probabilities, prior, mode, classes).select("clip_id", F.col("label").alias("joint"))
+        out = out.join(decoded, "clip_id", "left")
+    else:
+        out = out.withColumn("joint", F.lit(None).cast("int"))
+    joint = F.col("joint").isNotNull()
     return out.select(
         "clip_id", F.when(joint, F.col("joint")).otherwise(F.coalesce("own", F.lit(0))).alias("label"),
         F.when(joint, "decoded").when(F.col("own").isNotNull(), "argmax").otherwise("missing").alias("how"),
@@ -135,6 +149,24 @@ def coverage(clips: DataFrame, takes: DataFrame, probabilities: DataFrame) -> Da
     return clips.agg(F.count("*").alias("clips")).crossJoin(covered).withColumn("coverage", F.col("covered") / F.greatest("clips", F.lit(1)))
 
 
+def fallback_report(clips: DataFrame, takes: DataFrame, probabilities: DataFrame, classes: int = CLASSES, min_coverage: float = 0.5) -> DataFrame:
+    """One row: ``clips, takes, coverage, fell_back, filled_by_argmax, missing, oversize_takes`` of ``decode_with_fallback``."""
+    inside = takes.join(clips, "clip_id", "left_semi").join(probabilities.select("clip_id"), "clip_id", "left_semi")
+    sizes = inside.groupBy("take_id").agg(F.count("*").alias("n"))
+    over = sizes.agg(F.count_if(F.col("n") > classes).alias("oversize_takes"), F.coalesce(F.sum(F.when(F.col("n") <= classes, F.col("n"))), F.lit(0)).alias("decodable"))
+    known = probabilities.join(clips, "clip_id", "left_semi").agg(F.count("*").alias("known"))
+    row = coverage(clips, takes.join(clips, "clip_id", "left_semi"), probabilities).crossJoin(over).crossJoin(known).crossJoin(takes.agg(F.count_distinct("take_id").alias("takes")))
+    low = F.col("coverage") < min_coverage
+    filled = F.col("known") - F.when(low, 0).otherwise(F.col("decodable"))
+    missing = F.col("clips") - F.col("known")
+    return row.select("clips", "takes", "coverage", (low | (filled > 0) | (missing > 0)).alias("fell_back"), filled.alias("filled_by_argmax"), missing.alias("missing"), F.when(low, 0).otherwise(F.col("oversize_takes")).alias("oversize_takes"))
+
+
+def labels_of_rows(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """Labels in the order of a cache's rows ``row_no, clip_id``; -1 without one."""
+    return rows.join(labels.select("clip_id", "label"), "clip_id", "left").select("row_no", "clip_id", F.coalesce("label", F.lit(-1)).alias("label"))
+
+
 def check_inputs(clips: DataFrame, takes: DataFrame, probabilities: DataFrame) -> None:
     """Raise on duplicate ids, clips in two takes, and probabilities of unknown clips."""
     for rows, what in (

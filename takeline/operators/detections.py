@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from takeline.functions.columns import square_window
+from takeline.functions.columns import even_picks, square_window
+from takeline.operators.spans import ranked
 
 #: Thresholds of the acceptance rule, crop margin, least side and tile size by frame width.
 STRONG, WEAK, QUORUM, SPREAD, MARGIN, MIN_SIDE, TILE = 0.3, 0.1, 0.5, 0.1, 1.4, 0.35, 0.6
@@ -18,8 +19,11 @@ def best_per_probe(detections: DataFrame) -> DataFrame:
     return best.select("clip_id", "probe", "m.b.*", "m.score")
 
 
-def accept(boxes: DataFrame, width: int, probes: int = 8, strong: float = STRONG, weak: float = WEAK, quorum: float = QUORUM, spread: float = SPREAD) -> DataFrame:
-    """``clip_id, reason, n_detected, best_score`` by the rule strong / agree / sparse / scattered."""
+def accept(boxes: DataFrame, width: int, probes: int = 8, strong: float = STRONG, weak: float = WEAK, quorum: float = QUORUM, spread: float = SPREAD, clips: DataFrame | None = None) -> DataFrame:
+    """``clip_id, reason, n_detected, best_score`` by the rule strong / agree / sparse / scattered.
+
+    Of ``clips`` (``clip_id``), those without any box are ``none``.
+    """
     cx, cy = (F.col("x1") + F.col("x2")) / 2, (F.col("y1") + F.col("y2")) / 2
     good = F.col("score") >= weak
     stats = boxes.groupBy("clip_id").agg(
@@ -28,7 +32,11 @@ def accept(boxes: DataFrame, width: int, probes: int = 8, strong: float = STRONG
     need = max(2, round(quorum * probes))
     reason = F.when(F.col("best_score") >= strong, "strong").when(F.col("n") < need, "sparse").when(F.col("sd") > spread * width, "scattered").otherwise("agree")
     kept = F.when(reason.isin("strong", "agree"), F.col("n")).otherwise(0)
-    return stats.select("clip_id", reason.alias("reason"), kept.alias("n_detected"), "best_score")
+    found = stats.select("clip_id", reason.alias("reason"), kept.alias("n_detected"), "best_score")
+    if clips is None:
+        return found
+    every = clips.select("clip_id").join(found, "clip_id", "left")
+    return every.select("clip_id", F.coalesce("reason", F.lit("none")).alias("reason"), F.coalesce("n_detected", F.lit(0)).alias("n_detected"), F.coalesce("best_score", F.lit(0.0)).alias("best_score"))
 
 
 def person_windows(boxes: DataFrame, width: int, probes: int = 8, margin: float = MARGIN, min_side: float = MIN_SIDE, weak: float = WEAK, **rule: float) -> DataFrame:
@@ -74,10 +82,11 @@ def build_palette(counts: DataFrame, reference: DataFrame, min_pixels: int = 1)
     """
     part = lambda shift: F.shiftright("packed_rgb", shift).bitwiseAND(F.lit(255))
     seen = counts.where((F.col("packed_rgb") != 0) & (F.col("n") >= min_pixels)).select("packed_rgb")
-    near = seen.crossJoin(F.broadcast(reference)).withColumn("d", F.sqrt(sum((F.pow(part(s) - F.col(c), F.lit(2.0)) for s, c in ((16, "r"), (8, "g"), (0, "b"))), F.lit(0.0))))
-    best = near.groupBy("packed_rgb").agg(F.min(F.struct("d", "idx")).alias("m"))
-    order = Window.orderBy("m.idx", "m.d", "packed_rgb")  # colours of a palette: some hundred
-    placed = best.select("packed_rgb", (F.row_number().over(order) - 1).alias("i"), F.count("*").over(Window.partitionBy()).alias("k"))
+    colours = reference.agg(F.sort_array(F.collect_list(F.struct("idx", "r", "g", "b"))).alias("ref"))  # one row of 256 colours
+    distance = lambda c: F.sqrt(F.pow(part(16) - c["r"], F.lit(2.0)) + F.pow(part(8) - c["g"], F.lit(2.0)) + F.pow(part(0) - c["b"], F.lit(2.0)))
+    near = seen.crossJoin(F.broadcast(colours)).select("packed_rgb", F.array_min(F.transform("ref", lambda c: F.struct(distance(c).alias("d"), c["idx"].alias("idx")))).alias("m"))
+    order = ranked(near.select("packed_rgb", F.col("m.idx").alias("idx"), F.col("m.d").alias("d")), ["idx", "d", "packed_rgb"], "i")
+    placed = order.crossJoin(F.broadcast(order.agg(F.count("*").alias("k"))))
     return placed.select("packed_rgb", F.rint(F.when(F.col("k") > 1, F.col("i") * 254.0 / (F.col("k") - 1)).otherwise(0.0)).cast("int").alias("depth_rank"))
 
 
@@ -141,3 +150,37 @@ def patch_support(windows: DataFrame, height: int, width: int, grid: int = 14) -
         return F.greatest(F.least(a + step, F.lit(float(size))) - F.greatest(a, F.lit(0.0)), F.lit(0.0)) / step
 
     return cells.select("clip_id", "gy", "gx", (share(F.col("top"), F.col("bottom"), F.col("gy"), height) * share(F.col("left"), F.col("right"), F.col("gx"), width)).alias("support"))
+
+
+def stretched(pixels: DataFrame, low: float = 0.01, high: float = 0.995) -> DataFrame:
+    """``clip_id, frame_no, y, x, value``: each frame's values spread from two percentiles to 0..255; a flat frame stays."""
+    levels = pixels.groupBy("clip_id", "frame_no").agg(F.percentile("value", low).alias("low"), F.percentile("value", high).alias("high"))
+    wide = F.greatest(F.least((F.col("value") - F.col("low")) * 255.0 / (F.col("high") - F.col("low")), F.lit(255.0)), F.lit(0.0))
+    value = F.when(F.col("high") > F.col("low"), F.floor(wide)).otherwise(F.col("value")).cast("int")
+    return pixels.join(levels, ["clip_id", "frame_no"]).select("clip_id", "frame_no", "y", "x", value.alias("value"))
+
+
+def aligned_frames(counts: DataFrame, most: int = 32) -> DataFrame:
+    """``clip_id, k, depth_no, ir_no`` of ``clip_id, n_depth, n_ir``: both lists thinned evenly to the shorter, then to ``most``.
+
+    A clip without frames of either kind has no rows.
+    """
+    n = F.least("n_depth", "n_ir").cast("int")
+    onto = lambda c: F.when(F.col(c) == n, F.sequence(F.lit(0), n - 1)).otherwise(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.when(n > 1, F.rint(i * ((F.col(c) - 1) / F.greatest(n - 1, F.lit(1))))).otherwise(0.0).cast("int")))
+    lists = counts.where(n > 0).select("clip_id", onto("n_depth").alias("d"), onto("n_ir").alias("i"), F.posexplode(even_picks(n, most)).alias("k", "pick"))
+    return lists.select("clip_id", "k", F.get("d", "pick").alias("depth_no"), F.get("i", "pick").alias("ir_no"))
+
+
+def four_channels(frames: DataFrame, most: int = 32) -> DataFrame:
+    """``clip_id, k, depth_no, ir_no, ir_dead, aligned`` of the frames a clip is made of.
+
+    ``frames``: ``clip_id, modality`` (``D`` or ``I``), ``frame_no`` from 0, ``readable``.  A chosen depth frame that cannot
+    be read empties the clip; such an infrared frame leaves the clip with an empty fourth channel (``ir_no`` null).
+    """
+    counts = frames.groupBy("clip_id").agg(F.count_if(F.col("modality") == "D").alias("n_depth"), F.count_if(F.col("modality") == "I").alias("n_ir"))
+    chosen = aligned_frames(counts, most)
+    part = lambda m, name: frames.where(F.col("modality") == m).select("clip_id", F.col("frame_no").alias(f"{name}_no"), F.col("readable").alias(f"{name}_ok"))
+    read = chosen.join(part("D", "depth"), ["clip_id", "depth_no"], "left").join(part("I", "ir"), ["clip_id", "ir_no"], "left")
+    clips = read.groupBy("clip_id").agg(F.bool_and(F.coalesce("depth_ok", F.lit(False))).alias("whole"), (~F.bool_and(F.coalesce("ir_ok", F.lit(False)))).alias("ir_dead"))
+    clips = clips.where("whole").join(counts, "clip_id").select("clip_id", "ir_dead", ((F.col("n_depth") == F.col("n_ir")) & ~F.col("ir_dead")).alias("aligned"))
+    return chosen.join(clips, "clip_id").select("clip_id", "k", "depth_no", F.when(~F.col("ir_dead"), F.col("ir_no")).alias("ir_no"), "ir_dead", "aligned")

@@ -5,9 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from takeline.operators.spans import ranked
 from takeline.schema import FLOOR
 
 
+#: Mean gain, length-weighted gain, folds with a gain, worst fold of the acceptance rules.
+GATES = {"root": (0.5, 0.0, 3, -1.0), "increment": (0.2, 0.0, 3, -0.5), "exploratory": (0.2, -0.1, 2, -1.0)}
+
+
 def accuracy(scored: DataFrame, by: tuple[str, ...] = (), truth: str = "y", label: str = "label") -> DataFrame:
     return scored.groupBy(*by).agg(F.count("*").alias("n"), F.count_if(F.col(truth) == F.col(label)).alias("hits"), F.avg((F.col(truth) == F.col(label)).cast("double")).alias("accuracy"))
 
@@ -44,6 +49,29 @@ def gate(summary: Column, least: Column, positives: Column, min_mean: float, min
     return F.coalesce((summary >= min_mean) & (least >= min_least) & (positives >= min_positive), F.lit(False))
 
 
+def gate_forms(folds: DataFrame, kind: str) -> DataFrame:
+    """One row ``kind, accepted`` of the stated acceptance rules over ``population, fold, raw, decoded`` gains in points.
+
+    * ``root``, ``increment``, ``exploratory``: four folds; on the thinnings the mean decoded gain, the folds with a gain and
+      the worst fold reach their limits; no loss on the test-like subset; the length-weighted gain reaches its own.
+    * ``pilot``, ``fourfold``: both populations reach a mean and a number of gains, no fold loses a point, and the raw mean
+      loses a quarter at most; with four folds the length-weighted gain is positive.
+    """
+    each = folds.groupBy("population").agg(F.avg("decoded").alias("mean"), F.avg("raw").alias("raw"), F.min("decoded").alias("worst"), F.count_if(F.col("decoded") > 0).alias("gains"), F.count("*").alias("n"))
+    of = lambda population, rule: F.coalesce(F.bool_or(F.when(F.col("population") == population, rule)), F.lit(False))
+    if kind in GATES:
+        mean, exact, positive, worst = GATES[kind]
+        thinned = (F.col("n") == 4) & (F.col("mean") >= mean) & (F.col("gains") >= positive) & (F.col("worst") >= worst)
+        passed = of("designated", thinned) & of("primary", F.col("mean") >= 0) & of("exact_length", F.col("mean") >= exact)
+    else:
+        mean, positive = {"pilot": (0.25, 1), "fourfold": (0.5, 3)}[kind]
+        rule = (F.col("mean") >= mean) & (F.col("gains") >= positive) & (F.col("worst") >= -1) & (F.col("raw") >= -0.25)
+        passed = of("designated", rule) & of("primary", rule)
+        if kind == "fourfold":
+            passed = passed & of("exact_length", F.col("mean") > 0)
+    return each.agg(passed.alias("accepted")).select(F.lit(kind).alias("kind"), "accepted")
+
+
 def jackknife(per_cluster: DataFrame, num: str, den: str) -> DataFrame:
     """``estimate, se`` of ``sum(num) / sum(den)`` by leaving out one cluster at a time; two clusters at least."""
     total = per_cluster.agg(F.sum(num).alias("tn"), F.sum(den).alias("td"), F.count("*").alias("k"))  # one row
@@ -73,6 +101,15 @@ def all_windows(members: DataFrame, longest: int = 8) -> DataFrame:
     return starts.select("take_id", "len", "start", F.slice("members", F.col("start") + 1, F.col("len")).alias("members"))
 
 
+def row_windows(takes: DataFrame, longest: int = 8, member: str = "clip_id") -> DataFrame:
+    """``take_id, len, start, members`` as ``all_windows``, from rows ``take_id, position, member``: each row looks
+    ahead, so a take of any length is never gathered."""
+    w = Window.partitionBy("take_id").orderBy("position", member)
+    ahead = takes.select("take_id", (F.row_number().over(w) - 1).alias("start"), F.array(*(F.lead(member, k).over(w) for k in range(longest))).alias("ahead"), F.count("*").over(Window.partitionBy("take_id")).alias("n"))
+    each = ahead.withColumn("len", F.explode(F.sequence(F.lit(1), F.least(F.col("n") - F.col("start"), F.lit(longest)).cast("int"))))
+    return each.select("take_id", "len", F.col("start").cast("int").alias("start"), F.slice("ahead", F.lit(1), F.col("len")).alias("members"))
+
+
 def ordered_members(takes: DataFrame) -> DataFrame:
     """``take_id, members`` in take order (takes are short by rule)."""
     listed = takes.groupBy("take_id").agg(F.sort_array(F.collect_list(F.struct("position", "clip_id"))).alias("m"))
@@ -104,7 +141,20 @@ def ledger(samples: DataFrame, plan: DataFrame) -> DataFrame:
 def gap_quantiles(takes: DataFrame, quantiles: tuple[float, ...] = (0.5,)) -> DataFrame:
     """Percentiles of the seconds between neighbouring clips of a take."""
     gap = F.col("seconds") - F.lag("seconds").over(Window.partitionBy("take_id").orderBy("position"))
-    return takes.select(gap.alias("gap")).where("gap is not null").agg(*(F.percentile("gap", q).alias(f"q{round(100 * q)}") for q in quantiles))
+    return quantiles_by_rank(takes.select(gap.alias("gap")).where("gap is not null"), "gap", quantiles)
+
+
+def quantiles_by_rank(table: DataFrame, value: str, quantiles: tuple[float, ...]) -> DataFrame:
+    """One row ``q<percent>``: exact, interpolated linearly between the two values about each place.
+
+    The values are numbered over sorted ranges, so no task holds them all.
+    """
+    numbered = ranked(table.select(value), [value], "i")
+    last = numbered.agg((F.count("*") - 1).alias("last"))  # one row
+    place = lambda q: F.lit(float(q)) * F.col("last")
+    weight = lambda q: F.greatest(F.lit(0.0), 1 - F.abs(F.col("i") - place(q)))
+    near = numbered.crossJoin(F.broadcast(last))
+    return near.agg(*(F.sum(F.when(weight(q) > 0, weight(q) * F.col(value))).alias(f"q{round(100 * q)}") for q in quantiles))
 
 
 def soft_cross_entropy(rows: DataFrame, steps: int, epoch_weight: float) -> DataFrame:

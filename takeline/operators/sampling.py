@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from takeline.operators.spans import ranked
+
 
 def draw(*key: Column | str | int) -> Column:
     """A number in [0, 1) from sha2 of the key's parts joined by ``|``."""
@@ -40,22 +42,20 @@ def inner_groups(users: DataFrame, split: int = 9, groups: int = 4) -> DataFrame
     """``user, grp``: users in numeric order, those up to ``split`` first, dealt round-robin."""
     number = F.regexp_extract("user", r"\d+", 0).try_cast("int")
     ordered = users.select("user").distinct().withColumns({"number": number, "high": number > split})
-    low = Window.partitionBy("high").orderBy("number", "user")
-    placed = ordered.withColumn("i", F.row_number().over(low) - 1)
-    shift = ordered.agg(F.count_if(~F.col("high")).alias("lows"))  # one row
-    return placed.crossJoin(F.broadcast(shift)).select("user", F.pmod(F.col("i") + F.when(F.col("high"), F.col("lows")).otherwise(0), F.lit(groups)).cast("int").alias("grp"))
+    placed = ranked(ordered, ["high", "number", "user"], "i")
+    return placed.select("user", F.pmod("i", F.lit(groups)).cast("int").alias("grp"))
 
 
 def cluster_bootstrap(per_cluster: DataFrame, cluster: str, num: str, den: str, draws: int, seed: int) -> DataFrame:
     """Mean, standard error and percentile interval of ``sum(num) / sum(den)`` over resampled clusters.
 
     Each draw takes as many clusters as there are, with replacement: place ``j`` of draw ``r`` picks a cluster by hash.
-    The clusters are numbered and joined by number, so draws x clusters rows are made and no list is held.
+    The clusters are numbered over sorted ranges and joined by number, so draws x clusters rows are made and no list is held.
     """
-    numbered = per_cluster.select(F.col(cluster).alias("cluster"), F.col(num).alias("num"), F.col(den).alias("den"))
-    numbered = numbered.withColumn("i", F.row_number().over(Window.orderBy("cluster")) - 1)  # clusters are subjects: few
-    size = numbered.agg(F.count("*").alias("k"))
-    places = per_cluster.sparkSession.range(draws).withColumnRenamed("id", "r").crossJoin(F.broadcast(size)).where("k > 0").withColumn("j", F.explode(F.sequence(F.lit(0), F.col("k").cast("int") - 1)))
-    picked = places.withColumn("i", F.floor(draw(seed, F.col("r"), F.col("j")) * F.col("k")).cast("int")).join(F.broadcast(numbered), "i")
+    rows = per_cluster.select(F.col(cluster).alias("cluster"), F.col(num).alias("num"), F.col(den).alias("den"))
+    numbered = ranked(rows, ["cluster"], "i").select("i", "num", "den")
+    size = numbered.agg(F.count("*").alias("k"))  # one row
+    places = numbered.select(F.col("i").alias("j"), F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("r")).crossJoin(F.broadcast(size))
+    picked = places.withColumn("i", F.floor(draw(seed, F.col("r"), F.col("j")) * F.col("k"))).join(numbered, "i")
     each = picked.groupBy("r").agg(F.try_divide(F.sum("num"), F.sum("den")).alias("x"))
     return each.agg(F.avg("x").alias("mean"), F.stddev_samp("x").alias("se"), F.percentile("x", 0.025).alias("low"), F.percentile("x", 0.975).alias("high"))

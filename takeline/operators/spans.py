@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from takeline.functions.columns import stamp
+from takeline.sources.settled import settled
 
 #: Sources of stamps in order of preference, and the diagnostic visibility modes.
 SOURCES = ("Depth_Color", "IR", "Skeleton", "root")
@@ -34,9 +35,13 @@ def visible(listing: DataFrame, mode: str = "normal") -> DataFrame:
 
 
 def ranked(df: DataFrame, order: list[str], name: str) -> DataFrame:
-    """Number the rows from 0 in a total order, by a range sort and the sizes of the ranges before (a row each)."""
-    parted = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
-    within = parted.withColumn("_in", F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1)
+    """Number the rows from 0 in a total order, by a range sort and the sizes of the ranges before (a row each).
+
+    The ranges are written before they are counted, since sampling their bounds again could give others.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parted = df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id())
+    within = settled(parted.withColumn("_in", F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1))
     sizes = within.groupBy("_part").agg(F.count("*").alias("_n"))
     base = sizes.withColumn("_base", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     return within.join(F.broadcast(base.select("_part", "_base")), "_part").withColumn(name, F.col("_base") + F.col("_in")).drop("_part", "_in", "_base")
@@ -82,13 +87,39 @@ def take_table(clips: DataFrame, order: list[Column]) -> DataFrame:
 
 def gap_takes(table: DataFrame, gap_ms: int, device: tuple[str, ...] = (), frames: str | None = "last_frame") -> DataFrame:
     """Add ``take_no`` per date and device: a take ends where the next clip starts over ``gap_ms`` after it, or its
-    counter is below the one before (``frames``: the column it is held against, None for no such rule)."""
-    w = Window.partitionBy(*device, "date").orderBy("start_ms", "clip_id")
-    new = F.col("start_ms") - F.lag("end_ms").over(w) > gap_ms
+    counter is below the one before (``frames``: the column it is held against, None for no such rule).
+
+    Without a device a date would be one task: then the windows are hours, and each hour gets the last clip and the
+    number of takes of those before from a table of a row per date and hour.
+    """
+    keys = [*device, "date"]
+    before = F.struct(F.col("end_ms").alias("end"), F.col(frames or "end_ms").alias("frame"))
+    hours = [] if device else ["_hour"]
+    rows = table if device else table.withColumn("_hour", F.floor(F.col("start_ms") / 3_600_000))
+    w = Window.partitionBy(*keys, *hours).orderBy("start_ms", "clip_id")
+    rows = rows.withColumn("_before", F.lag(before).over(w))
+    if hours:
+        last = rows.groupBy(*keys, *hours).agg(F.max_by(before, F.struct("start_ms", "clip_id")).alias("_last"))
+        last = last.withColumn("_last", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_hour")))
+        rows = _with_hour(rows, last, keys).withColumn("_before", F.coalesce("_before", "_last")).drop("_last")
+    new = F.col("start_ms") - F.col("_before.end") > gap_ms
     if frames:
-        new = new | (F.col("first_frame") < F.lag(frames).over(w))
-    marked = table.withColumn("_new", F.coalesce(new.cast("int"), F.lit(1)))
-    return marked.withColumn("take_no", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("long")).drop("_new")
+        new = new | (F.col("first_frame") < F.col("_before.frame"))
+    marked = rows.withColumn("_new", F.coalesce(new.cast("int"), F.lit(1))).drop("_before")
+    number = F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    if hours:
+        sums = marked.groupBy(*keys, *hours).agg(F.sum("_new").alias("_takes"))
+        sums = sums.withColumn("_base", F.coalesce(F.sum("_takes").over(Window.partitionBy(*keys).orderBy("_hour").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        marked = _with_hour(marked.withColumn("_in", number), sums.drop("_takes"), keys)
+        number = F.col("_in") + F.col("_base")
+    return marked.withColumn("take_no", number.cast("long")).select(*table.columns, "take_no")
+
+
+def _with_hour(rows: DataFrame, by_hour: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` with the other columns of a table by keys and hour; a null key meets a null key."""
+    named = by_hour.select(*(F.col(c).alias(f"{c}_") if c in (*keys, "_hour") else F.col(c) for c in by_hour.columns))
+    on = [F.col(c).eqNullSafe(F.col(f"{c}_")) for c in (*keys, "_hour")]
+    return rows.join(named, on).drop(*(f"{c}_" for c in (*keys, "_hour")))
 
 
 def take_summary(takes: DataFrame) -> DataFrame:

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from takeline.operators.spans import SOURCES
 from takeline.schema import IMU
+from takeline.sources.settled import settled
 
 #: Channels of a device row, and encodings in the order they are tried.
 IMU_CHANNELS = 16
@@ -33,10 +36,15 @@ def frames(spark: SparkSession, root: str) -> DataFrame:
 
 def pixels(images: DataFrame) -> DataFrame:
     """``path, y, x, r, g, b`` of readable three-channel images."""
-    n = F.col("height") * F.col("width")
-    each = images.where("readable and channels = 3").withColumn("k", F.explode(F.sequence(F.lit(0), n - 1)))
-    byte = lambda c: F.conv(F.hex(F.substring("data", 3 * F.col("k") + 1 + c, F.lit(1))), 16, 10).cast("int")
-    return each.select("path", F.floor(F.col("k") / F.col("width")).cast("int").alias("y"), (F.col("k") % F.col("width")).cast("int").alias("x"), byte(2).alias("r"), byte(1).alias("g"), byte(0).alias("b"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, height, width, data in zip(*(batch.column(c).to_pylist() for c in ("path", "height", "width", "data")), strict=True):
+                blue, green, red = np.frombuffer(data, np.uint8).reshape(-1, 3).astype(np.int32).T
+                y, x = np.divmod(np.arange(height * width, dtype=np.int32), np.int32(width))
+                yield pa.RecordBatch.from_arrays([pa.array([path] * len(y)), *(pa.array(np.ascontiguousarray(c)) for c in (y, x, red, green, blue))], names=["path", "y", "x", "r", "g", "b"])
+
+    return images.where("readable and channels = 3").select("path", "height", "width", "data").mapInArrow(run, "path string, y int, x int, r int, g int, b int")
 
 
 def availability(images: DataFrame, clip: str = "clip_id", modality: str = "modality") -> DataFrame:
@@ -104,6 +112,7 @@ def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def write_csv_once(df: DataFrame, path: str, order: str) -> DataFrame:
     """Write sorted CSV with LF ends to a path that must not exist; read it back and raise unless it is the same."""
     schema = ", ".join(f"{n} {t}" for n, t in df.dtypes)
+    df = settled(df)  # written and compared as it is now
     df.orderBy(order).write.mode("errorifexists").option("header", True).option("lineSep", "\n").csv(path)
     back = df.sparkSession.read.schema(schema).option("header", True).csv(path)
     if back.exceptAll(df).limit(1).count() or df.exceptAll(back).limit(1).count():
@@ -120,6 +129,11 @@ def receipt(**frames_: DataFrame) -> DataFrame:
     return out.select(F.to_json(F.struct(*out.columns)).alias("json"))
 
 
+def read_receipt(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Receipts written as JSON lines; a line that is not JSON of the schema raises."""
+    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+
+
 def ragged(rows: DataFrame, key: str, order: list[str], values: list[str]) -> DataFrame:
     """One row per clip with its rows as an ordered array; a clip is as long as a recording's cut."""
     return rows.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*order, *values))).alias("data"))
