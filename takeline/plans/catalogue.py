@@ -334,10 +334,12 @@ def jackknife_se(spark, sf_dir):
     return _rounded(evaluate.jackknife(u, "h", "n"))
 
 
-@query(None)
+@query("""WITH u AS (SELECT user_id, count(*) FILTER (event_type = 'click') AS h, count(*) AS n FROM events GROUP BY user_id), c AS (SELECT *, row_number() OVER (ORDER BY user_id) - 1 AS i, count(*) OVER () AS k FROM u),
+d AS (SELECT r, i AS j, CAST(floor(CAST(('0x' || substr(sha256('7|' || r || '|' || i), 1, 12)) AS BIGINT) / 281474976710656.0 * k) AS BIGINT) AS pick FROM c, range(0, 200) t(r)), x AS (SELECT r, sum(h) / sum(n) AS x FROM d JOIN c ON c.i = d.pick GROUP BY r)
+SELECT round(avg(x), 6) AS mean, round(stddev_samp(x), 6) AS se, round(quantile_cont(x, 0.025), 6) AS low, round(quantile_cont(x, 0.975), 6) AS high FROM x""")
 def cluster_bootstrap(spark, sf_dir):
     u = _read(spark, sf_dir, "events").groupBy("user_id").agg(F.count_if(F.col("event_type") == "click").alias("h"), F.count("*").alias("n"))
-    return sampling.cluster_bootstrap(u, "user_id", "h", "n", 200, 7)
+    return _rounded(sampling.cluster_bootstrap(u, "user_id", "h", "n", 200, 7))
 
 
 @query(f"""WITH {TAKES_SQL}, m AS (SELECT user_id, take_no, list(CAST(event_id AS VARCHAR) ORDER BY start_ms, CAST(event_id AS VARCHAR)) AS m FROM tk GROUP BY ALL),
@@ -346,7 +348,7 @@ SELECT CAST(user_id AS VARCHAR) || '_' || CAST(take_no AS VARCHAR) AS take_id, C
 def all_windows_1_8(spark, sf_dir):
     t = event_takes(spark, sf_dir).withColumn("take_id", F.concat_ws("_", F.col("user_id").cast("string"), F.col("take_no").cast("string")))
     t = t.withColumn("position", F.row_number().over(Window.partitionBy("take_id").orderBy("start_ms", "clip_id")))
-    return evaluate.all_windows(evaluate.ordered_members(t)).withColumn("members", F.array_join("members", ","))
+    return evaluate.row_windows(t).withColumn("members", F.array_join("members", ","))
 
 
 @query(f"""WITH {TAKES_SQL}, c AS (SELECT CAST(user_id AS VARCHAR) || '_' || CAST(take_no AS VARCHAR) AS f, CAST(user_id AS VARCHAR) || '_' || CAST(start_ms // 86400000 AS VARCHAR) AS t FROM tk),
@@ -391,7 +393,10 @@ def inner_groups(spark, sf_dir):
     return sampling.inner_groups(_read(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("user")))
 
 
-@query(None)
+@query(f"""WITH {TAKES_SQL}, t AS (SELECT event_id, user_id || '_' || take_no AS take_id, row_number() OVER w - 1 AS position, count(*) OVER (PARTITION BY user_id, take_no) AS n FROM tk WINDOW w AS (PARTITION BY user_id, take_no ORDER BY start_ms, CAST(event_id AS VARCHAR))),
+d AS (SELECT t.*, r AS repeat, CAST(('0x' || substr(sha256('11|size|' || r || '|' || take_id), 1, 12)) AS BIGINT) / 281474976710656.0 AS us, CAST(('0x' || substr(sha256('11|start|' || r || '|' || take_id), 1, 12)) AS BIGINT) / 281474976710656.0 AS ut FROM t, range(0, 3) x(r)),
+z AS (SELECT *, least(CASE WHEN us < 0.5 THEN 1 WHEN us < 0.8 THEN 2 ELSE 3 END, n) AS size FROM d), k AS (SELECT *, floor(ut * (n - size + 1)) AS a FROM z)
+SELECT CAST(repeat AS INT) AS repeat, take_id, CAST(event_id AS VARCHAR) AS clip_id, CAST(position AS INT) AS position, CAST(row_number() OVER (PARTITION BY repeat, take_id ORDER BY position) - 1 AS INT) AS new_position FROM k WHERE position >= a AND position < a + size""")
 def thinned_takes(spark, sf_dir):
     t = event_takes(spark, sf_dir).withColumn("take_id", F.concat_ws("_", F.col("user_id").cast("string"), F.col("take_no").cast("string")))
     w = Window.partitionBy("take_id")
