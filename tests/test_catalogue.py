@@ -24,7 +24,7 @@ def test_query(spark, name):
         assert got
         return
     con = duckdb.connect()
-    for t in ("events", "documents", "embeddings", "conversations", "lineitem"):
+    for t in ("events", "documents", "embeddings", "conversations", "lineitem", "customer"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     cursor = con.execute(catalogue.ORACLES[name])
     heads = [d[0] for d in cursor.description]
