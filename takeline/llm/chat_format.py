@@ -112,13 +112,16 @@ def format_conversations(conversations: DataFrame, template: str = TURNS_TEMPLAT
     return ordered.mapInArrow(render, schema)
 
 
-def read_back(formatted: DataFrame) -> DataFrame:
+def read_back(formatted: DataFrame, in_order: bool = False) -> DataFrame:
     """Digests of the turns and the loss text that stand in the output of ``format_conversations``.
 
+    Parts are sorted by conversation and number first, unless they are ``in_order``, as they come straight from it.
     Only ``formatted`` and ``loss_spans`` are read; texts are parsed from the string and unescaped.  A string that is
     not a run of turns raises.
     """
     schema = DIGESTS.format(dict(formatted.dtypes)["conv_id"])
+    if not in_order:
+        formatted = formatted.repartition("conv_id").sortWithinPartitions("conv_id", "part")
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = next(batches, None)

@@ -37,7 +37,7 @@ FILTERS: dict[str, Callable[[object], object]] = {
     "trim": lambda x: _text(x).strip(),
     "upper": lambda x: _text(x).upper(),
     "lower": lambda x: _text(x).lower(),
-    "length": lambda x: len(x),
+    "length": lambda x: 0 if x is None else len(x),
 }
 
 

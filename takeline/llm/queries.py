@@ -15,7 +15,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = chat_format.with_hostile(read_table(spark, sf_dir, "conversations"))
-    return chat_format.read_back(chat_format.format_conversations(rows))
+    return chat_format.read_back(chat_format.format_conversations(rows), in_order=True)
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

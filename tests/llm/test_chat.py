@@ -56,3 +56,18 @@ def test_round_trip(spark, part_chars):
         loss = "".join(x for r, x in turns if r == "assistant")
         assert (got[c]["loss_chars"], got[c]["loss_sha256"]) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
     assert C.read_back(C.format_conversations(df.limit(0))).count() == 0
+    straight = C.read_back(C.format_conversations(df, part_chars=part_chars), in_order=True).collect()
+    assert sorted(straight, key=str) == sorted(got.values(), key=str)
+
+
+def test_stored_parts(spark, tmp_path):
+    """Parts that come back from files in any order are put in order."""
+    rows = [(c, t, "assistant" if t % 2 else "user", f"{c}-{t} " * 9) for c in range(20) for t in range(8)]
+    parts = C.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), part_chars=60)
+    parts.repartition(7).write.parquet(str(tmp_path / "parts"))
+    stored = spark.read.parquet(str(tmp_path / "parts"))
+    assert stored.count() > 60 and sorted(C.read_back(stored).collect(), key=str) == sorted(C.read_back(parts).collect(), key=str)
+
+
+def test_length_of_nothing():
+    assert render("{{ missing|length }}{{ s|length }}", s="abc") == "03"
