@@ -267,7 +267,17 @@ def embedding_takes(spark: SparkSession, sf_dir: str, size: int) -> DataFrame:
     return _read(spark, sf_dir, "embeddings").select(v.cast("string").alias("clip_id"), F.floor(v / size).cast("string").alias("take_id"), (v % size).cast("int").alias("position"))
 
 
-@query(None)
+def _beams_sql(size: int, width: int) -> str:
+    """Beam search clip by clip: a table of at most ``width`` label rows per take for each place."""
+    step = "b{k} AS (SELECT b.take, list_append(b.c, lp.cls) AS c, b.s + lp.l + 0.75 * ln(0.1) AS s FROM b{j} b JOIN lp ON lp.take = b.take AND lp.pos = {k} WHERE NOT list_contains(b.c, lp.cls) QUALIFY row_number() OVER (PARTITION BY b.take ORDER BY b.s + lp.l DESC) <= {width})"
+    steps = ",\n".join(step.format(k=k, j=k - 1, width=width) for k in range(1, size))
+    last = " UNION ALL ".join(f"SELECT b.take, b.c FROM b{k} b JOIN n ON n.take = b.take AND n.n = {k + 1} QUALIFY row_number() OVER (PARTITION BY b.take ORDER BY b.s DESC) = 1" for k in range(size))
+    return f"""WITH {LONG_SQL}, lp AS (SELECT vec_id // {size} AS take, vec_id % {size} AS pos, CAST(cls AS INT) AS cls, ln(greatest(p, 1e-12)) AS l FROM lg), n AS (SELECT take, max(pos) + 1 AS n FROM lp GROUP BY take),
+b0 AS (SELECT take, [cls] AS c, l AS s FROM lp WHERE pos = 0), {steps}, f AS ({last})
+SELECT CAST(vec_id AS VARCHAR) AS clip_id, CAST(take AS VARCHAR) AS take_id, c[vec_id % {size} + 1] AS label FROM embeddings JOIN f ON take = vec_id // {size}"""
+
+
+@query(_beams_sql(6, 64))
 def beam_decode(spark, sf_dir):
     """Takes of six under an even prior; the beam's labels differ within a take."""
     import numpy as np
