@@ -12,9 +12,12 @@ shares no bucket with a probability of at most ``MISS``.
 
 *Verification.* Each text in a family is shuffled once, to its family's task, which settles the exact components there:
 it compares nodes only while they are in different components, through an inverted index of full shingle sets.
-Families beyond ``family_rows`` texts or ``family_shingles`` shingles are cut into blocks: all blocks are held against the
-family's most used bucket centre, and what doesn't link to it is a query set that is held against all blocks.  No list
-of pairs arises.
+Families beyond ``family_rows`` texts or ``family_shingles`` shingles, such as pages of one template, are parted first by
+the prefix filter: of a linked pair's shingles, ordered by how many texts of the family have them, the rarest
+``n - ceil(n * percent / 100) + 1`` of each have one in common, so texts are joined to the least text with the same rare
+shingle, and components of these edges are the families anew.  Families that stay large are cut into blocks: all blocks
+are held against the family's most used centre, and what doesn't link to it is a query set that is held against all
+blocks.  No list of pairs arises.
 
 A node's text is fetched by id and text hash, once however often the row repeats, so null and repeated ids cost no more
 than others.
@@ -215,11 +218,11 @@ def _verified(texts: DataFrame, nodes: DataFrame, edges: DataFrame, families: Da
     """Links ``u, v`` that span the exact components."""
     members = families.select("node", F.col("root").alias("family")).unionByName(families.select(F.col("root").alias("node"), F.col("root").alias("family")).distinct())
     members = members.join(nodes.select("node", "n_shingles", F.col("source.doc_id").alias("source_id"), F.col("source.text_hash").alias("source_hash")), "node")
-    blocks = F.greatest(F.ceil(F.count("*") / family_rows), F.ceil(F.sum("n_shingles") / family_shingles)).cast("int")
-    members = cut(members.join(members.groupBy("family").agg(blocks.alias("blocks")), "family").drop("n_shingles"))
+    blocks = F.greatest(F.ceil(F.count("*") / family_rows), F.ceil(F.sum("n_shingles") / family_shingles)).cast("int").alias("blocks")
+    members = cut(members.join(members.groupBy("family").agg(blocks), "family"))
     same = F.col("doc_id").eqNullSafe(F.col("source_id")) & (F.col("text_hash") == F.col("source_hash"))
     # Rows that repeat id and text collapse before the shuffle.
-    placed = texts.join(members, same).groupBy("node", "family", "blocks").agg(F.any_value("text").alias("text"))
+    placed = texts.join(members, same).groupBy("node", "family", "blocks", "n_shingles").agg(F.any_value("text").alias("text"))
 
     def whole(group: pa.Table) -> pa.Table:
         sets, own = _sets_of(group, percent, width)
@@ -228,7 +231,41 @@ def _verified(texts: DataFrame, nodes: DataFrame, edges: DataFrame, families: Da
     small = placed.where("blocks = 1").groupBy("family").applyInArrow(whole, LINKS)
     if not members.where("blocks > 1").limit(1).count():
         return small
-    return small.unionByName(_large(placed.where("blocks > 1"), edges, families, percent, width))
+    large = cut(placed.where("blocks > 1").drop("blocks"))
+    edges = cut(_prefix_stars(large, percent, width))
+    families = components(edges.select(F.col("node").alias("u"), F.col("centre").alias("v")))
+    parts = families.select("node", F.col("root").alias("family")).unionByName(families.select(F.col("root").alias("node"), F.col("root").alias("family")).distinct())
+    parts = parts.join(large.select("node", "n_shingles"), "node")
+    parts = cut(parts.join(parts.groupBy("family").agg(blocks), "family").drop("n_shingles"))
+    placed = large.drop("family").join(parts, "node")
+    links = small.unionByName(placed.where("blocks = 1").groupBy("family").applyInArrow(whole, LINKS))
+    if not parts.where("blocks > 1").limit(1).count():
+        return links
+    return links.unionByName(_large(placed.where("blocks > 1"), edges, families, percent, width))
+
+
+def _prefix_stars(large: DataFrame, percent: int, width: int) -> DataFrame:
+    """``node, centre, shared``: each text of a large family and the least one with one of its rare shingles.
+
+    Shingles that no other text of the family has come first in the order and join nothing, so they are only counted.
+    """
+
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in steps(batches):
+            sets = [shingle_set(t, width, hashes).view(np.int64) for t in texts_of(batch)]
+            yield pa.RecordBatch.from_arrays([batch.column("family"), batch.column("node"), batch.column("n_shingles"), pa.array(sets, pa.list_(pa.int64()))], names=["family", "node", "n_shingles", "s"])
+
+    rows = large.select("family", "node", "n_shingles", "text").mapInArrow(shingles, "family long, node long, n_shingles long, s array<long>")
+    each = cut(rows.select("family", "node", "n_shingles", F.explode("s").alias("s")))
+    shared = each.groupBy("family", "s").agg(F.count("*").alias("texts")).where("texts > 1")
+    common = each.join(shared, ["family", "s"]).groupBy("family", "node", "n_shingles").agg(F.sort_array(F.collect_list(F.struct("texts", "s"))).alias("common"))
+    prefix = F.col("n_shingles") - F.ceil(F.col("n_shingles") * percent / F.lit(100)) + 1
+    slots = F.greatest(prefix - (F.col("n_shingles") - F.size("common")), F.lit(0)).cast("int")
+    rare = common.select("family", "node", F.explode(F.slice("common", F.lit(1), slots)).alias("c")).select("family", "node", "c.s")
+    buckets = rare.groupBy("family", "s").agg(F.min("node").alias("centre"), F.max("node").alias("other")).where("centre < other")
+    stars = rare.join(buckets.select("family", "s", "centre"), ["family", "s"]).where("node <> centre")
+    return stars.groupBy("node", "centre").agg(F.count("*").alias("shared"))
 
 
 def _large(texts: DataFrame, edges: DataFrame, families: DataFrame, percent: int, width: int) -> DataFrame:

@@ -99,6 +99,25 @@ def test_near_by_shingles(spark):
     assert max(r["n_shingles"] for r in got) > 2500 and sorted(map(tuple, got)) == brute_near(rows, 85)
 
 
+@pytest.mark.parametrize("own", [60, 12])
+def test_near_templates(spark, own):
+    """Texts of one template are a family by their sketches; their own words part it again, and real copies stay together."""
+    rng = np.random.default_rng(own)
+    template = [f"t{k}" for k in range(90)]
+    rows = []
+    for i in range(150):
+        mine = [f"m{i}_{k}" for k in range(own)]
+        text = template[:45] + mine + template[45:]
+        rows.append((i, " ".join(text), "s"))
+        if i % 10 == 0:
+            for j in range(3):
+                text[int(rng.integers(0, 45))] = f"x{i}_{j}"
+                rows.append((1000 + 10 * i + j, " ".join(text), "s"))
+    for percent in (80, 85):
+        got = N.near_duplicates(frame(spark, rows), percent, family_rows=20).collect()
+        assert sorted(map(tuple, got)) == brute_near(rows, percent)
+
+
 def test_near_one_id_for_all(spark):
     """Null ids, one id on all rows, and one row many times: no row meets the others of its id."""
     rng = np.random.default_rng(2)
