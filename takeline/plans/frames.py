@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from takeline.functions import columns as C
 from takeline.operators import detections, evaluate, fusion, integrity, skeletons, spans
 from takeline.plans.catalogue import SPANS_SQL, TAKES_SQL, _read, _rounded, event_takes, query, synthetic_spans
-from takeline.sources import files
+from takeline.sources import caches, files
 
 
 def listing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -446,3 +446,32 @@ def region_pooling(spark, sf_dir):
     s = F.when(v % 50 < 5, 0.0).when(v % 50 < 10, 1.0).otherwise(F.floor(v / 50) % 4 / 4.0)
     t = _read(spark, sf_dir, "embeddings").select(F.concat(F.lit("x"), (v % 50).cast("string")).alias("region"), F.get("embedding", 0).cast("double").alias("z"), s.alias("support"))
     return _rounded(fusion.region_pool(t, ["region"]))
+
+
+@query(f"""WITH {POSES_SQL}, ok AS (SELECT * FROM jp WHERE vec_id % 11 <> 0 AND vec_id % 13 <> 0), d AS (SELECT c.clip, c.vec_id, c.j, sqrt(sum((c.v - p.v) * (c.v - p.v))) AS l FROM ok c JOIN ok p ON p.vec_id = c.vec_id AND p.j = c.parent AND p.a = c.a GROUP BY ALL),
+s AS (SELECT clip, vec_id, sum(l) AS s FROM d GROUP BY ALL), m AS (SELECT clip, quantile_cont(s, 0.5) AS m FROM s GROUP BY clip)
+SELECT CAST(c.clip AS VARCHAR) AS clip_id, CAST(count(DISTINCT c.vec_id) AS INT) AS n, round(sum(c.v / CASE WHEN m >= 1 THEN m ELSE 1 END), 5) AS heights FROM ok c JOIN m ON m.clip = c.clip WHERE c.a = 2 GROUP BY c.clip""")
+def skeleton_cache(spark, sf_dir):
+    """Poses from JSON, usable ones only, normalised and gathered by clip; the sum of all heights is their digest."""
+    raw = F.when(F.col("vec_id") % 11 == 0, F.lit("[")).when(F.col("vec_id") % 13 == 0, F.lit('{"people": []}')).otherwise(F.to_json(F.struct(F.array(F.struct("keypoints")).alias("people"))))
+    cache = caches.skeleton_cache(poses(spark, sf_dir).select("clip_id", "frame_no", raw.alias("raw")))
+    heights = F.aggregate("data", F.lit(0.0), lambda a, s: a + C.total(F.transform(s["keypoints"], lambda j: F.get(j, 2))))
+    return _rounded(cache.select("clip_id", "n", heights.alias("heights")), 5)
+
+
+@query("""SELECT CAST(user_id AS VARCHAR) AS clip_id, 'd' || (event_id % 3) AS device, CAST(count(*) AS INT) AS n, string_agg(CAST(event_id % 100 AS VARCHAR), ',' ORDER BY event_id) AS channel FROM events WHERE event_id % 3 <> 2 GROUP BY ALL""")
+def imu_cache(spark, sf_dir):
+    i = F.col("event_id")
+    rows = _read(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("clip_id"), F.concat(F.lit("d"), (i % 3).cast("string")).alias("device"), i.alias("t_idx"), F.array(i % 100).alias("ch"))
+    cache = caches.imu_cache(rows, ("d0", "d1"))
+    return cache.select("clip_id", "device", "n", F.array_join(F.transform("data", lambda s: F.get(s["ch"], 0).cast("string")), ",").alias("channel"))
+
+
+@query(f"""WITH {COLOURS_SQL}, w AS (SELECT CAST(y AS INT) AS wy, CAST(x AS INT) AS wx FROM range(0, 5) a(y), range(0, 7) b(x)), dp AS (SELECT clip_id, frame_no, y, x, coalesce(pl.depth_rank, 255) AS v FROM co LEFT JOIN pl USING (packed_rgb))
+SELECT clip_id, frame_no, CAST(count(*) AS INT) AS n, string_agg(CAST(v AS VARCHAR), ',' ORDER BY wy, wx) AS ranks FROM w JOIN dp ON dp.y = greatest(least(wy - 1, 7), 0) AND dp.x = greatest(least(wx + 3, 7), 0) GROUP BY clip_id, frame_no""")
+def depth_cache(spark, sf_dir):
+    px, reference = colours(spark, sf_dir)
+    palette = detections.build_palette(detections.colour_counts(px), reference, 2)
+    windows = px.select("clip_id").distinct().select("clip_id", F.lit(-1).alias("top"), F.lit(3).alias("left"), F.lit(4).alias("bottom"), F.lit(10).alias("right"))
+    cache = caches.depth_cache(px, palette, windows, 8, 8)
+    return cache.select("clip_id", "frame_no", "n", F.array_join(F.transform("data", lambda s: s["value"].cast("string")), ",").alias("ranks"))

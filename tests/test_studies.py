@@ -140,3 +140,24 @@ def test_receipts_read_back(spark, tmp_path):
     (tmp_path / "bad" / "x.json").write_text("{no")
     with pytest.raises(Exception):  # noqa: B017
         files.read_receipt(spark, str(tmp_path / "bad"), "a int").collect()
+
+
+def test_caches(spark, tmp_path):
+    """A cache written and read gives its rows in order again; frames of two modalities stand side by side."""
+    from takeline.sources import caches
+
+    rows = spark.createDataFrame([("a", "x", 2, [3.0]), ("a", "x", 1, [2.0]), ("a", "z", 0, [9.0]), ("b", "y", 0, [1.0])], "clip_id string, device string, t_idx int, ch array<double>")
+    cache = caches.imu_cache(rows, ("x", "y"))
+    caches.write_cache(cache, str(tmp_path / "imu"))
+    assert [tuple(r) for r in caches.read_cache(spark, str(tmp_path / "imu")).orderBy("clip_id", "t_idx").collect()] == [("a", "x", 1, [2.0]), ("a", "x", 2, [3.0]), ("b", "y", 0, [1.0])]
+    with pytest.raises(Exception, match="already exists|PATH_ALREADY_EXISTS"):
+        caches.write_cache(cache, str(tmp_path / "imu"))
+    frames = [(c, m, k, not (c == "dead" and m == "I" and k == 1) and not (c == "gone" and m == "D" and k == 0)) for c in ("good", "dead", "gone") for m in "DI" for k in range(2)]
+    listing = spark.createDataFrame(frames, "clip_id string, modality string, frame_no int, readable boolean")
+    part = lambda m: listing.where(F.col("modality") == m).select("clip_id", "frame_no", F.array(F.lit(m), F.col("frame_no").cast("string")).alias("data"))
+    got = rows_of(caches.fused_cache(listing, part("D"), part("I")))
+    assert got == [("dead", 0, ["D", "0"], None, False), ("dead", 1, ["D", "1"], None, False), ("good", 0, ["D", "0"], ["I", "0"], True), ("good", 1, ["D", "1"], ["I", "1"], True)]
+
+
+def rows_of(df):
+    return sorted(map(tuple, df.collect()), key=str)
