@@ -12,12 +12,12 @@ shares no bucket with a probability of at most ``MISS``.
 
 *Verification.* Each text in a family is shuffled once, to its family's task, which settles the exact components there:
 it compares nodes only while they are in different components, through an inverted index of full shingle sets.
-Families beyond ``family_rows`` texts or ``family_shingles`` shingles, such as pages of one template, are parted first by
-the prefix filter: of a linked pair's shingles, ordered by how many texts of the family have them, the rarest
+Families beyond ``family_rows`` texts or ``family_shingles`` shingles are cut into blocks, and all blocks are held against
+the family's most used bucket centre.  Where some texts don't link to it, as among pages of one template, the family is
+parted by the prefix filter: of a linked pair's shingles, ordered by how many texts of the family have them, the rarest
 ``n - ceil(n * percent / 100) + 1`` of each have one in common, so texts are joined to the least text with the same rare
-shingle, and components of these edges are the families anew.  Families that stay large are cut into blocks: all blocks
-are held against the family's most used centre, and what doesn't link to it is a query set that is held against all
-blocks.  No list of pairs arises.
+shingle, and components of these edges are the parts.  Small parts are settled whole; in large ones the texts that don't
+link to the centre are a query set that is held against all blocks.  No list of pairs arises.
 
 A node's text is fetched by id and text hash, once however often the row repeats, so null and repeated ids cost no more
 than others.
@@ -231,17 +231,22 @@ def _verified(texts: DataFrame, nodes: DataFrame, edges: DataFrame, families: Da
     small = placed.where("blocks = 1").groupBy("family").applyInArrow(whole, LINKS)
     if not members.where("blocks > 1").limit(1).count():
         return small
-    large = cut(placed.where("blocks > 1").drop("blocks"))
-    edges = cut(_prefix_stars(large, percent, width))
-    families = components(edges.select(F.col("node").alias("u"), F.col("centre").alias("v")))
-    parts = families.select("node", F.col("root").alias("family")).unionByName(families.select(F.col("root").alias("node"), F.col("root").alias("family")).distinct())
-    parts = parts.join(large.select("node", "n_shingles"), "node")
-    parts = cut(parts.join(parts.groupBy("family").agg(blocks), "family").drop("n_shingles"))
-    placed = large.drop("family").join(parts, "node")
-    links = small.unionByName(placed.where("blocks = 1").groupBy("family").applyInArrow(whole, LINKS))
-    if not parts.where("blocks > 1").limit(1).count():
+    large = cut(placed.where("blocks > 1"))
+    first, left = _centre_links(large, edges, families, percent, width)
+    links = small.unionByName(first)
+    if not left.limit(1).count():
+        return links
+    stars = cut(_prefix_stars(large.join(left.select("family").distinct(), "family", "left_semi"), percent, width))
+    parts = components(stars.select(F.col("node").alias("u"), F.col("centre").alias("v")))
+    parts = parts.select("node", F.col("root").alias("part")).unionByName(parts.select(F.col("root").alias("node"), F.col("root").alias("part")).distinct())
+    rows = large.select("node", "n_shingles", "text").join(parts, "node").join(left.select("node", F.lit(True).alias("left")), "node", "left").withColumn("left", F.coalesce("left", F.lit(False)))
+    # A part whose texts all link to the centre is settled.
+    sizes = rows.groupBy("part").agg(blocks, F.bool_or("left").alias("open")).where("open").drop("open")
+    rows = cut(rows.join(sizes, "part").withColumnRenamed("part", "family").drop("n_shingles"))
+    links = links.unionByName(rows.where("blocks = 1").groupBy("family").applyInArrow(whole, LINKS))
+    if not rows.where("blocks > 1").limit(1).count():
         return links
-    return links.unionByName(_large(placed.where("blocks > 1"), edges, families, percent, width))
+    return links.unionByName(_block_links(rows.where("blocks > 1"), percent, width))
 
 
 def _prefix_stars(large: DataFrame, percent: int, width: int) -> DataFrame:
@@ -268,13 +273,13 @@ def _prefix_stars(large: DataFrame, percent: int, width: int) -> DataFrame:
     return stars.groupBy("node", "centre").agg(F.count("*").alias("shared"))
 
 
-def _large(texts: DataFrame, edges: DataFrame, families: DataFrame, percent: int, width: int) -> DataFrame:
-    """Large families in blocks: first all against one centre, then what is left against all."""
+def _centre_links(large: DataFrame, edges: DataFrame, families: DataFrame, percent: int, width: int) -> tuple[DataFrame, DataFrame]:
+    """Links of large families' texts to their centre, and ``family, node`` of those without."""
     votes = edges.join(families.withColumnRenamed("root", "family"), "node").groupBy("family", "centre").agg(F.sum("shared").alias("votes"))
     centres = votes.groupBy("family").agg(F.max_by("centre", F.struct("votes", "centre")).alias("centre"))
-    rows = cut(texts.join(centres, "family").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")))
-    is_centre, every_block = F.col("node") == F.col("centre"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    spread = rows.where(is_centre).withColumn("block", every_block).unionByName(rows.where(~is_centre))
+    rows = large.join(centres, "family").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    is_centre = F.col("node") == F.col("centre")
+    spread = rows.where(is_centre).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).unionByName(rows.where(~is_centre))
 
     def against_centre(group: pa.Table) -> pa.Table:
         sets, own = _sets_of(group, percent, width)
@@ -282,14 +287,18 @@ def _large(texts: DataFrame, edges: DataFrame, families: DataFrame, percent: int
         near = sets.linked(int(centre[0])) if len(centre) else []
         return _table(own, [(int(y), int(centre[0])) for y in near if own[y] != own[centre[0]]])
 
-    first = cut(spread.groupBy("family", "block").applyInArrow(against_centre, LINKS))
-    left = rows.join(first.select(F.col("u").alias("node")).distinct(), "node", "left_anti").where(~is_centre).select("node")
-    left = cut(left.withColumn("left", F.lit(True)))
-    flagged = rows.join(left, "node", "left").withColumn("left", F.coalesce("left", F.lit(False)))
+    first = cut(spread.select("family", "block", "node", "centre", "text").groupBy("family", "block").applyInArrow(against_centre, LINKS))
+    linked = first.select(F.col("u").alias("node")).unionByName(centres.select(F.col("centre").alias("node"))).distinct()
+    return first, cut(large.select("family", "node").join(linked, "node", "left_anti"))
+
+
+def _block_links(rows: DataFrame, percent: int, width: int) -> DataFrame:
+    """Links of the texts that are ``left`` to all of their family: ``family, blocks, node, left, text``."""
+    flagged = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     # Query rows of block q meet every block b; only blocks that have any are asked.
     asked = flagged.where("left").select("family", F.col("block").alias("q")).distinct()
     base = flagged.join(asked, "family").withColumn("asks", F.lit(False)).withColumn("b", F.col("block"))
-    query = flagged.where("left").withColumn("q", F.col("block")).withColumn("asks", F.lit(True)).withColumn("b", every_block)
+    query = flagged.where("left").withColumn("q", F.col("block")).withColumn("asks", F.lit(True)).withColumn("b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     meet = base.unionByName(query.select(base.columns))
 
     def against_block(group: pa.Table) -> pa.Table:
@@ -297,5 +306,4 @@ def _large(texts: DataFrame, edges: DataFrame, families: DataFrame, percent: int
         _, label = np.unique(own, return_inverse=True)  # a node that asks and is asked is one
         return _table(own, spanning_links(sets, label, group.column("asks").to_numpy(zero_copy_only=False)))
 
-    second = meet.groupBy("family", "q", "b").applyInArrow(against_block, LINKS)
-    return first.unionByName(second)
+    return meet.select("family", "q", "b", "node", "asks", "text").groupBy("family", "q", "b").applyInArrow(against_block, LINKS)

@@ -220,7 +220,7 @@ def _removed(window: int, schema: pa.Schema):
 def _dealt(documents: DataFrame, carry: list[str], chunk_chars: int) -> tuple[DataFrame, int]:
     """``chunk, carried, text`` and the characters of all texts."""
     hashed = [c for c, kind in documents.select(*carry, "text").dtypes if "map<" not in kind and "variant" not in kind]
-    docs = documents.select(F.struct(F.lit(0).alias("_"), *(c for c in carry if c != "text")).alias("carried"), "text", F.xxhash64(*dict.fromkeys(hashed)).alias("row_hash"))
+    docs = documents.select(F.struct(*([c for c in carry if c != "text"] or [F.lit(0).alias("_")])).alias("carried"), "text", F.xxhash64(*dict.fromkeys(hashed)).alias("row_hash"))
     counts = cut(docs.groupBy("row_hash").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars")))
     sums = counts.agg(F.sum("chars").alias("chars"), F.count_if(F.col("n") > COPIES).alias("copied")).first()
     chars = sums["chars"] or 0
