@@ -37,6 +37,8 @@ from takeline.llm.common import WordHashes, cut, rolling
 WINDOW = 35
 #: Characters of text in a chunk, about.
 CHUNK_CHARS = 6_000_000
+#: Chunks that one task works on, one after another, where the session's shuffle partitions would leave more.
+CHUNKS_A_TASK = 8
 #: Characters of text whose hashes make one bucket, about: some million entries at most.
 BUCKET_CHARS = 24_000_000
 #: Equal rows that go to one chunk, at most; and texts that do so more often, whose table is broadcast, at most.
@@ -218,7 +220,7 @@ def _removed(window: int, schema: pa.Schema):
 
 
 def _dealt(documents: DataFrame, carry: list[str], chunk_chars: int) -> tuple[DataFrame, int]:
-    """``chunk, carried, text`` and the characters of all texts."""
+    """``chunk, carried, text``, partitioned by chunk, and the characters of all texts."""
     hashed = [c for c, kind in documents.select(*carry, "text").dtypes if "map<" not in kind and "variant" not in kind]
     docs = documents.select(F.struct(*([c for c in carry if c != "text"] or [F.lit(0).alias("_")])).alias("carried"), "text", F.xxhash64(*dict.fromkeys(hashed)).alias("row_hash"))
     counts = cut(docs.groupBy("row_hash").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars")))
@@ -231,7 +233,8 @@ def _dealt(documents: DataFrame, carry: list[str], chunk_chars: int) -> tuple[Da
         # Only equal rows are told apart by their place, so a task that runs again may number them otherwise.
         spread = F.when(F.col("parts").isNotNull(), F.pmod(F.monotonically_increasing_id(), F.col("parts"))).otherwise(0)
     chunk = F.pmod(F.xxhash64("row_hash", spread), F.lit(max(1, -(-chars // chunk_chars))))
-    return docs.select(chunk.alias("chunk"), "carried", "text"), chars
+    parts = max(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-chars // (CHUNKS_A_TASK * chunk_chars)))
+    return docs.select(chunk.alias("chunk"), "carried", "text").repartition(parts, "chunk"), chars
 
 
 def remove_repeats(documents: DataFrame, window: int = WINDOW, carry: tuple[str, ...] = ("doc_id",), chunk_chars: int = CHUNK_CHARS, bucket_chars: int = BUCKET_CHARS) -> DataFrame:
@@ -244,7 +247,6 @@ def remove_repeats(documents: DataFrame, window: int = WINDOW, carry: tuple[str,
     width = (window + 1) // 2
     docs, chars = _dealt(documents, carry_list, chunk_chars)
     buckets = max(1, -(-chars // bucket_chars))
-    docs = docs.repartition(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), "chunk")
     by_chunk = docs.groupBy("chunk")
     anchors = by_chunk.applyInArrow(_anchors(width, buckets), _SENT_SQL).groupBy("bucket").applyInArrow(_hits("anchors"), _SENT_SQL)
     wide = by_chunk.cogroup(anchors.groupBy("chunk")).applyInArrow(_candidates(width, window, buckets), _SENT_SQL)
