@@ -82,4 +82,57 @@ SELECT n.doc_id, CAST(n.n AS BIGINT) AS n_shingles, coalesce(c, n.doc_id) AS com
 FROM n LEFT JOIN rep ON n.k = rep.k LEFT JOIN comp ON comp.u = rep.r
 """
 
-ORACLES = {"op1_chat_format": OP1, "op2_url_filter": OP2, "op4_substring_dedup": OP4, "op5_near_dedup": OP5}
+_LEVELS = 6  # 16 ** 6 rows of a source, and as many sources
+
+
+def _climb(name: str, start: str) -> str:
+    """Tables ``{name}0`` to ``{name}6`` of a tree's nodes, from ``tree, place, node``; a tree that is one node stays."""
+    out = f"{name}0 AS ({start})"
+    for k in range(_LEVELS):
+        out += f""", {name}r{k} AS (
+  SELECT tree, place // 16 AS place, string_agg(node, '' ORDER BY place) AS run, any_value(n) = 1 AS done
+  FROM (SELECT *, count(*) OVER (PARTITION BY tree) AS n FROM {name}{k}) GROUP BY tree, place // 16
+), {name}{k + 1} AS (SELECT tree, place, CASE WHEN done THEN run ELSE sha256(run) END AS node FROM {name}r{k})"""
+    return out
+
+
+def _siblings(name: str, place: str, k: int) -> tuple[str, str]:
+    at = f"64 * (({place} // {16**k}) % 16)"
+    return f"CASE WHEN {name}{k}.done THEN '' ELSE substr({name}{k}.run, 1, {at}) END", f"CASE WHEN {name}{k}.done THEN '' ELSE substr({name}{k}.run, {at} + 65) END"
+
+
+def _op12() -> str:
+    value = lambda c: f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR) END"
+    leaf = lambda text: "sha256(" + " || ".join(map(value, ("doc_id", "source", "lang", "n_chars", text))) + ")"
+    joins, proof, folded = "", [], "presented"
+    for name, place, tree in (("s", "l.place", "l.tree"), ("t", "o.place", "''")):
+        for k in range(_LEVELS):
+            joins += f" JOIN {name}r{k} AS {name}{k} ON {name}{k}.tree = {tree} AND {name}{k}.place = {place} // {16 ** (k + 1)}"
+            left, right = _siblings(name, place, k)
+            proof += [left, right]
+    steps = ", ".join(f"f{i} AS (SELECT *, CASE WHEN done[{i + 1}] THEN now ELSE sha256(part[{2 * i + 1}] || now || part[{2 * i + 2}]) END AS nxt FROM (SELECT * EXCLUDE (nxt, now), nxt AS now FROM f{i - 1}))" for i in range(2 * _LEVELS))
+    done = ", ".join(f"{name}{k}.done" for name in "st" for k in range(_LEVELS))
+    return f"""
+WITH crc AS (
+  SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) AS c FROM range(256) r(i))
+), d AS (
+  SELECT *, list_reduce(list_transform(range(1, length(CAST(doc_id AS VARCHAR)) + 1), lambda i: CAST(ascii(CAST(doc_id AS VARCHAR)[i]) AS BIGINT)),
+    lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)]), CAST(4294967295 AS BIGINT)) AS c FROM documents, crc
+), leaves AS (
+  SELECT doc_id, coalesce('=' || source, '') AS tree, {leaf("text")} AS node,
+    CASE WHEN xor(c, 4294967295) % 5 = 0 THEN {leaf("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} ELSE {leaf("text")} END AS presented FROM d
+), l AS (
+  SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, node) - 1 AS place FROM leaves
+), {_climb("s", "SELECT tree, place, node FROM l")}, o AS (
+  SELECT tree AS source, row_number() OVER (ORDER BY tree) - 1 AS place, node FROM s{_LEVELS}
+), {_climb("t", "SELECT '' AS tree, place, node FROM o")}, p AS (
+  SELECT l.doc_id, l.node AS leaf, l.presented, o.node AS subroot, [{", ".join(proof)}] AS part, [{done}] AS done
+  FROM l JOIN o ON o.source = l.tree{joins}
+), f_start AS (SELECT *, presented AS nxt, presented AS now FROM p), {steps.replace("f-1", "f_start")}
+SELECT doc_id, leaf, subroot, (SELECT node FROM t{_LEVELS}) AS root, sha256(array_to_string(part, '')) AS proof_sha256, nxt AS folded_root, nxt = (SELECT node FROM t{_LEVELS}) AS verified FROM f{2 * _LEVELS - 1}
+"""
+
+
+OP12 = _op12()
+
+ORACLES = {"op12_merkle": OP12, "op1_chat_format": OP1, "op2_url_filter": OP2, "op4_substring_dedup": OP4, "op5_near_dedup": OP5}
