@@ -135,4 +135,39 @@ SELECT doc_id, leaf, subroot, (SELECT node FROM t{_LEVELS}) AS root, sha256(arra
 
 OP12 = _op12()
 
-ORACLES = {"op12_merkle": OP12, "op1_chat_format": OP1, "op2_url_filter": OP2, "op4_substring_dedup": OP4, "op5_near_dedup": OP5}
+OP13 = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents
+), t AS (
+  SELECT id, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d
+), k AS (
+  SELECT lang, term, count(*) AS n FROM t GROUP BY lang, term HAVING count(DISTINCT id) >= 10
+), l AS (
+  SELECT lang, count(*) AS v, sum(n) AS n FROM k GROUP BY lang
+), g AS (
+  SELECT DISTINCT lang, source FROM d
+), c AS (
+  SELECT lang, source, term, count(*) AS n FROM t JOIN k USING (lang, term) GROUP BY lang, source, term
+), s AS (
+  SELECT lang, source, coalesce(sum(n), 0) AS n FROM g LEFT JOIN c USING (lang, source) GROUP BY lang, source
+), p AS (
+  SELECT lang, source, term, coalesce(c.n, 0) AS n,
+    CAST(1 + (CAST(1000000000 AS HUGEINT) * (coalesce(c.n, 0) + 2)) // (s.n + 2 * l.v) AS BIGINT) AS p,
+    CAST(1 + (CAST(1000000000 AS HUGEINT) * (k.n + 2)) // (l.n + 2 * l.v) AS BIGINT) AS q
+  FROM s JOIN l USING (lang) JOIN k USING (lang) LEFT JOIN c USING (lang, source, term)
+), f AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source
+), r AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(f.value, 0) AS BIGINT) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM p WHERE n > 0 AND p > q
+), o AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM r
+)
+SELECT lang, source, part, item, value, rank FROM o WHERE part = 'pair' OR rank <= 10
+"""
+
+ORACLES = {"op13_divergence": OP13, "op12_merkle": OP12, "op1_chat_format": OP1, "op2_url_filter": OP2, "op4_substring_dedup": OP4, "op5_near_dedup": OP5}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from takeline.llm import chat_format, decontaminate, html_text, merkle, near_dedup, packing, quality, substring_dedup, token_files, toxicity, url_filters
+from takeline.llm import byte_quality, chat_format, decontaminate, divergence, html_text, merkle, near_dedup, packing, quality, substring_dedup, token_files, toxicity, url_filters
 from takeline.llm.common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,6 +60,12 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(documents, quality.learn(documents, read_table(spark, sf_dir, "labels")))
 
 
+def op11_byte_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    network = byte_quality.learn(documents, read_table(spark, sf_dir, "labels"))
+    return byte_quality.score(documents, network).select("doc_id", byte_quality.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = read_table(spark, sf_dir, "documents")
     capitals = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -70,6 +76,10 @@ def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "leaf", "subroot", "root", merkle.path_digest(F.col("path")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
 
 
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(read_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -78,5 +88,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_chat_format, op2_url_filter, op3_packing, op4_substring_dedup, op5_near_dedup, op6_decontaminate, op7_toxicity, op8_html_text, op9_token_files, op10_quality, op12_merkle, pipeline)
+    for f in (op1_chat_format, op2_url_filter, op3_packing, op4_substring_dedup, op5_near_dedup, op6_decontaminate, op7_toxicity, op8_html_text, op9_token_files, op10_quality, op11_byte_quality, op12_merkle, op13_divergence, pipeline)
 }
