@@ -128,5 +128,6 @@ def test_bounds_and_long_texts(spark):
     rng = random.Random(0)
     long = " ".join(str(rng.random()) for _ in range(300_000)).encode()
     assert len(long) > 5_000_000 and 0 <= net.score([long])[0] <= 1
+    net.vectors[255] *= 20
     marked = net.pooled(*B.chunks([long + b"\xff" * 8])[:2])[0]
     assert not np.array_equal(marked[-1], net.pooled(*B.chunks([long])[:2])[0][-1])
