@@ -18,10 +18,7 @@ gives no rows.
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
 from collections.abc import Iterator
-from itertools import groupby
-from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -36,10 +33,10 @@ SCALE = 1_000_000_000
 VALUE_BITS, DIGIT_BITS = 32, 8
 #: Tied terms of a group that a window may sort once the histograms have narrowed them down.
 FEW = 1000
-#: Entries of a task's counts before they are handed on, and cells of its pair sums.
-MAX_ENTRIES, MAX_CELLS = 200_000, 1 << 20
-#: Pairs made in one step.
-STEP_PAIRS = 1 << 18
+#: Entries of a task's counts before they are summed and, if still more than half as many, handed on; entries handed on at once.
+MAX_ENTRIES, ROWS_OUT = 1 << 21, 1 << 16
+#: Pairs made in one step, and a task's pair sums before they are handed on.
+STEP_PAIRS, MAX_SUMS = 1 << 18, 1 << 20
 
 #: Letters to lower case, other ASCII to spaces; bytes beyond ASCII stay.
 _LETTERS = bytes(c if c >= 128 or 97 <= c <= 122 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
@@ -59,42 +56,81 @@ def differ(p: Column, q: Column) -> Column:
     return F.call_function("div", (p - q) * (p - q), p + q)
 
 
+def summed(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct keys in order, and the sums of their values."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
+    return keys[starts], *(np.add.reduceat(v[order], starts) if len(keys) else v for v in values)
+
+
 def partial_counts(documents: DataFrame) -> DataFrame:
-    """``lang, source, term, count, docs``, summed by each task; a row without term names each group."""
+    """``lang, term, found`` (source, count and documents), summed by each task; a row without term names a language's groups."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[tuple, Counter] = defaultdict(Counter)
-        docs: dict[tuple, Counter] = defaultdict(Counter)
+        codes: dict[bytes, int] = {}
+        groups: dict[tuple[str, str], int] = {}
+        waiting: list[tuple[np.ndarray, ...]] = []  # of keys (group, term), counts and documents
+        held = 0
+
+        def rows(keys: np.ndarray, counts: np.ndarray, docs: np.ndarray, term: pa.Array) -> pa.RecordBatch:
+            """A row for each run of one language and term; ``term`` belongs to the sorted keys."""
+            names = list(groups)
+            number = {x: k for k, x in enumerate(dict.fromkeys(lang for lang, _ in names))}
+            lang_of = np.array([number[lang] for lang, _ in names], np.int64)
+            group, word = keys >> 32, keys & 0xFFFFFFFF
+            order = np.lexsort((group, word, lang_of[group]))
+            group, word = group[order], word[order]
+            lang = lang_of[group]
+            starts = np.flatnonzero(np.r_[True, (lang[1:] != lang[:-1]) | (word[1:] != word[:-1])])
+            found = pa.StructArray.from_arrays([pa.array([source for _, source in names], pa.string()).take(pa.array(group)), pa.array(counts[order]), pa.array(docs[order])], names=["source", "count", "docs"])
+            listed = pa.ListArray.from_arrays(pa.array(np.r_[starts, len(keys)], pa.int32()), found)
+            return pa.RecordBatch.from_arrays([pa.array(list(number), pa.string()).take(pa.array(lang[starts])), term.take(pa.array(word[starts])), listed], names=["lang", "term", "found"])
 
         def out() -> Iterator[pa.RecordBatch]:
-            for (lang, source), found in counts.items():
-                terms, n = [None, *found], len(found) + 1
-                held = docs[lang, source]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * n), pa.array([source] * n), pa.array([None if t is None else t.decode() for t in terms], pa.string()), pa.array([0, *found.values()], pa.int64()), pa.array([0, *map(held.__getitem__, found)], pa.int64())],
-                    names=["lang", "source", "term", "count", "docs"],
-                )
-            counts.clear()
-            docs.clear()
+            if waiting:
+                keys, counts, docs = waiting[0]
+                word = pa.array(list(codes), pa.binary()).cast(pa.string())
+                parts = np.argsort(keys & 0xFFFFFFFF, kind="stable")
+                for s in range(0, len(parts), ROWS_OUT):
+                    some = parts[s : s + ROWS_OUT]
+                    yield rows(keys[some], counts[some], docs[some], word)
+            waiting.clear()
+            codes.clear()
 
         for batch in steps(batches):
-            for lang, source, text in zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist(), texts_of(batch), strict=True):
-                terms = terms_of(text)
-                counts[lang, source].update(terms)
-                docs[lang, source].update(set(terms))
-            if sum(map(len, counts.values())) > MAX_ENTRIES:
-                yield from out()
+            group = np.array([groups.setdefault(g, len(groups)) for g in zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist(), strict=True)], np.int64)
+            split = [terms_of(t) for t in texts_of(batch)]
+            for term in set().union(*split).difference(codes):
+                codes[term] = len(codes)
+            sizes = np.fromiter(map(len, split), np.int64, len(split))
+            ids = np.fromiter((codes[t] for terms in split for t in terms), np.int64, int(sizes.sum()))
+            pairs, counts = np.unique(np.repeat(np.arange(len(split)), sizes) << 32 | ids, return_counts=True)
+            waiting.append((group[pairs >> 32] << 32 | pairs & 0xFFFFFFFF, counts.astype(np.int64), np.ones(len(pairs), np.int64)))
+            held += len(pairs)
+            if held > MAX_ENTRIES:
+                waiting[:] = [summed(*(np.concatenate(c) for c in zip(*waiting, strict=True)))]
+                held = len(waiting[0][0])
+                if held > MAX_ENTRIES // 2:
+                    yield from out()
+                    held = 0
+        if waiting:
+            waiting[:] = [summed(*(np.concatenate(c) for c in zip(*waiting, strict=True)))]
         yield from out()
+        if groups:
+            named = np.arange(len(groups), dtype=np.int64) << 32
+            yield rows(named, np.zeros(len(groups), np.int64), np.zeros(len(groups), np.int64), pa.array([None], pa.string()))
 
     named = documents.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source")), "text")
-    return named.mapInArrow(run, "lang string, source string, term string, count long, docs long")
+    return named.mapInArrow(run, "lang string, term string, found array<struct<source: string, count: long, docs: long>>")
 
 
 def kept_terms(documents: DataFrame, min_docs: int = MIN_DOCS) -> tuple[DataFrame, DataFrame]:
     """``lang, term, lang_count, source, count`` of kept terms, and the groups: ``lang, source, total, kept, lang_total, base``."""
     spark = documents.sparkSession
     path = scratch_table(spark, "divergence-terms")
-    by_group = partial_counts(documents).repartition("lang", "term").groupBy("lang", "term", "source").agg(F.sum("count").alias("count"), F.sum("docs").alias("docs"))
+    parts = partial_counts(documents).repartition("lang", "term").select("lang", "term", F.inline("found"))
+    by_group = parts.groupBy("lang", "term", "source").agg(F.sum("count").alias("count"), F.sum("docs").alias("docs"))
     # One exchange serves both: a group's row goes where its term's rows are.
     by_term = by_group.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("count").alias("lang_count"), F.collect_list(F.struct("source", "count")).alias("found"))
     by_term.where(F.col("term").isNull() | (F.col("docs") >= min_docs)).select("lang", "term", "lang_count", F.explode("found").alias("found")).select("lang", "term", "lang_count", "found.*").write.parquet(path)
@@ -108,63 +144,68 @@ def kept_terms(documents: DataFrame, min_docs: int = MIN_DOCS) -> tuple[DataFram
     return terms, spark.read.parquet(path)
 
 
+def term_pairs(ends: np.ndarray, start: int, stop: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of all pairs of a row in ``start .. stop`` and a later row of its term; ``ends``: where each row's term ends."""
+    left = np.arange(start, stop)
+    more = ends[start:stop] - left - 1
+    first = np.repeat(left, more)
+    return first, first + 1 + np.arange(len(first)) - np.repeat(np.cumsum(more) - more, more)
+
+
 def shared_sums(rows: DataFrame) -> DataFrame:
     """``lang, a, b, shared`` (``a < b``): what the terms of both add to the baselines, from ``lang, term, source, p, base``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes: dict[tuple[str, str], int] = {}
-        sums: dict[tuple[int, int], int] = {}
+        sums: list[tuple[np.ndarray, np.ndarray]] = []
 
         def out() -> Iterator[pa.RecordBatch]:
-            names = list(codes)
-            ordered = [(names[i], names[j], v) for (i, j), v in sums.items()]
+            if sums:
+                keys, value = sums[0]
+                names = list(codes)
+                lang, name = (pa.array([x[k] for x in names], pa.string()) for k in (0, 1))
+                a, b = pa.array(keys >> 32), pa.array(keys & 0xFFFFFFFF)
+                yield pa.RecordBatch.from_arrays([lang.take(a), name.take(a), name.take(b), pa.array(value)], names=["lang", "a", "b", "shared"])
             sums.clear()
-            yield pa.RecordBatch.from_arrays([pa.array([x[0][0] for x in ordered], pa.string()), *(pa.array([x[k][1] for x in ordered], pa.string()) for k in (0, 1)), pa.array([x[2] for x in ordered], pa.int64())], names=["lang", "a", "b", "shared"])
-
-        def add(left: np.ndarray, right: np.ndarray, code: np.ndarray, p: np.ndarray, base: np.ndarray) -> None:
-            f = lambda x, y: (x - y) * (x - y) // (x + y)
-            a, b, u, v = p[left], p[right], base[left], base[right]
-            value = f(a, b) - f(a, v) - f(u, b) + f(u, v)
-            key = (code[left] << 32) | code[right]
-            order = np.argsort(key, kind="stable")
-            key, value = key[order], value[order]
-            starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-            for k, s in zip(key[starts].tolist(), np.add.reduceat(value, starts).tolist(), strict=True):
-                pair = (k >> 32, k & 0xFFFFFFFF)
-                sums[pair] = sums.get(pair, 0) + s
-
-        waiting: list[tuple] = []  # (code, p, base) of whole terms
-        lefts: list[np.ndarray] = []
-        rights: list[np.ndarray] = []
-        held = 0
 
-        def flush() -> None:
-            nonlocal held
-            if lefts:
-                code, p, base = (np.array(c, np.int64) for c in zip(*waiting, strict=True))
-                add(np.concatenate(lefts), np.concatenate(rights), code, p, base)
-            waiting.clear()
-            lefts.clear()
-            rights.clear()
-            held = 0
-
-        flat = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
-        for (lang, _), run in groupby(flat, key=itemgetter(0, 1)):
-            found = [(codes.setdefault((lang, source), len(codes)), p, base) for _, _, source, p, base in run]
-            at = len(waiting)
-            waiting.extend(found)
-            for i in range(len(found) - 1):  # rows come by source, so a < b
-                lefts.append(np.full(len(found) - 1 - i, at + i))
-                rights.append(np.arange(at + i + 1, at + len(found)))
-                held += len(found) - 1 - i
-                if held > STEP_PAIRS:
-                    rest = waiting[at:]
-                    flush()
-                    waiting.extend(rest)
-                    at = 0
-                    if len(sums) > MAX_CELLS:
+        def add(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            """Rows of whole terms, by source."""
+            langs, terms = table.column("lang").to_pylist(), table.column("term").to_pylist()
+            code = np.array([codes.setdefault(g, len(codes)) for g in zip(langs, table.column("source").to_pylist(), strict=True)], np.int64)
+            p, base = (table.column(c).to_numpy() for c in ("p", "base"))
+            new = np.array([True, *(x != y for x, y in zip(zip(langs[1:], terms[1:], strict=True), zip(langs, terms, strict=False), strict=False))])
+            starts = np.flatnonzero(new)
+            ends = np.r_[starts[1:], len(new)][np.cumsum(new) - 1]
+            made = np.cumsum(ends - np.arange(len(new)) - 1)
+            start = 0
+            while start < len(new):
+                stop = max(start + 1, int(np.searchsorted(made, (made[start - 1] if start else 0) + STEP_PAIRS, side="right")))
+                left, right = term_pairs(ends, start, stop)
+                f = lambda x, y: (x - y) * (x - y) // (x + y)
+                x, y, u, v = p[left], p[right], base[left], base[right]
+                sums.append(summed(code[left] << 32 | code[right], f(x, y) - f(x, v) - f(u, y) + f(u, v)))
+                start = stop
+                if sum(len(k) for k, _ in sums) > MAX_SUMS:
+                    sums[:] = [summed(*(np.concatenate(c) for c in zip(*sums, strict=True)))]
+                    if len(sums[0][0]) > MAX_SUMS // 2:
                         yield from out()
-        flush()
+
+        open_: list[pa.Table] = []  # rows of the last term seen, which may go on
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.concat_tables([*open_, pa.Table.from_batches([batch])])
+            langs, terms = table.column("lang").to_pylist(), table.column("term").to_pylist()
+            last = table.num_rows - 1
+            while last and (langs[last - 1], terms[last - 1]) == (langs[-1], terms[-1]):
+                last -= 1
+            open_ = [table.slice(last)]
+            if last:
+                yield from add(table.slice(0, last))
+        for table in open_:
+            yield from add(table)
+        if sums:
+            sums[:] = [summed(*(np.concatenate(c) for c in zip(*sums, strict=True)))]
         yield from out()
 
     dealt = rows.select("lang", "term", "source", "p", "base").repartition("lang", "term").sortWithinPartitions("lang", "term", "source")

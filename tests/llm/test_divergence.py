@@ -55,7 +55,7 @@ def test_audit(spark, min_docs, k):
 def test_flushes_keep_sums(spark, monkeypatch):
     """Counts and pair sums that leave a task early add up alike."""
     rows = corpus(7)
-    for name, small in (("MAX_ENTRIES", 5), ("MAX_CELLS", 3), ("STEP_PAIRS", 4)):
+    for name, small in (("MAX_ENTRIES", 5), ("ROWS_OUT", 3), ("MAX_SUMS", 3), ("STEP_PAIRS", 4)):
         monkeypatch.setattr(divergence, name, small)
     assert got(divergence.audit(spark.createDataFrame(rows, SCHEMA), 10, 2)) == brute(rows, 10, 2)
 
