@@ -1,4 +1,4 @@
-"""Manifests, quantisation, byte codecs, recipe and identity checks."""
+"""Manifests, quantisation, coding of blobs, recipe and identity checks."""
 
 from __future__ import annotations
 
@@ -43,16 +43,6 @@ def weighted_soup(tensors: DataFrame) -> DataFrame:
     return tensors.groupBy("key", "idx").agg((F.sum(F.col("w") * F.col("x")) / F.sum("w")).alias("x"))
 
 
-def bit_packed(codes: DataFrame, by: list[str], order: str, code: str, bits: int) -> DataFrame:
-    """``by, n, stream``: codes of ``bits`` bits each end to end, lowest bit first, unused high bits zero."""
-    listed = codes.groupBy(*by).agg(F.transform(F.sort_array(F.collect_list(F.struct(order, code))), lambda s: s[code]).alias("c"))
-    text = F.array_join(F.transform("c", lambda x: F.reverse(F.lpad(F.bin(x), bits, "0"))), "")
-    length = F.ceil(F.size("c") * bits / F.lit(8)).cast("int")
-    byte = lambda i: F.reverse(F.rpad(F.substring(F.col("t"), i * 8 + 1, F.lit(8)), 8, "0"))
-    hexed = F.transform(F.sequence(F.lit(0), F.col("len") - 1), lambda i: F.lpad(F.conv(byte(i), 2, 16), 2, "0"))
-    return listed.select(*by, F.size("c").alias("n"), text.alias("t"), length.alias("len")).select(*by, "n", F.unhex(F.array_join(hexed, "")).alias("stream"))
-
-
 def pack_deltas(pairs: DataFrame) -> DataFrame:
     """Smallest coding of ``blob`` against ``base``: ``key, method, packed, length, sha256``.
 

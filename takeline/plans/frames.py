@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from takeline.functions import columns as C
-from takeline.operators import detections, evaluate, fusion, integrity, skeletons, spans
+from takeline.operators import codec, detections, evaluate, fusion, integrity, skeletons, spans
 from takeline.plans.catalogue import SPANS_SQL, TAKES_SQL, _read, _rounded, event_takes, query, synthetic_spans
 from takeline.sources import caches, files
 
@@ -388,7 +388,7 @@ SELECT vec_id, 11 AS n, lower(array_to_string(list_transform(range(0, 5), lambda
 def bit_packed_codes(spark, sf_dir):
     e = _read(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(F.slice("embedding", 1, 11)).alias("idx", "w"))
     codes = e.select("vec_id", "idx", (F.floor(F.abs("w") * 1000).cast("int") % 8).alias("code"))
-    return integrity.bit_packed(codes, ["vec_id"], "idx", "code", 3).select("vec_id", "n", F.lower(F.hex("stream")).alias("stream"))
+    return codec.bit_packed(codes, ["vec_id"], "idx", "code", 3).select("vec_id", "n", F.lower(F.hex("stream")).alias("stream"))
 
 
 @query("""WITH a AS (SELECT CAST(doc_id AS VARCHAR) AS key, sha256(coalesce(text, '')) AS h FROM documents WHERE doc_id % 7 <> 0), b AS (SELECT CAST(doc_id AS VARCHAR) AS key, sha256(CASE WHEN doc_id % 5 = 0 THEN 'x' ELSE coalesce(text, '') END) AS h FROM documents WHERE doc_id % 11 <> 0)

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from takeline.functions import columns as C
-from takeline.operators import detections, evaluate, integrity, skeletons, spans, studies
+from takeline.operators import codec, detections, evaluate, skeletons, spans, studies
 from takeline.schema import SPAN
 from takeline.sources import files
 
@@ -129,7 +129,7 @@ def test_bit_packed(spark, bits):
     df = spark.createDataFrame([("k", i, int(c)) for i, c in enumerate(codes)], "key string, idx int, code int")
     stream = "".join(f"{c:0{bits}b}"[::-1] for c in codes)
     want = bytes(int(stream[i : i + 8].ljust(8, "0")[::-1], 2) for i in range(0, len(stream), 8))
-    assert bytes(integrity.bit_packed(df, ["key"], "idx", "code", bits).first()["stream"]) == want
+    assert bytes(codec.bit_packed(df, ["key"], "idx", "code", bits).first()["stream"]) == want
 
 
 def test_receipts_read_back(spark, tmp_path):
