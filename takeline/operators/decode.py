@@ -130,12 +130,9 @@ def decode_with_fallback(clips: DataFrame, takes: DataFrame, probabilities: Data
     Takes are decoded only if clips in a take and with probabilities are at least ``min_coverage`` of all.
     """
     inside = takes.join(clips, "clip_id", "left_semi")
-    out = clips.select("clip_id").join(probabilities.select("clip_id", argmax(F.col("p")).alias("own")), "clip_id", "left")
-    if coverage(clips, inside, probabilities).first()["coverage"] >= min_coverage:
-        decoded = decode_takes(inside, probabilities, prior, mode, classes).select("clip_id", F.col("label").alias("joint"))
-        out = out.join(decoded, "clip_id", "left")
-    else:
-        out = out.withColumn("joint", F.lit(None).cast("int"))
+    enough = coverage(clips, inside, probabilities).select((F.col("coverage") >= min_coverage).alias("_enough"))  # one row
+    decoded = decode_takes(inside.crossJoin(F.broadcast(enough)).where("_enough").drop("_enough"), probabilities, prior, mode, classes).select("clip_id", F.col("label").alias("joint"))
+    out = clips.select("clip_id").join(probabilities.select("clip_id", argmax(F.col("p")).alias("own")), "clip_id", "left").join(decoded, "clip_id", "left")
     joint = F.col("joint").isNotNull()
     return out.select(
         "clip_id", F.when(joint, F.col("joint")).otherwise(F.coalesce("own", F.lit(0))).alias("label"),

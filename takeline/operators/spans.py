@@ -149,6 +149,12 @@ def ties(table: DataFrame) -> DataFrame:
 
 
 def same_partition(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Rows of member sets in one grouping (``take_id, clip_id``) only; none means equal whatever the names."""
-    sets = lambda d: d.groupBy("take_id").agg(F.sort_array(F.collect_set("clip_id")).alias("members")).select("members")
-    return sets(a).exceptAll(sets(b)).unionByName(sets(b).exceptAll(sets(a)))
+    """``take_id, clips, surplus`` of member sets that one grouping (``take_id, clip_id``) has more of (``surplus`` < 0: ``b``).
+
+    No row means equal whatever the names.  A set is known by its size and two sums over hashes of its members, so no
+    task holds a set.
+    """
+    side = lambda d, sign: d.select(F.lit(sign).alias("side"), F.col("take_id").cast("string").alias("take_id"), "clip_id").distinct()
+    hashed = F.xxhash64("clip_id"), F.xxhash64(F.lit("again"), F.col("clip_id")).cast("decimal(38,0)")
+    sets = side(a, 1).unionByName(side(b, -1)).groupBy("side", "take_id").agg(F.count("*").alias("clips"), F.bit_xor(hashed[0]).alias("mixed"), F.sum(hashed[1]).alias("total"))
+    return sets.groupBy("clips", "mixed", "total").agg(F.min("take_id").alias("take_id"), F.sum("side").alias("surplus")).where("surplus != 0").select("take_id", "clips", "surplus")

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from takeline.operators import evaluate, sampling
 from takeline.operators.decode import beams, gathered, marginals
+from takeline.sources.settled import settled
 
 
 def populations(takes: DataFrame, sizes: DataFrame, repeats: int, seed: int, primary: DataFrame | None = None) -> DataFrame:
@@ -37,26 +38,44 @@ def prior_matrices(priors: DataFrame, classes: int) -> dict[int, np.ndarray]:
     return out
 
 
+def asked_windows(windows: DataFrame, probabilities: DataFrame, folds: DataFrame, classes: int = 40) -> DataFrame:
+    """``config, population, repeat, take_id, members, content`` of every window that can be decoded, without its probabilities.
+
+    ``members``: clips and folds in order; ``content``: hash of the ordered clips, their folds and probabilities.  Windows of
+    equal content (a take that a thinning leaves whole, a subset's take, a configuration that changes nothing there) have
+    equal labels.  Windows with more clips than classes have no distinct labels and are left out, as in ``decode.decode_takes``.
+    """
+    hashed = probabilities.select("config", "clip_id", F.xxhash64("p").alias("p"))
+    rows = windows.join(folds.select("clip_id", "fold"), "clip_id").join(hashed, "clip_id")
+    listed = gathered(rows, ["config", "population", "repeat", "take_id"], classes, ("fold",))
+    content = F.sha2(F.to_json(F.transform("members", lambda m: F.struct(m["clip_id"], m["fold"], m["p"]))), 256)
+    return listed.withColumn("content", content).withColumn("members", F.transform("members", lambda m: F.struct(m["clip_id"].alias("clip_id"), m["fold"].alias("fold"))))
+
+
 def decode_windows(windows: DataFrame, probabilities: DataFrame, folds: DataFrame, priors: dict[int, np.ndarray], weights: tuple[float, ...] = (0.75,), mode: str = "map", classes: int = 40) -> DataFrame:
     """``config, weight, population, repeat, take_id, fold, clip_id, raw, label`` of every window that can be decoded.
 
-    ``probabilities``: ``config, clip_id, p``; ``folds``: ``clip_id, fold``; a fold's windows use its own prior.  Windows
-    with more clips than classes have no distinct labels and are left out, as in ``decode.decode_takes``.
+    ``probabilities``: ``config, clip_id, p``; ``folds``: ``clip_id, fold``; a fold's windows use its own prior.  Windows of
+    equal content are decoded once, and the labels go back to all of them.
     """
-    rows = windows.join(folds.select("clip_id", "fold"), "clip_id").join(probabilities.select("config", "clip_id", "p"), "clip_id")
-    keys = ["config", "population", "repeat", "take_id"]
+    asked = settled(asked_windows(windows, probabilities, folds, classes))
+    distinct = asked.groupBy("content").agg(F.min_by(F.struct("config", "members"), F.struct("config", "population", "repeat", "take_id")).alias("w"))
+    places = distinct.select("content", F.col("w.config").alias("config"), F.posexplode("w.members").alias("position", "m")).select("content", "config", "position", "m.*")
+    rows = places.join(probabilities.select("config", "clip_id", "p"), ["config", "clip_id"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for config, population, repeat, take_id, members in zip(*(batch[c] for c in (*keys, "members")), strict=True):
+            for content, members in zip(batch["content"], batch["members"], strict=True):
                 p, prior = np.stack([m["p"] for m in members]).astype(float), priors[int(members[0]["fold"])]
                 for w in weights:
                     labels = p.argmax(1) if len(p) == 1 else marginals(p, prior, w).argmax(1) if mode == "marginal" else beams(p, prior, w, 64, 16)[1][0]
-                    out += [(config, w, population, repeat, take_id, m["fold"], m["clip_id"], int(a), int(b)) for m, a, b in zip(members, p.argmax(1), labels, strict=True)]
-            yield pd.DataFrame(out, columns=["config", "weight", "population", "repeat", "take_id", "fold", "clip_id", "raw", "label"])
+                    out.append((content, w, p.argmax(1).tolist(), [int(x) for x in labels]))
+            yield pd.DataFrame(out, columns=["content", "weight", "raws", "labels"])
 
-    return gathered(rows, keys, classes, ("fold",)).mapInPandas(run, "config string, weight double, population string, repeat int, take_id string, fold int, clip_id string, raw int, label int")
+    done = gathered(rows, ["content"], classes, ("fold",)).mapInPandas(run, "content string, weight double, raws array<int>, labels array<int>")
+    found = asked.join(done, "content").select("config", "weight", "population", "repeat", "take_id", F.explode(F.arrays_zip("members", "raws", "labels")).alias("x"))
+    return found.select("config", "weight", "population", "repeat", "take_id", "x.members.fold", "x.members.clip_id", F.col("x.raws").alias("raw"), F.col("x.labels").alias("label"))
 
 
 def population_scores(decoded: DataFrame, truth: DataFrame) -> DataFrame:

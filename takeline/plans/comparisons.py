@@ -153,8 +153,8 @@ def fallback_report(spark, sf_dir):
     return decode.fallback_report(d.select("clip_id"), takes, d.where("vec_id % 5 <> 0").select("clip_id", "p"), classes=7)
 
 
-def study(spark: SparkSession, sf_dir: str, weights: tuple[float, ...]) -> tuple[DataFrame, DataFrame]:
-    """Takes of two, whole and thinned three times, two configurations decoded under their fold's prior; and the truth."""
+def study(spark: SparkSession, sf_dir: str, weights: tuple[float, ...] | None) -> tuple[DataFrame, DataFrame]:
+    """Takes of two, whole and thinned three times, two configurations decoded under their fold's prior (no weights: only asked for); and the truth."""
     v, d = F.col("vec_id"), embedding_probs(spark, sf_dir)
     takes = embedding_takes(spark, sf_dir, 2).withColumn("take_size", F.count("*").over(Window.partitionBy("take_id")).cast("int"))
     sizes = spark.createDataFrame([(0.0, 0.4, 1), (0.4, 1.0, 2)], "u_low double, u_high double, size int")
@@ -162,6 +162,8 @@ def study(spark: SparkSession, sf_dir: str, weights: tuple[float, ...]) -> tuple
     folds = d.select("clip_id", (F.floor(v / 2) % 4).cast("int").alias("fold"))
     probabilities = d.select(F.lit("A").alias("config"), "clip_id", "p").unionByName(d.select(F.lit("B").alias("config"), "clip_id", F.col("q").alias("p")))
     windows = studies.populations(takes, sizes, 3, 11, primary)
+    if weights is None:
+        return studies.asked_windows(windows, probabilities, folds, 10), d
     done = studies.decode_windows(windows, probabilities, folds, {f: drill_prior(f) for f in range(4)}, weights, classes=10)
     return done, d.select("clip_id", F.col("label").alias("y"))
 
@@ -188,6 +190,13 @@ def population_scores(spark, sf_dir):
     return _rounded(studies.population_scores(*study(spark, sf_dir, (0.0, 0.75))))
 
 
+@query(f"""WITH {study_sql((0.75,))}, w AS (SELECT config, population, repeat, take, string_agg(vec_id, ',' ORDER BY vec_id) AS clips FROM st GROUP BY ALL)
+SELECT config, count(*) AS windows, count(DISTINCT clips) AS decoded FROM w GROUP BY config""")
+def window_memo(spark, sf_dir):
+    """Windows asked for, and those of them that are decoded."""
+    return study(spark, sf_dir, None)[0].groupBy("config").agg(F.count("*").alias("windows"), F.count_distinct("content").alias("decoded"))
+
+
 @query(f"""WITH {study_sql((0.0, 0.25, 0.75, 1.5))} SELECT config, weight, CAST(repeat AS INT) AS repeat, round(avg(CAST(label = y AS INT)), 6) AS accuracy FROM st WHERE population = 'designated' GROUP BY config, weight, repeat""")
 def thinned_curve(spark, sf_dir):
     """Thinnings at several prior weights, paired."""

@@ -161,3 +161,37 @@ def test_caches(spark, tmp_path):
 
 def rows_of(df):
     return sorted(map(tuple, df.collect()), key=str)
+
+
+def test_windows_of_equal_content_are_decoded_once(spark):
+    """Labels are those of each window decoded alone; equal windows, also of configurations that agree there, share a content."""
+    from takeline.operators.decode import beams
+
+    rng = random.Random(5)
+    draw = lambda: [x / 10 for x in rng.sample(range(1, 10), 4)]
+    p = {c: draw() for c in "abcdefg"}
+    other = p | {"c": draw()}
+    probabilities = spark.createDataFrame([(k, c, v) for k, t in (("A", p), ("B", other), ("C", p)) for c, v in t.items() if (k, c) != ("C", "g")], "config string, clip_id string, p array<double>")
+    folds = spark.createDataFrame([(c, 0 if c < "e" else 1) for c in p], "clip_id string, fold int")
+    takes = {"one": "ab", "two": "cd", "again": "ab", "turned": "ba", "single": "e", "late": "fg", "long": "abcde"}
+    windows = spark.createDataFrame([("x", r, t, c, i) for r in (0, 1) for t, cs in takes.items() for i, c in enumerate(cs)], "population string, repeat int, take_id string, clip_id string, position int")
+    priors = {0: np.random.default_rng(0).dirichlet(np.ones(4), 4), 1: np.full((4, 4), 0.25)}
+    asked = studies.asked_windows(windows, probabilities, folds, 4).collect()
+    assert len(asked) == 3 * 2 * 6  # the long one has more clips than classes
+    same = {}
+    for r in asked:
+        same.setdefault(r["content"], set()).add((r["config"], r["take_id"]))
+    assert sorted(map(sorted, same.values())) == sorted(map(sorted, [{(k, t) for k in "ABC" for t in ("one", "again")}, {(k, "turned") for k in "ABC"}, {("A", "two"), ("C", "two")}, {("B", "two")}, {(k, "single") for k in "ABC"}, {("A", "late"), ("B", "late")}, {("C", "late")}]))
+    got = {}
+    for r in studies.decode_windows(windows, probabilities, folds, priors, (0.0, 0.75), classes=4).collect():
+        got[r["config"], r["weight"], r["repeat"], r["take_id"], r["clip_id"]] = (r["fold"], r["raw"], r["label"])
+    want = {}
+    for config, table in (("A", p), ("B", other), ("C", {c: v for c, v in p.items() if c != "g"})):
+        for t, cs in takes.items():
+            cs = [c for c in cs if c in table]
+            if len(cs) <= 4:
+                m, fold = np.array([table[c] for c in cs]), 0 if cs[0] < "e" else 1
+                for w in (0.0, 0.75):
+                    labels = m.argmax(1) if len(cs) == 1 else beams(m, priors[fold], w, 64, 16)[1][0]
+                    want |= {(config, w, r, t, c): (fold, int(m[i].argmax()), int(labels[i])) for i, c in enumerate(cs) for r in (0, 1)}
+    assert got == want
