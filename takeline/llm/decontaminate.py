@@ -6,12 +6,15 @@ run of its words is within ``n * percent // 100`` word edits of it.
 *Segments.* CGK distance grows faster than the edits, so an item of more than ``SEGMENT_WORDS`` words is cut into
 segments of nearly equal length.  If a run is within ``percent`` of the item in edits, some segment is within ``percent``
 of its own words of its part of the run (else the edits would sum to more), so no item is missed by the cut.
+*Rare words.* A run within ``k`` edits of an item keeps one of any ``k + 1`` of its words.  The ``k + 1`` that the fewest
+items of the block have are filed, and a document is held against an item only about places where one of them stands, so
+what many items share (an instruction, a template) proposes none of them.
 *Windows.* A window at each word, as long as the segment.  By the q-gram lemma a window within ``k`` edits shares at
 least ``n - q + 1 - k q`` of its q-grams with the segment, so windows with fewer q-grams of any segment are passed over
 without loss, from the positions of each segment's q-grams.
 *Embedding.* The CGK random walk writes ``3 n`` symbols: at step ``j`` it copies the current word and goes on to the next
 if a random bit of ``(j, word)`` says so.  Few edits become few differences.
-*LSH.* In each of ``REPEATS`` rounds, with a walk of its own, a few sampled steps of the embedding form a key; a window
+*LSH.* Equal segments are one.  In each of ``REPEATS`` rounds, with a walk of its own, a few sampled steps of the embedding form a key; a window
 and a segment with one key in common are a candidate.
 *Verification.* The least edit distance of the whole item to any run of words about the window's place in it, by dynamic
 programming.
@@ -19,7 +22,8 @@ programming.
 The items are a stated query set: they are read in blocks of a bounded size, and each block is broadcast, its tables are
 built once a worker, and it is held against all documents in one pass without a shuffle.
 
-Defined cases: null and empty texts leak nothing; items without words are skipped; repeated rows are judged each; null
+Defined cases: null and empty texts leak nothing; items without words are skipped; repeated rows are judged each, and
+so are repeated items, whatever their ids; of runs with equally few edits the first, and of those the shortest, is told; null
 ids pass through; other columns are ignored; empty tables give no rows.
 """
 
@@ -47,6 +51,9 @@ SEGMENT_WORDS = 25
 #: Characters of items that one pass holds, at most (about; a longer item is a block of its own).
 BLOCK_CHARS = 8_000_000
 
+#: Pairs of an item and a place that one step holds, at most (about; a document is never split).
+STEP_PAIRS = 1 << 21
+
 _MARKS = b"\"'`.,;:!?()[]{}<>*#$%&|_-"
 
 
@@ -112,8 +119,37 @@ def stretches(places: list[int], slack: int, length: int, end: int) -> list[tupl
     return out
 
 
+def matches(table: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places in ``values`` that occur in a sorted table, and the first row and number of rows there."""
+    if not len(table):
+        return (np.zeros(0, np.int64),) * 3
+    low = np.searchsorted(table, values, "left")
+    at = np.flatnonzero(table[np.minimum(low, len(table) - 1)] == values)
+    low = low[at]
+    return at, low, np.searchsorted(table, values[at], "right") - low
+
+
+def spread(low: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """``low .. low + count - 1`` of each row, end to end."""
+    return np.repeat(low - (np.cumsum(count) - count), count) + np.arange(count.sum())
+
+
+def parted(cost: np.ndarray, most: int) -> Iterator[slice]:
+    """Slices whose costs sum to at most ``most``, one row at least."""
+    done, start = np.cumsum(cost), 0
+    while start < len(cost):
+        end = max(start + 1, int(np.searchsorted(done, (done[start - 1] if start else 0) + most, side="right")))
+        yield slice(start, end)
+        start = end
+
+
+def among(keys: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Which keys a sorted table has."""
+    return table[np.minimum(np.searchsorted(table, keys), len(table) - 1)] == keys if len(table) else np.zeros(len(keys), bool)
+
+
 class Items:
-    """A block of items, their segments, and the segments' q-grams and LSH keys by length."""
+    """A block of items, their rare words, their segments, and the segments' q-grams and LSH keys."""
 
     def __init__(self, items: list[tuple[object, str]], percent: int, hashes: WordHashes) -> None:
         self.ids, self.words = [], []
@@ -122,14 +158,19 @@ class Items:
             if len(words):
                 self.ids.append(item_id)
                 self.words.append(words)
-        self.edits = [len(w) * percent // 100 for w in self.words]
-        #: Of each segment: its item, and its place and words in it.
-        self.item, self.place, segments = [], [], []
+        self.size = np.array([len(w) for w in self.words], np.int64)
+        self.edits = self.size * percent // 100
+        self.file_rare_words()
+        #: Distinct segments, and who owns them: sorted by segment, the item and the place in it.
+        known: dict[bytes, int] = {}
+        owners: list[tuple[int, int, int]] = []
         for i, w in enumerate(self.words):
             for part in np.array_split(np.arange(len(w)), -(-len(w) // SEGMENT_WORDS)):
-                self.item.append(i)
-                self.place.append(int(part[0]))
-                segments.append(w[part])
+                owners.append((known.setdefault(w[part].tobytes(), len(known)), i, int(part[0])))
+        segments = [np.frombuffer(x, np.uint64) for x in known]
+        self.owner, self.item, self.place = (np.array(c, np.int64) for c in zip(*sorted(owners), strict=True)) if owners else (np.zeros(0, np.int64),) * 3
+        self.by_item = np.argsort(self.item, kind="stable")  # an item's rows of the three
+        self.item_starts = np.searchsorted(self.item[self.by_item], np.arange(len(self.words) + 1))
         #: Of each segment: words, q, and q-grams that a window within its edits must share.
         self.n = np.array([len(w) for w in segments], np.int64)
         self.q, self.need = self.n * 0, self.n * 0
@@ -142,9 +183,9 @@ class Items:
         #: By q: sorted (gram, segment) pairs.  A segment that repeats a gram needs fewer distinct ones; positions count, so that is safe.
         self.grams = {}
         for q, parts in grams.items():
-            gram, item = np.concatenate([g for g, _ in parts]), np.concatenate([np.full(len(g), i) for g, i in parts])
+            gram, segment = np.concatenate([g for g, _ in parts]), np.concatenate([np.full(len(g), i) for g, i in parts])
             order = np.argsort(gram, kind="stable")
-            self.grams[q] = (gram[order], item[order])
+            self.grams[q] = (gram[order], segment[order])
         #: Of each round: sorted keys and their segments.
         groups: dict[int, list[int]] = defaultdict(list)
         for i, n in enumerate(self.n.tolist()):  # segments of similar length walk together
@@ -162,20 +203,42 @@ class Items:
             order = np.argsort(keys, kind="stable")
             self.tables.append((keys[order], of[order]))
 
-    def windows(self, h: np.ndarray, sizes: np.ndarray) -> list[tuple[int, np.ndarray]]:
-        """Lengths and window starts (in documents end to end) that share enough q-grams with a segment of that length."""
+    def file_rare_words(self) -> None:
+        """``rare``: sorted words and the items they are filed for, the words that the fewest items have."""
+        held = [np.unique(w) for w in self.words]
+        words, count = np.unique(np.concatenate([np.zeros(0, np.uint64), *held]), return_counts=True)
+        number = dict(zip(words.tolist(), count.tolist(), strict=True))
+        filed_words, filed_items = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        for i, w in enumerate(self.words):
+            order = np.lexsort((w, [number[x] for x in w.tolist()]))
+            some = np.unique(w[order[: self.edits[i] + 1]])  # as many places, which may hold fewer words
+            filed_words.append(some)
+            filed_items.append(np.full(len(some), i))
+        word, item = np.concatenate(filed_words), np.concatenate(filed_items)
+        order = np.argsort(word, kind="stable")
+        self.rare = word[order], item[order]
+
+    def windows(self, h: np.ndarray, sizes: np.ndarray, asked: np.ndarray) -> list[tuple[int, np.ndarray]]:
+        """Lengths and window starts (in documents end to end) that share enough q-grams with a segment of that length.
+
+        ``asked``: sorted ``document << 32 | segment`` of what may be found.
+        """
         last = np.cumsum(sizes)
         starts: dict[int, list[np.ndarray]] = defaultdict(list)
-        for q, (grams, items) in self.grams.items():
-            g = rolling(h, q, 31)
-            at = np.flatnonzero(grams[np.minimum(np.searchsorted(grams, g), len(grams) - 1)] == g)
+        for q, (grams, segments) in self.grams.items():
+            at, low, count = matches(grams, rolling(h, q, 31))
             doc = np.searchsorted(last, at, "right")
             inside = at + q <= last[doc]
-            at, doc = at[inside], doc[inside]
-            low, high = np.searchsorted(grams, g[at], "left"), np.searchsorted(grams, g[at], "right")
-            count = high - low
-            item = items[np.repeat(low - (np.cumsum(count) - count), count) + np.arange(count.sum())]
-            at, doc = np.repeat(at, count), np.repeat(doc, count)
+            at, doc, low, count = at[inside], doc[inside], low[inside], count[inside]
+            met = []
+            for part in parted(count, STEP_PAIRS):  # a gram of many segments meets the few that are asked for
+                segment = segments[spread(low[part], count[part])]
+                place, of = np.repeat(at[part], count[part]), np.repeat(doc[part], count[part])
+                own = among(of << 32 | segment, asked)
+                met.append((segment[own], place[own], of[own]))
+            if not met:
+                continue
+            item, at, doc = (np.concatenate(c) for c in zip(*met, strict=True))
             order = np.lexsort((at, item))
             item, at, doc = item[order], at[order], doc[order]
             # `need` hits of one segment, neighbours in this order, within one window of one document.
@@ -188,20 +251,21 @@ class Items:
             n = self.n[item[j]]
             first = np.maximum(at[end] - (n - q), (last - sizes)[doc[j]])
             span = at[j] - first + 1
-            every = np.repeat(first - (np.cumsum(span) - span), span) + np.arange(span.sum())
+            every = spread(first, span)
             n = np.repeat(n, span)
             for length in np.unique(n).tolist():
-                starts[length].append(every[n == length])
+                starts[length].append(np.unique(every[n == length]))
         return [(length, np.unique(np.concatenate(x))) for length, x in sorted(starts.items())]
 
-    def candidates(self, h: np.ndarray, sizes: np.ndarray) -> set[tuple[int, int]]:
-        """``(segment number, window start)`` pairs with a key in common."""
-        out: set[tuple[int, int]] = set()
-        found = self.windows(h, sizes)
+    def candidates(self, h: np.ndarray, sizes: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Segments and window starts with a key in common, of those ``asked`` for."""
+        found = self.windows(h, sizes, asked)
         by_size: dict[int, list[tuple[int, np.ndarray]]] = defaultdict(list)
         for n, at in found:  # windows of similar length walk together
             by_size[n.bit_length()].append((n, at))
-        end = np.repeat(np.cumsum(sizes), sizes)
+        last = np.cumsum(sizes)
+        end = np.repeat(last, sizes)
+        out = [np.zeros(0, np.uint64)]
         for group in by_size.values():
             n_all = np.concatenate([np.full(len(at), n) for n, at in group])
             at_all = np.concatenate([at for _, at in group])
@@ -210,35 +274,81 @@ class Items:
                 place = at[:, None] + np.arange(int(n.max()))
                 inside = (np.arange(int(n.max())) < n[:, None]) & (place < end[at][:, None])
                 rows = np.where(inside, h[np.minimum(place, len(h) - 1)], np.uint64(0))
+                doc = np.searchsorted(last, at, "right")
+                pairs = [np.zeros(0, np.uint64)]
                 for r, (keys, of) in enumerate(self.tables):
-                    mine = keys_of(rows, n, r)
-                    low, high = np.searchsorted(keys, mine, "left"), np.searchsorted(keys, mine, "right")
-                    for w in np.flatnonzero(high > low).tolist():
-                        out.update((int(i), int(at[w])) for i in of[low[w] : high[w]])
-        return out
-
+                    w, low, count = matches(keys, keys_of(rows, n, r))
+                    for part in parted(count, STEP_PAIRS):
+                        segment, window = of[spread(low[part], count[part])], np.repeat(w[part], count[part])
+                        own = among(doc[window] << 32 | segment, asked)
+                        pairs.append(segment[own].astype(np.uint64) << np.uint64(32) | window[own].astype(np.uint64))
+                    if sum(map(len, pairs)) > STEP_PAIRS:
+                        pairs = [np.unique(np.concatenate(pairs))]
+                pair = np.unique(np.concatenate(pairs))
+                out.append(pair >> np.uint64(32) << np.uint64(32) | at[(pair & np.uint64(0xFFFFFFFF)).astype(np.int64)].astype(np.uint64))
+        both = np.unique(np.concatenate(out))
+        return (both >> np.uint64(32)).astype(np.int64), (both & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
     def found_in(self, parts: list[np.ndarray]) -> Iterator[tuple[int, int, int, int, int]]:
         """``(document, item, edits, first word, end word)``: the best run of each leaked item in documents of word hashes."""
         sizes = np.array([len(x) for x in parts], np.int64)
         if not sizes.sum() or not self.words:
             return
-        places: dict[tuple[int, int], list[int]] = defaultdict(list)
+        h = np.concatenate(parts)
+        at, low, count = matches(self.rare[0], h)
+        doc = np.searchsorted(np.cumsum(sizes), at, "right")
+        some = np.unique(doc)  # documents with a rare word of some item
+        cost = np.bincount(doc, count, len(parts))[some]
+        for group in parted(cost, STEP_PAIRS):
+            docs = some[group]
+            own = np.isin(doc, docs)
+            firsts = np.cumsum(sizes) - sizes
+            shift = np.zeros(len(parts), np.int64)  # from places in all documents to those in these
+            shift[docs] = firsts[docs] - (np.cumsum(sizes[docs]) - sizes[docs])
+            item = self.rare[1][spread(low[own], count[own])]
+            place = np.repeat(at[own] - shift[doc[own]], count[own])
+            which = np.repeat(np.searchsorted(docs, doc[own]), count[own])
+            for d, *leak in self.found_near([parts[d] for d in docs.tolist()], sizes[docs], item, place, which):
+                yield int(docs[d]), *leak
+
+    def found_near(self, parts: list[np.ndarray], sizes: np.ndarray, item: np.ndarray, place: np.ndarray, doc: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
+        """The same for documents whose rare words are given: the item, place and document of each."""
+        asked = np.unique(doc << 32 | item)
+        of_doc, of_item = asked >> 32, asked & 0xFFFFFFFF
+        count = self.item_starts[of_item + 1] - self.item_starts[of_item]
+        segment = self.owner[self.by_item[spread(self.item_starts[of_item], count)]]
         firsts = np.cumsum(sizes) - sizes
-        for g, a in self.candidates(np.concatenate(parts), sizes):
-            d = int(np.searchsorted(firsts, a, "right")) - 1
-            places[d, self.item[g]].append(a - int(firsts[d]) - self.place[g])
-        for (d, i), about in sorted(places.items()):
-            h, item, k = parts[d], self.words[i], self.edits[i]
-            best, slack = (k + 1, 0, 0), k + min(len(item), SEGMENT_WORDS)  # a window may lie off its segment by its length
-            for low, high in stretches(about, slack, len(item) + k, len(h)):
-                text = h[low:high]
-                if np.isin(item, text).sum() < len(item) - k:  # each word that isn't there is an edit
+        segment, start = self.candidates(np.concatenate(parts), sizes, np.unique(np.repeat(of_doc, count) << 32 | segment))
+        hits = np.sort(item << 40 | place)
+        low = np.searchsorted(self.owner, segment, "left")
+        count = np.searchsorted(self.owner, segment, "right") - low
+        met: list[np.ndarray] = []
+        for part in parted(count, STEP_PAIRS):
+            row = spread(low[part], count[part])
+            own, run = self.item[row], np.repeat(start[part], count[part]) - self.place[row]  # where the item's run would start
+            reach = self.edits[own] + np.minimum(self.size[own], SEGMENT_WORDS)
+            first = np.searchsorted(hits, own << 40 | np.maximum(run - reach, 0))
+            near = np.searchsorted(hits, own << 40 | np.maximum(run + reach + self.size[own] + self.edits[own], 0), "right") > first
+            d = np.searchsorted(firsts, np.repeat(start[part], count[part])[near], "right") - 1
+            met.append(np.stack([d, own[near], run[near] - firsts[d]]))
+        if not met:
+            return
+        d, own, run = np.unique(np.concatenate(met, axis=1), axis=1)
+        ends = np.flatnonzero(np.r_[(d[1:] != d[:-1]) | (own[1:] != own[:-1]), True]) + 1 if len(d) else []
+        begin = 0
+        for end in ends:
+            which, i, about = int(d[begin]), int(own[begin]), run[begin:end].tolist()
+            begin = end
+            h, words, k = parts[which], self.words[i], int(self.edits[i])
+            best, slack = (k + 1, 0, 0), k + min(len(words), SEGMENT_WORDS)  # a window may lie off its segment by its length
+            for low_, high in stretches(about, slack, len(words) + k, len(h)):
+                text = h[low_:high]
+                if np.isin(words, text).sum() < len(words) - k:  # each word that isn't there is an edit
                     continue
-                edits, first, end = run_distance(item, text, k)
-                best = min(best, (edits, low + first, low + end))
+                edits, first_, end_ = run_distance(words, text, k)
+                best = min(best, (edits, low_ + first_, low_ + end_))
             if best[0] <= k:
-                yield d, i, *best
+                yield which, i, *best
 
 
 #: The block a worker has built last, by its label.

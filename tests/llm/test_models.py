@@ -225,3 +225,43 @@ def test_quality(spark):
         failed = r["n_words"] < 50 or 100 * r["n_repeat_words"] > 50 * r["n_words"]
         assert r["base_failed"] == failed and r["kept"] == (not failed)
     assert Q.judge(df.limit(0), model).count() == 0
+
+
+def test_passages_that_items_share():
+    """Thousands of items with one opening, and a document that says it a thousand times: seconds, and no item but the one that is there."""
+    import time
+    import tracemalloc
+
+    rng = random.Random(3)
+    head = [f"s{k}" for k in range(25)]
+    items = [(i, " ".join(head + [f"i{i}x{k}" for k in range(15)])) for i in range(5000)]
+    hashes = D.WordHashes(D.normal_word)
+    block = D.Items(items, 20, hashes)
+    said = " ".join(" ".join(head) + " " + " ".join(f"r{rng.randrange(10**6)}" for _ in range(13)) for _ in range(1000))
+    far = " ".join(f"i{i}x0" for i in range(0, 5000, 5))  # a rare word of a thousand items, far from the passage
+    tracemalloc.start()
+    start = time.perf_counter()
+    found = list(block.found_in([hashes(x.encode().split()) for x in (said, said + " " + items[7][1], "z " * 200 + said + " z" * 200 + far)]))
+    assert time.perf_counter() - start < 20 and tracemalloc.get_traced_memory()[1] < 500 << 20
+    tracemalloc.stop()
+    assert found == [(1, 7, 0, 38_000, 38_040)]
+
+
+def test_repeated_items_and_equal_runs(spark):
+    """Items that repeat an id or a text each have rows; of equally good runs the first is told; step sizes change nothing."""
+    text = "one two three four five six"
+    docs = spark.createDataFrame([(1, f"x {text} y {text}"), (None, text)], "doc_id long, text string")
+    bench = spark.createDataFrame([(5, text), (5, text), (6, text), (None, text.upper())], "item_id long, text string")
+    got = sorted(map(tuple, D.leaks(docs, bench).collect()), key=repr)
+    assert got == sorted([(d, i, 0, a, a + 6) for d, a in ((1, 1), (None, 0)) for i in (5, 5, 6, None)], key=repr)
+    hashes = D.WordHashes(D.normal_word)
+    rng = random.Random(8)
+    items = [(k, " ".join(words(rng, rng.randrange(3, 60), 60))) for k in range(40)]
+    texts = [hashes((" ".join(words(rng, 80, 60)) + " " + items[k % 40][1] + " " + " ".join(words(rng, 30, 60))).encode().split()) for k in range(60)]
+    block = D.Items(items, 20, hashes)
+    want = list(block.found_in(texts))
+    whole, D.STEP_PAIRS = D.STEP_PAIRS, 7
+    try:
+        assert sorted(block.found_in(texts)) == sorted(want) and len(want) >= 60
+    finally:
+        D.STEP_PAIRS = whole
