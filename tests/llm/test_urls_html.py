@@ -145,7 +145,77 @@ def test_html_generated(container):
             assert H.main_text(html) == want, html
 
 
-@pytest.mark.parametrize("part", ["<font>x<br></i>", "<div>x", "<article>y", "<p>a<b>", "<ul><li>x", "</p></div>z", "<section class='share-it'><i>q"])
+def test_html_text_outside_regions():
+    """Main text beside ``article`` and ``main`` is kept, and cards lose to it."""
+    long = [LONG.format(i) for i in range(4)]
+    paragraphs = lambda xs: "".join(f"<p>{x}</p>" for x in xs)
+    teaser = "<article class='card'><h3>Another story</h3><p>What it is about in a few words.</p></article>"
+    assert H.main_text(f"<div>{paragraphs(long[:3])}</div>{teaser}{teaser}") == "\n".join(long[:3])
+    assert H.main_text(f"{teaser}<div>{paragraphs(long[:3])}</div>") == "\n".join(long[:3])
+    assert H.main_text(f"<main>{paragraphs(long)}</main>{teaser}{teaser}") == "\n".join(long)
+    assert H.main_text(f"<main>{paragraphs(long[:1])}</main><div>{paragraphs(long[1:])}<p>End.</p></div>") == "\n".join([*long, "End."])
+    assert H.main_text(f"<article>{paragraphs(long[:1])}</article><div>{paragraphs(long[1:])}</div>") == "\n".join(long)
+    assert H.main_text(f"<article>{paragraphs(long[:3])}<p>Short.</p></article><div><p>A line of the site.</p></div>") == "\n".join([*long[:3], "Short."])
+    index = "".join(f"<article><h2>Post {i}</h2><p>{x}</p></article>" for i, x in enumerate(long))
+    assert H.main_text(index).split("\n") == [y for i, x in enumerate(long) for y in (f"Post {i}", x)]
+
+
+def test_html_page_wide_form():
+    """A form around the page is its layout; its controls and labels go.  Other forms go whole."""
+    body = f"<nav><a href=x>Menu</a></nav><div><h1>Head</h1><p>{LONG}</p><label>Name</label><select><option>a<option>b</select><input name=q><button>Go</button><p>End.</p></div>"
+    want = f"Head\n{LONG}\nEnd."
+    assert H.main_text(f"<body><form id=aspnetForm>{body}</form></body>") == want
+    assert H.main_text(f"<body><form><p>{LONG}</p><textarea>x</textarea></form></body>") == LONG
+    assert H.main_text(f"<body><div><p>{LONG}</p><form><p>{LONG} {LONG}</p><input></form><p>End.</p></div></body>") == f"{LONG}\nEnd."
+    assert H.main_text(f"<article><p>{LONG}</p><form><label>Mail</label><p>Send us your mail.</p></form></article>") == LONG
+
+
+def test_html_comments():
+    """Whatever stands beside the word, comments go, unless they hold most of the page's text."""
+    said = "".join(f"<div class='user-comment-{i}'><p>{LONG} I say {i}</p></div>" for i in range(2))
+    for name in ("blog-comments", "comments-of-readers", "post-replies", "my-disqus-thread"):
+        assert H.main_text(f"<article><p>{LONG}</p><p>{LONG}!</p><p>{LONG}?</p><section class='{name}'>{said}</section></article>") == f"{LONG}\n{LONG}!\n{LONG}?"
+        assert H.main_text(f"<div><div><p>{LONG}</p><p>{LONG}!</p><p>{LONG}?</p></div><div id='{name}'>{said}</div></div>") == f"{LONG}\n{LONG}!\n{LONG}?"
+    assert H.main_text(f"<article><p>{LONG}</p><p>{LONG}!</p><p>{LONG}?</p><ol>{said}</ol></article>") == f"{LONG}\n{LONG}!\n{LONG}?"
+    assert H.main_text(f"<div class='comment-on-the-law'><p>{LONG}</p><p>End.</p></div>") == f"{LONG}\nEnd."
+
+
+@pytest.mark.parametrize("end", ["<!-- never closed <p>after</p>", "<!-- x", "<p class='never", "<p", "</", "</p", "<?php echo", "<!DOCTYPE"])
+def test_html_unfinished_markup(end):
+    """Markup that the page breaks off is no text; a sign that starts none is."""
+    assert H.main_text(f"<article><p>{LONG}</p><p>1 < 2 &amp; 3</p>{end}") in (f"{LONG}\n1 < 2 & 3", f"{LONG}\n1 < 2 & 3\n</")
+    assert H.main_text("<p>a <") == "a <" and H.main_text("<p>a &lt;b") == "a <b"
+
+
+def split_page(rng):
+    """A page whose text stands in several of ``article``, ``main`` and ``div``, with cards, comments and maybe a form around all: ``(html, text)``."""
+    words = lambda n: " ".join(f"w{rng.randrange(60)}" for _ in range(n))
+    want, parts = [], []
+    for k in range(rng.randrange(2, 5)):
+        blocks = [words(rng.randrange(40, 90)) for _ in range(rng.randrange(2, 4))]
+        blocks.insert(rng.randrange(1, len(blocks) + 1), words(rng.randrange(1, 4)))
+        want += blocks
+        tag = rng.choice(["article", "main", "div", "div"]) if k else "div"
+        parts.append(f"<{tag}>" + "".join(rng.choice(["<p>{}</p>", "<div>{}</div>", "<blockquote><p>{}</blockquote>"]).format(x) for x in blocks) + f"</{tag}>")
+        if rng.random() < 0.5:
+            kind = rng.choice(["user-comment-12", "blog-comments", "comment-by-a-reader"])
+            parts.append(f"<div class='{kind}'><p>{words(rng.randrange(5, 25))}</p></div>")
+    cards = "".join(f"<article class='{rng.choice(['card', 'story-teaser', ''])}'><h3>{words(4)}</h3><p>{words(rng.randrange(4, 10))}</p></article>" for _ in range(rng.randrange(2, 5)))
+    parts.insert(rng.choice([0, len(parts)]), rng.choice(["", cards]))
+    body = f"<nav><ul><li>{words(2)}<li>{words(2)}</ul></nav>{''.join(parts)}<footer>{words(20)}</footer>"
+    if rng.random() < 0.4:
+        body = f"<form action=x>{body}<label>{words(2)}</label><button>{words(1)}</button></form>"
+    return f"<html><body>{body}</body></html>", "\n".join(want)
+
+
+def test_html_generated_splits():
+    rng = random.Random(11)
+    for _ in range(400):
+        html, want = split_page(rng)
+        assert H.main_text(html) == want, html
+
+
+@pytest.mark.parametrize("part", ["<font>x<br></i>", "<div>x", "<article>y", "<p>a<b>", "<ul><li>x", "</p></div>z", "<section class='share-it'><i>q", "<article>some words</article>", "<div><div>some words in a line</div></div>", "<form>x", "<p class='a-comment-b'>y"])
 def test_html_is_linear(part):
     """A megabyte of broken nesting takes seconds, not hours."""
     html = part * (1_000_000 // len(part))
