@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from takeline.functions.columns import even_picks, square_window
+from takeline.operators import resize
 from takeline.operators.spans import ranked
 
 #: Thresholds of the acceptance rule, crop margin, least side and tile size by frame width.
@@ -19,18 +22,23 @@ def best_per_probe(detections: DataFrame) -> DataFrame:
     return best.select("clip_id", "probe", "m.b.*", "m.score")
 
 
-def accept(boxes: DataFrame, width: int, probes: int = 8, strong: float = STRONG, weak: float = WEAK, quorum: float = QUORUM, spread: float = SPREAD, clips: DataFrame | None = None) -> DataFrame:
+def _width(width: int | str) -> Column:
+    """Of a clip's frames, as an aggregate over its boxes."""
+    return F.max(width) if isinstance(width, str) else F.lit(width)
+
+
+def accept(boxes: DataFrame, width: int | str, probes: int = 8, strong: float = STRONG, weak: float = WEAK, quorum: float = QUORUM, spread: float = SPREAD, clips: DataFrame | None = None) -> DataFrame:
     """``clip_id, reason, n_detected, best_score`` by the rule strong / agree / sparse / scattered.
 
-    Of ``clips`` (``clip_id``), those without any box are ``none``.
+    Of ``clips`` (``clip_id``), those without any box are ``none``.  ``width``: of the frames, or a column of the boxes.
     """
     cx, cy = (F.col("x1") + F.col("x2")) / 2, (F.col("y1") + F.col("y2")) / 2
     good = F.col("score") >= weak
     stats = boxes.groupBy("clip_id").agg(
-        F.max("score").alias("best_score"), F.count_if(good).cast("int").alias("n"), F.greatest(F.stddev_pop(F.when(good, cx)), F.stddev_pop(F.when(good, cy))).alias("sd")
+        F.max("score").alias("best_score"), F.count_if(good).cast("int").alias("n"), F.greatest(F.stddev_pop(F.when(good, cx)), F.stddev_pop(F.when(good, cy))).alias("sd"), _width(width).alias("w")
     )
     need = max(2, round(quorum * probes))
-    reason = F.when(F.col("best_score") >= strong, "strong").when(F.col("n") < need, "sparse").when(F.col("sd") > spread * width, "scattered").otherwise("agree")
+    reason = F.when(F.col("best_score") >= strong, "strong").when(F.col("n") < need, "sparse").when(F.col("sd") > spread * F.col("w"), "scattered").otherwise("agree")
     kept = F.when(reason.isin("strong", "agree"), F.col("n")).otherwise(0)
     found = stats.select("clip_id", reason.alias("reason"), kept.alias("n_detected"), "best_score")
     if clips is None:
@@ -39,14 +47,14 @@ def accept(boxes: DataFrame, width: int, probes: int = 8, strong: float = STRONG
     return every.select("clip_id", F.coalesce("reason", F.lit("none")).alias("reason"), F.coalesce("n_detected", F.lit(0)).alias("n_detected"), F.coalesce("best_score", F.lit(0.0)).alias("best_score"))
 
 
-def person_windows(boxes: DataFrame, width: int, probes: int = 8, margin: float = MARGIN, min_side: float = MIN_SIDE, weak: float = WEAK, **rule: float) -> DataFrame:
+def person_windows(boxes: DataFrame, width: int | str, probes: int = 8, margin: float = MARGIN, min_side: float = MIN_SIDE, weak: float = WEAK, **rule: float) -> DataFrame:
     """Square window of accepted clips: median centre, largest side; not clamped to the frame."""
     accepted = accept(boxes, width, probes, weak=weak, **rule)
     used = boxes.where(F.col("score") >= weak).join(accepted.where("reason in ('strong', 'agree')"), "clip_id")
     geometry = used.groupBy("clip_id", "reason", "n_detected", "best_score").agg(
-        F.percentile((F.col("x1") + F.col("x2")) / 2, 0.5).alias("cx"), F.percentile((F.col("y1") + F.col("y2")) / 2, 0.5).alias("cy"), F.max(F.greatest(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))).alias("side")
+        F.percentile((F.col("x1") + F.col("x2")) / 2, 0.5).alias("cx"), F.percentile((F.col("y1") + F.col("y2")) / 2, 0.5).alias("cy"), F.max(F.greatest(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))).alias("side"), _width(width).alias("w")
     )
-    half = F.greatest(F.col("side") * margin, F.lit(min_side * width)) / 2
+    half = F.greatest(F.col("side") * margin, F.col("w") * min_side) / 2
     edges = {"top": F.col("cy") - half, "left": F.col("cx") - half, "bottom": F.col("cy") + half, "right": F.col("cx") + half}
     return geometry.select("clip_id", *(F.rint(v).cast("int").alias(n) for n, v in edges.items()), "n_detected", F.col("reason").alias("source"), "best_score")
 
@@ -60,10 +68,45 @@ def choose_window(clips: DataFrame, person: DataFrame, motion: DataFrame, scale:
     return out.select("clip_id", F.coalesce("pw", "mw").alias("w"), F.coalesce("ps", F.when(F.col("mw").isNotNull(), "motion")).alias("source")).select("clip_id", "w.*", "source")
 
 
-def tile_offsets(height: int, width: int, part: float = TILE) -> list[tuple[int, int, int, int]]:
-    """``(top, left, height, width)`` of the four corner tiles."""
-    h, w = int(height * part), int(width * part)
-    return [(t, x, h, w) for t in (0, height - h) for x in (0, width - w)]
+def tiles(frames: DataFrame, part: float = TILE) -> DataFrame:
+    """``clip_id, tile, top, left, height, width``: the four overlapping corner tiles of each clip's frames (``clip_id, height, width``)."""
+    h, w = (F.floor(F.col(c) * F.lit(part)).cast("int") for c in ("height", "width"))
+    corner = lambda k: F.struct(F.lit(k).alias("tile"), (F.lit(k // 2) * (F.col("height") - h)).cast("int").alias("top"), (F.lit(k % 2) * (F.col("width") - w)).cast("int").alias("left"), h.alias("height"), w.alias("width"))
+    return frames.select("clip_id", F.inline(F.array(*map(corner, range(4)))))
+
+
+def best_over_tiles(found: DataFrame, offsets: DataFrame) -> DataFrame:
+    """``clip_id, probe, x1, y1, x2, y2, score`` in the frame, of boxes in tiles: the best tile's best box, the first tile on ties."""
+    own = Window.partitionBy("clip_id", "probe", "tile").orderBy(F.desc("score"), "x1", "y1", "x2", "y2")
+    placed = found.withColumn("_n", F.row_number().over(own)).where("_n = 1 and score > 0").join(offsets.select("clip_id", "tile", "top", "left"), ["clip_id", "tile"])
+    shifted = F.struct(*((F.col(c) + F.col(by)).alias(c) for c, by in (("x1", "left"), ("y1", "top"), ("x2", "left"), ("y2", "top"))), "score")
+    best = placed.groupBy("clip_id", "probe").agg(F.max_by(shifted, F.struct("score", -F.col("tile"))).alias("b"))
+    return best.select("clip_id", "probe", "b.*")
+
+
+def rescued_windows(frames: DataFrame, detections: DataFrame, in_tiles: DataFrame | Callable[[DataFrame], DataFrame], motion: DataFrame, probes: int = 8, least: float = WEAK, **rule: float) -> DataFrame:
+    """``clip_id, top, left, bottom, right, n_detected, source, best_score`` of each clip, by the first rung that holds.
+
+    Rungs: boxes of whole frames (``strong``, ``agree``); for clips that these fail, boxes in corner tiles (``tiled``); for
+    those that still fail the motion box, made square (``motion``); the whole frame (``whole``).  ``frames``: ``clip_id,
+    height, width``; ``in_tiles``: ``clip_id, probe, tile`` and a box, or what makes them from the tiles of the clips that
+    go on, so that a detector sees only these.  ``best_score`` is that of the last rung with a detector.
+    """
+    sizes = frames.select("clip_id", "width")
+    plain = best_per_probe(detections.where(F.col("score") >= least)).join(sizes, "clip_id")
+    first = person_windows(plain, "width", probes, **rule)
+    failed = frames.join(first, "clip_id", "left_anti")
+    offsets = tiles(failed)
+    again = in_tiles(offsets) if callable(in_tiles) else in_tiles.join(failed, "clip_id", "left_semi")
+    tiled = best_over_tiles(again, offsets).where(F.col("score") >= least).join(sizes, "clip_id")
+    second = person_windows(tiled, "width", probes, **rule).withColumn("source", F.lit("tiled"))
+    found = first.unionByName(second)
+    rest = failed.join(second, "clip_id", "left_anti").join(tiled.groupBy("clip_id").agg(F.max("score").alias("best_score")), "clip_id", "left")
+    box = square_window(*(F.col(c) for c in ("top", "left", "bottom", "right")), 1.0)
+    moved = rest.join(motion.select("clip_id", box.alias("w")), "clip_id", "left")
+    whole = F.struct(F.lit(0).alias("top"), F.lit(0).alias("left"), F.col("height").alias("bottom"), F.col("width").alias("right"))
+    last = moved.select("clip_id", F.coalesce("w", whole).alias("w"), F.lit(0).alias("n_detected"), F.when(F.col("w").isNull(), "whole").otherwise("motion").alias("source"), F.coalesce("best_score", F.lit(0.0)).alias("best_score"))
+    return found.unionByName(last.select("clip_id", "w.*", "n_detected", "source", "best_score"))
 
 
 def decode_palette(pixels: DataFrame, palette: DataFrame, invalid: int = 255) -> DataFrame:
@@ -140,8 +183,12 @@ def channel_stats(pixels: DataFrame, by: tuple[str, ...] = ("channel",)) -> Data
     return pixels.groupBy(*by).agg(F.avg(v).alias("mean"), F.sqrt(F.greatest(F.avg(v * v) - F.avg(v) * F.avg(v), F.lit(1e-12))).alias("std"))
 
 
-def patch_support(windows: DataFrame, height: int, width: int, grid: int = 14) -> DataFrame:
-    """Share of each of ``grid x grid`` window cells that lies in the frame, by areas: ``clip_id, gy, gx, support``."""
+def patch_support(windows: DataFrame, height: int, width: int, grid: int = 14, side: int | None = None, border: int = 0) -> DataFrame:
+    """Share of each of ``grid x grid`` window cells that lies in the frame: ``clip_id, gy, gx, support``.
+
+    By areas; or, with ``side``, as the window's mask would say that is resized to ``side x side``, cut by ``border`` on
+    each edge, and averaged by cell.  A rectangle's mask is the product of its rows' and its columns' shares.
+    """
     cells = windows.withColumn("gy", F.explode(F.sequence(F.lit(0), F.lit(grid - 1)))).withColumn("gx", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))))
 
     def share(low, high, k, size):
@@ -149,7 +196,11 @@ def patch_support(windows: DataFrame, height: int, width: int, grid: int = 14) -
         a = low + k * step
         return F.greatest(F.least(a + step, F.lit(float(size))) - F.greatest(a, F.lit(0.0)), F.lit(0.0)) / step
 
-    return cells.select("clip_id", "gy", "gx", (share(F.col("top"), F.col("bottom"), F.col("gy"), height) * share(F.col("left"), F.col("right"), F.col("gx"), width)).alias("support"))
+    if side is None:
+        return cells.select("clip_id", "gy", "gx", (share(F.col("top"), F.col("bottom"), F.col("gy"), height) * share(F.col("left"), F.col("right"), F.col("gx"), width)).alias("support"))
+    shares = lambda a, b, size, k, name: resize.cell_shares(windows.select(F.col(a).alias("low"), F.col(b).alias("high")), size, side, grid, border).select(F.col("low").alias(a), F.col("high").alias(b), F.col("cell").alias(k), F.col("share").alias(name))
+    rows, columns = shares("top", "bottom", height, "gy", "_y"), shares("left", "right", width, "gx", "_x")
+    return cells.join(rows, ["top", "bottom", "gy"]).join(columns, ["left", "right", "gx"]).select("clip_id", "gy", "gx", (F.col("_y") * F.col("_x")).alias("support"))
 
 
 def stretched(pixels: DataFrame, low: float = 0.01, high: float = 0.995) -> DataFrame:
@@ -184,3 +235,16 @@ def four_channels(frames: DataFrame, most: int = 32) -> DataFrame:
     clips = read.groupBy("clip_id").agg(F.bool_and(F.coalesce("depth_ok", F.lit(False))).alias("whole"), (~F.bool_and(F.coalesce("ir_ok", F.lit(False)))).alias("ir_dead"))
     clips = clips.where("whole").join(counts, "clip_id").select("clip_id", "ir_dead", ((F.col("n_depth") == F.col("n_ir")) & ~F.col("ir_dead")).alias("aligned"))
     return chosen.join(clips, "clip_id").select("clip_id", "k", "depth_no", F.when(~F.col("ir_dead"), F.col("ir_no")).alias("ir_no"), "ir_dead", "aligned")
+
+
+def fused_pixels(chosen: DataFrame, pixels: DataFrame, windows: DataFrame, height: int, width: int, side: int) -> DataFrame:
+    """``clip_id, k, channel, y, x, value``: each chosen frame's window at ``side x side``, three colours and infrared.
+
+    ``chosen``: as ``four_channels`` gives it; ``pixels``: ``clip_id, modality, frame_no, channel, y, x, value``, whose
+    infrared channel is 3.  A clip without infrared has no rows of channel 3.
+    """
+    depth = chosen.select("clip_id", "k", F.lit("D").alias("modality"), F.col("depth_no").alias("frame_no"))
+    infrared = chosen.where("ir_no is not null").select("clip_id", "k", F.lit("I").alias("modality"), F.col("ir_no").alias("frame_no"))
+    used = depth.unionByName(infrared).join(pixels, ["clip_id", "modality", "frame_no"]).withColumn("frame_no", F.struct("k", "channel")).drop("k", "channel", "modality")
+    cut = crop_pad(used, windows, height, width).join(windows.select("clip_id", (F.col("bottom") - F.col("top")).alias("height"), (F.col("right") - F.col("left")).alias("width")), "clip_id")
+    return resize.resized(cut.select("clip_id", "frame_no", F.col("wy").alias("y"), F.col("wx").alias("x"), "value", "height", "width"), side, side).select("clip_id", "frame_no.k", "frame_no.channel", "y", "x", "value")

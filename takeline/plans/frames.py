@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from takeline.functions import columns as C
-from takeline.operators import codec, detections, evaluate, fusion, integrity, skeletons, spans
+from takeline.operators import codec, detections, evaluate, fusion, integrity, resize, skeletons, spans
 from takeline.plans.catalogue import SPANS_SQL, TAKES_SQL, _read, _rounded, event_takes, query, synthetic_spans
 from takeline.sources import caches, files
 
@@ -174,9 +174,65 @@ def percentile_summary(spark, sf_dir):
     return _rounded(evaluate.quantiles_by_rank(boxes(spark, sf_dir)[1], "score", (0.05, 0.5, 0.95)))
 
 
-@query("SELECT CAST(row_number() OVER (ORDER BY t, x) AS INT) AS k, CAST(t AS INT) AS top, CAST(x AS INT) AS \"left\", 288 AS height, 384 AS width FROM (VALUES (0), (192)) a(t), (VALUES (0), (256)) b(x)")
+def clip_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Height and width of the frames of each clip of ``boxes``."""
+    k = F.substring("clip_id", 2, 20).cast("long")
+    return boxes(spark, sf_dir)[0].select("clip_id", (480 + k % 3 * 60).cast("int").alias("height"), (640 + k % 4 * 32).cast("int").alias("width"))
+
+
+_FRAMES_SQL = "fs AS (SELECT clip_id, k, CAST(480 + k % 3 * 60 AS INT) AS height, CAST(640 + k % 4 * 32 AS INT) AS width FROM cs)"
+_TILES_SQL = """ti AS (SELECT clip_id, k, CAST(t AS INT) AS tile, CAST(t // 2 * (height - floor(height * 0.6)) AS INT) AS top, CAST(t % 2 * (width - floor(width * 0.6)) AS INT) AS "left", CAST(floor(height * 0.6) AS INT) AS height, CAST(floor(width * 0.6) AS INT) AS width FROM fs, range(4) r(t))"""
+
+
+@query(f"WITH {BOXES_SQL}, {_FRAMES_SQL}, {_TILES_SQL} SELECT * EXCLUDE (k) FROM ti")
 def corner_tiles(spark, sf_dir):
-    return spark.createDataFrame([(k + 1, *t) for k, t in enumerate(detections.tile_offsets(480, 640))], "k int, top int, left int, height int, width int")
+    return detections.tiles(clip_frames(spark, sf_dir))
+
+
+def tile_boxes(offsets: DataFrame) -> DataFrame:
+    """Boxes that a detector finds in tiles: some probes of some clips, now and then equally good in two tiles."""
+    k, t, p = F.substring("clip_id", 2, 20).cast("long"), F.col("tile"), F.col("probe")
+    found = offsets.where((k + t) % 3 != 0).withColumn("probe", F.explode(F.sequence(F.lit(0), F.lit(7))))
+    x1, y1 = (k * 3 % 90 + t * 7).cast("double"), (k * 5 % 70 + p % 3).cast("double")
+    score = ((k * 13 + p * 5 + F.when(p % 2 == 0, 0).otherwise(t * 31)) % 50) * (k % 4) / 400.0
+    return found.select("clip_id", "probe", "tile", x1.alias("x1"), y1.alias("y1"), (x1 + 20).alias("x2"), (y1 + 40 + t).alias("y2"), score.alias("score"))
+
+
+def _moved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.substring("clip_id", 2, 20).cast("long")
+    t, x = (10 + k % 30).cast("int"), (20 + k % 40).cast("int")
+    return boxes(spark, sf_dir)[0].where(k % 5 != 0).select("clip_id", t.alias("top"), x.alias("left"), (t + 50).alias("bottom"), (x + 80).alias("right"))
+
+
+def _person_sql(name: str, boxes_of: str, source: str) -> str:
+    """Tables ``{name}a`` and ``{name}``: the acceptance rule and windows of a box a probe, with widths of their own."""
+    return f"""{name}a AS (SELECT clip_id, any_value(width) AS w, max(score) AS best_score, count(*) AS n, greatest(stddev_pop((x1 + x2) / 2), stddev_pop((y1 + y2) / 2)) AS sd FROM {boxes_of} JOIN fs USING (clip_id) GROUP BY clip_id),
+  {name}h AS (SELECT a.clip_id, any_value(a.w) AS w, any_value(CASE WHEN a.best_score >= 0.3 THEN 'strong' ELSE 'agree' END) AS source, any_value(n) AS n, any_value(a.best_score) AS best_score, quantile_cont((x1 + x2) / 2, 0.5) AS cx, quantile_cont((y1 + y2) / 2, 0.5) AS cy, greatest(max(greatest(x2 - x1, y2 - y1)) * 1.4, any_value(a.w) * 0.35::DOUBLE) / 2 AS half
+    FROM {name}a a JOIN {boxes_of} USING (clip_id) WHERE a.best_score >= 0.3 OR (n >= 4 AND sd <= 0.1::DOUBLE * a.w) GROUP BY a.clip_id),
+  {name} AS (SELECT clip_id, CAST(round_even(cy - half, 0) AS INT) AS top, CAST(round_even(cx - half, 0) AS INT) AS "left", CAST(round_even(cy + half, 0) AS INT) AS bottom, CAST(round_even(cx + half, 0) AS INT) AS "right", CAST(n AS INT) AS n_detected, {source} AS source, best_score FROM {name}h)"""
+
+
+_RESCUE_SQL = f"""WITH {BOXES_SQL}, {_FRAMES_SQL}, b1 AS (SELECT * FROM bb WHERE score >= 0.1), {_person_sql("pl", "b1", "source")},
+  fa AS (SELECT * FROM fs WHERE clip_id NOT IN (SELECT clip_id FROM pl)), {_TILES_SQL},
+  tb AS (SELECT ti.clip_id, p AS probe, tile, CAST(k * 3 % 90 + tile * 7 AS DOUBLE) + "left" AS x1, CAST(k * 5 % 70 + p % 3 AS DOUBLE) + top AS y1, CAST(k * 3 % 90 + tile * 7 + 20 AS DOUBLE) + "left" AS x2, CAST(k * 5 % 70 + p % 3 + 40 + tile AS DOUBLE) + top AS y2,
+    CAST((k * 13 + p * 5 + CASE WHEN p % 2 = 0 THEN 0 ELSE tile * 31 END) % 50 * (k % 4) AS DOUBLE) / 400 AS score FROM ti, range(8) r(p) WHERE (k + tile) % 3 <> 0 AND clip_id IN (SELECT clip_id FROM fa)),
+  b2 AS (SELECT * FROM (SELECT * FROM tb WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY clip_id, probe ORDER BY score DESC, tile) = 1) WHERE score >= 0.1), {_person_sql("tl", "b2", "'tiled'")},
+  mo AS (SELECT clip_id, CAST(10 + k % 30 - 15 AS INT) AS top, CAST(20 + k % 40 AS INT) AS "left", CAST(10 + k % 30 + 65 AS INT) AS bottom, CAST(20 + k % 40 + 80 AS INT) AS "right" FROM cs WHERE k % 5 <> 0),
+  re AS (SELECT * FROM pl UNION ALL SELECT * FROM tl UNION ALL
+    SELECT fa.clip_id, coalesce(mo.top, 0), coalesce(mo."left", 0), coalesce(mo.bottom, height), coalesce(mo."right", width), 0, CASE WHEN mo.clip_id IS NULL THEN 'whole' ELSE 'motion' END, coalesce(best_score, 0.0)
+    FROM fa LEFT JOIN mo USING (clip_id) LEFT JOIN (SELECT clip_id, max(score) AS best_score FROM b2 GROUP BY clip_id) USING (clip_id) WHERE fa.clip_id NOT IN (SELECT clip_id FROM tl))"""
+
+
+@query(f"{_RESCUE_SQL} SELECT * FROM re")
+def rescued_windows(spark, sf_dir):
+    """Windows by the first rung that holds: frames, tiles, motion, the whole frame."""
+    return detections.rescued_windows(clip_frames(spark, sf_dir), boxes(spark, sf_dir)[1], tile_boxes, _moved(spark, sf_dir))
+
+
+@query(f"{_RESCUE_SQL} SELECT source, count(*) AS clips, CAST(sum(n_detected) AS BIGINT) AS boxes FROM re GROUP BY source")
+def rescue_rungs(spark, sf_dir):
+    """Clips that each rung settles."""
+    return rescued_windows(spark, sf_dir).groupBy("source").agg(F.count("*").alias("clips"), F.sum("n_detected").alias("boxes"))
 
 
 def event_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -272,6 +328,36 @@ def patch_support(spark, sf_dir):
     return _rounded(detections.patch_support(w, 48, 64, 4))
 
 
+def _taps_sql(n_in: str, n_out: int) -> str:
+    """A row for each tap: ``n_in, i, j, a``."""
+    return f"SELECT n_in, i, j, 2 * greatest(n_in, {n_out}) - abs((2 * j + 1) * {n_out} - (2 * i + 1) * n_in) AS a FROM (SELECT DISTINCT {n_in} AS n_in FROM sz), range({n_out}) r(i), range(0, 400) q(j) WHERE j < n_in AND 2 * greatest(n_in, {n_out}) > abs((2 * j + 1) * {n_out} - (2 * i + 1) * n_in)"
+
+
+def _resized_sql(height: int, width: int) -> str:
+    """``rs`` from images ``im`` (``clip_id, frame_no, y, x, value, height, width``)."""
+    return f"""sz AS (SELECT DISTINCT height, width FROM im), wx AS ({_taps_sql("width", width)}), wy AS ({_taps_sql("height", height)}),
+  r1 AS (SELECT clip_id, frame_no, y, height, i AS x, (2 * sum(value * a) + sum(a)) // (2 * sum(a)) AS value FROM im JOIN wx ON n_in = width AND j = x GROUP BY clip_id, frame_no, y, height, i),
+  rs AS (SELECT clip_id, frame_no, CAST(i AS INT) AS y, CAST(x AS INT) AS x, CAST((2 * sum(value * a) + sum(a)) // (2 * sum(a)) AS INT) AS value FROM r1 JOIN wy ON n_in = height AND j = y GROUP BY clip_id, frame_no, x, i)"""
+
+
+@query(f"""WITH {PIXELS_SQL}, im AS (SELECT clip_id, frame_no, y, x, depth_rank AS value, 8 - frame_no % 2 AS height, 8 AS width FROM px WHERE y < 8 - frame_no % 2), {_resized_sql(3, 11)} SELECT * FROM rs""")
+def resized_frames(spark, sf_dir):
+    """Frames of two heights, made lower and wider."""
+    px = event_pixels(spark, sf_dir).withColumnRenamed("depth_rank", "value").withColumns({"height": 8 - F.col("frame_no") % 2, "width": F.lit(8)}).where("y < height")
+    return resize.resized(px, 3, 11)
+
+
+@query(f"""WITH w AS (SELECT CAST(vec_id AS VARCHAR) AS clip_id, vec_id % 60 - 30 AS t, vec_id % 40 - 20 AS l, 50 + vec_id % 3 * 20 AS s FROM embeddings), sz AS (SELECT DISTINCT s FROM w), tp AS ({_taps_sql("s", 24)}),
+sh AS (SELECT s, o, f, (i - 2) // 5 AS cell, avg(q) AS share FROM (SELECT s, o, f, i, sum(CASE WHEN o + j >= 0 AND o + j < f THEN a ELSE 0 END) / sum(a) AS q FROM (SELECT DISTINCT s, o, f FROM (SELECT s, t AS o, 48 AS f FROM w UNION ALL SELECT s, l, 64 FROM w)) JOIN tp ON n_in = s WHERE i >= 2 AND i < 22 GROUP BY s, o, f, i) GROUP BY ALL)
+SELECT clip_id, CAST(y.cell AS INT) AS gy, CAST(x.cell AS INT) AS gx, round(y.share * x.share, 6) AS support FROM w JOIN sh y ON y.s = w.s AND y.o = t AND y.f = 48 JOIN sh x ON x.s = w.s AND x.o = l AND x.f = 64""")
+def resized_support(spark, sf_dir):
+    """Support of the cells of windows of three sizes as a resized mask has it, without its border."""
+    v = F.col("vec_id")
+    t, x, s = (v % 60 - 30).cast("int"), (v % 40 - 20).cast("int"), (50 + v % 3 * 20).cast("int")
+    w = _read(spark, sf_dir, "embeddings").select(v.cast("string").alias("clip_id"), t.alias("top"), x.alias("left"), (t + s).alias("bottom"), (x + s).alias("right"))
+    return _rounded(detections.patch_support(w, 48, 64, 4, 24, 2))
+
+
 _ONTO = "list_transform(range(0, n), lambda i: CASE WHEN {c} = n THEN i WHEN n > 1 THEN CAST(round_even(i * (({c} - 1) / (n - 1)), 0) AS INT) ELSE 0 END)"
 
 
@@ -299,6 +385,43 @@ def four_channel_frames(spark, sf_dir):
     return detections.four_channels(e.withColumn("frame_no", no))
 
 
+def fused_clips(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Frames of ``event_pixels`` with their modalities (every fifth clip lacks infrared), their pixels, and windows that leave the frame."""
+    k = F.substring("clip_id", 2, 20).cast("long")
+    frame = event_pixels(spark, sf_dir).withColumnRenamed("depth_rank", "value")
+    depth = frame.withColumn("channel", F.explode(F.sequence(F.lit(0), F.lit(2)))).select("clip_id", F.lit("D").alias("modality"), "frame_no", "channel", "y", "x", (F.col("value") * (F.col("channel") + 1) % 256).alias("value"))
+    infrared = frame.where((k % 5 != 0) & (F.col("frame_no") < 2)).select("clip_id", F.lit("I").alias("modality"), "frame_no", F.lit(3).alias("channel"), "y", "x", (255 - F.col("value")).alias("value"))
+    pixels = depth.unionByName(infrared)
+    windows = frame.select("clip_id").distinct().select("clip_id", (k % 5 - 2).cast("int").alias("top"), (k % 3 - 1).cast("int").alias("left"), (k % 5 + 5).cast("int").alias("bottom"), (k % 3 + 6).cast("int").alias("right"))
+    return pixels.select("clip_id", "modality", "frame_no").distinct().withColumn("readable", F.lit(True)), pixels, windows
+
+
+_FUSED_SQL = f"""{PIXELS_SQL}, fr AS (SELECT *, CAST(substr(clip_id, 2) AS BIGINT) AS k FROM px),
+  nf AS (SELECT clip_id, k, count(DISTINCT frame_no) AS nd, CASE WHEN k % 5 <> 0 THEN count(DISTINCT frame_no) FILTER (frame_no < 2) ELSE 0 END AS ni FROM fr GROUP BY clip_id, k),
+  ch AS (SELECT clip_id, k AS clip, i AS k, CASE WHEN nd = least(nd, ni) THEN i WHEN least(nd, ni) > 1 THEN CAST(round_even(i * ((nd - 1) / (least(nd, ni) - 1)), 0) AS INT) ELSE 0 END AS dn, i AS i_n, nd = ni AS aligned FROM nf, range(2) r(i) WHERE i < least(nd, ni)),
+  pc AS (SELECT clip_id, 'D' AS m, frame_no, c AS channel, y, x, depth_rank * (c + 1) % 256 AS value FROM fr, range(3) r(c) UNION ALL SELECT clip_id, 'I', frame_no, 3, y, x, 255 - depth_rank FROM fr),
+  gr AS (SELECT clip_id, k, t - 2 AS top, l - 1 AS "left", wy, wx FROM (SELECT DISTINCT clip_id, k, k % 5 AS t, k % 3 AS l FROM fr), range(7) a(wy), range(7) b(wx)),
+  im AS (SELECT gr.clip_id, ch.k * 10 + channel AS frame_no, wy AS y, wx AS x, value, 7 AS height, 7 AS width FROM gr JOIN ch USING (clip_id) JOIN pc ON pc.clip_id = gr.clip_id AND pc.frame_no = CASE WHEN m = 'D' THEN dn ELSE i_n END AND pc.y = greatest(least(top + wy, 7), 0) AND pc.x = greatest(least("left" + wx, 7), 0)),
+  {_resized_sql(4, 4)}"""
+
+
+@query(f"WITH {_FUSED_SQL} SELECT clip_id, CAST(frame_no // 10 AS INT) AS k, CAST(frame_no % 10 AS INT) AS channel, y, x, value FROM rs")
+def fused_pixels(spark, sf_dir):
+    """Chosen frames of both modalities, cut to one window and resized to one size."""
+    frames, pixels, windows = fused_clips(spark, sf_dir)
+    return detections.fused_pixels(detections.four_channels(frames), pixels, windows, 8, 8, 4)
+
+
+@query(f"""WITH {_FUSED_SQL}, a AS (SELECT clip_id, frame_no // 10 AS k, frame_no % 10 = 3 AS ir, string_agg(value, ',' ORDER BY frame_no, y, x) AS v FROM rs GROUP BY ALL)
+SELECT clip_id, CAST(d.k AS INT) AS k, d.v AS depth, i.v AS infrared, aligned FROM ch JOIN a d USING (clip_id) LEFT JOIN a i ON i.clip_id = d.clip_id AND i.k = d.k AND i.ir WHERE NOT d.ir AND ch.k = d.k""")
+def fused_cache(spark, sf_dir):
+    """Both modalities' arrays of each chosen frame, side by side, at one size."""
+    frames, pixels, windows = fused_clips(spark, sf_dir)
+    cache = caches.fused_cache(frames, *caches.sized_frames(frames, pixels, windows, 8, 8, 4))
+    text = lambda c: F.array_join(F.transform(c, lambda s: s["value"].cast("string")), ",").alias(c)
+    return cache.select("clip_id", "k", text("depth"), text("infrared"), "aligned")
+
+
 @query("""SELECT CAST(event_id // 4 AS VARCHAR) AS clip_id, coalesce(bool_or(event_id % 3 <> 0) FILTER (event_id % 2 = 0), false) AS "I", coalesce(bool_or(event_id % 3 <> 0) FILTER (event_id % 2 = 1), false) AS "D" FROM events WHERE event_id % 5 <> 0 GROUP BY 1""")
 def modality_availability(spark, sf_dir):
     i = F.col("event_id")

@@ -209,7 +209,8 @@ def test_windows(spark):
     r = reason(box(100, 100, 0.31, 0), box(100, 100, 0.05, 1))
     assert (r["reason"], r["n_detected"]) == ("strong", 1)
     assert detections.best_per_probe(make(box(0, 0, 0.5, 0), box(9, 0, 0.7, 0))).first()["x1"] == 9.0
-    assert detections.tile_offsets(100, 200)[3] == (40, 80, 60, 120)
+    frames = spark.createDataFrame([("c", 100, 200)], "clip_id string, height int, width int")
+    assert [tuple(r) for r in detections.tiles(frames).orderBy("tile").collect()] == [("c", 0, 0, 0, 60, 120), ("c", 1, 0, 80, 60, 120), ("c", 2, 40, 0, 60, 120), ("c", 3, 40, 80, 60, 120)]
     w = spark.createDataFrame([("c", -2, 0, 2, 4)], "clip_id string, top int, left int, bottom int, right int")
     s = {(r["gy"], r["gx"]): r["support"] for r in detections.patch_support(w, 10, 10, 4).collect()}
     assert s[0, 0] == 0 and s[1, 3] == 0 and s[2, 0] == 1
