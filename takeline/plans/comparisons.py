@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from takeline.functions import columns as C
 from takeline.operators import decode, evaluate, fusion, integrity, sampling, spans, studies
-from takeline.plans.catalogue import LONG_SQL, PROBS_SQL, TAKES_SQL, _read, _rounded, _takes_sql, embedding_probs, embedding_takes, event_takes, query, take_rows
+from takeline.plans.catalogue import GAP_MS, LONG_SQL, PROBS_SQL, TAKES_SQL, _read, _rounded, _takes_sql, embedding_probs, embedding_takes, event_takes, query, take_rows
 from takeline.sources import files
+from takeline.sources.settled import shared_folder
+from takeline.streaming import takes
 
 
 def _u(text: str) -> str:
@@ -394,3 +398,23 @@ def first_rows(spark, sf_dir):
     """The first fifty in order: a report."""
     e = _read(spark, sf_dir, "embeddings").orderBy("vec_id").limit(50)
     return e.select(F.col("vec_id").cast("string").alias("key"), F.lit("float").alias("dtype"), F.size(F.filter("embedding", lambda z: z > 0)).cast("long").alias("elements"))
+
+
+@query(f"""WITH {TAKES_SQL}, l AS (SELECT max(start_ms) - 86400000 AS m FROM ev)
+SELECT user_id, CAST(event_id AS VARCHAR) AS clip_id, min(start_ms) OVER (PARTITION BY user_id, take_no) AS take_ms, row_number() OVER (PARTITION BY user_id, take_no ORDER BY start_ms, CAST(event_id AS VARCHAR)) - 1 AS position
+FROM tk, l QUALIFY start_ms < max(m) OVER ()""")
+def streamed_takes(spark, sf_dir):
+    """Events replayed as a stream: what is settled a day after it, takes by the gap rule."""
+    setting, folder = "spark.sql.streaming.stateStore.providerClass", f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    before = spark.conf.get(setting, None)
+    spark.conf.set(setting, takes.PROVIDER)
+    try:
+        rows = spark.readStream.schema(_read(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parque[t]")  # a pattern, since a stream takes no single file
+        ms = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000)
+        clips = rows.select("user_id", F.col("event_id").cast("string").alias("clip_id"), F.col("ts").cast("timestamp").alias("ts"), ms.alias("end_ms"), F.lit(0).alias("first_frame"), F.lit(0).alias("last_frame"))
+        found = takes.stream_takes(clips, GAP_MS, "1 day", ["user_id"], None)
+        run = found.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start()
+        run.awaitTermination()
+    finally:
+        spark.conf.set(setting, before) if before is not None else spark.conf.unset(setting)
+    return spark.read.schema(found.schema).parquet(f"{folder}/out")
