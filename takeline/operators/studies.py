@@ -10,11 +10,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from takeline.operators import evaluate, sampling
 from takeline.operators.decode import beams, gathered, marginals
+from takeline.operators.spans import ranked
 from takeline.sources.settled import settled
 
 
@@ -131,6 +132,62 @@ def subject_counts(decoded: DataFrame, truth: DataFrame, subjects: DataFrame) ->
     return scored.groupBy("config", "weight", "subject").agg(F.count_if(F.col("label") == F.col("y")).alias("hits"), F.count("*").alias("n"))
 
 
+def paired_bootstrap(counts: DataFrame, cell: list[str], parent: dict[str, object], draws: int, seed: int, low: float = 0.05, high: float = 0.95) -> DataFrame:
+    """Every cell of a grid, and what it gains over the parent cell, under the same draws of subjects.
+
+    ``counts``: ``cell`` columns, ``subject``, ``hits``, ``n``, summed over folds and repeats; a subject that a cell lacks
+    counts nothing there.  A draw takes as many subjects as there are, with replacement, and every cell is scored on
+    these, so that differences between cells, and which of them is best, have an uncertainty of their own.  Subjects are
+    spread into a column for each cell, so one pass over draws x subjects scores them all.
+
+    Result: ``cell`` columns, ``accuracy, se, low, high, gain, gain_se, gain_low, gain_high, positive`` (share of draws with
+    a gain) and ``best`` (share of draws in which the cell has the highest accuracy; the first by its columns on ties).
+    """
+    cells = sorted(tuple(r) for r in counts.select(*cell).distinct().collect())  # the grid
+    own = [tuple(parent[c] for c in cell)]
+    if own[0] not in cells:
+        raise ValueError(f"no cell {parent}")
+    at = lambda values: F.lit(True) if not cell else _all(F.col(c) == F.lit(v) for c, v in zip(cell, values, strict=True))
+    sums = [F.sum(F.when(at(v), F.col(c))).alias(f"{c}{k}") for k, v in enumerate(cells) for c in ("hits", "n")]
+    wide = counts.groupBy("subject").agg(*sums)
+    names = [f"{c}{k}" for k in range(len(cells)) for c in ("hits", "n")]
+    numbered = settled(ranked(wide, ["subject"], "i").select("i", *names))
+    size = numbered.agg(F.count("*").alias("k"))  # one row
+    places = numbered.select(F.col("i").alias("j"), F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("r")).crossJoin(F.broadcast(size))
+    picked = places.withColumn("i", F.floor(sampling.draw(seed, F.col("r"), F.col("j")) * F.col("k"))).select("r", "i")
+    each = picked.join(numbered, "i").groupBy("r").agg(*(F.sum(n).alias(n) for n in names))
+    points = numbered.agg(*(F.sum(n).alias(n) for n in names))
+    first = cells.index(own[0])
+
+    def scores(table: DataFrame) -> DataFrame:
+        """A row for each cell with its accuracy ``x``, the parent's, and whether it is the best."""
+        x = F.array(*(F.try_divide(f"hits{k}", f"n{k}").cast("double") for k in range(len(cells))))
+        listed = table.select(x.alias("xs"), F.posexplode(x).alias("k", "x"))
+        return listed.select("k", "x", F.get("xs", F.lit(first)).alias("p"), (F.array_position("xs", F.array_max("xs")) - 1 == F.col("k")).alias("top"))
+
+    spread = scores(each).withColumn("d", F.col("x") - F.col("p")).groupBy("k").agg(
+        F.stddev_samp("x").alias("se"), F.percentile("x", low).alias("low"), F.percentile("x", high).alias("high"),
+        F.stddev_samp("d").alias("gain_se"), F.percentile("d", low).alias("gain_low"), F.percentile("d", high).alias("gain_high"),
+        F.avg((F.col("d") > 0).cast("double")).alias("positive"), F.avg(F.col("top").cast("double")).alias("best"),
+    )
+    grid = counts.sparkSession.createDataFrame([(k, *v) for k, v in enumerate(cells)], ["k", *cell])
+    known = scores(points).select("k", F.col("x").alias("accuracy"), (F.col("x") - F.col("p")).alias("gain"))
+    return grid.join(known, "k").join(spread, "k").select(*cell, "accuracy", "se", "low", "high", "gain", "gain_se", "gain_low", "gain_high", "positive", "best")
+
+
+def _all(conditions: Iterator[Column]) -> Column:
+    out = F.lit(True)
+    for c in conditions:
+        out = out & c
+    return out
+
+
+def fold_contrasts(gained: DataFrame) -> DataFrame:
+    """``population, metric, folds, mean, positive, se`` of ``gains``: a contrast's mean over folds, the folds above 0, and its standard error."""
+    long = gained.select("population", "fold", F.inline(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).alias("x")) for m in ("raw", "decoded")))))
+    return long.groupBy("population", "metric").agg(F.count("*").alias("folds"), F.avg("x").alias("mean"), F.count_if(F.col("x") > 0).alias("positive"), (F.stddev_samp("x") / F.sqrt(F.count("*"))).alias("se"))
+
+
 def label_changes(a: DataFrame, b: DataFrame, scored: int) -> DataFrame:
     """One row ``clips, changed, of_scored``: clips whose label differs, and what that is of ``scored`` clips."""
     both = a.select("clip_id", F.col("label").alias("a")).join(b.select("clip_id", F.col("label").alias("b")), "clip_id")

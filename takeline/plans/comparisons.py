@@ -213,6 +213,34 @@ _PAIRED = f"""{study_sql((0.75,))}, pa AS (SELECT a.population, a.repeat, a.fold
   ga AS (SELECT population, CAST(fold AS INT) AS fold, 100 * avg(raw) AS raw, 100 * avg(decoded) AS decoded, CAST(sum(rescued) AS BIGINT) AS rescued, CAST(sum(lost) AS BIGINT) AS lost FROM ge GROUP BY population, fold)"""
 
 
+_GRID = (0.0, 0.25, 0.75, 1.5)
+
+
+@query(f"""WITH {study_sql(_GRID)}, ct AS (SELECT config, weight, vec_id % 11 AS subject, count(*) FILTER (label = y) AS hits, count(*) AS n FROM st WHERE population = 'designated' GROUP BY ALL),
+sj AS (SELECT subject, row_number() OVER (ORDER BY subject) - 1 AS i, count(*) OVER () AS k FROM (SELECT DISTINCT subject FROM ct)),
+dw AS (SELECT r, j.i AS j, CAST(floor({_u("'5|' || r || '|' || j.i")} * k) AS BIGINT) AS i FROM sj j, range(0, 150) t(r)),
+ea AS (SELECT r, config, weight, sum(hits) / sum(n) AS x FROM dw JOIN sj USING (i) JOIN ct USING (subject) GROUP BY ALL),
+pt AS (SELECT config, weight, sum(hits) / sum(n) AS x FROM ct GROUP BY ALL),
+d AS (SELECT ea.*, ea.x - p.x AS d, row_number() OVER (PARTITION BY ea.r ORDER BY ea.x DESC, ea.config, ea.weight) = 1 AS top FROM ea JOIN ea p ON p.r = ea.r AND p.config = 'A' AND p.weight = 0.75)
+SELECT config, weight, round(any_value(pt.x), 6) AS accuracy, round(stddev_samp(d.x), 6) AS se, round(quantile_cont(d.x, 0.05), 6) AS low, round(quantile_cont(d.x, 0.95), 6) AS high,
+  round(any_value(pt.x) - (SELECT x FROM pt WHERE config = 'A' AND weight = 0.75), 6) + 0.0 AS gain, round(stddev_samp(d), 6) AS gain_se, round(quantile_cont(d, 0.05), 6) + 0.0 AS gain_low, round(quantile_cont(d, 0.95), 6) + 0.0 AS gain_high, round(avg(CAST(d > 0 AS INT)), 6) AS positive, round(avg(CAST(top AS INT)), 6) AS best
+FROM d JOIN pt USING (config, weight) GROUP BY config, weight""")
+def paired_bootstrap(spark, sf_dir):
+    """Two configurations at four prior weights under the same draws of subjects, against one of them."""
+    done, truth = study(spark, sf_dir, _GRID)
+    subjects = embedding_probs(spark, sf_dir).select("clip_id", (F.col("vec_id") % 11).alias("subject"))
+    counts = studies.subject_counts(done.where("population = 'designated'"), truth, subjects)
+    return _rounded(studies.paired_bootstrap(counts, ["config", "weight"], {"config": "A", "weight": 0.75}, 150, 5))
+
+
+@query(f"""WITH {_PAIRED}, lo AS (SELECT population, 'raw' AS metric, raw AS x FROM ga UNION ALL SELECT population, 'decoded', decoded FROM ga)
+SELECT population, metric, count(*) AS folds, round(avg(x), 6) AS mean, count(*) FILTER (x > 0) AS positive, round(stddev_samp(x) / sqrt(count(*)), 6) AS se FROM lo GROUP BY population, metric""")
+def fold_contrasts(spark, sf_dir):
+    """The paired gains' means over folds with their standard errors."""
+    done, truth = study(spark, sf_dir, (0.75,))
+    return _rounded(studies.fold_contrasts(studies.gains(studies.paired(done, truth, "A", "B"))))
+
+
 @query(f"WITH {_PAIRED} SELECT population, fold, round(raw, 6) AS raw, round(decoded, 6) AS decoded, rescued, lost FROM ga")
 def paired_gains(spark, sf_dir):
     done, truth = study(spark, sf_dir, (0.75,))

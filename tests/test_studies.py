@@ -195,3 +195,31 @@ def test_windows_of_equal_content_are_decoded_once(spark):
                     labels = m.argmax(1) if len(cs) == 1 else beams(m, priors[fold], w, 64, 16)[1][0]
                     want |= {(config, w, r, t, c): (fold, int(m[i].argmax()), int(labels[i])) for i, c in enumerate(cs) for r in (0, 1)}
     assert got == want
+
+
+def test_paired_bootstrap(spark):
+    """All cells under the same draws, by the hash that the draws are keyed with; a subject may lack a cell."""
+    import hashlib
+
+    rng = random.Random(9)
+    hits = {(c, w, s): (rng.randrange(0, 8), 8) for c in "AB" for w in (0.0, 0.5) for s in range(6) if (c, w, s) != ("B", 0.5, 2)}
+    df = spark.createDataFrame([(*k, *v) for k, v in hits.items()], "config string, weight double, subject int, hits long, n long")
+    got = {(r["config"], r["weight"]): r for r in studies.paired_bootstrap(df, ["config", "weight"], {"config": "A", "weight": 0.5}, 40, 3).collect()}
+    cells = sorted(got)
+    pick = lambda r, j: int(int(hashlib.sha256(f"3|{r}|{j}".encode()).hexdigest()[:12], 16) / 16**12 * 6)
+    x = np.array([[sum(hits.get((*c, s), (0, 0))[0] for s in some) / sum(hits.get((*c, s), (0, 0))[1] for s in some) for c in cells] for some in ([pick(r, j) for j in range(6)] for r in range(40))])
+    first = cells.index(("A", 0.5))
+    for k, c in enumerate(cells):
+        d = x[:, k] - x[:, first]
+        point = [sum(v[i] for (a, b, _), v in hits.items() if (a, b) == c) for i in (0, 1)]
+        want = [point[0] / point[1], x[:, k].std(ddof=1), *np.percentile(x[:, k], [5, 95]), None, d.std(ddof=1), *np.percentile(d, [5, 95]), (d > 0).mean(), (x.argmax(1) == k).mean()]
+        assert all(b is None or a == pytest.approx(b) for a, b in zip(tuple(got[c])[2:], want, strict=True))
+    assert got["A", 0.5]["gain"] == got["A", 0.5]["gain_se"] == 0 and sum(r["best"] for r in got.values()) == pytest.approx(1)
+    with pytest.raises(ValueError, match="no cell"):
+        studies.paired_bootstrap(df, ["config", "weight"], {"config": "C", "weight": 0.5}, 4, 3)
+
+
+def test_fold_contrasts(spark):
+    df = spark.createDataFrame([("p", f, float(r), float(d)) for f, (r, d) in enumerate([(1, -2), (3, 0), (-1, 5)])] + [("q", 0, 1.0, 1.0)], "population string, fold int, raw double, decoded double")
+    got = {(r["population"], r["metric"]): tuple(r)[2:] for r in studies.fold_contrasts(df).collect()}
+    assert got["p", "raw"] == pytest.approx((3, 1.0, 2, 2 / 3**0.5)) and got["p", "decoded"][:3] == (3, 1.0, 1) and got["q", "raw"][3] is None
