@@ -72,6 +72,24 @@ def gate_forms(folds: DataFrame, kind: str) -> DataFrame:
     return each.agg(passed.alias("accepted")).select(F.lit(kind).alias("kind"), "accepted")
 
 
+def quantisation_gate(folds: DataFrame, candidate: str, parent: str, exact: str, n_folds: int = 4, min_positive: int = 3, mean_cost: float = -0.5, worst_cost: float = -1.0) -> DataFrame:
+    """A quantised candidate against its parent and against itself before it was quantised, under every estimator.
+
+    ``folds``: ``setting, fold, arm, raw, decoded`` (accuracies).  Result: ``setting, metric, folds, gain, positive, cost, worst,
+    eligible`` in points.  Eligible, alike in all rows, if each setting has ``n_folds`` folds with all three arms, both
+    metrics gain on the mean in every setting, decoding gains in ``min_positive`` folds of each, and nowhere does
+    quantisation cost more than ``mean_cost`` on the mean or ``worst_cost`` in a fold.
+    """
+    arm = lambda name, c: F.max(F.when(F.col("arm") == name, F.col(c)))
+    each = folds.groupBy("setting", "fold").agg(*(arm(name, c).alias(f"{role}_{c}") for role, name in (("a", candidate), ("b", parent), ("c", exact)) for c in ("raw", "decoded")))
+    long = each.select("setting", F.inline(F.array(*(F.struct(F.lit(m).alias("metric"), (100 * (F.col(f"a_{m}") - F.col(f"b_{m}"))).alias("gain"), (100 * (F.col(f"a_{m}") - F.col(f"c_{m}"))).alias("cost")) for m in ("raw", "decoded")))))
+    whole = F.col("gain").isNotNull() & F.col("cost").isNotNull()
+    rows = long.groupBy("setting", "metric").agg(F.count_if(whole).alias("folds"), F.avg("gain").alias("gain"), F.count_if(F.col("gain") > 0).alias("positive"), F.avg("cost").alias("cost"), F.min("cost").alias("worst"))
+    good = (F.col("folds") == n_folds) & (F.col("gain") > 0) & (F.col("cost") >= mean_cost) & (F.col("worst") >= worst_cost) & ((F.col("metric") == "raw") | (F.col("positive") >= min_positive))
+    verdict = rows.agg(F.coalesce(F.bool_and(F.coalesce(good, F.lit(False))), F.lit(False)).alias("eligible"))  # one row
+    return rows.crossJoin(F.broadcast(verdict))
+
+
 def jackknife(per_cluster: DataFrame, num: str, den: str) -> DataFrame:
     """``estimate, se`` of ``sum(num) / sum(den)`` by leaving out one cluster at a time; two clusters at least."""
     total = per_cluster.agg(F.sum(num).alias("tn"), F.sum(den).alias("td"), F.count("*").alias("k"))  # one row

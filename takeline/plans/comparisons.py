@@ -132,6 +132,31 @@ def marginal_pairs(spark, sf_dir):
     return out.select(F.col("clip_id").cast("long").alias("vec_id"), "label")
 
 
+def _prior_beams_sql(size: int, width: int, exact: int) -> str:
+    """Beams under the uneven prior: tables ``b0 ..`` of label rows; takes of at most ``exact`` clips keep them all."""
+    step = "b{k} AS (SELECT b.take, list_append(b.c, lp.cls) AS c, b.s + lp.l + 0.75 * ln(t) AS s FROM b{j} b JOIN n USING (take) JOIN lp ON lp.take = b.take AND lp.pos = {k} JOIN pr ON pr.f = 0 AND pr.a = b.c[{k}] AND pr.b = lp.cls WHERE NOT list_contains(b.c, lp.cls) QUALIFY row_number() OVER (PARTITION BY b.take ORDER BY b.s + lp.l + 0.75 * ln(t) DESC) <= CASE WHEN n.n <= {exact} THEN 1000 ELSE {width} END)"
+    steps = ",\n".join(step.format(k=k, j=k - 1, width=width, exact=exact) for k in range(1, size))
+    last = " UNION ALL ".join(f"SELECT b.take, b.c, b.s FROM b{k} b JOIN n ON n.take = b.take AND n.n = {k + 1}" for k in range(size))
+    return f"""{LONG_SQL}, {PRIOR_SQL}, lp AS (SELECT vec_id // {size} AS take, vec_id % {size} AS pos, CAST(cls AS INT) AS cls, ln(greatest(p, 1e-12)) AS l FROM lg), n AS (SELECT take, max(pos) + 1 AS n FROM lp GROUP BY take),
+b0 AS (SELECT take, [cls] AS c, l AS s FROM lp WHERE pos = 0), {steps}, f AS ({last})"""
+
+
+@query(f"""WITH {_prior_beams_sql(5, 64, 0)}, m AS (SELECT take, c FROM f QUALIFY row_number() OVER (PARTITION BY take ORDER BY s DESC, c) = 1)
+SELECT vec_id, c[vec_id % 5 + 1] AS label FROM embeddings JOIN m ON take = vec_id // 5""")
+def prior_beams(spark, sf_dir):
+    """Takes of five under an uneven prior, by beams."""
+    out = decode.decode_takes(embedding_takes(spark, sf_dir, 5), embedding_probs(spark, sf_dir), drill_prior(), classes=10)
+    return out.select(F.col("clip_id").cast("long").alias("vec_id"), "label")
+
+
+@query(f"""WITH {_prior_beams_sql(5, 256, 3)}, w AS (SELECT take, c, exp(s - max(s) OVER (PARTITION BY take)) AS w FROM f), m AS (SELECT take, i, c[i + 1] AS cls, sum(w) AS w FROM w, range(5) r(i) WHERE i < len(c) GROUP BY ALL)
+SELECT vec_id, cls AS label FROM embeddings JOIN m ON take = vec_id // 5 AND i = vec_id % 5 QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY w DESC, cls) = 1""")
+def long_marginals(spark, sf_dir):
+    """Each clip's most probable class over the final beam of its take of five."""
+    out = decode.decode_takes(embedding_takes(spark, sf_dir, 5), embedding_probs(spark, sf_dir), drill_prior(), "marginal", classes=10)
+    return out.select(F.col("clip_id").cast("long").alias("vec_id"), "label")
+
+
 @query(f"""WITH {PROBS_SQL} SELECT CAST(row_number() OVER (ORDER BY vec_id DESC) AS INT) AS row_no, 'test\\clips/' || vec_id || '/' AS path, CAST(list_position(p, list_max(p)) - 1 AS INT) AS prediction FROM em""")
 def submission_rows(spark, sf_dir):
     """Labels in the template's order, found by the last part of its paths; every row must have one."""
@@ -213,6 +238,18 @@ _PAIRED = f"""{study_sql((0.75,))}, pa AS (SELECT a.population, a.repeat, a.fold
   ga AS (SELECT population, CAST(fold AS INT) AS fold, 100 * avg(raw) AS raw, 100 * avg(decoded) AS decoded, CAST(sum(rescued) AS BIGINT) AS rescued, CAST(sum(lost) AS BIGINT) AS lost FROM ge GROUP BY population, fold)"""
 
 
+@query(f"""WITH {study_sql((0.75, 1.5))}, r AS (SELECT config, weight, population, fold, repeat, avg(CAST(raw = y AS INT)) AS raw, avg(CAST(label = y AS INT)) AS decoded FROM st WHERE population <> 'full_take' GROUP BY ALL),
+e AS (SELECT population AS setting, fold, CASE WHEN config = 'A' THEN 'A' WHEN weight = 0.75 THEN 'B' ELSE 'B exact' END AS arm, avg(raw) AS raw, avg(decoded) AS decoded FROM r WHERE config = 'B' OR weight = 0.75 GROUP BY ALL),
+l AS (SELECT setting, fold, 'raw' AS metric, max(raw) FILTER (arm = 'B') AS x, max(raw) FILTER (arm = 'A') AS p, max(raw) FILTER (arm = 'B exact') AS q FROM e GROUP BY ALL UNION ALL SELECT setting, fold, 'decoded', max(decoded) FILTER (arm = 'B'), max(decoded) FILTER (arm = 'A'), max(decoded) FILTER (arm = 'B exact') FROM e GROUP BY ALL),
+g AS (SELECT setting, metric, count(*) AS folds, avg(100 * (x - p)) AS gain, count(*) FILTER (x > p) AS positive, avg(100 * (x - q)) AS cost, min(100 * (x - q)) AS worst FROM l GROUP BY ALL)
+SELECT setting, metric, folds, round(gain, 6) AS gain, positive, round(cost, 6) AS cost, round(worst, 6) AS worst, (SELECT bool_and(folds = 4 AND gain > 0 AND cost >= -0.5 AND worst >= -1 AND (metric = 'raw' OR positive >= 3)) FROM g) AS eligible FROM g""")
+def quantisation_gate(spark, sf_dir):
+    """Two estimators' gains of B over A, and B's cost against itself at another prior weight."""
+    scores = studies.population_scores(*study(spark, sf_dir, (0.75, 1.5))).where("population <> 'full_take' and (config = 'B' or weight = 0.75)")
+    arm = F.when(F.col("config") == "A", "A").when(F.col("weight") == 0.75, "B").otherwise("B exact")
+    return _rounded(evaluate.quantisation_gate(scores.select(F.col("population").alias("setting"), "fold", arm.alias("arm"), "raw", "decoded"), "B", "A", "B exact"))
+
+
 _GRID = (0.0, 0.25, 0.75, 1.5)
 
 

@@ -56,6 +56,13 @@ def counter_gap_takes(spark, sf_dir):
     return spans.gap_takes(synthetic_spans(spark, sf_dir), 3_600_000).select("clip_id", "date", "take_no")
 
 
+@query(f"""WITH {SPANS_SQL}, m AS (SELECT *, CASE WHEN start_ms - lag(end_ms) OVER w > 3600000 OR first_frame < lag(first_frame) OVER w OR lag(end_ms) OVER w IS NULL THEN 1 ELSE 0 END AS new FROM sq WINDOW w AS (PARTITION BY date ORDER BY start_ms, clip_id))
+SELECT clip_id, date, CAST(sum(new) OVER (PARTITION BY date ORDER BY start_ms, clip_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS take_no FROM m""")
+def start_counter_takes(spark, sf_dir):
+    """A take ends where a clip's first counter is below that of the clip before."""
+    return spans.gap_takes(synthetic_spans(spark, sf_dir), 3_600_000, frames="first_frame").select("clip_id", "date", "take_no")
+
+
 _ORDERS = {"start_end": "start_ms, end_ms, clip_id", "stable_start": "start_ms, clip_id", "reverse_identical": "start_ms, end_ms, clip_id DESC"}
 
 
@@ -385,6 +392,14 @@ def four_channel_frames(spark, sf_dir):
     return detections.four_channels(e.withColumn("frame_no", no))
 
 
+@query(f"""WITH {PIXELS_SQL}, im AS (SELECT clip_id, frame_no, y, x, depth_rank AS value, 8 - frame_no % 2 AS height, 8 AS width FROM px WHERE y < 8 - frame_no % 2), {_resized_sql(4, 4)}
+SELECT clip_id, frame_no, CAST(count(*) AS INT) AS n, string_agg(value, ',' ORDER BY y, x) AS data FROM rs GROUP BY clip_id, frame_no""")
+def image_cache(spark, sf_dir):
+    """Frames of two heights at one size, an array each."""
+    px = event_pixels(spark, sf_dir).withColumnRenamed("depth_rank", "value").withColumns({"height": 8 - F.col("frame_no") % 2, "width": F.lit(8)}).where("y < height")
+    return caches.image_cache(px, 4).select("clip_id", "frame_no", "n", F.array_join(F.transform("data", lambda s: s["value"].cast("string")), ",").alias("data"))
+
+
 def fused_clips(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Frames of ``event_pixels`` with their modalities (every fifth clip lacks infrared), their pixels, and windows that leave the frame."""
     k = F.substring("clip_id", 2, 20).cast("long")

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from takeline.operators import detections, skeletons
+from takeline.operators import detections, resize, skeletons
 from takeline.sources import files
 
 
@@ -47,6 +47,12 @@ def fused_cache(frames: DataFrame, depth: DataFrame, infrared: DataFrame, most:
     return both.select("clip_id", "k", "depth", F.when(~F.col("ir_dead"), F.col("infrared")).alias("infrared"), "aligned")
 
 
+def image_cache(pixels: DataFrame, side: int) -> DataFrame:
+    """``clip_id, frame_no, data, n``: every frame at ``side x side``, row by row; ``pixels`` have their frame's ``height, width``."""
+    sized = resize.resized(pixels, side, side).withColumn("key", F.struct("clip_id", "frame_no"))
+    return _sized(files.ragged(sized, "key", ["y", "x"], ["value"])).select("key.*", "data", "n")
+
+
 def sized_frames(frames: DataFrame, pixels: DataFrame, windows: DataFrame, height: int, width: int, side: int, most: int = 32) -> tuple[DataFrame, DataFrame]:
     """``clip_id, frame_no, data`` of the chosen frames of depth and of infrared, cut to the clip's window at ``side x side``."""
     chosen = detections.four_channels(frames, most)

@@ -223,3 +223,22 @@ def test_fold_contrasts(spark):
     df = spark.createDataFrame([("p", f, float(r), float(d)) for f, (r, d) in enumerate([(1, -2), (3, 0), (-1, 5)])] + [("q", 0, 1.0, 1.0)], "population string, fold int, raw double, decoded double")
     got = {(r["population"], r["metric"]): tuple(r)[2:] for r in studies.fold_contrasts(df).collect()}
     assert got["p", "raw"] == pytest.approx((3, 1.0, 2, 2 / 3**0.5)) and got["p", "decoded"][:3] == (3, 1.0, 1) and got["q", "raw"][3] is None
+
+
+def test_quantisation_gate(spark):
+    def rows(cost=0.1, gain=1.0, folds=4, settings=("x", "y")):
+        out = []
+        for s in settings:
+            for f in range(folds):
+                out += [(s, f, "a", 0.8, 0.8), (s, f, "b", 0.8 - gain / 100, 0.8 - (gain if f else -0.2) / 100), (s, f, "c", 0.8 + cost / 100, 0.8 + cost / 100)]
+        return spark.createDataFrame(out, "setting string, fold int, arm string, raw double, decoded double")
+
+    gate = lambda df: {r["eligible"] for r in evaluate.quantisation_gate(df, "a", "b", "c").collect()}
+    assert gate(rows()) == {True}
+    assert gate(rows(cost=0.6)) == gate(rows(gain=-0.1)) == gate(rows(folds=3)) == gate(rows(folds=5)) == {False}
+    worst = rows(cost=0.0).withColumn("raw", F.when((F.col("arm") == "c") & (F.col("fold") == 0) & (F.col("setting") == "x"), 0.8101).otherwise(F.col("raw")))
+    assert gate(worst) == {False}
+    assert gate(rows().where("not (arm = 'c' and fold = 1)")) == {False}
+    few = rows().withColumn("decoded", F.when((F.col("arm") == "b") & (F.col("fold") == 1), 0.81).otherwise(F.col("decoded")))
+    assert gate(few) == {False}
+    assert evaluate.quantisation_gate(rows().limit(0), "a", "b", "c").collect() == []
