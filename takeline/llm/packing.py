@@ -2,11 +2,23 @@
 
 Each source is a queue of its documents.  In every round a queue's deficit grows by its quantum, ``window`` tokens times
 its target share, and it sends whole documents while the next one fits its deficit; what is left of the deficit carries
-on to later rounds, and so across windows.  The stream of sent documents is cut at window ends only, so a document of
-``n`` tokens has about ``1 + n / window`` pieces however many sources there are.  After any round each queue has sent its
-share to within one document.  Documents longer than a window take part as packets of one window each, so that none
-holds up the others for long.  A queue that runs dry sends no more, and the others fill up.  Default targets are the
-sources' shares of all tokens: then all end together and every window has the mixture.
+on to later rounds, and so across windows.  Documents longer than ``packet`` tokens take part as packets of that length,
+so after any round each queue has sent its share to within one packet.  The stream of what is sent is cut at window ends
+only.  A queue that runs dry sends no more, and the others fill up.  Default targets are the sources' shares of all
+tokens: then all end together.
+
+*Packets.* How near a window comes to the mixture is a matter of ``packet``: a window of 2,048 tokens can't hold 2 % of a
+source whose documents have 1,000 tokens, unless these are cut.  Of 20 sources, one with a third of 10,000 documents, the
+mean distance (total variation) to the mixture of one window, of runs of 8 and of 64 windows, and the pieces a document:
+
+======  =====  =====  =====  ======
+packet      1      8     64  pieces
+======  =====  =====  =====  ======
+64      0.156  0.014  0.002  9.9
+128     0.217  0.029  0.004  7.8
+512     0.725  0.117  0.013  2.7
+2,048   0.838  0.375  0.044  1.6
+======  =====  =====  =====  ======
 
 A document whose tokens end at place ``e`` of its queue is sent in the first round whose quanta sum to ``e``:
 ``ceil(e / quantum)``.  That needs no state of the rounds before, so deficits carry across partitions without passing
@@ -39,6 +51,8 @@ from takeline.llm.common import cut, scratch_table, steps, texts_of
 from takeline.llm.tokens import TokenIds
 
 WINDOW = 2048
+#: Largest packet, in tokens: the most by which a source may be off its share after a round.
+PACKET = 512
 #: Ranges over which a queue's start positions are summed.
 PARTS_PER_RANGE = 256
 #: Rounds in a block, blocks in a group, and so on: each level's running sum is over at most this many rows.
@@ -150,21 +164,23 @@ def places(packets: DataFrame) -> DataFrame:
     return blocked.withColumn("within", within).join(bases.select("block", (F.col("base") + F.col("block_base")).alias("base")), "block").withColumn("place", F.col("base") + F.col("within"))
 
 
-def pack(documents: DataFrame, window: int = WINDOW, tokenizer: str | None = None, end_id: int = 1, weights: dict[str, float] | None = None) -> DataFrame:
+def pack(documents: DataFrame, window: int = WINDOW, tokenizer: str | None = None, end_id: int = 1, weights: dict[str, float] | None = None, packet: int | None = None) -> DataFrame:
     """Pieces: ``doc_id, source_queue, start, length, ids, ids_crc32, doc_tokens, sequence_id, offset``.
 
     ``ids`` are the piece's ids as little-endian integers of the tokenizer's width (see ``tokens``); ``weights`` are
-    target proportions by source.
+    target proportions by source; ``packet`` is the largest packet in tokens (by default ``PACKET``, at most a window).
     """
-    spark = documents.sparkSession
+    spark, packet = documents.sparkSession, min(packet or PACKET, window)
+    if packet < 1:
+        raise ValueError("a packet has a token at least")
     path = tokenised(documents, tokenizer, end_id)
     sums = cut(spark.read.parquet(path).groupBy("queue", "part").agg(F.sum("n").alias("tokens")))
     total = sums.agg(F.sum("tokens")).first()[0] or 0
     queues = quanta(sums.groupBy("queue").agg(F.sum("tokens").alias("tokens")), window, weights)
     starts = part_starts(sums).join(queues, "queue")
     rows = spark.read.parquet(path).select("row", "queue", "part", "begin", "n").where("n > 0").join(starts, ["queue", "part"])
-    packets = rows.withColumn("start", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(window).cast("long"))))
-    packets = packets.withColumn("length", F.least(F.col("n") - F.col("start"), F.lit(window))).withColumn("end", F.col("base") + F.col("begin") + F.col("start") + F.col("length"))
+    packets = rows.withColumn("start", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(packet).cast("long"))))
+    packets = packets.withColumn("length", F.least(F.col("n") - F.col("start"), F.lit(packet))).withColumn("end", F.col("base") + F.col("begin") + F.col("start") + F.col("length"))
     packets = cut(packets.select("row", "queue", "start", "length", "end", (F.col("first") + F.ceil(F.col("end") / F.col("quantum"))).alias("round")))
     placed = places(packets).groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "length", "place"))).alias("packets"))
     width = 2 if TokenIds(tokenizer, end_id).dtype.itemsize == 2 else 4

@@ -90,8 +90,8 @@ def test_packing(spark, ids):
     assert P.pack(frame(spark, rows).limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("weights", [None, {"s0": 5, "s1": 3}, {"s2": 1, "absent": 7}])
-def test_round_robin(spark, ids, weights):
+@pytest.mark.parametrize("weights, packet", [(None, 256), (None, 40), ({"s0": 5, "s1": 3}, 256), ({"s2": 1, "absent": 7}, 100)])
+def test_round_robin(spark, ids, weights, packet):
     """The stream is what a round-robin sends that keeps deficits round by round; one input part, so queues are in row order."""
     rows = [r for r in documents() if r[0] != 1008] + [(2000, " ".join(f"x{k}" for k in range(900)), "s1")]
     docs, window = {}, 256
@@ -102,10 +102,10 @@ def test_round_robin(spark, ids, weights):
     rest = [q for q in docs if q not in given]
     quanta = {q: Fraction(window * given[q], sum(given.values())) for q in given} | {q: Fraction(window * tokens[q], sum(tokens[r] for r in rest)) for q in rest}
     first = dict.fromkeys(rest, max((-(-tokens[q] // quanta[q]) for q in given), default=0))
-    got = P.pack(frame(spark, rows).coalesce(1), window=window, weights=weights).collect()
+    got = P.pack(frame(spark, rows).coalesce(1), window=window, weights=weights, packet=packet).collect()
     by_seq = check_pieces(got, {i: ids(text) for i, text, _ in rows})
     want = []
-    for q, d, a, n in robin(docs, quanta, window, first):
+    for q, d, a, n in robin(docs, quanta, packet, first):
         if want and want[-1][:2] == [q, d]:
             want[-1][2] += n
         else:
@@ -113,14 +113,14 @@ def test_round_robin(spark, ids, weights):
     assert stream(by_seq) == [tuple(x) for x in want]
 
 
-@pytest.mark.parametrize("sources", [20, 400])
-def test_documents_stay_whole(spark, ids, sources):
-    """Pieces a document are near 1 + tokens / window, and each source is near its share after every window."""
+@pytest.mark.parametrize("sources, packet", [(20, 2048), (400, 2048), (20, 512), (20, 128)])
+def test_shares_after_every_window(spark, ids, sources, packet):
+    """At every window's end each source is within a packet of its share; pieces a document are few."""
     rng = np.random.default_rng(3)
     rows = [(i, "the " * int(rng.integers(1, 400)), f"q{int(rng.integers(sources))}") for i in range(3000)] + [(3000, "the " * 20_000, "q0")]
-    got = P.pack(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    got = P.pack(spark.createDataFrame(rows, "doc_id long, text string, source string"), packet=packet).collect()
     tokens = {i: len(ids(t)) for i, t, _ in rows}
-    assert len(got) <= 1.02 * sum(1 + n / 2048 for n in tokens.values()) + 12
+    assert len(got) <= 1.02 * sum(1 + n / 2048 + n / packet * (packet < 2048) for n in tokens.values()) + 12
     share, total = {}, sum(tokens.values())
     for i, _, s in rows:
         share[f"s:{s}"] = share.get(f"s:{s}", 0) + tokens[i] / total
@@ -130,9 +130,27 @@ def test_documents_stay_whole(spark, ids, sources):
     for k in range(total // 2048):
         for r in by_seq[k]:
             sent[r["source_queue"]] += r["length"]
-        # All deficits together hold the stream back by less than their sum; a queue's own by less than a packet.
+        # All deficits together hold the stream back by less than their sum; a queue's own by less than a packet (or document).
         behind = sum(max(0.0, share[q] * 2048 * (k + 1) - sent[q]) for q in share)
-        assert all(abs(sent[q] - share[q] * 2048 * (k + 1)) <= 2048 + share[q] * (behind + 2 * 2048 + sources * 200) for q in share), k
+        assert all(abs(sent[q] - share[q] * 2048 * (k + 1)) <= packet + share[q] * (behind + 2 * 2048 + sources * min(packet, 200)) for q in share), k
+
+
+def test_windows_near_the_mixture(spark, ids):
+    """Small packets bring every window to its targets; whole documents bring runs of windows there."""
+    rng = np.random.default_rng(4)
+    rows = [(i, "the " * int(rng.integers(50, 300)), f"q{int(rng.integers(5))}") for i in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    weights = {"q0": 4, "q1": 3, "q2": 2, "q3": 2, "q4": 1}
+
+    def distance(packet, run):
+        by_seq = {}
+        for r in P.pack(docs, packet=packet, weights=weights).collect():
+            by_seq.setdefault(r["sequence_id"] // run, dict.fromkeys(weights, 0))[r["source_queue"][2:]] += r["length"]
+        dry = min(sum(len(ids(t)) for _, t, s in rows if s == q) * 12 / w for q, w in weights.items())  # tokens before a source runs dry
+        whole = [c for k, c in by_seq.items() if (k + 1) * run * 2048 <= dry and sum(c.values()) == run * 2048]
+        return np.mean([sum(abs(c[q] / sum(c.values()) - w / 12) for q, w in weights.items()) / 2 for c in whole])
+
+    assert distance(32, 1) < 0.04 and distance(2048, 16) < 0.05 and distance(512, 1) < 0.4
 
 
 @settings(max_examples=100, deadline=None)
