@@ -4,6 +4,10 @@ A rule is a regular expression over ``host`` or ``host + path`` together with li
 must hold.  The index files each rule under the one of its tokens that is rarest over all urls.  A url is split into
 tokens; they fetch the candidate rules; only those run their regular expression.
 
+Rules are a tuple, or a table of any size (``rules_table``).  Up to ``SEND_RULES`` the index goes to every task; beyond, the
+urls' tokens meet it in a join, of which tokens that very many urls hold are dropped beforehand where no rule is filed
+under them and split by url where one is.  Both ways give the same.
+
 Defined cases: null urls and urls without ``://`` have an empty host and path and no rule, so the default verdict
 ``allow``; repeated rows are judged alike; other columns pass through; an empty table gives an empty result.
 """
@@ -15,12 +19,17 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from takeline.llm.common import cut
+
 TOKENS = r"[a-z0-9]+"
 #: With more rules than this the index is joined by shuffle instead of being sent to each task.
 SEND_RULES = 50_000
+#: Urls of one token that a join brings to one place.
+HOT_URLS = 1_000_000
+RULES = "regex string, tokens array<string>, verdict string, rank int, name string"
 
 
 @dataclass(frozen=True)
@@ -82,12 +91,22 @@ def rarest_index(rules: tuple[Rule, ...], counts: dict[str, int]) -> dict[str, l
     return index
 
 
-def judge(parts: DataFrame, rules: tuple[Rule, ...], default: str = "allow", send_rules: int = SEND_RULES) -> DataFrame:
+def rules_table(spark: SparkSession, rules: tuple[Rule, ...]) -> DataFrame:
+    """``regex, tokens, verdict, rank, name`` of rules: the form in which a list of any size is read."""
+    return spark.createDataFrame([(r.regex, list(r.tokens), r.verdict, r.order, r.name) for r in rules], RULES)
+
+
+def judge(parts: DataFrame, rules: DataFrame | tuple[Rule, ...], default: str = "allow", send_rules: int = SEND_RULES, hot_urls: int = HOT_URLS) -> DataFrame:
     """Add ``rule`` and ``verdict`` to a table with ``host`` and ``path``, in place of columns of that name."""
+    if not isinstance(rules, DataFrame) and len(rules) > send_rules:
+        rules = rules_table(parts.sparkSession, rules)
+    if isinstance(rules, DataFrame):
+        some = rules.select("regex", "tokens", "verdict", "rank", "name").limit(send_rules + 1).collect()
+        if len(some) > send_rules:
+            return _judge_by_join(parts.drop("rule", "verdict"), rules, default, hot_urls)
+        rules = tuple(Rule(r["regex"], tuple(r["tokens"]), r["verdict"], r["rank"], r["name"]) for r in some)
     parts = parts.drop("rule", "verdict")
     index = rarest_index(rules, token_counts(parts, rules))
-    if len(rules) > send_rules:
-        return _judge_by_join(parts, index, default)
     schema = parts.select("*", F.lit(None).cast("string").alias("rule"), F.lit("").alias("verdict")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,12 +127,28 @@ def judge(parts: DataFrame, rules: tuple[Rule, ...], default: str = "allow", sen
     return parts.mapInArrow(run, schema)
 
 
-def _judge_by_join(parts: DataFrame, index: dict[str, list[Rule]], default: str) -> DataFrame:
+def filed(rules: DataFrame, counts: DataFrame) -> DataFrame:
+    """``token`` and the rules filed under it: each under its rarest by ``token, count``."""
+    one = F.struct("regex", F.col("verdict").alias("rule_verdict"), F.col("rank").alias("rule_order"), "name").alias("one")
+    token = F.explode(F.when(F.size("tokens") > 0, F.col("tokens")).otherwise(F.raise_error(F.concat(F.lit("no literal token in rule "), F.col("regex"))).cast("array<string>")))
+    rows = rules.select(one, token.alias("token")).join(counts, "token", "left")
+    rarest = rows.groupBy("one").agg(F.min(F.struct(F.coalesce("count", F.lit(0)).alias("n"), "token"))["token"].alias("token"))
+    return rarest.select("token", "one.*")
+
+
+def _judge_by_join(parts: DataFrame, rules: DataFrame, default: str, hot_urls: int) -> DataFrame:
     """For rule lists of any size: distinct urls meet the index by token in a join; verdicts come back by url."""
-    rows = [(t, r.regex, r.verdict, r.order, r.name) for t, rs in index.items() for r in rs]
-    table = parts.sparkSession.createDataFrame(rows, "token string, regex string, rule_verdict string, rule_order int, name string")
     urls = parts.select("host", "path").distinct()
-    fits = urls.withColumn("token", F.explode(_tokens_column())).join(table, "token").where(F.expr("concat(host, '\\n', path) rlike regex"))
+    tokens = urls.withColumn("token", F.explode(_tokens_column()))
+    counts = cut(tokens.groupBy("token").count())
+    index = cut(filed(rules, counts))
+    # Tokens of very many urls: at most as many as there are tokens in all urls, by ``hot_urls``.
+    hot = counts.where(F.col("count") > hot_urls).join(index.select("token").distinct().withColumn("used", F.lit(True)), "token", "left")
+    hot = cut(hot.select("token", F.ceil(F.col("count") / hot_urls).cast("int").alias("parts"), F.coalesce("used", F.lit(False)).alias("used")))
+    split = lambda df: df.join(F.broadcast(hot), "token", "left").where(F.coalesce("used", F.lit(True))).withColumn("parts", F.coalesce("parts", F.lit(1)))
+    asked = split(tokens).withColumn("part", F.pmod(F.xxhash64("host", "path"), F.col("parts")).cast("int")).drop("parts", "used")
+    table = split(index).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts", "used")
+    fits = asked.join(table, ["token", "part"]).where(F.expr("concat(host, '\\n', path) rlike regex"))
     best = fits.groupBy("host", "path").agg(F.max_by(F.struct("name", "rule_verdict"), F.struct("rule_order", "regex")).alias("best"))
     rows = parts.select(F.struct("*").alias("row"), "host", "path")
     out = rows.join(best, ["host", "path"], "left")

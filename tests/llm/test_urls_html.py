@@ -37,6 +37,24 @@ def test_urls(spark):
     assert U.judge(U.with_parts(df.limit(0)), rules).count() == 0
 
 
+def test_rules_from_a_table(spark):
+    """A table of rules, sent or joined, hot tokens split or not, judges as the tuple does."""
+    rng = random.Random(4)
+    hosts = ["www.tracker.com", "www.casino.net", "cdn.adult-x.org", "blog.example.com", "www.example.net", "doubleclick.www.com", "malware.example.org"]
+    urls = [f"http://{rng.choice(hosts)}/{rng.choice(['', 'en/', 'fr/', 'de/'])}{i}" for i in range(300)] + URLS
+    pages = U.with_parts(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).repartition(5)
+    rules = U.SITE_RULES + U.WORD_RULES + tuple(U.word_rule(f"bad{i}") for i in range(50)) + (U.word_rule("www", "allow"),)
+    table = U.rules_table(spark, rules).repartition(3)
+    judged = lambda *a, **k: {r["page_id"]: (r["rule"], r["verdict"]) for r in U.judge(pages, *a, **k).collect()}
+    want = judged(rules)
+    assert want == judged(table) == judged(table, send_rules=3) == judged(table, send_rules=3, hot_urls=20) == judged(table, send_rules=3, hot_urls=1)
+    assert len({v for _, v in want.values()}) == 2 and {r for r, _ in want.values()} >= {None, "net/", "org/fr/"}
+    none = spark.createDataFrame([("x", [], "block", 1, None)], U.RULES)
+    for send in (10, 0):
+        with pytest.raises(Exception, match="no literal token"):
+            U.judge(pages, none, send_rules=send).collect()
+
+
 def test_rarest_token():
     rules = (U.word_rule("ads-track"), U.word_rule("adult"))
     assert set(U.rarest_index(rules, {"ads": 9, "track": 2, "adult": 5})) == {"track", "adult"}
