@@ -5,7 +5,9 @@ hashed.  A second-order factorization machine scores ``w0 + sum w_i + sum_{i<j}
 insult and the group it is aimed at) can weigh more than both do alone.
 
 Learning: a bounded sample of labelled rows (``max_rows``, by hash of the id) is turned into terms by the executors
-and collected; the terms whose presence says most about the label are kept (``MAX_TERMS``, ``MIN_GAIN``); the machine is
+and collected; the terms whose presence says most about the label are kept (``MAX_TERMS``, ``MIN_GAIN``), and both terms
+of the pairs that say most more than either alone (``MAX_PAIRS``, ``MIN_PAIR_GAIN``), so a pair is learnt too whose terms
+are each even between the labels; the machine is
 fitted by full-batch Adam with L2, and its bias set so that the sample's labels part best at the threshold.  Scoring
 runs over all documents in Arrow batches without a shuffle.
 
@@ -13,8 +15,7 @@ Defined cases: null and empty texts have no terms and score as the bias does; ro
 or label, are not learnt from; without learnable rows of both labels every score is 0; repeated rows are scored each;
 other columns are ignored; an empty table gives no rows.
 
-Terms are chosen by what each says about the label, so a pair is learnt if both its terms say something alone as well; a
-pair of terms that are each even between the labels is not.  ``MAX_TERMS`` and ``MIN_GAIN`` bound the model, not the rows.
+Pairs are screened among the ``PAIR_TERMS`` commonest terms of the sample.  These bounds limit the model, not the rows.
 """
 
 from __future__ import annotations
@@ -38,6 +39,10 @@ FACTORS = 4
 CUT = 0.25
 #: Log-likelihood (nats) that a term's presence must add about the label; chance adds this to one term in a thousand.
 MIN_GAIN = 5.4
+#: The same of a pair beyond its better term; chance adds this to about one of the screened pairs in a thousand samples.
+MIN_PAIR_GAIN = 21.0
+#: Terms whose pairs are screened, rows of the sample that a pair must have, pairs kept.
+PAIR_TERMS, PAIR_ROWS, MAX_PAIRS = 2000, 5, 100
 THRESHOLD = 0.7
 _MARKS = "\"'`.,;:!?()[]{}<>*#$%&|_-~"
 
@@ -76,8 +81,15 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(out, -30, 30)))
 
 
+def label_gain(a: np.ndarray, b: np.ndarray, n1: int, n0: int) -> np.ndarray:
+    """Log-likelihood that presence adds about the label, of ``a`` of ``n1`` ones and ``b`` of ``n0`` zeros."""
+    share = (a + b) / (n1 + n0)
+    x = lambda k, e: np.where(k > 0, k * np.log(np.maximum(k, 1e-9) / np.maximum(e, 1e-9)), 0)
+    return x(a, n1 * share) + x(b, n0 * share) + x(n1 - a, n1 * (1 - share)) + x(n0 - b, n0 * (1 - share))
+
+
 def choose_terms(rows: list[tuple[np.ndarray, int]], max_terms: int) -> list[int]:
-    """Terms by the signed root of their log-likelihood ratio with the label; three rows must have a term."""
+    """Terms by the log-likelihood ratio with the label, then those of pairs; three rows must have a term."""
     n1 = sum(y for _, y in rows)
     n0 = len(rows) - n1
     c = np.zeros((2, BUCKETS))
@@ -85,15 +97,32 @@ def choose_terms(rows: list[tuple[np.ndarray, int]], max_terms: int) -> list[int
         c[y, terms] += 1
     both = c.sum(0)
     have = np.flatnonzero(both >= 3)
-    a, b = c[1, have], c[0, have]
-    share = (a + b) / len(rows)
-    x = lambda k, e: np.where(k > 0, k * np.log(np.maximum(k, 1e-9) / np.maximum(e, 1e-9)), 0)
-    gain = x(a, n1 * share) + x(b, n0 * share) + x(n1 - a, n1 * (1 - share)) + x(n0 - b, n0 * (1 - share))
+    gain = label_gain(c[1, have], c[0, have], n1, n0)
     order = np.argsort(-gain, kind="stable")[:max_terms]
-    return have[order[gain[order] >= MIN_GAIN]].tolist()
-
-
-def fit_machine(rows: list[tuple[np.ndarray, int]], max_terms: int = MAX_TERMS, factors: int = FACTORS, epochs: int = 400, l2: float = 2e-5, l2_factors: float = 2e-5) -> Machine | None:
+    chosen = have[order[gain[order] >= MIN_GAIN]].tolist()
+    return list(dict.fromkeys(chosen + paired_terms(rows, have, gain, both, n1, n0)))
+
+
+def paired_terms(rows: list[tuple[np.ndarray, int]], have: np.ndarray, gain: np.ndarray, both: np.ndarray, n1: int, n0: int) -> list[int]:
+    """Terms of the pairs whose presence together says most about the label beyond what the better one says alone."""
+    some = np.argsort(-both[have], kind="stable")[:PAIR_TERMS]
+    some = some[both[have[some]] < 0.9 * len(rows)]
+    column = np.full(BUCKETS, -1)
+    column[have[some]] = np.arange(len(some))
+    x = np.zeros((len(rows), len(some)), np.float32)
+    for i, (terms, _) in enumerate(rows):
+        found = column[terms]
+        x[i, found[found >= 0]] = 1
+    y = np.array([y for _, y in rows], bool)
+    ones, zeros = (x[m].T @ x[m] for m in (y, ~y))  # rows of each label with both terms
+    left, right = np.nonzero(np.triu(ones + zeros >= PAIR_ROWS, 1))
+    more = label_gain(ones[left, right].astype(float), zeros[left, right].astype(float), n1, n0) - np.maximum(gain[some[left]], gain[some[right]])
+    order = np.argsort(-more, kind="stable")[:MAX_PAIRS]
+    order = order[more[order] >= MIN_PAIR_GAIN]
+    return [int(have[some[k]]) for i in order.tolist() for k in (left[i], right[i])]
+
+
+def fit_machine(rows: list[tuple[np.ndarray, int]], max_terms: int = MAX_TERMS, factors: int = FACTORS, epochs: int = 400, l2: float = 2e-5, l2_factors: float = 8e-3) -> Machine | None:
     """``rows``: term ids and label; None unless both labels occur."""
     if len({y for _, y in rows}) < 2:
         return None

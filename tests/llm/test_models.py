@@ -265,3 +265,26 @@ def test_repeated_items_and_equal_runs(spark):
         assert sorted(block.found_in(texts)) == sorted(want) and len(want) >= 60
     finally:
         D.STEP_PAIRS = whole
+
+
+def test_pairs_of_neutral_terms_are_learnt():
+    """An insult and a group that are each even between the labels: only both, or neither, is labelled."""
+    rng = random.Random(0)
+    rows, texts = [], []
+    for i in range(1600):
+        k = i % 4
+        w = words(rng, 30, 300) + [f"insult{rng.randrange(3)}"] * (k in (0, 1)) + [f"group{rng.randrange(3)}"] * (k in (0, 2))
+        rng.shuffle(w)
+        texts.append((w, int(k in (0, 3))))
+        rows.append((np.unique(np.array([t for x in w for t in T.word_terms(x.encode())], np.int32)), int(k in (0, 3))))
+    machine = T.fit_machine(rows[:1200])
+    assert all({*T.word_terms(x.encode())} & set(machine.columns) for x in ("insult0", "insult1", "group0", "group2"))
+    p = machine.score([sorted({machine.columns[t] for t in x.tolist() if t in machine.columns}) for x, _ in rows[1200:]])
+    assert np.mean([(q >= T.THRESHOLD) == bool(y) for q, (_, y) in zip(p, rows[1200:], strict=True)]) > 0.97
+
+
+def test_chance_pairs_are_not_chosen():
+    rng = random.Random(1)
+    rows = [(np.unique(np.array([t for x in words(rng, 40, 500) for t in T.word_terms(x.encode())], np.int32)), rng.randrange(2)) for _ in range(1500)]
+    counted = {t for x, _ in rows for t in x.tolist()}
+    assert len(T.choose_terms(rows, 600)) < 0.02 * len(counted) + 5
