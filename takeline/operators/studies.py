@@ -10,9 +10,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from takeline.functions.columns import FLOOR, softmax
 from takeline.operators import evaluate, sampling
 from takeline.operators.decode import beams, gathered, marginals
 from takeline.operators.spans import ranked
@@ -182,6 +183,57 @@ def _all(conditions: Iterator[Column]) -> Column:
     return out
 
 
+def blends(members: DataFrame, settings: DataFrame) -> DataFrame:
+    """``config, clip_id, p``: members' distributions put together by ``config, member, weight, geometric``.
+
+    Arithmetic: the weighted mean; geometric: the normalised product of powers.  Weights count as parts of their sum.  A
+    clip that a weighted member lacks is left out of that configuration.
+    """
+    parts = settings.select("config", "member", (F.col("weight") / F.sum("weight").over(Window.partitionBy("config"))).alias("w"), "geometric", F.count("*").over(Window.partitionBy("config")).alias("members"))
+    rows = members.join(parts, "member").select("config", "clip_id", "geometric", "members", "w", F.posexplode("p").alias("cls", "p"))
+    value = F.when(F.col("geometric"), F.log(F.greatest("p", F.lit(FLOOR)))).otherwise(F.col("p"))
+    mixed = rows.groupBy("config", "clip_id", "geometric", "members", "cls").agg(F.sum(F.col("w") * value).alias("v"), F.count("*").alias("n")).where("n = members")
+    listed = mixed.groupBy("config", "clip_id", "geometric").agg(F.transform(F.sort_array(F.collect_list(F.struct("cls", "v"))), lambda s: s["v"]).alias("v"))
+    return listed.select("config", "clip_id", F.when(F.col("geometric"), softmax(F.col("v"))).otherwise(F.col("v")).alias("p"))
+
+
+def accuracy_curves(decoded: DataFrame, truth: DataFrame) -> DataFrame:
+    """``config, weight, population, fold, repeat, accuracy`` of the decoded labels over clips."""
+    scored = decoded.join(truth.select("clip_id", "y"), "clip_id")
+    return scored.groupBy("config", "weight", "population", "fold", "repeat").agg(F.avg((F.col("label") == F.col("y")).cast("double")).alias("accuracy"))
+
+
+def pooled_curves(curves: DataFrame) -> DataFrame:
+    """``config, weight, population, fold, accuracy``, the mean over repeats of each fold, and of all (fold null)."""
+    keys = ["config", "weight", "population"]
+    each = curves.groupBy(*keys, "fold").agg(F.avg("accuracy").alias("accuracy"))
+    pooled = curves.groupBy(*keys).agg(F.avg("accuracy").alias("accuracy"))
+    return each.unionByName(pooled.withColumn("fold", F.lit(None).cast(dict(each.dtypes)["fold"])))
+
+
+def best_weights(curves: DataFrame, stated: float) -> DataFrame:
+    """``config, population, stated, best_weight, best``: the mean accuracy at a stated weight, and the weight with the highest one (the least on ties)."""
+    mean = curves.groupBy("config", "population", "weight").agg(F.round(F.avg("accuracy"), 12).alias("x"))  # sums in another order tie
+    top = F.max(F.struct("x", (-F.col("weight")).alias("minus")))
+    return mean.groupBy("config", "population").agg(F.max(F.when(F.col("weight") == stated, F.col("x"))).alias("stated"), top.alias("t")).select("config", "population", "stated", (-F.col("t.minus")).alias("best_weight"), F.col("t.x").alias("best"))
+
+
+def paired_curves(a: DataFrame, b: DataFrame) -> DataFrame:
+    """``population, pairs, mean, se, wins`` of accuracies of ``a`` less those of ``b`` on the same folds and repeats.
+
+    Each holds one configuration at one weight.
+    """
+    keys = ["population", "fold", "repeat"]
+    d = a.select(*keys, F.col("accuracy").alias("x")).join(b.select(*keys, F.col("accuracy").alias("y")), keys).withColumn("d", F.col("x") - F.col("y"))
+    return d.groupBy("population").agg(F.count("*").alias("pairs"), F.avg("d").alias("mean"), (F.stddev_samp("d") / F.sqrt(F.count("*"))).alias("se"), F.count_if(F.col("d") > 0).alias("wins"))
+
+
+def at_best(curves: DataFrame, config: str, population: str) -> DataFrame:
+    """The curves of a configuration in a population at the weight that is best there."""
+    own = curves.where((F.col("config") == config) & (F.col("population") == population))
+    return own.join(best_weights(own, 0.0).select(F.col("best_weight").alias("weight")), "weight", "left_semi")
+
+
 def fold_contrasts(gained: DataFrame) -> DataFrame:
     """``population, metric, folds, mean, positive, se`` of ``gains``: a contrast's mean over folds, the folds above 0, and its standard error."""
     long = gained.select("population", "fold", F.inline(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).alias("x")) for m in ("raw", "decoded")))))

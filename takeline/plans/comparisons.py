@@ -182,14 +182,15 @@ def fallback_report(spark, sf_dir):
     return decode.fallback_report(d.select("clip_id"), takes, d.where("vec_id % 5 <> 0").select("clip_id", "p"), classes=7)
 
 
-def study(spark: SparkSession, sf_dir: str, weights: tuple[float, ...] | None) -> tuple[DataFrame, DataFrame]:
+def study(spark: SparkSession, sf_dir: str, weights: tuple[float, ...] | None, probabilities: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Takes of two, whole and thinned three times, two configurations decoded under their fold's prior (no weights: only asked for); and the truth."""
     v, d = F.col("vec_id"), embedding_probs(spark, sf_dir)
     takes = embedding_takes(spark, sf_dir, 2).withColumn("take_size", F.count("*").over(Window.partitionBy("take_id")).cast("int"))
     sizes = spark.createDataFrame([(0.0, 0.4, 1), (0.4, 1.0, 2)], "u_low double, u_high double, size int")
     primary = takes.where("cast(take_id as long) % 3 = 0")
     folds = d.select("clip_id", (F.floor(v / 2) % 4).cast("int").alias("fold"))
-    probabilities = d.select(F.lit("A").alias("config"), "clip_id", "p").unionByName(d.select(F.lit("B").alias("config"), "clip_id", F.col("q").alias("p")))
+    if probabilities is None:
+        probabilities = d.select(F.lit("A").alias("config"), "clip_id", "p").unionByName(d.select(F.lit("B").alias("config"), "clip_id", F.col("q").alias("p")))
     windows = studies.populations(takes, sizes, 3, 11, primary)
     if weights is None:
         return studies.asked_windows(windows, probabilities, folds, 10), d
@@ -197,10 +198,13 @@ def study(spark: SparkSession, sf_dir: str, weights: tuple[float, ...] | None) -
     return done, d.select("clip_id", F.col("label").alias("y"))
 
 
-def study_sql(weights: tuple[float, ...]) -> str:
+_TWO = "SELECT 'A' AS config, vec_id, CAST(cls AS INT) AS cls, ln(greatest(p, 1e-12)) AS lp FROM lg UNION ALL SELECT 'B', vec_id, CAST(cls AS INT), ln(greatest(q, 1e-12)) FROM lg"
+
+
+def study_sql(weights: tuple[float, ...], configs: str = _TWO) -> str:
     values = ", ".join(f"({w}::DOUBLE)" for w in weights)
     return f"""{LONG_SQL}, {PRIOR_SQL}, wt AS (SELECT w FROM (VALUES {values}) t(w)),
-  cf AS (SELECT 'A' AS config, vec_id, CAST(cls AS INT) AS cls, ln(greatest(p, 1e-12)) AS lp FROM lg UNION ALL SELECT 'B', vec_id, CAST(cls AS INT), ln(greatest(q, 1e-12)) FROM lg),
+  cf AS ({configs}),
   ag AS (SELECT config, vec_id, cls AS raw FROM cf QUALIFY row_number() OVER (PARTITION BY config, vec_id ORDER BY lp DESC, cls) = 1),
   sc AS (SELECT a.config, w, a.vec_id // 2 AS take, a.cls AS l0, b.cls AS l1, a.lp + b.lp + w * ln(t) AS score FROM cf a JOIN cf b ON a.config = b.config AND b.vec_id = a.vec_id + 1 AND a.vec_id % 2 = 0 AND a.cls <> b.cls JOIN pr ON pr.f = a.vec_id // 2 % 4 AND pr.a = a.cls AND pr.b = b.cls, wt),
   bt AS (SELECT config, w, take, l0, l1 FROM sc QUALIFY row_number() OVER (PARTITION BY config, w, take ORDER BY score DESC, l0, l1) = 1),
@@ -238,6 +242,48 @@ _PAIRED = f"""{study_sql((0.75,))}, pa AS (SELECT a.population, a.repeat, a.fold
   ga AS (SELECT population, CAST(fold AS INT) AS fold, 100 * avg(raw) AS raw, 100 * avg(decoded) AS decoded, CAST(sum(rescued) AS BIGINT) AS rescued, CAST(sum(lost) AS BIGINT) AS lost FROM ge GROUP BY population, fold)"""
 
 
+_SETTINGS = (("image", "p", 1.0, False), ("blend", "p", 5.0, False), ("blend", "q", 3.0, False), ("ladder", "p", 17.0, False), ("ladder", "q", 3.0, False), ("product", "p", 5.0, True), ("product", "q", 3.0, True))
+_WEIGHTS = (0.0, 0.25, 0.75, 1.5)
+_BLENDS = """SELECT 'image' AS config, vec_id, CAST(cls AS INT) AS cls, ln(greatest(p, 1e-12)) AS lp FROM lg UNION ALL SELECT 'blend', vec_id, CAST(cls AS INT), ln(greatest(p * (5 / 8.0::DOUBLE) + q * (3 / 8.0::DOUBLE), 1e-12)) FROM lg
+  UNION ALL SELECT 'ladder', vec_id, CAST(cls AS INT), ln(greatest(p * (17 / 20.0::DOUBLE) + q * (3 / 20.0::DOUBLE), 1e-12)) FROM lg
+  UNION ALL SELECT 'product', vec_id, CAST(cls AS INT), ln(greatest(g / sum(g) OVER (PARTITION BY vec_id), 1e-12)) FROM (SELECT *, exp(ln(greatest(p, 1e-12)) * 5 / 8 + ln(greatest(q, 1e-12)) * 3 / 8) AS g FROM lg)"""
+_CURVES = f"""{study_sql(_WEIGHTS, _BLENDS)}, cu AS (SELECT config, weight, population, CAST(fold AS INT) AS fold, repeat, avg(CAST(label = y AS INT)) AS x FROM st GROUP BY ALL)"""
+
+
+def fusion_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accuracies of members alone and put together, at every prior weight, over takes, a subset and thinnings."""
+    d = embedding_probs(spark, sf_dir)
+    members = d.select(F.lit("p").alias("member"), "clip_id", "p").unionByName(d.select(F.lit("q").alias("member"), "clip_id", F.col("q").alias("p")))
+    settings = spark.createDataFrame(_SETTINGS, "config string, member string, weight double, geometric boolean")
+    return studies.accuracy_curves(*study(spark, sf_dir, _WEIGHTS, studies.blends(members, settings)))
+
+
+@query(f"""WITH {_CURVES}, m AS (SELECT config, population, weight, avg(x) AS x FROM cu GROUP BY ALL), b AS (SELECT config, population, weight, x FROM m QUALIFY row_number() OVER (PARTITION BY config, population ORDER BY round(x, 12) DESC, weight) = 1)
+SELECT m.config, m.population, round(m.x, 6) AS stated, b.weight AS best_weight, round(b.x, 6) AS best FROM m JOIN b USING (config, population) WHERE m.weight = 0.75""")
+def fusion_audit(spark, sf_dir):
+    """Each way to put members together at the stated prior weight and at its best."""
+    return _rounded(studies.best_weights(fusion_curves(spark, sf_dir), 0.75))
+
+
+@query(f"""WITH {_CURVES} SELECT config, weight, population, fold, round(avg(x), 6) AS accuracy FROM cu GROUP BY config, weight, population, fold UNION ALL SELECT config, weight, population, NULL, round(avg(x), 6) FROM cu GROUP BY config, weight, population""")
+def weight_curves(spark, sf_dir):
+    """Accuracy by prior weight, each fold's and pooled."""
+    return _rounded(studies.pooled_curves(fusion_curves(spark, sf_dir)))
+
+
+@query(f"""WITH {_CURVES}, m AS (SELECT config, weight, avg(x) AS x FROM cu WHERE population = 'designated' GROUP BY ALL), b AS (SELECT config, weight FROM m QUALIFY row_number() OVER (PARTITION BY config ORDER BY round(x, 12) DESC, weight) = 1),
+c AS (SELECT config, fold, repeat, x FROM cu JOIN b USING (config, weight) WHERE population = 'designated'), d AS (SELECT 'product over blend' AS contrast, g.x - a.x AS d FROM c g JOIN c a USING (fold, repeat) WHERE g.config = 'product' AND a.config = 'blend'
+UNION ALL SELECT 'weight 0.25 over 0.75', g.x - a.x FROM cu g JOIN cu a USING (config, population, fold, repeat) WHERE g.config = 'blend' AND g.population = 'designated' AND g.weight = 0.25 AND a.weight = 0.75)
+SELECT contrast, 'designated' AS population, count(*) AS pairs, round(avg(d), 6) + 0.0 AS mean, round(stddev_samp(d) / sqrt(count(*)), 6) AS se, count(*) FILTER (d > 0) AS wins FROM d GROUP BY contrast""")
+def fusion_shapes(spark, sf_dir):
+    """Products against means, each at its best prior weight, and two weights of one, paired by fold and thinning."""
+    curves = fusion_curves(spark, sf_dir)
+    own = curves.where("config = 'blend' and population = 'designated'")
+    shapes = studies.paired_curves(studies.at_best(curves, "product", "designated"), studies.at_best(curves, "blend", "designated")).withColumn("contrast", F.lit("product over blend"))
+    weights = studies.paired_curves(own.where("weight = 0.25"), own.where("weight = 0.75")).withColumn("contrast", F.lit("weight 0.25 over 0.75"))
+    return _rounded(shapes.unionByName(weights))
+
+
 @query(f"""WITH {study_sql((0.75, 1.5))}, r AS (SELECT config, weight, population, fold, repeat, avg(CAST(raw = y AS INT)) AS raw, avg(CAST(label = y AS INT)) AS decoded FROM st WHERE population <> 'full_take' GROUP BY ALL),
 e AS (SELECT population AS setting, fold, CASE WHEN config = 'A' THEN 'A' WHEN weight = 0.75 THEN 'B' ELSE 'B exact' END AS arm, avg(raw) AS raw, avg(decoded) AS decoded FROM r WHERE config = 'B' OR weight = 0.75 GROUP BY ALL),
 l AS (SELECT setting, fold, 'raw' AS metric, max(raw) FILTER (arm = 'B') AS x, max(raw) FILTER (arm = 'A') AS p, max(raw) FILTER (arm = 'B exact') AS q FROM e GROUP BY ALL UNION ALL SELECT setting, fold, 'decoded', max(decoded) FILTER (arm = 'B'), max(decoded) FILTER (arm = 'A'), max(decoded) FILTER (arm = 'B exact') FROM e GROUP BY ALL),

@@ -242,3 +242,23 @@ def test_quantisation_gate(spark):
     few = rows().withColumn("decoded", F.when((F.col("arm") == "b") & (F.col("fold") == 1), 0.81).otherwise(F.col("decoded")))
     assert gate(few) == {False}
     assert evaluate.quantisation_gate(rows().limit(0), "a", "b", "c").collect() == []
+
+
+def test_blends_and_curves(spark):
+    p = {"a": [0.7, 0.2, 0.1], "b": [0.1, 0.8, 0.1]}
+    q = {"a": [0.2, 0.2, 0.6]}
+    members = spark.createDataFrame([(m, c, v) for m, t in (("p", p), ("q", q)) for c, v in t.items()], "member string, clip_id string, p array<double>")
+    settings = spark.createDataFrame([("one", "p", 3.0, False), ("mean", "p", 3.0, False), ("mean", "q", 1.0, False), ("product", "p", 3.0, True), ("product", "q", 1.0, True)], "config string, member string, weight double, geometric boolean")
+    got = {(r["config"], r["clip_id"]): r["p"] for r in studies.blends(members, settings).collect()}
+    assert set(got) == {("one", "a"), ("one", "b"), ("mean", "a"), ("product", "a")}  # b lacks a member
+    assert got["one", "b"] == pytest.approx(p["b"]) and got["mean", "a"] == pytest.approx([0.575, 0.2, 0.225])
+    g = np.array(p["a"]) ** 0.75 * np.array(q["a"]) ** 0.25
+    assert got["product", "a"] == pytest.approx((g / g.sum()).tolist())
+    rows = [(c, w, "x", f, r, a) for c, w, a0 in (("A", 0.0, 0.5), ("A", 1.0, 0.7), ("A", 2.0, 0.7), ("B", 0.0, 0.6), ("B", 1.0, 0.4)) for f in (0, 1) for r, a in ((0, a0), (1, a0 + 0.1 * f))]
+    curves = spark.createDataFrame(rows, "config string, weight double, population string, fold int, repeat int, accuracy double")
+    best = {r["config"]: (r["stated"], r["best_weight"], r["best"]) for r in studies.best_weights(curves, 0.0).collect()}
+    assert best["A"] == pytest.approx((0.525, 1.0, 0.725)) and best["B"] == pytest.approx((0.625, 0.0, 0.625))
+    row = studies.paired_curves(studies.at_best(curves, "A", "x"), studies.at_best(curves, "B", "x")).first()
+    assert (row["pairs"], row["wins"]) == (4, 4) and row["mean"] == pytest.approx(0.1) and row["se"] == pytest.approx(0, abs=1e-9)
+    pooled = {(r["config"], r["weight"], r["fold"]): r["accuracy"] for r in studies.pooled_curves(curves).collect()}
+    assert pooled["A", 1.0, 1] == pytest.approx(0.75) and pooled["A", 1.0, None] == pytest.approx(0.725) and len(pooled) == 15
