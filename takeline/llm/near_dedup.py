@@ -13,8 +13,10 @@ shares no bucket with a probability of at most ``MISS``.
 *Verification.* Each text in a family is shuffled once, to its family's task, which settles the exact components there:
 it compares nodes only while they are in different components, through an inverted index of full shingle sets.
 Families beyond ``family_rows`` texts or ``family_shingles`` shingles are cut into blocks: all blocks are held against the
-family's most used bucket centre, and what doesn't link to it is a query set that is held against all blocks.  No list
-of pairs arises.
+family's most used bucket centre.  What doesn't link to it is parted by its rare shingles (a prefix filter: sets that link
+have one of each other's rarest in common, whatever the order, and the order is by a sample of the family that every block
+sees), and each part is a query set against itself and the others that have one of these.  Pages of one template, which
+have their own rare shingles, meet nobody.  No list of pairs arises.
 
 A node's text is fetched by id and text hash, once however often the row repeats, so null and repeated ids cost no more
 than others.
@@ -31,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from takeline.llm.common import ASCII_LOWER, WordHashes, cut, rolling, scramble, steps, texts_of
@@ -103,7 +105,7 @@ class Sets:
     """Shingle sets of one task with an inverted index."""
 
     def __init__(self, sets: list[np.ndarray], percent: int) -> None:
-        self.percent = percent
+        self.percent, self.sets = percent, sets
         self.n = np.array([len(s) for s in sets], np.int64)
         self.end = np.cumsum(self.n)
         values = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
@@ -211,12 +213,17 @@ def _table(nodes: np.ndarray, links: list[tuple[int, int]]) -> pa.Table:
     return pa.table({"u": pa.array([int(nodes[a]) for a, _ in links], pa.int64()), "v": pa.array([int(nodes[b]) for _, b in links], pa.int64())}, schema=_LINKS)
 
 
+def _blocks(family_rows: int, family_shingles: int) -> Column:
+    """Blocks of a family, from its rows' ``n_shingles``."""
+    return F.greatest(F.ceil(F.count("*") / family_rows), F.ceil(F.sum("n_shingles") / family_shingles)).cast("int")
+
+
 def _verified(texts: DataFrame, nodes: DataFrame, edges: DataFrame, families: DataFrame, percent: int, width: int, family_rows: int, family_shingles: int) -> DataFrame:
     """Links ``u, v`` that span the exact components."""
     members = families.select("node", F.col("root").alias("family")).unionByName(families.select(F.col("root").alias("node"), F.col("root").alias("family")).distinct())
     members = members.join(nodes.select("node", "n_shingles", F.col("source.doc_id").alias("source_id"), F.col("source.text_hash").alias("source_hash")), "node")
-    blocks = F.greatest(F.ceil(F.count("*") / family_rows), F.ceil(F.sum("n_shingles") / family_shingles)).cast("int")
-    members = cut(members.join(members.groupBy("family").agg(blocks.alias("blocks")), "family").drop("n_shingles"))
+    counted = members.groupBy("family").agg(_blocks(family_rows, family_shingles).alias("blocks"))
+    members = cut(members.join(counted, "family").drop("n_shingles"))
     same = F.col("doc_id").eqNullSafe(F.col("source_id")) & (F.col("text_hash") == F.col("source_hash"))
     # Rows that repeat id and text collapse before the shuffle.
     placed = texts.join(members, same).groupBy("node", "family", "blocks").agg(F.any_value("text").alias("text"))
@@ -228,31 +235,61 @@ def _verified(texts: DataFrame, nodes: DataFrame, edges: DataFrame, families: Da
     small = placed.where("blocks = 1").groupBy("family").applyInArrow(whole, LINKS)
     if not members.where("blocks > 1").limit(1).count():
         return small
-    return small.unionByName(_large(placed.where("blocks > 1"), edges, families, percent, width))
+    return small.unionByName(_large(placed.where("blocks > 1"), edges, families, percent, width, family_rows, family_shingles))
+
+
+def prefix(items: np.ndarray, known: np.ndarray, texts: np.ndarray, percent: int) -> np.ndarray:
+    """The part of a set that holds a shingle of every set it links to: its rarest, as many as the similarity leaves room for.
+
+    Any one order of shingles makes this exact; this one goes by the number of reference texts (``known``: sorted
+    shingles, ``texts``: of each), then by hash.
+    """
+    n = len(items)
+    at = np.minimum(np.searchsorted(known, items), max(len(known) - 1, 0))
+    held = np.where(known[at] == items, texts[at], 0) if len(known) else np.zeros(n, np.int64)
+    return items[np.lexsort((items, held))[: n + (-n * percent) // 100 + 1]]
 
 
-def _large(texts: DataFrame, edges: DataFrame, families: DataFrame, percent: int, width: int) -> DataFrame:
-    """Large families in blocks: first all against one centre, then what is left against all."""
+def _large(texts: DataFrame, edges: DataFrame, families: DataFrame, percent: int, width: int, family_rows: int, family_shingles: int) -> DataFrame:
+    """Large families in blocks: first all against one centre, then what is left against those with a rare shingle in common."""
     votes = edges.join(families.withColumnRenamed("root", "family"), "node").groupBy("family", "centre").agg(F.sum("shared").alias("votes"))
     centres = votes.groupBy("family").agg(F.max_by("centre", F.struct("votes", "centre")).alias("centre"))
     rows = cut(texts.join(centres, "family").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")))
     is_centre, every_block = F.col("node") == F.col("centre"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    spread = rows.where(is_centre).withColumn("block", every_block).unionByName(rows.where(~is_centre))
+    sample = F.pmod(F.xxhash64("node", F.lit("reference")), F.col("blocks") * 5) == 0  # a fifth of a block
+    guests = rows.where(is_centre | sample).withColumn("home", F.col("block")).withColumn("block", every_block)
+    spread = rows.withColumn("home", F.col("block")).where(~(is_centre | sample)).unionByName(guests)
 
     def against_centre(group: pa.Table) -> pa.Table:
         sets, own = _sets_of(group, percent, width)
-        centre = np.flatnonzero(own == group.column("centre")[0].as_py()) if len(own) else []
-        near = sets.linked(int(centre[0])) if len(centre) else []
-        return _table(own, [(int(y), int(centre[0])) for y in near if own[y] != own[centre[0]]])
-
-    first = cut(spread.groupBy("family", "block").applyInArrow(against_centre, LINKS))
-    left = rows.join(first.select(F.col("u").alias("node")).distinct(), "node", "left_anti").where(~is_centre).select("node")
-    left = cut(left.withColumn("left", F.lit(True)))
-    flagged = rows.join(left, "node", "left").withColumn("left", F.coalesce("left", F.lit(False)))
+        centre = np.flatnonzero(own == group.column("centre")[0].as_py())
+        here = group.column("home").to_numpy() == group.column("block").to_numpy()  # a guest tells about itself at home
+        near = [int(y) for y in (sets.linked(int(centre[0])) if len(centre) else []) if own[y] != own[centre[0]] and here[y]]
+        guest = np.flatnonzero(group.column("sample").to_numpy(zero_copy_only=False))
+        known, texts_of_it = np.unique(np.concatenate([np.zeros(0, np.uint64), *(sets.sets[i] for i in guest.tolist())]), return_counts=True)
+        linked = np.zeros(len(own), bool)
+        linked[near] = True
+        linked |= own == group.column("centre")[0].as_py()
+        members = np.flatnonzero(here)
+        parts = [prefix(sets.sets[i], known, texts_of_it, percent).view(np.int64) for i in members.tolist()]
+        return pa.table(
+            {"family": pa.array([group.column("family")[0].as_py()] * len(members), pa.int64()), "node": pa.array(own[members], pa.int64()), "centre": pa.array([int(own[centre[0]]) if len(centre) else None] * len(members), pa.int64()),
+             "linked": pa.array(linked[members]), "near": pa.array(np.isin(members, near)), "n_shingles": pa.array(sets.n[members]), "rare": pa.array(parts, pa.list_(pa.int64()))}
+        )
+
+    schema = "family long, node long, centre long, linked boolean, near boolean, n_shingles long, rare array<long>"
+    first = cut(spread.withColumn("sample", sample).groupBy("family", "block").applyInArrow(against_centre, schema))
+    links = first.where("near").select(F.col("node").alias("u"), F.col("centre").alias("v"))
+    members = cut(_parted(first))
+    if members.isEmpty():
+        return links
+    counted = members.join(first.select("node", "n_shingles"), "node").groupBy("family").agg(_blocks(family_rows, family_shingles).alias("blocks"))
+    sized = cut(members.join(counted, "family").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")))
+    flagged = rows.select("node", "text").join(sized, "node")
     # Query rows of block q meet every block b; only blocks that have any are asked.
-    asked = flagged.where("left").select("family", F.col("block").alias("q")).distinct()
+    asked = sized.where("asks").select("family", F.col("block").alias("q")).distinct()
     base = flagged.join(asked, "family").withColumn("asks", F.lit(False)).withColumn("b", F.col("block"))
-    query = flagged.where("left").withColumn("q", F.col("block")).withColumn("asks", F.lit(True)).withColumn("b", every_block)
+    query = flagged.where("asks").withColumn("q", F.col("block")).withColumn("b", every_block)
     meet = base.unionByName(query.select(base.columns))
 
     def against_block(group: pa.Table) -> pa.Table:
@@ -261,4 +298,23 @@ def _large(texts: DataFrame, edges: DataFrame, families: DataFrame, percent: int
         return _table(own, spanning_links(sets, label, group.column("asks").to_numpy(zero_copy_only=False)))
 
     second = meet.groupBy("family", "q", "b").applyInArrow(against_block, LINKS)
-    return first.unionByName(second)
+    return links.unionByName(second)
+
+
+def _parted(first: DataFrame) -> DataFrame:
+    """``family, node, asks``: new families of the nodes that are not linked yet, by the rare shingles they have in common,
+    each with the linked nodes that have one of these too.
+
+    Two texts that link have a rare shingle in common, so a node without a partner here needs no comparison.
+    """
+    each = first.select("family", "node", "linked", F.explode("rare").alias("s"))
+    asks = each.where("not linked")
+    buckets = asks.groupBy("family", "s").agg(F.min("node").alias("head"), F.max("node").alias("other"))
+    stars = asks.join(buckets.where("head < other"), ["family", "s"]).where("node <> head").select(F.col("node").alias("u"), F.col("head").alias("v"))
+    roots = components(stars)
+    named = cut(buckets.join(roots.withColumnRenamed("node", "head"), "head", "left").select("family", "s", F.coalesce("root", "head").alias("new")))
+    base = each.where("linked").join(named, ["family", "s"]).select(F.col("new").alias("family"), "node").distinct()
+    parted = roots.select(F.col("root").alias("family"), "node").unionByName(roots.select(F.col("root").alias("family"), F.col("root").alias("node"))).unionByName(base.select("family", F.col("family").alias("node"))).distinct()
+    return parted.withColumn("asks", F.lit(True)).unionByName(base.withColumn("asks", F.lit(False)))
+
+

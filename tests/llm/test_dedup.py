@@ -1,3 +1,4 @@
+import random
 from collections import Counter
 
 import numpy as np
@@ -179,3 +180,42 @@ def test_components(spark):
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {k: v for k, v in enumerate(label) if v != k}
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+@pytest.mark.parametrize("percent", [80, 85, 100])
+def test_prefix_keeps_every_link(percent):
+    """Sets that link share one of their rarest, whatever the reference knows of them; pages of a template share none."""
+    rng = np.random.default_rng(percent)
+    for k in range(300):
+        n = int(rng.integers(1, 60))
+        a = np.unique(rng.integers(0, 10**6, n).astype(np.uint64))
+        b = np.unique(np.concatenate([rng.choice(a, int(rng.integers(0, len(a) + 1)), replace=False), rng.integers(0, 10**6, int(rng.integers(0, 8))).astype(np.uint64)]))
+        known = np.unique(np.concatenate([rng.choice(a, len(a) // 2, replace=False), rng.integers(0, 10**6, 20).astype(np.uint64)]))
+        texts = rng.integers(1, 5, len(known))
+        both = len(np.intersect1d(a, b))
+        x, y = (N.prefix(s, known, texts, percent) for s in (a, b))
+        assert len(x) == len(a) - -(-len(a) * percent // 100) + 1
+        if both and 100 * both >= percent * (len(a) + len(b) - both):
+            assert len(np.intersect1d(x, y))
+    template = np.unique(rng.integers(0, 10**6, 200).astype(np.uint64))
+    pages = [np.unique(np.concatenate([template, rng.integers(10**6, 10**12, 80).astype(np.uint64)])) for _ in range(50)]
+    known, texts = np.unique(np.concatenate(pages[:10]), return_counts=True)
+    rare = [N.prefix(p, known, texts, 85) for p in pages]
+    assert len(np.unique(np.concatenate(rare))) == sum(map(len, rare))
+
+
+def test_template_pages_meet_nobody(spark):
+    """A family of twenty blocks of one template: its pages go on to no comparison, and a pair among them is found."""
+    rng = random.Random(6)
+    template = [f"t{k}" for k in range(150)]
+    page = lambda i: " ".join(template + [f"own{i}x{k}" for k in range(90)])
+    rows = [(i, page(i), "s") for i in range(400)] + [(1000, page(7).replace("own7x3", "other"), "s")]
+    rng.shuffle(rows)
+    sets = {i: N.shingle_set(t.encode(), 5, N.WordHashes()) for i, t, _ in rows}
+    seen = {}
+    first = spark.createDataFrame([(1, i, 0, i == 0, False, len(x), N.prefix(x, *np.unique(np.concatenate([sets[k] for k in range(0, 400, 40)]), return_counts=True), 85).view(np.int64).tolist()) for i, x in sets.items()], "family long, node long, centre long, linked boolean, near boolean, n_shingles long, rare array<long>")
+    for r in N._parted(first).collect():
+        seen.setdefault(r["family"], set()).add((r["node"], r["asks"]))
+    assert list(seen.values()) == [{(7, True), (1000, True)}]
+    got = {r["doc_id"]: r["component_id"] for r in N.near_duplicates(frame(spark, rows), 85, family_rows=20).collect()}
+    assert got == {i: 7 if i == 1000 else i for i, _, _ in rows}
