@@ -105,6 +105,17 @@ def assignment_pairs(spark, sf_dir):
     return out.select(F.col("clip_id").cast("long").alias("vec_id"), "label")
 
 
+@query(f"""WITH {_takes_sql(3)}, s AS (SELECT a.take_id, a.cls AS l0, b.cls AS l1, c.cls AS l2, a.lp + b.lp + c.lp AS score FROM tr a JOIN tr b ON a.take_id = b.take_id AND a.position = 0 AND b.position = 1 AND a.cls <> b.cls JOIN tr c ON c.take_id = a.take_id AND c.position = 2 AND c.cls <> a.cls AND c.cls <> b.cls),
+m AS (SELECT take_id, [l0, l1, l2] AS l FROM s QUALIFY row_number() OVER (PARTITION BY take_id ORDER BY score DESC, l0, l1, l2) = 1)
+SELECT vec_id, l[vec_id % 3 + 1] AS label FROM embeddings JOIN m ON take_id = vec_id // 3""")
+def assignment_triples(spark, sf_dir):
+    """The best assignment over all distinct labels of whole takes of three."""
+    takes = embedding_takes(spark, sf_dir, 3)
+    takes = takes.join(takes.groupBy("take_id").count().where("count = 3"), "take_id", "left_semi")
+    out = decode.decode_takes(takes, embedding_probs(spark, sf_dir), None, "assign", classes=10)
+    return out.select(F.col("clip_id").cast("long").alias("vec_id"), "label")
+
+
 def drill_prior(fold: int = 0) -> np.ndarray:
     a, b = np.arange(10)[:, None], np.arange(10)[None, :]
     counts = 1.0 + (3 * a + b + fold) % 7

@@ -34,17 +34,23 @@ def frames(spark: SparkSession, root: str) -> DataFrame:
     return image.select(F.col("origin").alias("path"), "height", "width", F.col("nChannels").alias("channels"), "data", (F.col("height") > 0).alias("readable"))
 
 
-def pixels(images: DataFrame) -> DataFrame:
-    """``path, y, x, r, g, b`` of readable three-channel images."""
+def pixel_rows(images: DataFrame) -> DataFrame:
+    """``path, y, r, g, b`` of readable three-channel images: a row for each of an image's rows, its values as arrays."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, height, width, data in zip(*(batch.column(c).to_pylist() for c in ("path", "height", "width", "data")), strict=True):
                 blue, green, red = np.frombuffer(data, np.uint8).reshape(-1, 3).astype(np.int32).T
-                y, x = np.divmod(np.arange(height * width, dtype=np.int32), np.int32(width))
-                yield pa.RecordBatch.from_arrays([pa.array([path] * len(y)), *(pa.array(np.ascontiguousarray(c)) for c in (y, x, red, green, blue))], names=["path", "y", "x", "r", "g", "b"])
+                ends = pa.array(np.arange(height + 1, dtype=np.int32) * width)
+                listed = [pa.ListArray.from_arrays(ends, pa.array(np.ascontiguousarray(c))) for c in (red, green, blue)]
+                yield pa.RecordBatch.from_arrays([pa.array([path] * height), pa.array(np.arange(height, dtype=np.int32)), *listed], names=["path", "y", "r", "g", "b"])
+
+    return images.where("readable and channels = 3").select("path", "height", "width", "data").mapInArrow(run, "path string, y int, r array<int>, g array<int>, b array<int>")
 
-    return images.where("readable and channels = 3").select("path", "height", "width", "data").mapInArrow(run, "path string, y int, x int, r int, g int, b int")
+
+def pixels(images: DataFrame) -> DataFrame:
+    """``path, y, x, r, g, b`` of readable three-channel images, a row for each pixel."""
+    return pixel_rows(images).select("path", "y", F.posexplode(F.arrays_zip("r", "g", "b")).alias("x", "c")).select("path", "y", "x", "c.*")
 
 
 def availability(images: DataFrame, clip: str = "clip_id", modality: str = "modality") -> DataFrame:
