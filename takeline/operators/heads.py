@@ -124,8 +124,12 @@ def answered(rows: DataFrame, head: Head, classes: int, name: str = "p") -> Data
 
 def mean_loss(answers: DataFrame, temperatures: list[float]) -> list[float]:
     """Mean of ``-ln`` of the true class's share at each temperature, of ``p, y``; one pass."""
-    own = lambda t: -F.log(F.greatest(F.get(C.temperature(F.col("p"), t), F.col("y")), F.lit(C.FLOOR)))
-    return list(answers.agg(*(F.avg(own(t)).alias(f"t{k}") for k, t in enumerate(temperatures))).first())
+    rows = answers.select(C.logs(F.col("p")).alias("l"), "y", F.posexplode(F.array(*map(F.lit, temperatures))).alias("k", "t"))
+    scaled = rows.select("k", "y", F.transform("l", lambda v: v / F.col("t")).alias("z")).withColumn("m", F.array_max("z"))
+    total = F.aggregate("z", F.lit(0.0), lambda s, v: s + F.exp(v - F.col("m")))
+    own = F.log(total) + F.col("m") - F.get("z", F.col("y"))
+    losses = scaled.select("k", F.least(own, -F.log(F.lit(C.FLOOR))).alias("x")).groupBy("k").agg(F.avg("x").alias("x")).collect()
+    return [x for _, x in sorted((r["k"], r["x"]) for r in losses)]
 
 
 def best_temperature(answers: DataFrame) -> float:
