@@ -43,6 +43,8 @@ MIN_GAIN = 5.4
 MIN_PAIR_GAIN = 21.0
 #: Terms whose pairs are screened, rows of the sample that a pair must have, pairs kept.
 PAIR_TERMS, PAIR_ROWS, MAX_PAIRS = 2000, 5, 100
+#: Terms that one step pairs with all others; it bounds memory.
+PAIR_BLOCK = 100
 THRESHOLD = 0.7
 _MARKS = "\"'`.,;:!?()[]{}<>*#$%&|_-~"
 
@@ -107,18 +109,25 @@ def paired_terms(rows: list[tuple[np.ndarray, int]], have: np.ndarray, gain: np.
     """Terms of the pairs whose presence together says most about the label beyond what the better one says alone."""
     some = np.argsort(-both[have], kind="stable")[:PAIR_TERMS]
     some = some[both[have[some]] < 0.9 * len(rows)]
-    column = np.full(BUCKETS, -1)
+    column = np.full(BUCKETS, -1, np.int32)
     column[have[some]] = np.arange(len(some))
-    x = np.zeros((len(rows), len(some)), np.float32)
-    for i, (terms, _) in enumerate(rows):
+    by_label = [np.zeros((n, len(some)), np.float32) for n in (n0, n1)]
+    at = [0, 0]
+    for terms, y in rows:
         found = column[terms]
-        x[i, found[found >= 0]] = 1
-    y = np.array([y for _, y in rows], bool)
-    ones, zeros = (x[m].T @ x[m] for m in (y, ~y))  # rows of each label with both terms
-    left, right = np.nonzero(np.triu(ones + zeros >= PAIR_ROWS, 1))
-    more = label_gain(ones[left, right].astype(float), zeros[left, right].astype(float), n1, n0) - np.maximum(gain[some[left]], gain[some[right]])
+        by_label[y][at[y], found[found >= 0]] = 1
+        at[y] += 1
+    best = [(np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    for start in range(0, len(some), PAIR_BLOCK):  # terms by terms, a stripe at a time
+        zeros, ones = (x[:, start : start + PAIR_BLOCK].T @ x for x in by_label)  # rows of each label with both terms
+        left, right = np.nonzero(zeros + ones >= PAIR_ROWS)
+        later = right > left + start
+        left, right = left[later], right[later]
+        more = label_gain(ones[left, right].astype(float), zeros[left, right].astype(float), n1, n0) - np.maximum(gain[some[left + start]], gain[some[right]])
+        good = np.flatnonzero(more >= MIN_PAIR_GAIN)
+        best.append((more[good], left[good] + start, right[good]))
+    more, left, right = (np.concatenate(c) for c in zip(*best, strict=True))
     order = np.argsort(-more, kind="stable")[:MAX_PAIRS]
-    order = order[more[order] >= MIN_PAIR_GAIN]
     return [int(have[some[k]]) for i in order.tolist() for k in (left[i], right[i])]
 
 

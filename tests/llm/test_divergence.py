@@ -80,3 +80,12 @@ def test_large_counts(spark):
 
 def test_empty(spark):
     assert divergence.audit(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_long_texts_and_terms(spark):
+    """A text beyond a step's size counts whole; a term of a megabyte is one term."""
+    rng = random.Random(3)
+    long = " ".join(rng.choice("abcdefgh") * rng.randrange(1, 6) for _ in range(1_300_000))
+    assert len(long) > 4 << 20
+    rows = [(long, "en", "a"), ("x" * 1_000_000 + " aa bbb", "en", "b"), ("aa y", "en", "c"), ("x" * 1_000_000, "en", "c")]
+    assert got(divergence.audit(spark.createDataFrame(rows, SCHEMA), 10, 2)) == brute(rows, 10, 2)
