@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from takeline.operators import detections, resize, skeletons
 from takeline.sources import files
+from takeline.sources.settled import settled
 
 
 def _sized(cache: DataFrame) -> DataFrame:
@@ -56,7 +57,7 @@ def image_cache(pixels: DataFrame, side: int) -> DataFrame:
 def sized_frames(frames: DataFrame, pixels: DataFrame, windows: DataFrame, height: int, width: int, side: int, most: int = 32) -> tuple[DataFrame, DataFrame]:
     """``clip_id, frame_no, data`` of the chosen frames of depth and of infrared, cut to the clip's window at ``side x side``."""
     chosen = detections.four_channels(frames, most)
-    sized = detections.fused_pixels(chosen, pixels, windows, height, width, side).join(chosen.select("clip_id", "k", "depth_no", "ir_no"), ["clip_id", "k"])
+    sized = settled(detections.fused_pixels(chosen, pixels, windows, height, width, side).join(chosen.select("clip_id", "k", "depth_no", "ir_no"), ["clip_id", "k"]))
     of = lambda own, number: files.ragged(sized.where(own).withColumn("key", F.struct("clip_id", F.col(number).alias("frame_no"))), "key", ["channel", "y", "x"], ["value"]).select("key.*", "data")
     return of(F.col("channel") < 3, "depth_no"), of(F.col("channel") == 3, "ir_no")
 
