@@ -351,8 +351,8 @@ class Items:
                 yield which, i, *best
 
 
-#: The block a worker has built last, by its label.
-_built: dict[str, tuple[Items, WordHashes]] = {}
+#: The block a worker has built last, by its label; words seen are remembered by a task only, since a worker goes on to other work.
+_built: dict[str, Items] = {}
 
 
 def leaks(documents: DataFrame, benchmark: DataFrame, percent: int = PERCENT, block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -375,11 +375,11 @@ def _leaks_of(documents: DataFrame, items: list[tuple[object, str]], item_id: St
     sent, label = documents.sparkSession.sparkContext.broadcast(items), uuid.uuid4().hex  # ``block_chars`` at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes(normal_word)
         if label not in _built:
             _built.clear()
-            hashes = WordHashes(normal_word)
-            _built[label] = Items(sent.value, percent, hashes), hashes
-        block, hashes = _built[label]
+            _built[label] = Items(sent.value, percent, hashes)
+        block = _built[label]
         for batch in steps(batches):
             parts = [hashes((t or b"").split()) for t in texts_of(batch)]
             found = list(block.found_in(parts))
