@@ -13,12 +13,21 @@ from pyspark.sql import functions as F
 from takeline.llm.common import cut
 
 
+#: Edges that one partition holds between rounds, at least, so that few edges don't make many small files.
+EDGES_A_PART = 10_000
+
+
+def _cut(edges: DataFrame) -> DataFrame:
+    edges = cut(edges)
+    return edges.coalesce(1 + edges.count() // EDGES_A_PART)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``node, root`` for every node with a smaller one in its component, from ``u, v`` pairs of longs.
 
     ``root`` is the smallest node.  Loops, repeated and reversed edges are harmless; no edges give no rows.
     """
-    e = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    e = _cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -26,7 +35,7 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         hung = large.join(least, "u")
         small = hung.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.withColumnRenamed("m", "v"))
-        e = cut(small.distinct())
+        e = _cut(small.distinct())
         # Done when every child has one parent and no parent is a child.
         role = e.select(F.col("u").alias("x"), F.lit(1).alias("child"), F.lit(0).alias("parent")).unionByName(e.select(F.col("v").alias("x"), F.lit(0).alias("child"), F.lit(1).alias("parent")))
         open_ = role.groupBy("x").agg(F.sum("child").alias("child"), F.max("parent").alias("parent")).where("child > 1 or (child = 1 and parent = 1)")

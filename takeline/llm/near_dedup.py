@@ -280,6 +280,8 @@ def _large(texts: DataFrame, edges: DataFrame, families: DataFrame, percent: int
     schema = "family long, node long, centre long, linked boolean, near boolean, n_shingles long, rare array<long>"
     first = cut(spread.withColumn("sample", sample).groupBy("family", "block").applyInArrow(against_centre, schema))
     links = first.where("near").select(F.col("node").alias("u"), F.col("centre").alias("v"))
+    if first.where("not linked").isEmpty():
+        return links
     members = cut(_parted(first))
     if members.isEmpty():
         return links
