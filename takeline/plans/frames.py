@@ -525,7 +525,8 @@ b AS (SELECT vec_id, list_transform(range(0, 33), lambda i: (c[i // 3 + 1] >> (i
 SELECT vec_id, 11 AS n, lower(array_to_string(list_transform(range(0, 5), lambda k: printf('%02x', CAST(list_sum(list_transform(range(0, 8), lambda i: coalesce(b[8 * k + i + 1], 0) << i)) AS INT))), '')) AS stream FROM b""")
 def bit_packed_codes(spark, sf_dir):
     e = _read(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(F.slice("embedding", 1, 11)).alias("idx", "w"))
-    codes = e.select("vec_id", "idx", (F.floor(F.abs("w") * 1000).cast("int") % 8).alias("code"))
+    scaled = F.abs("w") * F.lit(1000.0).cast("float")  # a whole number would make it a product of doubles
+    codes = e.select("vec_id", "idx", (F.floor(scaled).cast("int") % 8).alias("code"))
     return codec.bit_packed(codes, ["vec_id"], "idx", "code", 3).select("vec_id", "n", F.lower(F.hex("stream")).alias("stream"))
 
 
