@@ -43,27 +43,34 @@ def weighted_soup(tensors: DataFrame) -> DataFrame:
     return tensors.groupBy("key", "idx").agg((F.sum(F.col("w") * F.col("x")) / F.sum("w")).alias("x"))
 
 
+def _lzma(blob: bytes) -> bytes:
+    """As ``lzma.compress``, byte counts included, but with a dictionary no larger than the blob: the tables of the default one cost more than a text."""
+    size = min(max(4096, 1 << (len(blob) - 1).bit_length() if blob else 0), 8 << 20)
+    return lzma.compress(blob, filters=[{"id": lzma.FILTER_LZMA2, "preset": lzma.PRESET_DEFAULT, "dict_size": size}])
+
+
 def pack_deltas(pairs: DataFrame) -> DataFrame:
     """Smallest coding of ``blob`` against ``base``: ``key, method, packed, length, sha256``.
 
     The bytes themselves and their difference mod 256 to the base (where it is as long) each go through zlib and LZMA;
-    the shortest wins, ties by name.
+    the shortest wins, ties by name.  Rows are dealt by key first, since a file's row group is one task however much work
+    its rows are.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             out = []
-            for key, blob, base in zip(rows["key"], rows["blob"], rows["base"], strict=True):
+            for key, blob, base, sha256 in zip(rows["key"], rows["blob"], rows["base"], rows["sha256"], strict=True):
                 forms = {"plain": blob}
                 if base is not None and len(base) == len(blob):
                     forms["delta"] = (np.frombuffer(blob, np.uint8) - np.frombuffer(base, np.uint8)).tobytes()
-                coded = {f"{form}-{name}": pack(x) for form, x in forms.items() for name, pack in (("zlib", lambda b: zlib.compress(b, 9)), ("lzma", lzma.compress))}
+                coded = {f"{form}-{name}": pack(x) for form, x in forms.items() for name, pack in (("zlib", lambda b: zlib.compress(b, 9)), ("lzma", _lzma))}
                 name = min(coded, key=lambda n: (len(coded[n]), n))
-                out.append((key, name, coded[name], len(blob)))
-            yield pd.DataFrame(out, columns=["key", "method", "packed", "length"])
+                out.append((key, name, coded[name], len(blob), sha256))
+            yield pd.DataFrame(out, columns=["key", "method", "packed", "length", "sha256"])
 
-    coded = pairs.select("key", "blob", "base").mapInPandas(run, "key string, method string, packed binary, length long")
-    return coded.join(pairs.select("key", F.sha2("blob", 256).alias("sha256")), "key")
+    dealt = pairs.select("key", "blob", "base").repartition("key").withColumn("sha256", F.sha2("blob", 256))
+    return dealt.mapInPandas(run, "key string, method string, packed binary, length long, sha256 string")
 
 
 def unpack_deltas(coded: DataFrame, bases: DataFrame) -> DataFrame:
@@ -72,7 +79,7 @@ def unpack_deltas(coded: DataFrame, bases: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             out = []
-            for key, method, packed, length, base in zip(rows["key"], rows["method"], rows["packed"], rows["length"], rows["base"], strict=True):
+            for key, method, packed, length, base, sha256 in zip(rows["key"], rows["method"], rows["packed"], rows["length"], rows["base"], rows["sha256"], strict=True):
                 form, name = method.split("-")
                 stream = zlib.decompressobj() if name == "zlib" else lzma.LZMADecompressor()
                 blob = stream.decompress(packed, length + 1)
@@ -80,13 +87,12 @@ def unpack_deltas(coded: DataFrame, bases: DataFrame) -> DataFrame:
                     blob += stream.flush()
                 if len(blob) != length or not stream.eof or stream.unused_data:
                     raise ValueError(f"{key}: not one complete stream of {length} bytes")
-                out.append((key, blob if form == "plain" else (np.frombuffer(blob, np.uint8) + np.frombuffer(base, np.uint8)).tobytes()))
-            yield pd.DataFrame(out, columns=["key", "blob"])
+                out.append((key, blob if form == "plain" else (np.frombuffer(blob, np.uint8) + np.frombuffer(base, np.uint8)).tobytes(), sha256))
+            yield pd.DataFrame(out, columns=["key", "blob", "sha256"])
 
     joined = coded.join(bases.select("key", "base"), "key", "left")
-    blobs = joined.select("key", "method", "packed", "length", "base").mapInPandas(run, "key string, blob binary")
-    checked = blobs.join(coded.select("key", "sha256"), "key")
-    return checked.select("key", F.when(F.sha2("blob", 256) == F.col("sha256"), F.col("blob")).otherwise(F.raise_error(F.concat(F.lit("hash of "), F.col("key"))).cast("binary")).alias("blob"))
+    blobs = joined.select("key", "method", "packed", "length", "base", "sha256").mapInPandas(run, "key string, blob binary, sha256 string")
+    return blobs.select("key", F.when(F.sha2("blob", 256) == F.col("sha256"), F.col("blob")).otherwise(F.raise_error(F.concat(F.lit("hash of "), F.col("key"))).cast("binary")).alias("blob"))
 
 
 def recipe(record: DataFrame) -> DataFrame:

@@ -1,10 +1,13 @@
 """Queries whose results or costs went wrong as tables grew, on tables small enough to see it."""
 
+import lzma
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 
 import __spark_entry__ as entry
+from takeline.operators import integrity
 
 
 def test_codes_of_single_floats(spark, tmp_path):
@@ -19,3 +22,30 @@ def test_codes_of_single_floats(spark, tmp_path):
     con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet'")
     got = entry.queries()["bit_packed_codes"](spark, str(tmp_path)).select("vec_id", "n", "stream").collect()
     assert sorted(map(tuple, got)) == sorted(con.execute(f"SELECT vec_id, n, stream FROM ({entry.oracle_sql()["bit_packed_codes"]})").fetchall())
+
+
+def test_texts_are_coded_once_and_dealt(spark, tmp_path):
+    """One row group is no longer one task, each text is coded once, and a small dictionary codes as the default one does."""
+    from pyspark.sql import functions as F
+
+    pq.write_table(pa.table({"key": [str(i) for i in range(400)], "blob": [b"%d " % i * (i % 50) for i in range(400)]}), tmp_path / "t.parquet")
+    calls = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            calls.add(len(batch))
+            yield batch
+
+    pairs = spark.read.parquet(str(tmp_path / "t.parquet")).withColumn("base", F.reverse(F.col("blob").cast("string")).cast("binary"))
+    counted = pairs.mapInPandas(seen, pairs.schema)
+    coded = integrity.pack_deltas(counted)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        assert coded.select(F.spark_partition_id().alias("p")).distinct().count() > 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    calls.value = 0
+    back = integrity.unpack_deltas(coded, pairs).collect()
+    assert calls.value == 400 and {r["key"]: bytes(r["blob"]) for r in back} == {r["key"]: bytes(r["blob"]) for r in pairs.collect()}
+    for blob in (b"", b"x", b"abc " * 5000, np.random.default_rng(0).bytes(70_000)):
+        assert len(integrity._lzma(blob)) == len(lzma.compress(blob)) and lzma.decompress(integrity._lzma(blob)) == blob
