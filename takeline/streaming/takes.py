@@ -19,10 +19,15 @@ from pyspark.sql.types import StructType
 
 #: The state store that keyed state with timers needs.
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-_WAITING = "start_ms long, clip_id string, end_ms long, first_frame long, last_frame long"
+#: Clips that came together lie in one row, a list for each column: state is read and written row by row.
+_WAITING = "start_ms array<long>, clip_id array<string>, end_ms array<long>, first_frame array<long>, last_frame array<long>"
 _OPEN = "end_ms long, frame long, take_ms long, position long"
 
 
+def _columns(rows: list[tuple]) -> tuple[list, ...]:
+    return tuple(map(list, zip(*rows, strict=True)))
+
+
 class _Takes(StatefulProcessor):
     def __init__(self, keys: list[str], gap_ms: int, frames: str | None) -> None:
         self.keys, self.gap_ms, self.frames = keys, gap_ms, frames
@@ -38,16 +43,16 @@ class _Takes(StatefulProcessor):
             some = batch[["start_ms", "clip_id", "end_ms", "first_frame", "last_frame"]]
             new += [(int(a), c, int(b), int(f), int(g)) for a, c, b, f, g in some.itertuples(index=False) if a >= now]
         if new:
-            self.waiting.appendList(new)
-            for start in {x[0] for x in new}:
-                self.handle.registerTimer(start)
+            self.waiting.appendValue(_columns(new))
+            # One timer, of the first clip, takes out all that is due and sets the next: a timer each is a call of Python each.
+            self.handle.registerTimer(min(new)[0])
         yield from ()
 
     def handleExpiredTimer(self, key: tuple, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs()
-        rows = sorted(tuple(x) for x in self.waiting.get()) if self.waiting.exists() else []
+        rows = sorted(clip for some in self.waiting.get() for clip in zip(*some, strict=True)) if self.waiting.exists() else []
         due = [x for x in rows if x[0] <= now]
-        last = tuple(self.open.get()) if self.open.exists() else None
+        last = self.open.get()
         out = []
         for start, clip, end, first, final in due:
             new = last is None or start - last[0] > self.gap_ms or (self.frames is not None and first < last[1])
@@ -56,7 +61,8 @@ class _Takes(StatefulProcessor):
         if due:
             rest = rows[len(due) :]
             if rest:
-                self.waiting.put(rest)
+                self.waiting.put([_columns(rest)])
+                self.handle.registerTimer(rest[0][0])
             else:
                 self.waiting.clear()
             self.open.update(last)

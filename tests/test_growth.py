@@ -8,6 +8,7 @@ import pyarrow.parquet as pq
 
 import __spark_entry__ as entry
 from takeline.operators import integrity
+from takeline.streaming import takes
 
 
 def test_codes_of_single_floats(spark, tmp_path):
@@ -49,3 +50,18 @@ def test_texts_are_coded_once_and_dealt(spark, tmp_path):
     assert calls.value == 400 and {r["key"]: bytes(r["blob"]) for r in back} == {r["key"]: bytes(r["blob"]) for r in pairs.collect()}
     for blob in (b"", b"x", b"abc " * 5000, np.random.default_rng(0).bytes(70_000)):
         assert len(integrity._lzma(blob)) == len(lzma.compress(blob)) and lzma.decompress(integrity._lzma(blob)) == blob
+
+
+def test_a_timer_for_each_arrival():
+    """However many clips of a key come together, they ask for one timer and write one row of state."""
+    from unittest import mock
+
+    import pandas as pd
+
+    handle = mock.MagicMock()
+    processor = takes._Takes(["device"], 60_000, None)
+    processor.init(handle)
+    rows = pd.DataFrame({"start_ms": range(1000, 6000), "clip_id": [f"c{i}" for i in range(5000)], "end_ms": range(1000, 6000), "first_frame": 0, "last_frame": 0})
+    now = mock.MagicMock(**{"getCurrentWatermarkInMs.return_value": 0})
+    assert list(processor.handleInputRows(("a",), iter([rows[2500:], rows[:2500]]), now)) == []
+    assert handle.registerTimer.call_args_list == [mock.call(1000)] and processor.waiting.appendValue.call_count == 1
