@@ -24,6 +24,9 @@ from takeline.functions import columns as C
 #: Temperatures are looked for between these, until the place in logs is known to ``SEARCH_STEP``.
 COLDEST, HOTTEST, SEARCH_STEP, SEARCH_POINTS = 0.25, 4.0, 1e-4, 21
 
+#: Rows that a worker answers at a time.
+ANSWERED = 2048
+
 
 @dataclass(frozen=True)
 class Head:
@@ -111,13 +114,30 @@ def gradient(rows: DataFrame, head: Head, l2: float) -> np.ndarray:
 
 def answered(rows: DataFrame, head: Head, classes: int, name: str = "p") -> DataFrame:
     """``rows`` with the head's distribution for ``x``."""
-    schema = rows.select("*", F.array(F.lit(0.0)).alias(name)).schema
+    return answered_by(rows, [head], [name], classes)
+
+
+def answered_by(rows: DataFrame, members: list[Head], names: list[str], classes: int) -> DataFrame:
+    """``rows`` with each head's distribution for ``x``, in one pass: a task has one Python worker, however many heads."""
+    schema = rows.select("*", *(F.array(F.lit(0.0)).alias(name) for name in names)).schema
+    # Plain arrays: a worker that knew ``Head`` would load this module, and pyspark.ml with it.
+    known = [(h.mean, h.scale, h.weight.T, h.bias, list(h.classes)) for h in members]
+    some = ANSWERED
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = np.array(batch.column("x").to_pylist(), float).reshape(batch.num_rows, -1)
-            p = head.probabilities(x, classes) if len(x) else np.zeros((0, classes))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p.tolist(), pa.list_(pa.float64()))], names=[*batch.schema.names, name])
+        for whole in batches:
+            for at in range(0, whole.num_rows, some):
+                batch = whole.slice(at, some)
+                n = batch.num_rows
+                x = batch.column("x").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(n, -1)
+                columns = []
+                for mean, scale, weight, bias, own in known:
+                    z = ((x - mean) / scale) @ weight + bias
+                    e = np.exp(z - z.max(1, keepdims=True))
+                    out = np.zeros((n, classes))
+                    out[:, own] = e / e.sum(1, keepdims=True)
+                    columns.append(pa.ListArray.from_arrays(pa.array(np.arange(0, n * classes + 1, classes), pa.int32()), pa.array(out.ravel())))
+                yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, *names])
 
     return rows.mapInArrow(run, schema)
 
@@ -157,6 +177,5 @@ def fit_bag(rows: DataFrame, l2: float, classes: int, groups: int = 4) -> list[t
 def bagged(rows: DataFrame, members: list[tuple[Head, float]], classes: int, calibrated: bool = True) -> DataFrame:
     """``rows`` with ``p``, the mean of the members' distributions, each at its temperature if ``calibrated``."""
     names = [f"_p{k}" for k in range(len(members))]
-    for name, (head, _) in zip(names, members, strict=True):
-        rows = answered(rows, head, classes, name)
+    rows = answered_by(rows, [head for head, _ in members], names, classes)
     return rows.withColumn("p", C.bag([(F.col(n), t if calibrated else 1.0) for n, (_, t) in zip(names, members, strict=True)])).drop(*names)

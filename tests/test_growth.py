@@ -65,3 +65,18 @@ def test_a_timer_for_each_arrival():
     now = mock.MagicMock(**{"getCurrentWatermarkInMs.return_value": 0})
     assert list(processor.handleInputRows(("a",), iter([rows[2500:], rows[:2500]]), now)) == []
     assert handle.registerTimer.call_args_list == [mock.call(1000)] and processor.waiting.appendValue.call_count == 1
+
+
+def test_one_worker_for_a_bag(spark):
+    """The members of a bag answer in one pass, as each of them alone does."""
+    from takeline.operators import heads
+
+    rng = np.random.default_rng(3)
+    members = [(heads.Head(rng.normal(size=2), np.ones(2), rng.normal(size=(3, 2)), rng.normal(size=3), (0, 2, 3), 1), 1.0) for _ in range(3)]
+    x = rng.normal(size=(heads.ANSWERED + 5, 2))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id int, x array<double>").repartition(1)
+    bag = heads.bagged(df, members, 4, calibrated=False)
+    assert bag._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    got = {r["id"]: r["p"] for r in bag.collect()}
+    want = np.mean([h.probabilities(x, 4) for h, _ in members], axis=0)
+    assert np.allclose([got[i] for i in range(len(x))], want, atol=1e-9)
