@@ -263,9 +263,14 @@ def encode_delta(target: DataFrame, base: DataFrame, bits: int = 8, chunk: int =
 
 
 def decode_delta(payload: DataFrame, manifest: DataFrame, base: DataFrame, scales: DataFrame, bits: int = 8, chunk: int = CHUNK_BYTES) -> DataFrame:
-    """``key, idx, code, scale`` again; another base than the one coded against, or another result, raises."""
-    checked = _checked(base, manifest.select("key", F.col("base_sha256").alias("sha256")), "another base for")
-    return _checked(from_residuals(layout_bytes(payload, chunk), checked, scales, bits), manifest.select("key", "sha256"), "wrong hash of")
+    """``key, idx, code, scale`` again; another base than the one coded against, or another result, raises.
+
+    The checked base and the result are each read more than once, so they are written first.
+    """
+    manifest = settled(manifest)
+    checked = settled(_checked(base, manifest.select("key", F.col("base_sha256").alias("sha256")), "another base for"))
+    decoded = settled(from_residuals(layout_bytes(payload, chunk), checked, scales, bits))
+    return _checked(decoded, manifest.select("key", "sha256"), "wrong hash of")
 
 
 def _checked(codes: DataFrame, wanted: DataFrame, what: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from takeline.operators import codec, integrity
 from takeline.plans.catalogue import _read, _rounded, query
+from takeline.sources.settled import settled
 
 
 def weights(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,7 +75,7 @@ def narrow_context_residuals(spark, sf_dir):
 @query(f"WITH {_tensors_sql()} SELECT key, idx, code, round(scale, 6) AS scale FROM x")
 def context_codec(spark, sf_dir):
     """8-bit tensors coded against their base, the smaller layout kept, decoded and checked."""
-    target, base = tensors(spark, sf_dir)
+    target, base = map(settled, tensors(spark, sf_dir))  # each is read many times
     payload, manifest = codec.encode_delta(target, base)
     return _rounded(codec.decode_delta(payload, manifest, base, target.select("key", "idx", "scale")))
 
@@ -82,7 +83,7 @@ def context_codec(spark, sf_dir):
 @query(f"WITH {_tensors_sql(7)} SELECT key, idx, code, round(scale, 6) AS scale FROM x")
 def narrow_context_codec(spark, sf_dir):
     """7-bit tensors coded against an 8-bit base, decoded and checked."""
-    target, base = tensors(spark, sf_dir, 7)
+    target, base = map(settled, tensors(spark, sf_dir, 7))
     payload, manifest = codec.encode_delta(target, base, 7)
     return _rounded(codec.decode_delta(payload, manifest, base, target.select("key", "idx", "scale"), 7))
 

@@ -80,3 +80,23 @@ def test_one_worker_for_a_bag(spark):
     got = {r["id"]: r["p"] for r in bag.collect()}
     want = np.mean([h.probabilities(x, 4) for h, _ in members], axis=0)
     assert np.allclose([got[i] for i in range(len(x))], want, atol=1e-9)
+
+
+def test_a_base_is_read_twice(spark):
+    """Decoding reads its base to check it and to use it, and no more."""
+    from takeline.operators import codec
+
+    reads = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            reads.add(len(batch))
+            yield batch
+
+    base = spark.createDataFrame([("a", i, i * 7 % 250 - 125, 0.5) for i in range(300)], "key string, idx long, code int, scale double").coalesce(1)
+    payload, manifest = codec.encode_delta(base, base)
+    payload, manifest = payload.cache(), manifest.cache()
+    assert payload.count() and manifest.count()
+    back = codec.decode_delta(payload, manifest, base.mapInPandas(seen, base.schema), base.select("key", "idx", "scale"))
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, base.collect()))
+    assert reads.value <= 600
