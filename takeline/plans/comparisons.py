@@ -12,7 +12,7 @@ from takeline.functions import columns as C
 from takeline.operators import decode, evaluate, fusion, integrity, sampling, spans, studies
 from takeline.plans.catalogue import GAP_MS, LONG_SQL, PROBS_SQL, TAKES_SQL, _read, _rounded, _takes_sql, embedding_probs, embedding_takes, event_takes, query, take_rows
 from takeline.sources import files
-from takeline.sources.settled import shared_folder
+from takeline.sources.settled import settled, shared_folder
 from takeline.streaming import takes
 
 
@@ -266,7 +266,8 @@ def fusion_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = embedding_probs(spark, sf_dir)
     members = d.select(F.lit("p").alias("member"), "clip_id", "p").unionByName(d.select(F.lit("q").alias("member"), "clip_id", F.col("q").alias("p")))
     settings = spark.createDataFrame(_SETTINGS, "config string, member string, weight double, geometric boolean")
-    return studies.accuracy_curves(*study(spark, sf_dir, _WEIGHTS, studies.blends(members, settings)))
+    curves = studies.accuracy_curves(*study(spark, sf_dir, _WEIGHTS, studies.blends(members, settings)))
+    return settled(curves)  # a row for each setting, and read several times
 
 
 @query(f"""WITH {_CURVES}, m AS (SELECT config, population, weight, avg(x) AS x FROM cu GROUP BY ALL), b AS (SELECT config, population, weight, x FROM m QUALIFY row_number() OVER (PARTITION BY config, population ORDER BY round(x, 12) DESC, weight) = 1)

@@ -100,3 +100,17 @@ def test_a_base_is_read_twice(spark):
     back = codec.decode_delta(payload, manifest, base.mapInPandas(seen, base.schema), base.select("key", "idx", "scale"))
     assert sorted(map(tuple, back.collect())) == sorted(map(tuple, base.collect()))
     assert reads.value <= 600
+
+
+def test_curves_are_made_once(spark):
+    """What the fusion queries read several times decodes nothing again."""
+    import os
+
+    import pytest
+
+    from takeline.plans import comparisons
+
+    folder = "/root/testdata/sf0.001"
+    if not os.path.isdir(folder):
+        pytest.skip("no test data")
+    assert "MapInPandas" not in comparisons.fusion_curves(spark, folder)._jdf.queryExecution().optimizedPlan().toString()
