@@ -189,11 +189,21 @@ def blends(members: DataFrame, settings: DataFrame) -> DataFrame:
     Arithmetic: the weighted mean; geometric: the normalised product of powers.  Weights count as parts of their sum.  A
     clip that a weighted member lacks is left out of that configuration.
     """
-    parts = settings.select("config", "member", (F.col("weight") / F.sum("weight").over(Window.partitionBy("config"))).alias("w"), "geometric", F.count("*").over(Window.partitionBy("config")).alias("members"))
-    rows = members.join(parts, "member").select("config", "clip_id", "geometric", "members", "w", F.posexplode("p").alias("cls", "p"))
-    value = F.when(F.col("geometric"), F.log(F.greatest("p", F.lit(FLOOR)))).otherwise(F.col("p"))
-    mixed = rows.groupBy("config", "clip_id", "geometric", "members", "cls").agg(F.sum(F.col("w") * value).alias("v"), F.count("*").alias("n")).where("n = members")
-    listed = mixed.groupBy("config", "clip_id", "geometric").agg(F.transform(F.sort_array(F.collect_list(F.struct("cls", "v"))), lambda s: s["v"]).alias("v"))
+    own = Window.partitionBy("config")
+    parts = settings.select("config", "member", (F.col("weight") / F.sum("weight").over(own)).alias("w"), "geometric", F.count("*").over(own).alias("members"))
+    ways = parts.groupBy("config", "geometric", "members").agg(F.collect_list(F.struct("member", "w")).alias("parts"))  # a row per configuration
+    # Dealt by clip: members are few, so by member each would be one task; and a clip's answers stay arrays.
+    dealt = members.where(F.size("p") > 0).select("clip_id", "member", "p").repartition("clip_id")
+    held = dealt.groupBy("clip_id").agg(F.collect_list(F.struct("member", "p")).alias("held")).crossJoin(F.broadcast(ways))
+    met = F.flatten(F.transform("parts", lambda s: F.transform(F.filter("held", lambda h: h["member"] == s["member"]), lambda h: F.struct(s["w"].alias("w"), h["p"].alias("p")))))
+    whole = held.select("config", "clip_id", "geometric", "members", met.alias("met")).where(F.size("met") == F.col("members"))
+
+    def mixed(cls: Column) -> Column:
+        value = lambda m: F.when(F.col("geometric"), F.log(F.greatest(F.get(m["p"], cls), F.lit(FLOOR)))).otherwise(F.get(m["p"], cls))
+        return F.aggregate(F.transform("met", lambda m: m["w"] * value(m)), F.lit(None).cast("double"), lambda s, x: F.coalesce(s + x, s, x))
+
+    places = F.sequence(F.lit(0), F.array_min(F.transform("met", lambda m: F.size(m["p"]))) - 1)
+    listed = whole.select("config", "clip_id", "geometric", F.transform(places, mixed).alias("v"))
     return listed.select("config", "clip_id", F.when(F.col("geometric"), softmax(F.col("v"))).otherwise(F.col("v")).alias("p"))
 
 

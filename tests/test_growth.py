@@ -114,3 +114,27 @@ def test_curves_are_made_once(spark):
     if not os.path.isdir(folder):
         pytest.skip("no test data")
     assert "MapInPandas" not in comparisons.fusion_curves(spark, folder)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_members_are_dealt_by_clip(spark):
+    """Few members with many clips: no task gets all of a member's rows, and no row is made for each class."""
+    from pyspark.sql import functions as F
+
+    from takeline.operators import studies
+
+    members = spark.createDataFrame([(m, str(i), [0.5, 0.25, 0.25]) for m in "pq" for i in range(400)], "member string, clip_id string, p array<double>")
+    odd = [("p", "odd", None), ("q", "odd", [1.0]), ("p", "twice", [0.5, 0.5]), ("p", "twice", [0.5, 0.5]), ("q", "twice", [0.5, 0.5]), ("p", "short", [0.5, 0.5]), ("q", "short", [0.25]), ("p", "gap", [0.5, None]), ("q", "gap", [0.25, None])]
+    members = members.unionByName(spark.createDataFrame(odd, members.schema))
+    settings = spark.createDataFrame([("mean", "p", 1.0, False), ("mean", "q", 1.0, False), ("last", "q", 2.0, False)], "config string, member string, weight double, geometric boolean")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        mixed = studies.blends(members, settings)
+        plan = mixed._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(member" not in plan and "explode(p" not in plan
+        most = mixed.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert most < 400
+    got = {(r["config"], r["clip_id"]): r["p"] for r in mixed.collect()}
+    assert got["mean", "7"] == [0.5, 0.25, 0.25] and got["mean", "short"] == [0.375] and got["mean", "gap"] == [0.375, None] and got["last", "odd"] == [1.0]
+    assert ("mean", "odd") not in got and ("mean", "twice") not in got and len(got) == 2 * 400 + 2 + 4
