@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from takeline.functions.columns import even_picks, square_window
 from takeline.operators import resize
 from takeline.operators.spans import ranked
+from takeline.sources.settled import settled
 
 #: Thresholds of the acceptance rule, crop margin, least side and tile size by frame width.
 STRONG, WEAK, QUORUM, SPREAD, MARGIN, MIN_SIDE, TILE = 0.3, 0.1, 0.5, 0.1, 1.4, 0.35, 0.6
@@ -27,18 +28,37 @@ def _width(width: int | str) -> Column:
     return F.max(width) if isinstance(width, str) else F.lit(width)
 
 
+def _stats(boxes: DataFrame, weak: float, *more: Column) -> DataFrame:
+    """A row for each clip with boxes, in one pass: ``clip_id, best_score``, and of its good boxes ``n, sd, cx, cy, side``."""
+    cx, cy = (F.col("x1") + F.col("x2")) / 2, (F.col("y1") + F.col("y2")) / 2
+    good = F.col("score") >= weak
+    of_good = lambda c: F.when(good, c)
+    return boxes.groupBy("clip_id").agg(
+        F.max("score").alias("best_score"), F.count_if(good).cast("int").alias("n"), F.greatest(F.stddev_pop(of_good(cx)), F.stddev_pop(of_good(cy))).alias("sd"),
+        F.percentile(of_good(cx), 0.5).alias("cx"), F.percentile(of_good(cy), 0.5).alias("cy"), F.max(of_good(F.greatest(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")))).alias("side"), *more,
+    )
+
+
+def _reason(width: str, probes: int, strong: float, quorum: float, spread: float) -> Column:
+    """The rule over ``_stats`` and the frames' width."""
+    need = max(2, round(quorum * probes))
+    return F.when(F.col("best_score") >= strong, "strong").when(F.col("n") < need, "sparse").when(F.col("sd") > spread * F.col(width), "scattered").otherwise("agree")
+
+
+def _window(width: str, margin: float, min_side: float) -> dict[str, Column]:
+    """Edges of the square window over ``_stats`` and the frames' width."""
+    half = F.greatest(F.col("side") * margin, F.col(width) * min_side) / 2
+    edges = {"top": F.col("cy") - half, "left": F.col("cx") - half, "bottom": F.col("cy") + half, "right": F.col("cx") + half}
+    return {n: F.rint(v).cast("int") for n, v in edges.items()}
+
+
 def accept(boxes: DataFrame, width: int | str, probes: int = 8, strong: float = STRONG, weak: float = WEAK, quorum: float = QUORUM, spread: float = SPREAD, clips: DataFrame | None = None) -> DataFrame:
     """``clip_id, reason, n_detected, best_score`` by the rule strong / agree / sparse / scattered.
 
     Of ``clips`` (``clip_id``), those without any box are ``none``.  ``width``: of the frames, or a column of the boxes.
     """
-    cx, cy = (F.col("x1") + F.col("x2")) / 2, (F.col("y1") + F.col("y2")) / 2
-    good = F.col("score") >= weak
-    stats = boxes.groupBy("clip_id").agg(
-        F.max("score").alias("best_score"), F.count_if(good).cast("int").alias("n"), F.greatest(F.stddev_pop(F.when(good, cx)), F.stddev_pop(F.when(good, cy))).alias("sd"), _width(width).alias("w")
-    )
-    need = max(2, round(quorum * probes))
-    reason = F.when(F.col("best_score") >= strong, "strong").when(F.col("n") < need, "sparse").when(F.col("sd") > spread * F.col("w"), "scattered").otherwise("agree")
+    stats = _stats(boxes, weak, _width(width).alias("w"))
+    reason = _reason("w", probes, strong, quorum, spread)
     kept = F.when(reason.isin("strong", "agree"), F.col("n")).otherwise(0)
     found = stats.select("clip_id", reason.alias("reason"), kept.alias("n_detected"), "best_score")
     if clips is None:
@@ -47,16 +67,11 @@ def accept(boxes: DataFrame, width: int | str, probes: int = 8, strong: float =
     return every.select("clip_id", F.coalesce("reason", F.lit("none")).alias("reason"), F.coalesce("n_detected", F.lit(0)).alias("n_detected"), F.coalesce("best_score", F.lit(0.0)).alias("best_score"))
 
 
-def person_windows(boxes: DataFrame, width: int | str, probes: int = 8, margin: float = MARGIN, min_side: float = MIN_SIDE, weak: float = WEAK, **rule: float) -> DataFrame:
+def person_windows(boxes: DataFrame, width: int | str, probes: int = 8, margin: float = MARGIN, min_side: float = MIN_SIDE, weak: float = WEAK, strong: float = STRONG, quorum: float = QUORUM, spread: float = SPREAD) -> DataFrame:
     """Square window of accepted clips: median centre, largest side; not clamped to the frame."""
-    accepted = accept(boxes, width, probes, weak=weak, **rule)
-    used = boxes.where(F.col("score") >= weak).join(accepted.where("reason in ('strong', 'agree')"), "clip_id")
-    geometry = used.groupBy("clip_id", "reason", "n_detected", "best_score").agg(
-        F.percentile((F.col("x1") + F.col("x2")) / 2, 0.5).alias("cx"), F.percentile((F.col("y1") + F.col("y2")) / 2, 0.5).alias("cy"), F.max(F.greatest(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))).alias("side"), _width(width).alias("w")
-    )
-    half = F.greatest(F.col("side") * margin, F.col("w") * min_side) / 2
-    edges = {"top": F.col("cy") - half, "left": F.col("cx") - half, "bottom": F.col("cy") + half, "right": F.col("cx") + half}
-    return geometry.select("clip_id", *(F.rint(v).cast("int").alias(n) for n, v in edges.items()), "n_detected", F.col("reason").alias("source"), "best_score")
+    judged = _stats(boxes.where("clip_id is not null"), weak, _width(width).alias("w")).where("n > 0").withColumn("source", _reason("w", probes, strong, quorum, spread))
+    kept = judged.where("source in ('strong', 'agree')")
+    return kept.select("clip_id", *(v.alias(n) for n, v in _window("w", margin, min_side).items()), F.col("n").alias("n_detected"), "source", "best_score")
 
 
 def choose_window(clips: DataFrame, person: DataFrame, motion: DataFrame, scale: float = 1.0) -> DataFrame:
@@ -84,29 +99,41 @@ def best_over_tiles(found: DataFrame, offsets: DataFrame) -> DataFrame:
     return best.select("clip_id", "probe", "b.*")
 
 
-def rescued_windows(frames: DataFrame, detections: DataFrame, in_tiles: DataFrame | Callable[[DataFrame], DataFrame], motion: DataFrame, probes: int = 8, least: float = WEAK, **rule: float) -> DataFrame:
+def _rung(frames: DataFrame, boxes: DataFrame, probes: int, margin: float, min_side: float, weak: float, strong: float, quorum: float, spread: float) -> DataFrame:
+    """``frames`` with ``best_score`` of each clip's boxes, ``accepted``, and the accepted window ``w`` with its ``n_detected`` and ``source``; written once."""
+    judged = frames.join(_stats(boxes, weak), "clip_id", "left").withColumn("source", _reason("width", probes, strong, quorum, spread))
+    accepted = F.coalesce((F.col("n") > 0) & F.col("source").isin("strong", "agree"), F.lit(False))
+    w = F.struct(*(v.alias(n) for n, v in _window("width", margin, min_side).items()))
+    return settled(judged.select(*frames.columns, "best_score", accepted.alias("accepted"), w.alias("w"), F.col("n").alias("n_detected"), "source"))
+
+
+def rescued_windows(
+    frames: DataFrame, detections: DataFrame, in_tiles: DataFrame | Callable[[DataFrame], DataFrame], motion: DataFrame, probes: int = 8, least: float = WEAK,
+    margin: float = MARGIN, min_side: float = MIN_SIDE, weak: float = WEAK, strong: float = STRONG, quorum: float = QUORUM, spread: float = SPREAD,
+) -> DataFrame:
     """``clip_id, top, left, bottom, right, n_detected, source, best_score`` of each clip, by the first rung that holds.
 
     Rungs: boxes of whole frames (``strong``, ``agree``); for clips that these fail, boxes in corner tiles (``tiled``); for
     those that still fail the motion box, made square (``motion``); the whole frame (``whole``).  ``frames``: ``clip_id,
-    height, width``; ``in_tiles``: ``clip_id, probe, tile`` and a box, or what makes them from the tiles of the clips that
-    go on, so that a detector sees only these.  ``best_score`` is that of the last rung with a detector.
+    height, width``, a row for each clip; ``in_tiles``: ``clip_id, probe, tile`` and a box, or what makes them from the tiles
+    of the clips that go on, so that a detector sees only these.  ``best_score`` is that of the last rung with a detector.
+
+    What each detector's rung decides is written to the shared folder, a row for each clip, so the next rung doesn't
+    decide it again beside its own work.
     """
-    sizes = frames.select("clip_id", "width")
-    plain = best_per_probe(detections.where(F.col("score") >= least)).join(sizes, "clip_id")
-    first = person_windows(plain, "width", probes, **rule)
-    failed = frames.join(first, "clip_id", "left_anti")
+    rule = (probes, margin, min_side, weak, strong, quorum, spread)
+    first = _rung(frames.select("clip_id", "height", "width"), best_per_probe(detections.where(F.col("score") >= least)), *rule)
+    failed = first.where("not accepted").select("clip_id", "height", "width")
     offsets = tiles(failed)
     again = in_tiles(offsets) if callable(in_tiles) else in_tiles.join(failed, "clip_id", "left_semi")
-    tiled = best_over_tiles(again, offsets).where(F.col("score") >= least).join(sizes, "clip_id")
-    second = person_windows(tiled, "width", probes, **rule).withColumn("source", F.lit("tiled"))
-    found = first.unionByName(second)
-    rest = failed.join(second, "clip_id", "left_anti").join(tiled.groupBy("clip_id").agg(F.max("score").alias("best_score")), "clip_id", "left")
+    second = _rung(failed, best_over_tiles(again, offsets).where(F.col("score") >= least), *rule)
+    plain, tiled = (rung.where("accepted").select("clip_id", "w.*", "n_detected", source.alias("source"), "best_score") for rung, source in ((first, F.col("source")), (second, F.lit("tiled"))))
+    rest = second.where("not accepted").select("clip_id", "height", "width", "best_score")
     box = square_window(*(F.col(c) for c in ("top", "left", "bottom", "right")), 1.0)
     moved = rest.join(motion.select("clip_id", box.alias("w")), "clip_id", "left")
     whole = F.struct(F.lit(0).alias("top"), F.lit(0).alias("left"), F.col("height").alias("bottom"), F.col("width").alias("right"))
     last = moved.select("clip_id", F.coalesce("w", whole).alias("w"), F.lit(0).alias("n_detected"), F.when(F.col("w").isNull(), "whole").otherwise("motion").alias("source"), F.coalesce("best_score", F.lit(0.0)).alias("best_score"))
-    return found.unionByName(last.select("clip_id", "w.*", "n_detected", "source", "best_score"))
+    return plain.unionByName(tiled).unionByName(last.select("clip_id", "w.*", "n_detected", "source", "best_score"))
 
 
 def decode_palette(pixels: DataFrame, palette: DataFrame, invalid: int = 255) -> DataFrame:

@@ -138,3 +138,27 @@ def test_members_are_dealt_by_clip(spark):
     got = {(r["config"], r["clip_id"]): r["p"] for r in mixed.collect()}
     assert got["mean", "7"] == [0.5, 0.25, 0.25] and got["mean", "short"] == [0.375] and got["mean", "gap"] == [0.375, None] and got["last", "odd"] == [1.0]
     assert ("mean", "odd") not in got and ("mean", "twice") not in got and len(got) == 2 * 400 + 2 + 4
+
+
+def test_rungs_are_decided_once(spark):
+    """A later rung's tasks don't sort, join and judge again what an earlier one has decided."""
+    from takeline.operators import detections
+
+    box = "clip_id string, probe int, x1 double, y1 double, x2 double, y2 double, score double"
+    frames = spark.createDataFrame([(f"c{i}", 100, 200) for i in range(60)], "clip_id string, height int, width int")
+    plain = spark.createDataFrame([(f"c{i}", 0, 50.0, 40.0, 70.0, 80.0, 0.9 if i % 3 == 0 else 0.2) for i in range(50)], box)
+    tiled = spark.createDataFrame([(f"c{i}", 0, 1, 1.0, 1.0, 9.0, 9.0, 0.8 if i % 3 == 1 else 0.15) for i in range(60)], box.replace("probe int,", "probe int, tile int,"))
+    motion = spark.createDataFrame([(f"c{i}", 10, 20, 30, 50) for i in range(0, 60, 2)], "clip_id string, top int, left int, bottom int, right int")
+    for key, value in {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}.items():
+        spark.conf.set(key, value)
+    try:
+        found = detections.rescued_windows(frames, plain, tiled, motion)
+        assert found._jdf.queryExecution().executedPlan().toString().count("Sort [") <= 4
+        got = {r["clip_id"]: (r["source"], r["n_detected"], r["best_score"]) for r in found.collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    first = {f"c{i}": ("strong", 1, 0.9) for i in range(0, 50, 3)}
+    second = {f"c{i}": ("tiled", 1, 0.8) for i in range(60) if i % 3 == 1}
+    rest = {f"c{i}": ("motion" if i % 2 == 0 else "whole", 0, 0.15) for i in range(60) if f"c{i}" not in first and f"c{i}" not in second}
+    assert got == first | second | rest and found.count() == 60
