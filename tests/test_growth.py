@@ -140,6 +140,38 @@ def test_members_are_dealt_by_clip(spark):
     assert ("mean", "odd") not in got and ("mean", "twice") not in got and len(got) == 2 * 400 + 2 + 4
 
 
+def test_weight_curves_are_dealt_by_clip(spark, tmp_path, monkeypatch):
+    """The whole query gives a task no more of a member than of its clips, and says what its SQL says."""
+    import duckdb
+
+    from takeline.operators import studies
+
+    rng = np.random.default_rng(5)
+    table = pa.table({"vec_id": range(120), "embedding": pa.array(rng.normal(size=(120, 64)).astype(np.float32).tolist(), pa.list_(pa.float32())), "label": pa.array(rng.integers(0, 10, 120).tolist(), pa.int32())})
+    pq.write_table(table, tmp_path / "embeddings.parquet")
+    plans, curves = [], studies.accuracy_curves
+
+    def seen(decoded, truth):
+        plans.append(decoded._jdf.queryExecution().executedPlan().toString())
+        return curves(decoded, truth)
+
+    monkeypatch.setattr(studies, "accuracy_curves", seen)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = entry.queries()["weight_curves"](spark, str(tmp_path)).select("config", "weight", "population", "fold", "accuracy").collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(plans) == 1 and "hashpartitioning(member" not in plans[0]
+    assert "hashpartitioning(clip_id" in plans[0]
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet'")
+    want = con.execute(f"SELECT config, weight, population, fold, accuracy FROM ({entry.oracle_sql()["weight_curves"]})").fetchall()
+    assert len(got) == len(want) == 240
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+
+
 def test_rungs_are_decided_once(spark):
     """A later rung's tasks don't sort, join and judge again what an earlier one has decided."""
     from takeline.operators import detections
